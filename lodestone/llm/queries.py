@@ -15,9 +15,45 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+#: Fixed rules of op2: host, path prefix, kind.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lodestone.llm.token_count import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+_REST = "substr(url, strpos(url, '://') + 3)"
+_HOST = f"coalesce(case when strpos(url, '://') > 0 then translate(regexp_extract({_REST}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') end, '')"
+_PATH = f"coalesce(case when strpos(url, '://') > 0 then regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1) end, '')"
+
+ORACLE_SQL = {
+    "op2_url_filter": f"""
+        WITH u AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
+        r(rh, rp, kind) AS (VALUES {", ".join(str(x) for x in URL_RULES)}),
+        j AS (
+            SELECT u.*, (SELECT struct_pack(rule := rh || rp, kind := kind) FROM r
+                         WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+                         ORDER BY length(rh) DESC, length(rp) DESC LIMIT 1) AS hit
+            FROM u)
+        SELECT page_id, host, path, hit.rule AS rule, coalesce(hit.kind, 'allow') AS verdict FROM j
+    """,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE_SQL
