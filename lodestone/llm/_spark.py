@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 
-from pyspark import SparkFiles  # noqa: F401  (kept importable for user code)
 from pyspark.sql import DataFrame, SparkSession
 
 import lodestone
@@ -64,6 +64,9 @@ class Stage:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        # shuffle files of finished steps go when the driver collects the plans that made them
+        gc.collect()
+        jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -91,11 +91,14 @@ def shapes_and_ngrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
-    """(key, text, y): at most `bound` labelled rows outside the held-out fold, by the order of a hash of their ids."""
+    """(key, text, y): at most `bound` labelled rows outside the held-out fold, by the order of a hash of their ids.
+
+    The ids are broadcast: `bound` of them, 24 bytes each, so that no text is shuffled.
+    """
     ids = labels.where(F.col(label).isin(0, 1) & (F.crc32(F.col(id_col).cast("string")) % folds != 0))
     ids = ids.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("y")).withColumn("key", F.xxhash64("_id"))
     ids = ids.orderBy("key", "_id").limit(bound)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(ids, "_id").select("key", "text", "y")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "_id").select("key", "text", "y")
 
 
 def held_out(id_col: str, folds: int = 5):

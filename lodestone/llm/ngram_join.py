@@ -6,7 +6,8 @@ over all documents shows to be frequent last. With n shingles and threshold t, a
 links with this one shares at least l of the first n - ceil(t n) + l shingles, for any l
 (a multi-match prefix). Each document picks the l whose estimated cost is least: postings
 read plus candidates to verify, at most postings / l of them. A pair becomes a candidate
-only if it shares min(l, l') shingles of the min(l, l')-prefixes, and is then verified on
+only if it shares min(l, l') shingles of the min(l, l')-prefixes and if all it shares in the
+prefixes, plus what can still follow them, could reach the threshold; it is then verified on
 the whole sets. Any order and any choice of l gives complete results; the estimates only
 steer cost.
 
@@ -120,7 +121,7 @@ def _prefixes(k: int, percent: int, levels):
 
 
 def _postings(percent: int):
-    """Rows (token, rep, n, ell, level) from packed prefixes. level: least l whose prefix holds the token."""
+    """Rows (token, rep, n, ell, level, pos) from packed prefixes. level: least l whose prefix holds the token; pos: its place in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -137,8 +138,8 @@ def _postings(percent: int):
             for i in range(0, len(row), 200_000):
                 at = slice(i, i + 200_000)
                 r = row[at]
-                columns = [flat[at], rep[r], n[r].astype(np.int32), ell[r].astype(np.int32), level[at].astype(np.int32)]
-                yield pa.record_batch([pa.array(x) for x in columns], ["token", "rep", "n", "ell", "level"])
+                columns = [flat[at], rep[r], n[r].astype(np.int32), ell[r].astype(np.int32), level[at].astype(np.int32), place[at].astype(np.int32)]
+                yield pa.record_batch([pa.array(x) for x in columns], ["token", "rep", "n", "ell", "level", "pos"])
 
     return run
 
@@ -225,6 +226,21 @@ class _Join:
         stage.drop(f"{name}-sets")
         return out
 
+    def bounds(self) -> list:
+        """Of a pair's shared prefix shingles: those that count as matches, those needed, and the most the sets can share.
+
+        Shingles that are shared but not in both prefixes come after all that are, in both orders. So there are at
+        most as many as follow the last match on the shorter side, or follow the prefix that ends first.
+        """
+        rest = f"greatest(({self.percent} * n + 99) div 100 - ell, ({self.percent} * n2 + 99) div 100 - ell2)"
+        after = "least(n - 1 - pos, n2 - 1 - pos2)"
+        return [
+            F.expr("count_if(greatest(level, level2) <= least(ell, ell2))").alias("strong"),
+            F.expr("min(least(ell, ell2))").alias("need"),
+            F.expr("max(n + n2)").alias("sizes"),
+            F.expr(f"count(*) + least(min({after}), max({rest}))").alias("most"),
+        ]
+
     def components(self) -> tuple[DataFrame, DataFrame]:
         """(sizes: one row per document with its fingerprints; nodes: representative and component where it isn't itself)."""
         stage, percent = self.stage, self.percent
@@ -232,7 +248,7 @@ class _Join:
         docs = stage.save(self.texts.mapInArrow(_prefixes(self.k, percent, levels), "doc_id long, n long, f1 long, f2 long, ell int, prefix binary"), "docs")
         sizes = docs.select("doc_id", "n", "f1", "f2")
         reps = docs.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("ell").alias("ell"), F.first("prefix").alias("prefix"))
-        rows = reps.select("rep", "n", "ell", "prefix").mapInArrow(_postings(percent), "token long, rep long, n int, ell int, level int")
+        rows = reps.select("rep", "n", "ell", "prefix").mapInArrow(_postings(percent), "token long, rep long, n int, ell int, level int, pos int")
         by_token = Window.partitionBy("token")
         shared = rows.withColumns({"low": F.min("rep").over(by_token), "high": F.max("rep").over(by_token)}).where("low <> high").drop("low", "high")
         shared = stage.save(shared, "shared")
@@ -242,17 +258,19 @@ class _Join:
             now = shared.withColumn("comp", F.col("rep"))
             if labels is not None:
                 now = shared.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-            near = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2) and greatest(level, level2) <= least(ell, ell2) and comp <> comp2")
+            columns = ("rep", "n", "ell", "level", "pos", "comp")
+            near = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2) and comp <> comp2")
             if last:
                 many = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
                 left = stage.save(now.join(many, "token", "left_semi"), "left")
-                other = left.select("token", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "ell", "level", "comp")])
+                other = left.select("token", *[F.col(c).alias(f"{c}2") for c in columns])
                 paired = left.join(other, "token").where(F.col("comp") < F.col("comp2")).where(near)
             else:
                 # one hub per shingle, another in each round; every other posting meets it
-                hub = F.min_by(F.struct("rep", "n", "ell", "level", "comp"), F.xxhash64("comp", F.lit(i)) if i else F.col("rep")).over(by_token)
-                paired = now.withColumn("hub", hub).select("*", *[F.col(f"hub.{c}").alias(f"{c}2") for c in ("rep", "n", "ell", "level", "comp")]).drop("hub").where(near)
-            pairs = paired.groupBy(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).agg(F.count("*").alias("hits"), F.min(F.least("ell", "ell2")).alias("need")).where("hits >= need").select("a", "b")
+                hub = F.min_by(F.struct(*columns), F.xxhash64("comp", F.lit(i)) if i else F.col("rep")).over(by_token)
+                paired = now.withColumn("hub", hub).select("*", *[F.col(f"hub.{c}").alias(f"{c}2") for c in columns]).drop("hub").where(near)
+            pairs = paired.groupBy(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).agg(*self.bounds())
+            pairs = pairs.where(f"strong >= need and 100 * most >= {percent} * (sizes - most)").select("a", "b")
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = stage.save(pairs, f"pairs-{i}")

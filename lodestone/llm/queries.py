@@ -25,12 +25,24 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.ppm import lm_scores
 
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.embedding_dedup import near_duplicate_embeddings
+
+    return near_duplicate_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.quality import quality
 
