@@ -81,6 +81,23 @@ ORACLE_SQL = {
 }
 
 
+#: Target shares of tokens of op9, by language as the domain.
+TARGETS = {"en": 0.4, "fr": 0.25, "de": 0.2, "es": 0.15}
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.mixing import mix_to_targets
+
+    docs = table(spark, sf_dir, "documents")
+    return mix_to_targets(docs, docs.selectExpr("doc_id as id", "lang as domain"), TARGETS)
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.pii import find_personal_data
+
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
