@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import lodestone
 
@@ -71,3 +71,15 @@ class Stage:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Ids that are broadcast to be dropped from a table (8 bytes each); beyond, the table is shuffled with them.
+MOST_IDS = 2_000_000
+
+
+def without_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose id isn't in the one column of ids (distinct). Rows with a null id stay."""
+    ids = ids.toDF("_drop")
+    if ids.limit(MOST_IDS + 1).count() <= MOST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, F.col(column) == F.col("_drop"), "left_anti")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.llm._bytes import LOWER, SPACE, U64, chunks, mix, powers, prefix_sums
-from lodestone.llm._spark import Stage
+from lodestone.llm._spark import Stage, ship
 
 #: Length of the q-grams, of segments and the step between them, all in bytes; edits allowed per byte.
 Q, SEGMENT, STEP, EDITS = 10, 120, 60, 0.075
@@ -164,6 +164,14 @@ class Patterns:
                 ends[c] = column[np.arange(len(c)), best] + m
         return edits, ends
 
+    def regions(self, data: np.ndarray, off: np.ndarray):
+        """(document, segment, edits, end) of the verified regions, offsets of the normalised texts and the place in data of their bytes."""
+        text, cut, place = normalised(data, off)
+        doc, segment, least, width = self.candidates(text, cut)
+        edits, ends = self.align(text, cut, doc, segment, least, width)
+        ok = np.flatnonzero(edits <= self.budget[segment])
+        return doc[ok], segment[ok], edits[ok], ends[ok], cut, place
+
 
 def _scan(patterns):
     """Rows (doc, item, segment place, edits, start, end) of the verified regions; start and end in characters of the text as it stands."""
@@ -172,15 +180,9 @@ def _scan(patterns):
         p = patterns.value
         for rb in batches:
             for i, _, data, off in chunks(rb.column(1)):
-                text, cut, place = normalised(data, off)
-                doc, segment, least, width = p.candidates(text, cut)
+                doc, segment, edits, ends, cut, place = p.regions(data, off)
                 if not len(doc):
                     continue
-                edits, ends = p.align(text, cut, doc, segment, least, width)
-                ok = np.flatnonzero(edits <= p.budget[segment])
-                if not len(ok):
-                    continue
-                doc, segment, edits, ends = doc[ok], segment[ok], edits[ok], ends[ok]
                 starts = np.maximum(ends - p.size[segment], cut[doc])
                 # characters before each byte of the batch, to count from the document's start
                 char = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -213,6 +215,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out.groupBy(F.col("doc_id").alias(id_col), F.col("item_id").alias(item_col)).agg(F.count_distinct("at").alias("n_segments"), F.min("edits").alias("min_edits"), F.min("begin").alias("begin"), F.max("end").alias("end"))
 
 
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE) -> DataFrame:
+    """The rows of docs, with all their columns, that leak no benchmark item."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def clean(patterns):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rb in batches:
+                keep = np.ones(rb.num_rows, dtype=bool)
+                for i, _, data, off in chunks(rb.column(at)):
+                    keep[i + patterns.value.regions(data, off)[0]] = False
+                yield rb.filter(pa.array(keep))
+
+        return run
+
+    for items in _slices(benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")), slice_bytes):
+        docs = docs.mapInArrow(clean(docs.sparkSession.sparkContext.broadcast(Patterns(items))), docs.schema)
+    return docs
+
+
 def _slices(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, bytes]]]:
     """The normalised items, at most about `limit` bytes at a time; never the whole benchmark on the driver."""
     held: list[tuple[int, bytes]] = []

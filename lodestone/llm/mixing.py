@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from lodestone.llm._bytes import U64, chunks, words
 from lodestone.llm._spark import Stage
@@ -54,7 +54,7 @@ class DomainModel:
         return size, z / z.sum(axis=1, keepdims=True)
 
 
-def train(docs: DataFrame, labelled: DataFrame, stage: Stage, id_col: str, text_col: str, bound: int = SAMPLE) -> DomainModel:
+def train(docs: DataFrame, labelled: DataFrame, stage: Stage, id_col: str, text_col: str, bound: int = SAMPLE) -> DomainModel | None:
     """labelled: (id, domain). At most `bound` rows, by the order of a hash of their ids, are joined by broadcast and counted."""
     ids = labelled.where("domain is not null").groupBy("id").agg(F.min(F.col("domain").cast("string")).alias("domain"))
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(bound)
@@ -81,7 +81,7 @@ def train(docs: DataFrame, labelled: DataFrame, stage: Stage, id_col: str, text_
         raise ValueError(f"more than {DOMAINS} domains")
     names = sorted(total)
     if not names:
-        raise ValueError("no labelled rows to learn domains from")
+        return None
     counts = np.stack([total[x] for x in names]).astype(np.float64)
     return DomainModel(names, counts[:, :-1], counts[:, -1])
 
@@ -155,6 +155,19 @@ def members(docs: DataFrame, model: DomainModel, stage: Stage, id_col: str, text
     return stage.save(rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, n_tokens long, posterior array<double>"), "members")
 
 
+def fit(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], stage: Stage, id_col: str, text_col: str, scale: float) -> tuple[DomainModel, DataFrame, np.ndarray] | None:
+    """The model, its members table and the g of each step; None without labelled rows."""
+    model = train(docs, labelled, stage, id_col, text_col)
+    if model is None:
+        return None
+    rows = members(docs, model, stage, id_col, text_col)
+    share = np.array([max(0.0, weights.get(x, 0.0)) for x in model.names])
+    if share.sum() <= 0:
+        raise ValueError("no known domain has a target weight")
+    tokens = rows.agg(F.sum("n_tokens")).first()[0] or 0
+    return model, rows, fit_rates(rows, share / share.sum() * tokens * scale)[0]
+
+
 def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", scale: float = 1.0) -> DataFrame:
     """(id, n_tokens, domain, posterior, rate) for each row of docs.
 
@@ -166,19 +179,11 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     is known: domain and posterior are null and every rate is `scale`. No rows give no rows.
     """
     stage = Stage(docs.sparkSession, "mixing")
-    try:
-        model = train(docs, labelled, stage, id_col, text_col)
-    except ValueError as e:
-        if "no labelled rows" not in str(e):
-            raise
+    fitted = fit(docs, labelled, weights, stage, id_col, text_col, scale)
+    if fitted is None:
         one = F.size(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
         return docs.select(F.col(id_col), one.alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"), F.lit(float(scale)).alias("rate"))
-    rows = members(docs, model, stage, id_col, text_col)
-    share = np.array([max(0.0, weights.get(x, 0.0)) for x in model.names])
-    if share.sum() <= 0:
-        raise ValueError("no known domain has a target weight")
-    tokens = rows.agg(F.sum("n_tokens")).first()[0] or 0
-    history, _ = fit_rates(rows, share / share.sum() * tokens * scale)
+    model, rows, history = fitted
     shared, names = stage.spark.sparkContext.broadcast(history), model.names
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,3 +193,30 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
             yield pa.record_batch([rb.column(0), rb.column(1), pa.array([names[b] for b in best], pa.string()), pa.array(p[np.arange(len(p)), best]), pa.array(_rates(p, shared.value))], [id_col, "n_tokens", "domain", "posterior", "rate"])
 
     return rows.mapInArrow(rate, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_tokens long, domain string, posterior double, rate double")
+
+
+def with_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", scale: float = 1.0) -> DataFrame:
+    """docs with columns mix_domain, mix_rate and mix_copies; columns of these names are replaced.
+
+    mix_copies: the rate as whole copies, its fraction rounded up for that share of ids by a hash of id and text.
+    """
+    docs = docs.drop("mix_domain", "mix_rate", "mix_copies")
+    stage = Stage(docs.sparkSession, "mixing")
+    fitted = fit(docs, labelled, weights, stage, id_col, text_col, scale)
+    if fitted is None:
+        out = docs.withColumn("mix_domain", F.lit(None).cast("string")).withColumn("mix_rate", F.lit(float(scale)))
+    else:
+        model, _, history = fitted
+        shared, at = stage.spark.sparkContext.broadcast((model, history)), docs.columns.index(text_col)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, history = shared.value
+            for rb in batches:
+                for i, j, data, off in chunks(rb.column(at)):
+                    _, p = model.posterior(data, off)
+                    part = rb.slice(i, j - i)
+                    yield pa.record_batch([*part.columns, pa.array([model.names[b] for b in p.argmax(axis=1)], pa.string()), pa.array(_rates(p, history))], [*part.schema.names, "mix_domain", "mix_rate"])
+
+        out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("mix_domain", T.StringType()), T.StructField("mix_rate", T.DoubleType())]))
+    part = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return out.withColumn("mix_copies", (F.floor("mix_rate") + (part < F.col("mix_rate") - F.floor("mix_rate")).cast("long")).cast("long"))

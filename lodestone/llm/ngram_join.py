@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.llm._bytes import U64, chunks, shingle_sets
-from lodestone.llm._spark import Stage
+from lodestone.llm._spark import Stage, without_ids
 from lodestone.llm.components import connected_components
 
 #: Cells of the count sketch, and cells in one shuffled block of it.
@@ -300,3 +300,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes, members = _Join(texts, k, percent).components()
     out = sizes.join(members, ["n", "f1", "f2"], "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """docs without all but the document of the least id of each component. Rows with a null id stay; so do rows that repeat a kept id."""
+    stage = Stage(docs.sparkSession, "near-duplicates")
+    joined = ngram_jaccard_join(docs, id_col, text_col, k, percent)
+    drop = stage.save(joined.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "drop")
+    return without_ids(docs, drop, id_col)

@@ -138,13 +138,21 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Overlapping spans become the name of the first. A null text stays null; rows without spans stay as they are.
     """
-    rows = _Sanitiser(docs, id_col, text_col).spans().where("key is not null").dropDuplicates(["key"]).select(F.col("key").alias("_key"), F.col("base").alias("_base"), F.col("terms").alias("_terms"))
+    found = _Sanitiser(docs, id_col, text_col)
+    terms = found.term_spans()
     text = f"`{text_col}`"
-    held = docs.withColumn("_found", base_spans(f"coalesce({text}, '')")).withColumn("_key", F.when(F.size("_found") > 0, F.xxhash64(F.col(id_col), F.col(text_col)))).drop("_found")
+    held = docs.withColumn("_base", base_spans(f"coalesce({text}, '')"))
+    # only rows with something to take out meet the terms; the others aren't shuffled
+    clear, held = held.where("size(_base) = 0").drop("_base"), held.where("size(_base) > 0").withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col)))
+    none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
+    if terms is None:
+        held = held.withColumn("_terms", none)
+    else:
+        terms = found.stage.save(terms, "term-spans").select(F.col("key").alias("_key"), F.col("terms").alias("_terms"))
+        held = held.join(terms, "_key", "left").withColumn("_terms", F.coalesce("_terms", none))
     spans = "array_sort(concat(transform(_base, s -> named_struct('start', s.start, 'end', s.end, 'name', concat('<', upper(s.kind), '>'))), transform(_terms, s -> named_struct('start', s.start, 'end', s.end, 'name', ''))))"
     clean = (
         f"aggregate({spans}, named_struct('at', 0, 'out', ''), (a, s) -> case when s.start < a.at then named_struct('at', greatest(a.at, s.end), 'out', a.out) "
         f"else named_struct('at', s.end, 'out', concat(a.out, substr({text}, a.at + 1, s.start - a.at), s.name)) end, a -> concat(a.out, substr({text}, a.at + 1)))"
     )
-    out = held.join(rows, "_key", "left")
-    return out.withColumn(text_col, F.expr(f"case when _base is null then {text} else {clean} end")).select(*docs.columns)
+    return clear.unionByName(held.withColumn(text_col, F.expr(clean)).select(*docs.columns))

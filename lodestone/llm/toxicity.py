@@ -172,3 +172,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     stage = Stage(docs.sparkSession, "toxicity")
     out = scores(docs, train(docs, labels, stage), stage, id_col, text_col)
     return out.select(id_col, held_out(id_col), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", cut: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under `cut`."""
+    stage = Stage(docs.sparkSession, "toxicity")
+    shared = stage.spark.sparkContext.broadcast(train(docs, labels, stage))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            keep = [shared.value.score(data, off) < cut for _, _, data, off in chunks(rb.column(at))]
+            if keep:
+                yield rb.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
