@@ -14,7 +14,8 @@ steer cost.
 Documents with equal sets are first folded into one representative. Postings of a
 frequent shingle are not paired with each other at once: in a few star rounds every posting
 is paired with one hub, verified links are contracted into components, and only postings of
-different components are paired in the last round. So a group of k near copies costs about
+different components are paired in the last round, after those of documents whose own shingles already rule out
+any link are pruned. So a group of k near copies costs about
 k pairs, and no link between different components is lost.
 """
 
@@ -226,6 +227,17 @@ class _Join:
         stage.drop(f"{name}-sets")
         return out
 
+    def meeting(self, rows: DataFrame) -> DataFrame:
+        """Postings whose shingle is in another component too, with cap: the most shingles their document can share outside its own.
+
+        A document's prefix shingles that no other component has are lost to any pair with one; a document that
+        cannot keep the threshold's share of its own set without them links with none, and its postings go.
+        """
+        by_token, by_rep = Window.partitionBy("token"), Window.partitionBy("rep", "n", "ell")
+        rows = rows.withColumns({"low": F.min("comp").over(by_token), "high": F.max("comp").over(by_token)}).where("low <> high").drop("low", "high")
+        rows = rows.withColumn("cap", (F.expr(f"({self.percent} * n + 99) div 100 - ell") + F.count("*").over(by_rep)).cast("int"))
+        return rows.where(f"100 * cap >= {self.percent} * n")
+
     def bounds(self) -> list:
         """Of a pair's shared prefix shingles: those that count as matches, those needed, and the most the sets can share.
 
@@ -250,24 +262,24 @@ class _Join:
         reps = docs.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("ell").alias("ell"), F.first("prefix").alias("prefix"))
         rows = reps.select("rep", "n", "ell", "prefix").mapInArrow(_postings(percent), "token long, rep long, n int, ell int, level int, pos int")
         by_token = Window.partitionBy("token")
-        shared = rows.withColumns({"low": F.min("rep").over(by_token), "high": F.max("rep").over(by_token)}).where("low <> high").drop("low", "high")
-        shared = stage.save(shared, "shared")
+        shared = stage.save(self.meeting(rows.withColumn("comp", F.col("rep"))).drop("comp"), "shared")
         links, tried, labels = None, None, None
         for i in range(STAR_ROUNDS + 1):
             last = i == STAR_ROUNDS
             now = shared.withColumn("comp", F.col("rep"))
             if labels is not None:
                 now = shared.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-            columns = ("rep", "n", "ell", "level", "pos", "comp")
-            near = F.expr(f"100 * least(n, n2) >= {percent} * greatest(n, n2) and comp <> comp2")
+            columns = ("rep", "n", "ell", "level", "pos", "comp", "cap")
+            near = F.expr(f"100 * least(n, n2, cap, cap2) >= {percent} * greatest(n, n2) and 100 * least(cap, cap2) >= {percent} * (n + n2 - least(cap, cap2)) and comp <> comp2")
             if last:
-                many = now.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-                left = stage.save(now.join(many, "token", "left_semi"), "left")
+                left = stage.save(self.meeting(now), "left")
                 other = left.select("token", *[F.col(c).alias(f"{c}2") for c in columns])
                 paired = left.join(other, "token").where(F.col("comp") < F.col("comp2")).where(near)
             else:
-                # one hub per shingle, another in each round; every other posting meets it
-                hub = F.min_by(F.struct(*columns), F.xxhash64("comp", F.lit(i)) if i else F.col("rep")).over(by_token)
+                # one hub per shingle, the document with the fewest shingles of its own (the likely original of copies);
+                # in later rounds that of another component
+                order = F.struct(F.xxhash64("comp", F.lit(i)) if i else F.lit(0).cast("long"), -F.col("cap"), F.col("rep"))
+                hub = F.min_by(F.struct(*columns), order).over(by_token)
                 paired = now.withColumn("hub", hub).select("*", *[F.col(f"hub.{c}").alias(f"{c}2") for c in columns]).drop("hub").where(near)
             pairs = paired.groupBy(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).agg(*self.bounds())
             pairs = pairs.where(f"strong >= need and 100 * most >= {percent} * (sizes - most)").select("a", "b")
