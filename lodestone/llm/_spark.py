@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.session import ship
@@ -62,3 +64,27 @@ def without_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     if ids.limit(MOST_IDS + 1).count() <= MOST_IDS:
         ids = F.broadcast(ids)
     return df.join(ids, F.col(column) == F.col("_drop"), "left_anti")
+
+
+def units(keys: int, work):
+    """A mapInArrow function that calls work(table) -> batch or None on each run of rows equal in the first `keys` columns (longs or ints, no nulls)."""
+
+    def run(batches):
+        held, key = [], None
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            k = np.stack([rb.column(i).to_numpy() for i in range(keys)], axis=1)
+            cut = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+            for a, b in zip(cut[:-1], cut[1:]):
+                mine = tuple(k[a].tolist())
+                if held and mine != key:
+                    if (out := work(pa.Table.from_batches(held).combine_chunks())) is not None:
+                        yield out
+                    held = []
+                key = mine
+                held.append(rb.slice(a, b - a))
+        if held and (out := work(pa.Table.from_batches(held).combine_chunks())) is not None:
+            yield out
+
+    return run

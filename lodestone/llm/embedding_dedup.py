@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm._spark import Stage
+from lodestone.llm._spark import Stage, units
 from lodestone.llm.components import connected_components
 
 #: Chance that a pair right at the threshold meets in some table; vectors per bucket aimed at; vectors in a block.
@@ -82,33 +82,12 @@ def _compare(least: float):
         keep = np.flatnonzero((n > 0) | (root != keys))
         return keys[keep], n[keep], root[keep]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
-
-        def flush():
-            rows = pa.Table.from_batches(held).combine_chunks()
-            get = lambda name: rows.column(name).to_numpy()
-            found = unit(get("key"), get("copies"), _matrix(rows.column("embedding").combine_chunks()), _matrix(rows.column("signs").combine_chunks()).astype(np.int64), get("block"), key[0], key[2], key[3])
-            if found:
-                return pa.record_batch([pa.array(c) for c in found], ["key", "n", "root"])
+    def work(rows: pa.Table) -> pa.RecordBatch | None:
+        get = lambda name: rows.column(name).to_numpy()
+        found = unit(get("key"), get("copies"), _matrix(rows.column("embedding").combine_chunks()), _matrix(rows.column("signs").combine_chunks()).astype(np.int64), get("block"), get("t")[0], get("first")[0], get("second")[0])
+        return pa.record_batch([pa.array(c) for c in found], ["key", "n", "root"]) if found else None
 
-        for rb in batches:
-            keys = np.stack([rb.column(i).to_numpy() for i in range(4)], axis=1)
-            cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for a, b in zip(cut[:-1], cut[1:]):
-                mine = tuple(keys[a].tolist()) if b > a else key
-                if held and mine != key:
-                    if (out := flush()) is not None:
-                        yield out
-                    held.clear()
-                key = mine
-                if b > a:
-                    held.append(rb.slice(a, b - a))
-        if held and (out := flush()) is not None:
-            yield out
-
-    return run
+    return units(4, work)
 
 
 def near_duplicate_embeddings(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", seed: int = 11) -> DataFrame:
@@ -136,9 +115,9 @@ def near_duplicate_embeddings(vectors: DataFrame, least: float = 0.98, id_col: s
     at = signed.select("key", F.posexplode("signs").alias("t", "sign"), "group", "size").select("key", "t", F.xxhash64("group", "size", "sign").alias("bucket"))
     sizes = at.groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     blocks = at.join(sizes, ["t", "bucket"]).withColumn("many", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), "many").cast("int"))
-    units = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    units = units.select(F.col("t").cast("long").alias("t"), "bucket", F.least("block", "other").cast("long").alias("first"), F.greatest("block", "other").cast("long").alias("second"), F.col("block").cast("long").alias("block"), "key")
-    full = units.join(signed.select("key", "copies", "embedding", "signs"), "key").select("t", "bucket", "first", "second", "block", "key", "copies", "embedding", "signs")
+    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    dealt = dealt.select(F.col("t").cast("long").alias("t"), "bucket", F.least("block", "other").cast("long").alias("first"), F.greatest("block", "other").cast("long").alias("second"), F.col("block").cast("long").alias("block"), "key")
+    full = dealt.join(signed.select("key", "copies", "embedding", "signs"), "key").select("t", "bucket", "first", "second", "block", "key", "copies", "embedding", "signs")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = full.repartition(parts, "t", "bucket", "first", "second").sortWithinPartitions("t", "bucket", "first", "second").mapInArrow(_compare(least), "key long, n long, root long")
     found = stage.save(found, "found")

@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone.llm._bytes import U64, chunks, shingle_sets
-from lodestone.llm._spark import Stage, without_ids
+from lodestone.llm._spark import Stage, units, without_ids
 from lodestone.llm.components import connected_components
 
 #: Cells of the count sketch, and cells in one shuffled block of it.
 CELLS, BLOCK = 1 << 20, 1 << 14
 #: Largest multi-match level tried, and star rounds before all postings are paired.
 MOST_MATCHES, STAR_ROUNDS = 12, 2
+#: Postings beyond which a shingle is compared in blocks, and documents in a block.
+FREQUENT, DOCUMENTS = 24, 1024
 
 
 def _at_least(n: int, percent: int) -> int:
@@ -191,6 +193,37 @@ def _or_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "bits"])
 
 
+def _products(percent: int):
+    """Per unit (key, first, second) the pairs that may reach the threshold, with their shared shingles of this key."""
+
+    def unit(rows: pa.Table) -> pa.RecordBatch | None:
+        get = lambda name: rows.column(name).to_numpy()
+        reps, at, doc = np.unique(get("rep"), return_index=True, return_inverse=True)
+        tokens, token = np.unique(get("token"), return_inverse=True)
+        n, ell, comp, cap, block = (get(c)[at].astype(np.int64) for c in ("n", "ell", "comp", "cap", "block"))
+        has = np.zeros((len(reps), len(tokens)), dtype=np.float32)
+        has[doc, token] = 1
+        rest = (percent * n + 99) // 100 - ell
+        spare = cap - rest - has.sum(axis=1).astype(np.int64)  # prefix shingles that others have, under other keys
+        first, second = get("first")[0], get("second")[0]
+        a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        hits = np.rint(has[a] @ has[b].T).astype(np.int64)
+        if first == second:
+            hits = np.triu(hits, 1)
+        pick = lambda f, x: f(x[a][:, None], x[b][None, :])
+        sizes = pick(np.add, n)
+        most = np.minimum(hits + pick(np.minimum, spare) + pick(np.maximum, rest), pick(np.minimum, cap))
+        i, j = np.nonzero((hits > 0) & pick(np.not_equal, comp) & (100 * pick(np.minimum, n) >= percent * pick(np.maximum, n)) & (100 * most >= percent * (sizes - most)))
+        if not len(i):
+            return None
+        x, y, h = a[i], b[j], hits[i, j]
+        # levels and places aren't looked at here: all hits count as matches, and only `rest` bounds what follows
+        columns = [np.minimum(reps[x], reps[y]), np.maximum(reps[x], reps[y]), h, h, np.minimum(ell[x], ell[y]), n[x] + n[y], np.full(len(x), 2**30), np.maximum(rest[x], rest[y])]
+        return pa.record_batch([pa.array(c.astype(np.int64 if k < 2 else np.int32)) for k, c in enumerate(columns)], ["a", "b", "hits", "strong", "need", "sizes", "after", "rest"])
+
+    return units(3, unit)
+
+
 def _jaccard(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -238,20 +271,36 @@ class _Join:
         rows = rows.withColumn("cap", (F.expr(f"({self.percent} * n + 99) div 100 - ell") + F.count("*").over(by_rep)).cast("int"))
         return rows.where(f"100 * cap >= {self.percent} * n")
 
-    def bounds(self) -> list:
-        """Of a pair's shared prefix shingles: those that count as matches, those needed, and the most the sets can share.
+    def facts(self) -> list:
+        """Of one shared prefix shingle of a pair: whether it is a match, the matches needed, and what can still follow.
 
         Shingles that are shared but not in both prefixes come after all that are, in both orders. So there are at
-        most as many as follow the last match on the shorter side, or follow the prefix that ends first.
+        most as many as follow the last match on the shorter side (after), or the prefix that ends first (rest).
         """
         rest = f"greatest(({self.percent} * n + 99) div 100 - ell, ({self.percent} * n2 + 99) div 100 - ell2)"
-        after = "least(n - 1 - pos, n2 - 1 - pos2)"
-        return [
-            F.expr("count_if(greatest(level, level2) <= least(ell, ell2))").alias("strong"),
-            F.expr("min(least(ell, ell2))").alias("need"),
-            F.expr("max(n + n2)").alias("sizes"),
-            F.expr(f"count(*) + least(min({after}), max({rest}))").alias("most"),
-        ]
+        names = {"a": "least(rep, rep2)", "b": "greatest(rep, rep2)", "hits": "1", "strong": "int(greatest(level, level2) <= least(ell, ell2))", "need": "least(ell, ell2)", "sizes": "n + n2", "after": "least(n - 1 - pos, n2 - 1 - pos2)", "rest": rest}
+        return [F.expr(f"cast({e} as {'long' if k in 'ab' else 'int'})").alias(k) for k, e in names.items()]
+
+    def all_pairs(self, left: DataFrame, near, columns: tuple[str, ...]) -> DataFrame:
+        """facts() of every pair of different components that shares a shingle.
+
+        Shingles on up to FREQUENT postings are paired by a join. The others are gathered by their least
+        document, which those of one group of copies have in common, and compared in blocks of documents as products
+        of incidence matrices, so that only pairs that can still reach the threshold leave the task.
+        """
+        by_token = Window.partitionBy("token")
+        left = left.withColumns({"df": F.count("*").over(by_token), "key": F.min("rep").over(by_token)})
+        left = self.stage.save(left, "counted")
+        rare = left.where(F.col("df") <= FREQUENT).drop("df", "key")
+        other = rare.select("token", *[F.col(c).alias(f"{c}2") for c in columns])
+        joined = rare.join(other, "token").where(F.col("comp") < F.col("comp2")).where(near).select(*self.facts())
+        often = left.where(F.col("df") > FREQUENT)
+        size = often.select("key", "rep").distinct().groupBy("key").agg(F.ceil(F.count("*") / DOCUMENTS).cast("int").alias("many"))
+        often = often.join(size, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "many").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+        dealt = often.select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "token", "rep", "n", "ell", "comp", "cap")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = dealt.repartition(parts, "key", "first", "second").sortWithinPartitions("key", "first", "second")
+        return joined.unionByName(dealt.mapInArrow(_products(self.percent), "a long, b long, hits int, strong int, need int, sizes int, after int, rest int"))
 
     def components(self) -> tuple[DataFrame, DataFrame]:
         """(sizes: one row per document with its fingerprints; nodes: representative and component where it isn't itself)."""
@@ -272,16 +321,15 @@ class _Join:
             columns = ("rep", "n", "ell", "level", "pos", "comp", "cap")
             near = F.expr(f"100 * least(n, n2, cap, cap2) >= {percent} * greatest(n, n2) and 100 * least(cap, cap2) >= {percent} * (n + n2 - least(cap, cap2)) and comp <> comp2")
             if last:
-                left = stage.save(self.meeting(now), "left")
-                other = left.select("token", *[F.col(c).alias(f"{c}2") for c in columns])
-                paired = left.join(other, "token").where(F.col("comp") < F.col("comp2")).where(near)
+                paired = self.all_pairs(stage.save(self.meeting(now), "left"), near, columns)
             else:
                 # one hub per shingle, the document with the fewest shingles of its own (the likely original of copies);
                 # in later rounds that of another component
                 order = F.struct(F.xxhash64("comp", F.lit(i)) if i else F.lit(0).cast("long"), -F.col("cap"), F.col("rep"))
                 hub = F.min_by(F.struct(*columns), order).over(by_token)
                 paired = now.withColumn("hub", hub).select("*", *[F.col(f"hub.{c}").alias(f"{c}2") for c in columns]).drop("hub").where(near)
-            pairs = paired.groupBy(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).agg(*self.bounds())
+                paired = paired.select(*self.facts())
+            pairs = paired.groupBy("a", "b").agg(F.sum("strong").alias("strong"), F.min("need").alias("need"), F.max("sizes").alias("sizes"), (F.sum("hits") + F.least(F.min("after"), F.max("rest"))).alias("most"))
             pairs = pairs.where(f"strong >= need and 100 * most >= {percent} * (sizes - most)").select("a", "b")
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
