@@ -15,6 +15,8 @@ from lodestone.llm._spark import Stage
 
 #: Share of a value's information that a term may disclose, different lines a pair must be on, characters of a term.
 DISCLOSES, SUPPORT, LETTERS = 0.5, 2, 3
+#: Candidate terms that are broadcast at most (about 100 bytes each in an executor).
+MOST_TERMS = 500_000
 
 # Java forms of the patterns. Possessive loops run without recursion and never give back what they took, which changes
 # no match here: what follows each loop cannot begin with what it takes. A local part or a first number can
@@ -90,6 +92,8 @@ class _Sanitiser:
             return None
         terms = stage.save(pairs.select("term").distinct(), "terms")
         total = self.lines.count()
+        if terms.count() <= MOST_TERMS:
+            terms = F.broadcast(terms)  # else every word of the corpus is shuffled to its term
         counts = self.lines.select(F.explode(terms_of("line")).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
         scored = pairs.join(counts, "term").withColumn("ic", F.log2(F.lit(float(total)) / F.col("n_e"))).withColumn("pmi", F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))))
         return stage.save(scored.where((F.col("ic") > 0) & (F.col("pmi") >= DISCLOSES * F.col("ic"))).select("value", "term", "pmi", "ic"), "disclosing")

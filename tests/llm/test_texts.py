@@ -1,0 +1,282 @@
+"""URL rules, decontamination, PPM, tokens, classifiers, mixing and PII on small cases."""
+
+import collections
+import hashlib
+import math
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from lodestone.llm import decontaminate, mixing, pii, ppm, quality, token_count, toxicity, url_filter
+from lodestone.llm._bytes import chunks
+
+DOC = "doc_id bigint, text string, score string, key string, terms string"
+
+
+def docs(spark, rows):
+    """Rows with columns whose names clash with the operators' own."""
+    return spark.createDataFrame([(i, t, "s", "k", "t") for i, t in rows], DOC)
+
+
+# ---- urls ----
+
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.com", "/x", "block"), ("a.com", "/x", "allow"), ("", "/", "allow")]
+
+
+@pytest.mark.parametrize("url, want", [
+    ("https://B.Example.NET/en/1?x#y", ("b.example.net", "/en/1", "example.net/en/", "allow")),
+    ("http://example.net/fr/", ("example.net", "/fr/", "net/", "block")), ("http://net", ("net", "", None, "allow")),
+    ("http://badexample.net/en/", ("badexample.net", "/en/", "net/", "block")), ("http://a.com/xyz", ("a.com", "/xyz", "a.com/x", "block")),
+    ("http://q.org/z", ("q.org", "/z", "/", "allow")), ("no scheme", ("", "", None, "allow")), (None, ("", "", None, "allow")), ("x://h?q", ("h", "", None, "allow")),
+])
+def test_urls(spark, url, want):
+    df = spark.createDataFrame([(1, url, "h")], "page_id bigint, url string, host string")
+    assert tuple(url_filter.filter_urls(df, RULES).first())[1:] == want
+    assert url_filter.filter_urls(df.limit(0), RULES).collect() == []
+
+
+# ---- decontamination ----
+
+def test_leaks(spark):
+    rng = random.Random(2)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    item = words(40)
+    edited = item.replace(item[60:63], "zz", 1)
+    rows = [(1, "é " + words(50) + " " + item.upper().replace(" ", "\n ") + " " + words(9)), (2, words(300)), (3, words(5) + edited), (4, None), (5, ""), (6, item[:30]), (7, item[50:]), (None, item)]
+    bench = spark.createDataFrame([(10, item, 1), (11, None, 1), (12, "tiny", 1), (None, item, 1)], "item_id bigint, text string, doc_id int")
+    got = {r.doc_id: r for r in decontaminate.leaks(docs(spark, rows), bench).collect()}
+    assert set(got) == {1, 3, 7} and got[1].min_edits == 0 and got[3].min_edits <= 9
+    text = rows[0][1]
+    assert text[got[1].begin : got[1].end].lower().split() == item.split()
+    kept = decontaminate.drop_leaking(docs(spark, rows), bench).collect()
+    assert {r.doc_id for r in kept} == {2, 4, 5, 6} and kept[0].score == "s"
+    assert decontaminate.leaks(docs(spark, rows), bench.limit(0)).collect() == []
+    assert decontaminate.leaks(docs(spark, rows).limit(0), bench).collect() == []
+
+
+def test_alignment_is_exact():
+    rng = random.Random(3)
+    items = [(k, bytes(rng.choice(b"abcd ") for _ in range(n))) for k, n in enumerate((40, 90, 120, 200))]
+    p = decontaminate.Patterns(items)
+    texts = []
+    for _ in range(60):
+        it = bytearray(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 9)):
+            k = rng.randrange(len(it))
+            it[k : k + rng.randint(0, 1)] = b"xy"[: rng.randint(0, 1)]
+        texts.append(bytes(rng.choice(b"abcd ") for _ in range(rng.randint(0, 60))) + bytes(it))
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    doc, seg, least, width = p.candidates(np.frombuffer(b"".join(texts), np.uint8), off)
+    edits, _ = p.align(np.frombuffer(b"".join(texts), np.uint8), off, doc, seg, least, width)
+    found = {}
+    for d, s, e in zip(doc, seg, edits):
+        found[d, s] = min(e, found.get((d, s), 99))
+
+    def least_edits(a, b):
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return min(row)
+
+    for d, t in enumerate(texts):
+        for s, a in enumerate(p.text):
+            want = least_edits(a, t)
+            if want <= p.budget[s]:
+                assert found[d, s] == want
+
+
+# ---- language model ----
+
+def test_ppm_table_equals_plain_ppm(spark):
+    rng, order = random.Random(5), 3
+    make = lambda: "".join(rng.choice("abAB é") for _ in range(rng.randint(0, 25)))
+    rows = [(i, make()) for i in range(40)] + [(100, None), (101, ""), (102, "zzz")]
+    learn = [t or "" for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    symbols = lambda t: [b + 33 if 65 <= b <= 90 else b + 1 for b in t.encode()] + [257]
+    seen = [collections.defaultdict(collections.Counter) for _ in range(order + 1)]
+    for t in learn:
+        s = [0] * order + symbols(t)
+        for i in range(order, len(s)):
+            for j in range(order + 1):
+                seen[j][tuple(s[i - j : i])][s[i]] += 1
+
+    def score(t):
+        s, total = [0] * order + symbols(t), 0.0
+        for i in range(order, len(s)):
+            gone = set()
+            for j in range(order, -1, -1):
+                c = {k: v for k, v in seen[j].get(tuple(s[i - j : i]), {}).items() if k not in gone}
+                if s[i] in c:
+                    total += math.log10(c[s[i]] / (sum(c.values()) + len(c)))
+                    break
+                if c:
+                    total += math.log10(len(c) / (sum(c.values()) + len(c)))
+                    gone |= set(c)
+            else:
+                total += math.log10(1 / max(1, 257 - len(gone)))
+        return total
+
+    tokens = [w for t in learn for w in [*re.findall(r"[^\x20\x09-\x0D]+", t.translate({i: i + 32 for i in range(65, 91)})), None]]
+    count, n = collections.Counter(tokens), len(tokens)
+    got = {r.doc_id: r for r in ppm.lm_scores(docs(spark, rows), order=order).collect()}
+    for i, t in rows:
+        words = [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)})), None]
+        r = got[i]
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 10 == 0) and (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(count[w] > 0 for w in words), n)
+        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (len(count) + 1))) for w in words), abs=1e-9)
+        assert r.score == pytest.approx(score(t or ""), abs=1e-4)
+    assert ppm.lm_scores(docs(spark, rows).limit(0)).collect() == []
+    # pruned to a small table, scores stay finite
+    assert all(math.isfinite(r.score) for r in ppm.lm_scores(docs(spark, rows), order=order, most_cells=200).collect())
+
+
+# ---- tokens ----
+
+def test_token_counts(spark):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    rng = random.Random(1)
+    parts = ["a", "b", " ", "  ", "\n", "\u00a0", "\u3000", "é", "1", "'s", "!", "<|endoftext|>", "word", "\x85", "😀"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    full = [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    got = [n for _, _, data, off in chunks(pa.array(texts), 4096) for n in token_count.count_batch(tok, data, off).tolist()]
+    assert got == full
+    assert all(token_count.count_huge(tok, t, rng.choice([8, 20]), rng.choice([2, 5])) == n for t, n in zip(texts[:400], full))
+    long = "word " * 30000
+    rows = {r.doc_id: r for r in token_count.token_counts(docs(spark, [(1, "Hello world"), (2, None), (3, ""), (4, long), (5, "x" * 70000), (None, "a")]), path).collect()}
+    assert (rows[1].n_bytes, rows[1].n_tokens, rows[1].over_limit) == (11, 2, False) and (rows[2].n_tokens, rows[3].n_bytes) == (0, 0)
+    assert rows[4].n_tokens == len(tok.encode(long, add_special_tokens=False).ids) and rows[4].over_limit
+    assert rows[5].n_tokens == len(tok.encode("x" * 70000, add_special_tokens=False).ids) and rows[None].n_tokens == 1
+
+
+# ---- classifiers ----
+
+def labelled(spark, bad):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    rows = []
+    for i in range(600):
+        text = [word() for _ in range(rng.randint(5, 40))]
+        rows.append((i, bad(text, rng) if i % 4 == 0 else " ".join(text)))
+    return rows, {i: int(i % 4 == 0) for i, _ in rows}
+
+
+def test_toxicity(spark):
+    def bad(text, rng):
+        text.insert(rng.randrange(len(text)), rng.choice(["idiot", "vequx" + rng.choice("abcdef") * 3]))
+        return " ".join(text)
+
+    rows, y = labelled(spark, bad)
+    labels = spark.createDataFrame([(i, 1, v) for i, v in y.items()] + [(0, 1, None), (9999, 1, 1)], "doc_id bigint, quality int, toxic int")
+    d = docs(spark, rows + [(None, "idiot"), (700, None), (701, "")])
+    got = {r.doc_id: r for r in toxicity.toxicity(d, labels).collect()}
+    right = sum(got[i].predicted == v for i, v in y.items())
+    assert right >= 0.97 * len(y) and got[None].held_out is None and got[700].predicted == got[701].predicted == 0
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in y)
+    kept = toxicity.drop_toxic(d, labels)
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.score < 0.5} and kept.columns == d.columns
+    assert {r.score for r in toxicity.toxicity(d, labels.limit(0)).collect()} == {0.5}
+    assert toxicity.toxicity(d.limit(0), labels).collect() == []
+
+
+def test_machine_learns_a_pair():
+    rng = np.random.default_rng(0)
+    rows = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(3000)]
+    y = np.array([float({0, 1} <= set(r.tolist())) for r in rows])
+    b, w, v = toxicity.fit_fm(rows, y, 6, epochs=20)
+    doc = np.repeat(np.arange(3000), [len(r) for r in rows])
+    z = toxicity.fm_logits(doc, np.concatenate(rows), 3000, b, w, v)
+    assert ((z > 0) == (y > 0)).mean() > 0.97
+
+
+def test_quality(spark):
+    rows, y = labelled(spark, lambda text, rng: " ".join(w + rng.choice(["$$$", "###"]) for w in text))
+    labels = spark.createDataFrame([(i, 1 - v, 0) for i, v in y.items()], "doc_id bigint, quality int, toxic int")
+    d = docs(spark, rows + [(None, "abcd efgh"), (700, None), (701, "")])
+    got = {r.doc_id: r for r in quality.quality(d, labels).collect()}
+    assert sum(got[i].predicted == 1 - v for i, v in y.items()) >= 0.97 * len(y) and 0 <= got[700].score <= 1 and got[None].held_out is None
+    assert {r.score for r in quality.quality(d, labels.limit(0)).collect()} == {0.5}
+    assert quality.quality(d.limit(0), labels).collect() == []
+
+
+# ---- mixing ----
+
+def test_mixing(spark):
+    rng = random.Random(8)
+    langs = {"a": "the of and to", "b": "le la les des", "c": "der die das und"}
+    rows, lang = [], {}
+    for i in range(300):
+        k = rng.choice("aaabbc")
+        lang[i] = k
+        rows.append((i, " ".join(rng.choice(langs[k].split()) for _ in range(rng.randint(5, 60)))))
+    d = docs(spark, rows + [(None, None), (900, "")])
+    known = spark.createDataFrame([(i, k) for i, k in lang.items() if i % 2] + [(5, None)], "id bigint, domain string")
+    want = {"a": 1.0, "b": 1.0, "c": 2.0}
+    got = mixing.mix_to_targets(d, known, want).collect()
+    total = sum(r.n_tokens for r in got)
+    for k, w in want.items():
+        assert sum(r.n_tokens * r.rate for r in got if r.doc_id in lang and lang[r.doc_id] == k) == pytest.approx(total * w / 4, rel=0.02)
+    assert all(r.rate >= 0 for r in got) and len(got) == 302
+    assert {r.rate for r in mixing.mix_to_targets(d, known.limit(0), want).collect()} == {1.0}
+    assert mixing.mix_to_targets(d.limit(0), known, want).collect() == []
+    assert mixing.with_rates(d, known, want).columns == [*d.columns, "mix_domain", "mix_rate", "mix_copies"]
+
+
+def test_rates_stay_nonnegative(spark):
+    members = spark.createDataFrame([(10, [1.0, 0.0]), (10, [0.5, 0.5]), (10, [0.0, 1.0])], "n_tokens bigint, posterior array<double>")
+    history, miss = mixing.fit_rates(members, np.array([20.0, 0.0]))
+    r = mixing._rates(np.array([[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]]), history)
+    assert (r >= 0).all() and miss < 0.2 and r[2] < 0.1
+
+
+# ---- personal data ----
+
+KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain(text):
+    out = []
+    for kind, pattern in KINDS.items():
+        for m in re.finditer(pattern, text or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            luhn = sum(int(c) if k % 2 == 0 else (2 * int(c)) // 10 + (2 * int(c)) % 10 for k, c in enumerate(reversed(d))) % 10 == 0
+            ok = {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m.group().split(".")), "card": 16 <= len(d) <= 19 and luhn, "phone": 8 <= len(d) <= 15}
+            if ok[kind]:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_pii_patterns(spark):
+    rng = random.Random(5)
+    parts = [*"aZ@@..--__%+01259  ()é😀\n", "4736962573099581", "+1 (487) 555-7209", "a@b.c", "1.2.3.4", "999.1.1.1"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + [None, "", "1 " * 5000, "a" * 20000 + "@", "a.b@" * 1000, "a@b" + ".c" * 5000, "1.2." * 3000]
+    rows = {r.doc_id: r for r in pii.find_personal_data(docs(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        want = plain(t)
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert rows[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and rows[i].spans.startswith(joined)
+        assert [rows[i].n_email, rows[i].n_ip, rows[i].n_card, rows[i].n_phone] == [sum(k == x for k, _, _ in want) for x in KINDS]
+
+
+def test_disclosing_terms(spark):
+    filler = [f"plain words number line {'abcdefghij'[i % 10] * 4} here" for i in range(300)]
+    texts = ["plain words mail jo@x.org from zorblatt here", "other words mail jo@x.org says zorblatt", "plain words", "zorblatt alone"] + filler
+    d = docs(spark, list(enumerate(texts)) + [(None, "mail jo@x.org zorblatt")])
+    rows = {r.doc_id: r for r in pii.find_personal_data(d).collect()}
+    marked = lambda i: [texts[i][int(s.split(":")[1]) : int(s.split(":")[2])] for s in rows[i].spans.split(",") if s.startswith("term")]
+    assert "zorblatt" in marked(0) and "zorblatt" in marked(1) and "words" not in marked(0) and rows[3].spans == "" and rows[None].n_email == 1
+    clean = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
+    assert "<EMAIL>" in clean[0] and "zorblatt" not in clean[0] and clean[3] == "zorblatt alone" and len(clean) == len(texts) + 1
+    assert pii.find_personal_data(d.limit(0)).collect() == [] and pii.sanitise(d.limit(0)).collect() == []
