@@ -14,8 +14,7 @@ steer cost.
 Documents with equal sets are first folded into one representative. Postings of a
 frequent shingle are not paired with each other at once: in a few star rounds every posting
 is paired with one hub, verified links are contracted into components, and only postings of
-different components are paired in the last round, after those of documents whose own shingles already rule out
-any link are pruned. So a group of k near copies costs about
+different components are paired in the last round. So a group of k near copies costs about
 k pairs, and no link between different components is lost.
 """
 
@@ -201,24 +200,32 @@ def _products(percent: int):
         reps, at, doc = np.unique(get("rep"), return_index=True, return_inverse=True)
         tokens, token = np.unique(get("token"), return_inverse=True)
         n, ell, comp, cap, block = (get(c)[at].astype(np.int64) for c in ("n", "ell", "comp", "cap", "block"))
-        has = np.zeros((len(reps), len(tokens)), dtype=np.float32)
-        has[doc, token] = 1
+        has = np.zeros((len(reps), len(tokens)), dtype=bool)
+        has[doc, token] = True
+        level, left = np.zeros(has.shape, dtype=np.int32), np.zeros(has.shape, dtype=np.int32)
+        level[doc, token] = get("level")
+        left[doc, token] = get("n") - 1 - get("pos")
         rest = (percent * n + 99) // 100 - ell
-        spare = cap - rest - has.sum(axis=1).astype(np.int64)  # prefix shingles that others have, under other keys
+        spare = cap - rest - has.sum(axis=1)  # prefix shingles that others have, under other keys
         first, second = get("first")[0], get("second")[0]
         a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        hits = np.rint(has[a] @ has[b].T).astype(np.int64)
-        if first == second:
-            hits = np.triu(hits, 1)
         pick = lambda f, x: f(x[a][:, None], x[b][None, :])
-        sizes = pick(np.add, n)
-        most = np.minimum(hits + pick(np.minimum, spare) + pick(np.maximum, rest), pick(np.minimum, cap))
-        i, j = np.nonzero((hits > 0) & pick(np.not_equal, comp) & (100 * pick(np.minimum, n) >= percent * pick(np.maximum, n)) & (100 * most >= percent * (sizes - most)))
+        need, hits, strong, after = pick(np.minimum, ell), np.zeros((len(a), len(b)), dtype=np.int32), np.zeros((len(a), len(b)), dtype=np.int32), np.full((len(a), len(b)), 2**30, dtype=np.int32)
+        for t in range(len(tokens)):
+            i, j = np.flatnonzero(has[a, t]), np.flatnonzero(has[b, t])
+            if len(i) and len(j):
+                at_pair = np.ix_(i, j)
+                hits[at_pair] += 1
+                strong[at_pair] += np.maximum.outer(level[a[i], t], level[b[j], t]) <= need[at_pair]
+                after[at_pair] = np.minimum(after[at_pair], np.minimum.outer(left[a[i], t], left[b[j], t]))
+        sizes, ends = pick(np.add, n), pick(np.maximum, rest)
+        most = np.minimum(hits + pick(np.minimum, spare) + np.minimum(after, ends), np.minimum(pick(np.maximum, cap), pick(np.minimum, n)))
+        good = (hits > 0) & pick(np.not_equal, comp) & (100 * most >= percent * (sizes - most))
+        i, j = np.nonzero(np.triu(good, 1) if first == second else good)
         if not len(i):
             return None
-        x, y, h = a[i], b[j], hits[i, j]
-        # levels and places aren't looked at here: all hits count as matches, and only `rest` bounds what follows
-        columns = [np.minimum(reps[x], reps[y]), np.maximum(reps[x], reps[y]), h, h, np.minimum(ell[x], ell[y]), n[x] + n[y], np.full(len(x), 2**30), np.maximum(rest[x], rest[y])]
+        x, y = a[i], b[j]
+        columns = [np.minimum(reps[x], reps[y]), np.maximum(reps[x], reps[y]), hits[i, j], strong[i, j], need[i, j], sizes[i, j], after[i, j], ends[i, j]]
         return pa.record_batch([pa.array(c.astype(np.int64 if k < 2 else np.int32)) for k, c in enumerate(columns)], ["a", "b", "hits", "strong", "need", "sizes", "after", "rest"])
 
     return units(3, unit)
@@ -261,15 +268,14 @@ class _Join:
         return out
 
     def meeting(self, rows: DataFrame) -> DataFrame:
-        """Postings whose shingle is in another component too, with cap: the most shingles their document can share outside its own.
+        """Postings whose shingle is in a prefix of another component too, with cap.
 
-        A document's prefix shingles that no other component has are lost to any pair with one; a document that
-        cannot keep the threshold's share of its own set without them links with none, and its postings go.
+        cap: the postings left of the document's prefix and all that follows it. Of two documents the one whose prefix
+        ends first shares no more than its cap with the other, so a pair shares no more than the greater of the two.
         """
         by_token, by_rep = Window.partitionBy("token"), Window.partitionBy("rep", "n", "ell")
         rows = rows.withColumns({"low": F.min("comp").over(by_token), "high": F.max("comp").over(by_token)}).where("low <> high").drop("low", "high")
-        rows = rows.withColumn("cap", (F.expr(f"({self.percent} * n + 99) div 100 - ell") + F.count("*").over(by_rep)).cast("int"))
-        return rows.where(f"100 * cap >= {self.percent} * n")
+        return rows.withColumn("cap", (F.expr(f"({self.percent} * n + 99) div 100 - ell") + F.count("*").over(by_rep)).cast("int"))
 
     def facts(self) -> list:
         """Of one shared prefix shingle of a pair: whether it is a match, the matches needed, and what can still follow.
@@ -297,7 +303,7 @@ class _Join:
         often = left.where(F.col("df") > FREQUENT)
         size = often.select("key", "rep").distinct().groupBy("key").agg(F.ceil(F.count("*") / DOCUMENTS).cast("int").alias("many"))
         often = often.join(size, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "many").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-        dealt = often.select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "token", "rep", "n", "ell", "comp", "cap")
+        dealt = often.select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "token", "rep", "n", "ell", "level", "pos", "comp", "cap")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = dealt.repartition(parts, "key", "first", "second").sortWithinPartitions("key", "first", "second")
         return joined.unionByName(dealt.mapInArrow(_products(self.percent), "a long, b long, hits int, strong int, need int, sizes int, after int, rest int"))
@@ -319,7 +325,8 @@ class _Join:
             if labels is not None:
                 now = shared.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
             columns = ("rep", "n", "ell", "level", "pos", "comp", "cap")
-            near = F.expr(f"100 * least(n, n2, cap, cap2) >= {percent} * greatest(n, n2) and 100 * least(cap, cap2) >= {percent} * (n + n2 - least(cap, cap2)) and comp <> comp2")
+            cap = "least(n, n2, greatest(cap, cap2))"
+            near = F.expr(f"100 * {cap} >= {percent} * (n + n2 - {cap}) and comp <> comp2")
             if last:
                 paired = self.all_pairs(stage.save(self.meeting(now), "left"), near, columns)
             else:
