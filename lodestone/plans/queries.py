@@ -323,11 +323,11 @@ def filter_stats(spark, sf_dir):
     return similarity.filter_stats(filtered(Tables(spark, sf_dir)))
 
 
-@query(f"WITH {bm25_sql(10)}, {VECTORS}, t AS (SELECT query_id, doc_id, round(score, 6) AS score FROM top), i AS (SELECT query_id, id AS doc_id, round(score, 6) AS score FROM near WHERE rank <= 10) SELECT query_id, doc_id, round(0.3 * coalesce(t.score, 0.0) + 0.7 * coalesce(i.score, 0.0), 6) AS score FROM t FULL JOIN i USING (query_id, doc_id)")
+@query(f"WITH {bm25_sql(10)}, {VECTORS}, t AS (SELECT query_id, doc_id, round(score, 6) AS score FROM top), i AS (SELECT query_id, id AS doc_id, round(score, 6) AS score FROM near WHERE rank <= 10) SELECT query_id, doc_id, round(0.3 * coalesce(t.score, 0.0) + 0.7 * coalesce(i.score, 0.0), 9) AS score FROM t FULL JOIN i USING (query_id, doc_id)")
 def multimodal_fuse(spark, sf_dir):
     t = Tables(spark, sf_dir)
     image = dense.dense_search(t.embeddings, asked_vectors(t), 10).withColumnRenamed("id", "doc_id")
-    return fusion.weighted_full_outer(bm25(t), image, 0.3, 0.7).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return fusion.weighted_full_outer(bm25(t), image, 0.3, 0.7).select("query_id", "doc_id", F.round("score", 9).alias("score"))
 
 
 @query("SELECT vec_id, round(0.4 * (1 - a) + 0.3 * b + 0.3 * c, 6) AS similarity FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings)")

@@ -11,7 +11,7 @@ from lodestone.plans.queries import QUERIES, SQL, TABLES
 def norm(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return "NULL"
-    return repr(round(float(v), 6) + 0.0) if isinstance(v, float) else str(v)
+    return repr(round(float(v), 9) + 0.0) if isinstance(v, float) else str(v)
 
 
 @pytest.fixture(scope="session")
