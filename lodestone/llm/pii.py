@@ -154,9 +154,16 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     else:
         terms = found.stage.save(terms, "term-spans").select(F.col("key").alias("_key"), F.col("terms").alias("_terms"))
         held = held.join(terms, "_key", "left").withColumn("_terms", F.coalesce("_terms", none))
+    out = held.withColumn(text_col, _cleaned(text))
+    # a match that had run into another, as a card's digits after an address's, stands free only now
+    out = out.withColumn("_base", base_spans(text)).withColumn("_terms", none).withColumn(text_col, _cleaned(text))
+    return clear.unionByName(out.select(*docs.columns))
+
+
+def _cleaned(text: str) -> Column:
+    """The text with its _base spans as names and its _terms left out."""
     spans = "array_sort(concat(transform(_base, s -> named_struct('start', s.start, 'end', s.end, 'name', concat('<', upper(s.kind), '>'))), transform(_terms, s -> named_struct('start', s.start, 'end', s.end, 'name', ''))))"
-    clean = (
+    return F.expr(
         f"aggregate({spans}, named_struct('at', 0, 'out', ''), (a, s) -> case when s.start < a.at then named_struct('at', greatest(a.at, s.end), 'out', a.out) "
         f"else named_struct('at', s.end, 'out', concat(a.out, substr({text}, a.at + 1, s.start - a.at), s.name)) end, a -> concat(a.out, substr({text}, a.at + 1)))"
     )
-    return clear.unionByName(held.withColumn(text_col, F.expr(clean)).select(*docs.columns))

@@ -277,6 +277,8 @@ def test_disclosing_terms(spark):
     rows = {r.doc_id: r for r in pii.find_personal_data(d).collect()}
     marked = lambda i: [texts[i][int(s.split(":")[1]) : int(s.split(":")[2])] for s in rows[i].spans.split(",") if s.startswith("term")]
     assert "zorblatt" in marked(0) and "zorblatt" in marked(1) and "words" not in marked(0) and rows[3].spans == "" and rows[None].n_email == 1
+    both = docs(spark, [(1, "from 1.2.3.4 4736962573099581 now"), (2, None)])
+    assert {r.doc_id: r.text for r in pii.sanitise(both).collect()} == {1: "from <IP> <CARD> now", 2: None}
     clean = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
     assert "<EMAIL>" in clean[0] and "zorblatt" not in clean[0] and clean[3] == "zorblatt alone" and len(clean) == len(texts) + 1
     assert pii.find_personal_data(d.limit(0)).collect() == [] and pii.sanitise(d.limit(0)).collect() == []
