@@ -67,7 +67,31 @@ _REST = "substr(url, strpos(url, '://') + 3)"
 _HOST = f"coalesce(case when strpos(url, '://') > 0 then translate(regexp_extract({_REST}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') end, '')"
 _PATH = f"coalesce(case when strpos(url, '://') > 0 then regexp_extract({_REST}, '^[^/?#]*([^?#]*)', 1) end, '')"
 
+_COMPONENTS = """
+        r AS (SELECT a AS node, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.node),
+        m AS (SELECT node, min(c) AS c FROM r GROUP BY node)
+"""
+
 ORACLE_SQL = {
+    "op1_ngram_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS x, len(w) >= 5 AS k FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.x = b.x AND a.k = b.k AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+        {_COMPONENTS}
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.c, w.doc_id)) AS component_id
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = w.doc_id
+    """,
+    "op5_embedding_near_dedup": f"""
+        WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        {_COMPONENTS},
+        k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c, vec_id)) AS kept
+        FROM embeddings LEFT JOIN k ON k.a = vec_id LEFT JOIN m ON m.node = vec_id
+    """,
     "op2_url_filter": f"""
         WITH u AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
         r(rh, rp, kind) AS (VALUES {", ".join(str(x) for x in URL_RULES)}),
