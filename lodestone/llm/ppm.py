@@ -5,14 +5,14 @@ up to ORDER bytes, of the A-Z-lowered UTF-8 text with one end symbol. A symbol n
 context escapes to the next shorter one (method C: d / (T + d) with d distinct symbols among T),
 where the symbols of the longer context are excluded; below order 0 the symbols not yet excluded are
 equally likely. The symbols seen after a context are a subset of those seen after its suffix,
-so the exclusion set at each step is fixed by the context just left, and the whole trie becomes one
-table of log probabilities, with the longest-suffix transitions beside it. A text is then scored
-by ORDER + 1 table lookups per byte, vectorised over positions.
-
-Counts are taken over all training documents and shuffled by context. What is broadcast is
-bounded: where the trie would exceed MOST_CELLS, contexts seen fewer than some power of two times
-are left out, at any order, and what follows them is predicted from the longest suffix that
-stays. A suffix and a prefix are seen at least as often as the context, so they stay with it.
+so the exclusion set at each step is fixed by the context just left, and each context has four costs: of its
+total and of its escape, where it is met first and where it was left for its suffix. A byte of a text is
+then one look-up of its n-gram, and where that wasn't seen, a walk down the suffixes, vectorised over positions.
+
+Counts are taken over all training documents and shuffled by context, and all of them are used. Only seen
+(context, symbol) cells are held. They are broadcast in slices of whole sets of contexts that agree in their
+last SHARED symbols, which hold all longer suffixes too; contexts shorter than that go with every slice. Where
+there is more than one slice, each takes a pass over the texts and scores the positions whose context it holds.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame, functions as F
 from lodestone.llm._bytes import LOWER, SPACE, chunks, prefix_sums, span_hashes, spans
 from lodestone.llm._spark import Stage
 
-#: Longest context in bytes, and the most (context, symbol) cells of the model.
-ORDER, MOST_CELLS = 4, 1 << 23  # 64 MB as two tables
+#: Longest context in bytes, and the seen (context, symbol) cells broadcast at a time (by its arrays up to about 80 bytes each in a worker).
+ORDER, MOST_CELLS = 4, 1 << 21
+#: Last symbols of a context that decide its slice.
+SHARED = 2
 #: Symbols in packed n-grams: a byte + 1, END, or 0 for "before the text".
 END, BITS = 257, 9
 LOG10 = np.log(10.0)
@@ -57,6 +59,15 @@ def _back(symbols: np.ndarray, at: np.ndarray, j: int) -> np.ndarray:
     return out
 
 
+def _codes(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each symbol packed with the `order` symbols before it, the symbol lowest; first index of each document (n + 1)."""
+    symbols, at = _symbols(data, off)
+    code = symbols.astype(np.int64)
+    for j in range(1, order + 1):
+        code |= _back(symbols, at, j).astype(np.int64) << (BITS * j)
+    return code, at
+
+
 def _grams(order: int):
     """Counts of all (context of `order` symbols, symbol) of one partition, in bounded runs."""
 
@@ -70,11 +81,7 @@ def _grams(order: int):
 
         for rb in batches:
             for _, _, data, off in chunks(rb.column(0)):
-                symbols, at = _symbols(data, off)
-                code = symbols.astype(np.int64)
-                for j in range(1, order + 1):
-                    code |= _back(symbols, at, j).astype(np.int64) << (BITS * j)
-                held.append(np.unique(code, return_counts=True))
+                held.append(np.unique(_codes(data, off, order)[0], return_counts=True))
                 size += len(held[-1][0])
                 if size > 4_000_000:
                     held = [merged()]
@@ -90,122 +97,152 @@ def _grams(order: int):
     return run
 
 
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted key in the sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 class Trie:
-    """The model as two tables over (state, symbol): the next state and log10 of the symbol's probability."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """levels: for each order from 0 the packed (context, symbol), the symbol lowest, and their counts."""
-        levels = [(g[by := np.argsort(g)], n[by]) for g, n in levels]
-        while len(levels) > 1 and not len(levels[-1][0]):
-            levels.pop()
-        order = self.order = len(levels) - 1
-        used = np.unique(np.concatenate([g & (1 << BITS) - 1 for g, _ in levels]))
-        # symbols never seen share one column: they cost what the last escape leaves
-        self.column = np.full(1 << BITS, len(used), dtype=np.int32)
-        self.column[used] = np.arange(len(used))
-        self.width = width = len(used) + 1
-        levels = [(g >> BITS, g & (1 << BITS) - 1, n) for g, n in levels]
-        self.contexts = [np.unique(c) if len(c) else np.zeros(1, np.int64) for c, _, _ in levels]
-        starts = np.cumsum([0, *map(len, self.contexts)])
-        alphabet = 257  # 256 bytes and END
-        log_p = np.empty((int(starts[-1]), width), dtype=np.float32)
-        if not len(used):
-            log_p[:] = np.log10(1.0 / alphabet)
-        dense_before = below_before = None
-        for j in range(order + 1) if len(used) else ():
-            context, symbol, n = levels[j]
-            row = np.searchsorted(self.contexts[j], context)
-            dense = np.zeros((len(self.contexts[j]), width))
-            dense[row, self.column[symbol]] = n
-            total, seen = dense.sum(axis=1), (dense > 0).sum(axis=1)
-            if j == 0:
-                free = max(1, alphabet - int(seen[0]))
-                below = np.full((1, width), 1.0 / free)
-            else:
-                parent = np.searchsorted(self.contexts[j - 1], self.contexts[j] & (1 << BITS * (j - 1)) - 1)
-                below = np.empty_like(dense)
-                for a in range(0, len(parent), 4096):
-                    p, d = parent[a : a + 4096], dense[a : a + 4096]
-                    rest = np.where(d > 0, 0, dense_before[p])
-                    t, s = rest.sum(axis=1), (rest > 0).sum(axis=1)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        escape = np.where(s > 0, s / (t + s), 1.0)[:, None]
-                        own = np.where(s > 0, 1.0 / (t + s), 0.0)[:, None]
-                    below[a : a + 4096] = np.where(rest > 0, rest * own, escape * below_before[p])
-            p = np.where(dense > 0, dense / (total + seen)[:, None], (seen / (total + seen))[:, None] * below)
-            log_p[starts[j] : starts[j + 1]] = np.log10(np.maximum(p, 1e-300))
-            dense_before, below_before = dense, below
-        self.log_p = log_p
-        self._transitions(starts)
-
-    def _transitions(self, starts: np.ndarray) -> None:
-        """next[state, column]: the state of the longest kept suffix of the state's context and the symbol."""
-        names = np.full(self.width, -1, dtype=np.int64)
-        for symbol in range(1 << BITS):
-            if self.column[symbol] < self.width - 1:
-                names[self.column[symbol]] = symbol
-        self.next = np.zeros((len(self.log_p), self.width), dtype=np.int32)
-        top = len(self.contexts) - 1
-        for j, contexts in enumerate(self.contexts):
-            # context c of j symbols and symbol s: the longest suffix of (c, s) of up to `order` symbols
-            rows = slice(starts[j], starts[j + 1])
-            wide = (contexts[:, None] << BITS) | np.maximum(names, 0)[None, :]
-            found = np.zeros((len(contexts), self.width), dtype=np.int32)
-            done = np.zeros(found.shape, dtype=bool)
-            done[:, names < 0] = True
-            for k in range(min(j + 1, top), 0, -1):
-                key = wide & (1 << BITS * k) - 1
-                at = np.minimum(np.searchsorted(self.contexts[k], key.ravel()), len(self.contexts[k]) - 1).reshape(key.shape)
-                hit = ~done & (self.contexts[k][at] == key)
-                found[hit] = at[hit] + starts[k]
-                done |= hit
-            self.next[rows] = found
-        # the state before any text: the longest context made of start marks
-        self.start = 0
-        for k in range(top, 0, -1):
-            if len(self.contexts[k]) and self.contexts[k][0] == 0:
-                self.start = int(starts[k])
-                break
+    """One slice of the model: its seen cells by order, and what its contexts cost."""
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], first: int = 0, last: int = 1 << BITS * SHARED):
+        """levels: for each order from 0 the packed (context, symbol), the symbol lowest, and their counts.
+
+        Positions are scored whose last SHARED context symbols, packed, are from first to below last.
+        """
+        self.first, self.last, self.order = first, last, len(levels) - 1
+        self.grams, self.log_n, self.contexts, self.costs = [], [], [], []
+        before = None
+        for j, (gram, n) in enumerate(levels):
+            by = np.argsort(gram)
+            gram, n = gram[by], n[by].astype(np.float64)
+            context, start, row = np.unique(gram >> BITS, return_index=True, return_inverse=True)
+            seen = np.diff(np.append(start, len(gram))).astype(np.float64)
+            total = np.bincount(row, weights=n, minlength=len(context))
+            costs = np.zeros((4, len(context)))  # met first: total, escape; left for its suffix: the same there without its symbols
+            costs[0], costs[1] = -np.log10(total + seen), np.log10(seen / (total + seen))
+            if j:
+                same, _ = _find(self.grams[-1], gram & (1 << BITS * j) - 1)
+                up, _ = _find(self.contexts[-1], context & (1 << BITS * (j - 1)) - 1)
+                t = before[1][up] - np.bincount(row, weights=before[0][same], minlength=len(context))
+                d = before[2][up] - seen
+                left = d > 0
+                costs[2, left], costs[3, left] = -np.log10(t[left] + d[left]), np.log10(d[left] / (t[left] + d[left]))
+            self.grams.append(gram)
+            self.log_n.append(np.log10(n))
+            self.contexts.append(context)
+            self.costs.append(costs)
+            before = n, total, seen
+        self.unseen = -np.log10(max(1, 257 - len(self.grams[0])))  # 256 bytes and END
+        # of the longest contexts' cells the whole cost is kept, for one look-up by hash
+        top = self.costs[-1][0][np.unique(self.grams[-1] >> BITS, return_inverse=True)[1]]
+        self.log_p = (self.log_n[-1] + top).astype(np.float32)
+        self.slots = None
+
+    def _hashed(self) -> None:
+        """Open addressing over the longest cells; made where it is used, not sent."""
+        gram = self.grams[-1]
+        self.bits = max(4, int(2 * len(gram)).bit_length())
+        slots, values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        left, at = np.arange(len(gram)), self._slot(gram)
+        while len(left):
+            free = slots[at] < 0
+            slots[at[free]] = gram[left[free]]
+            mine = slots[at] == gram[left]
+            values[at[mine]] = self.log_p[left[mine]]
+            left, at = left[~mine], (at[~mine] + 1) & (1 << self.bits) - 1
+        self.slots, self.values = slots, values
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def costs_of(self, code: np.ndarray) -> np.ndarray:
+        """log10 probability of each packed symbol after its context."""
+        if self.slots is None:
+            self._hashed()
+        at = self._slot(code)
+        held = self.slots[at]
+        out = self.values[at].astype(np.float64)
+        left = np.flatnonzero(held != code)
+        at, held = at[left], held[left]
+        missed = []
+        while len(left):
+            none = held < 0
+            missed.append(left[none])
+            left, at = left[~none], (at[~none] + 1) & (1 << self.bits) - 1
+            held = self.slots[at]
+            hit = held == code[left]
+            out[left[hit]] = self.values[at[hit]]
+            left, at, held = left[~hit], at[~hit], held[~hit]
+        if missed and len(missed := np.concatenate(missed)):
+            rare, back = np.unique(code[missed], return_inverse=True)
+            out[missed] = self._walk(rare)[back]
+        return out
+
+    def _walk(self, code: np.ndarray) -> np.ndarray:
+        """costs_of by escapes from the longest seen context down."""
+        out, open_ = np.zeros(len(code)), np.ones(len(code), dtype=bool)
+        below, longer, costs = np.zeros(len(code), dtype=bool), np.zeros(len(code), np.int64), None
+        for j in range(self.order, -1, -1):
+            at, seen = _find(self.contexts[j], (code >> BITS) & (1 << BITS * j) - 1)
+            cell, hit = _find(self.grams[j], code & (1 << BITS * (j + 1)) - 1)
+            for here, which, add, of in ((seen & ~below, at, 0, self.costs[j]), (below, longer, 2, costs)):
+                got, out_ = np.flatnonzero(here & open_ & hit), np.flatnonzero(here & open_ & ~hit)
+                if len(got):
+                    out[got] += self.log_n[j][cell[got]] + of[add][which[got]]
+                if len(out_):
+                    out[out_] += of[add + 1][which[out_]]
+            open_ &= ~hit
+            below, longer, costs = seen, at, self.costs[j]
+        out[open_] += self.unseen
+        return out
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """log10 probability of each document with its end."""
-        symbols, at = _symbols(data, off)
-        column = self.column[symbols]
-        state = np.zeros(len(column), dtype=np.int32)
-        flat, width = self.next.ravel(), self.width
-        for j in range(self.order, 0, -1):  # read the j-th symbol before, oldest first
-            if len(column) > j:
-                state[j:] = flat[state[j:] * width + column[:-j]]
-            if j == self.order:
-                begin = np.full(len(at) - 1, self.start, dtype=np.int32)
-            for i in range(j):  # where there is no j-th symbol before, nothing has been read yet
-                place = at[:-1] + i
-                ok = place < at[1:]
-                state[place[ok]] = begin[ok]
-        per = self.log_p.ravel()[state * width + column].astype(np.float64)
-        return np.add.reduceat(per, at[:-1]) if len(at) > 1 else np.zeros(0)
-
-
-def train(texts: DataFrame, stage: Stage, order: int = ORDER, most_cells: int = MOST_CELLS) -> Trie:
-    """The model of all texts, with at most most_cells (context, symbol) cells."""
+        """log10 probability of each document with its end, or this slice's part of it."""
+        code, at = _codes(data, off, self.order)
+        if len(at) < 2:
+            return np.zeros(0)
+        if self.last - self.first < 1 << BITS * SHARED:
+            key = (code >> BITS) & (1 << BITS * SHARED) - 1
+            mine = np.flatnonzero((key >= self.first) & (key < self.last))
+            per = np.zeros(len(code))
+            per[mine] = self.costs_of(code[mine])
+        else:
+            per = self.costs_of(code)
+        return np.add.reduceat(per, at[:-1])
+
+
+class Model:
+    """Counts of all seen cells in the shared folder, and the slices they are read in."""
+
+    def __init__(self, nodes: DataFrame, order: int, cuts: list[int]):
+        self.nodes, self.order, self.cuts = nodes, order, cuts
+
+    def slices(self) -> Iterator[Trie]:
+        for first, last in zip(self.cuts, [*self.cuts[1:], 1 << BITS * SHARED]):
+            found = self.nodes.where((F.col("key") < 0) | (F.col("key") >= first) & (F.col("key") < last)).select("j", "gram", "n").toArrow()
+            j, gram, n = (found.column(i).to_numpy().astype(np.int64) for i in range(3))
+            yield Trie([(gram[j == i], n[j == i]) for i in range(self.order + 1)], first, last)
+
+
+def train(texts: DataFrame, stage: Stage, order: int = ORDER, most_cells: int = MOST_CELLS) -> Model:
+    """The model of all texts, in slices of most_cells seen (context, symbol) cells, or of one set of contexts where that has more."""
     counts = stage.save(texts.mapInArrow(_grams(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     orders = F.array(*[F.struct(F.lit(j).alias("j"), F.col("gram").bitwiseAND((1 << BITS * (j + 1)) - 1).alias("gram")) for j in range(order + 1)])
     nodes = counts.select(F.explode(orders).alias("o"), "n").groupBy("o.j", "o.gram").agg(F.sum("n").alias("n"))
-    nodes = stage.save(nodes.withColumn("context", F.shiftright("gram", BITS)), "nodes")
-    symbols = nodes.where("j = 0").count() + 1
-    sizes = nodes.groupBy("j", "context").agg(F.sum("n").alias("size"))
-    held = {row.b: row.n for row in sizes.groupBy(F.floor(F.log2("size")).cast("int").alias("b")).agg(F.count("*").alias("n")).collect()}
-    least, room = max(held, default=0) + 1, most_cells // symbols
-    while least > 0 and room >= held.get(least - 1, 0):
-        least -= 1
-        room -= held.get(least, 0)
-    kept = nodes
-    if least > 0:
-        kept = nodes.join(sizes.where(F.col("size") >= 1 << least).select("j", "context"), ["j", "context"], "left_semi")
-    found = kept.select("j", "gram", "n").toArrow()  # bounded by most_cells
-    j, gram, n = (found.column(i).to_numpy().astype(np.int64) for i in range(3))
-    stage.drop("grams", "nodes")
-    return Trie([(gram[j == i], n[j == i]) for i in range(order + 1)])
+    key = F.when(F.col("j") >= SHARED, F.shiftright("gram", BITS).bitwiseAND((1 << BITS * SHARED) - 1)).otherwise(-1)
+    nodes = stage.save(nodes.withColumn("key", key.cast("int")), "nodes")
+    stage.drop("grams")
+    cuts, size = [0], 0
+    for row in sorted(nodes.where("key >= 0").groupBy("key").agg(F.count("*").alias("n")).collect()):  # 66,049 keys at most
+        if size and size + row.n > most_cells:
+            cuts.append(row.key)
+            size = 0
+        size += row.n
+    return Model(nodes, order, cuts)
 
 
 # ---- both scores of every document ----
@@ -218,21 +255,22 @@ PACKED = "grp long, bucket int, words binary, seen binary, per_word binary, docs
 def _packed(trie, buckets: int):
     """Per group of documents one row with its structure and scores, and one row per bucket with its distinct words.
 
-    Words are in order of (bucket, hash) within a group, so that the counts sent back for the
+    Without a trie the scores are 0. Words are in order of (bucket, hash) within a group, so that the counts sent back for the
     buckets, put in a row, line up with the structure.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, group = trie.value, TaskContext.get().partitionId() << 32
+        model, group = trie and trie.value, TaskContext.get().partitionId() << 32
         for rb in batches:
             ids = rb.column(0).to_numpy(zero_copy_only=False)
             learns = rb.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for i, j, data, off in chunks(rb.column(1), GROUP):
                 group += 1
-                learn, score = learns[i:j], np.empty(j - i)
+                learn, score = learns[i:j], np.zeros(j - i)
                 words, docs = [], []
                 for a, b, part, o in _cut(data, off):
-                    score[a:b] = model.score(part, o)
+                    if model is not None:
+                        score[a:b] = model.score(part, o)
                     low = LOWER[part]
                     starts, ends, first = spans(low, o, ~SPACE[low])
                     words.append(span_hashes(prefix_sums(low), starts, ends))
@@ -265,6 +303,17 @@ def _packed(trie, buckets: int):
     return run
 
 
+def _parts(trie):
+    """Each row's number with the slice's part of its score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for i, j, data, off in chunks(rb.column(1)):
+                yield pa.record_batch([rb.column(0).slice(i, j - i), pa.array(trie.value.score(data, off))], ["row", "score"])
+
+    return run
+
+
 def _cut(data: np.ndarray, off: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     i, n = 0, len(off) - 1
     while i < n:
@@ -328,11 +377,23 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     stage = Stage(spark, "ppm")
     fold = F.crc32(F.col(id_col).cast("string")) % folds
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(fold != 0, F.lit(False)).alias("learn"))
-    trie = spark.sparkContext.broadcast(train(rows.where("learn").select("text"), stage, order, most_cells))
+    model = train(rows.where("learn").select("text"), stage, order, most_cells)
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # the id travels as bytes; a null one as the least long, which is turned back at the end
-    least = -(2**63)
-    packed = stage.save(rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(least))).mapInArrow(_packed(trie, buckets), PACKED), "packed")
+    least, trie, numbered = -(2**63), None, None
+    rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(least)))
+    if len(model.cuts) == 1:
+        trie = spark.sparkContext.broadcast(next(model.slices()))
+    else:  # rows are numbered once, and each slice's parts of the scores are added by number
+        numbered = stage.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        for i, part in enumerate(model.slices()):
+            part = spark.sparkContext.broadcast(part)
+            stage.save(numbered.select("row", "text").mapInArrow(_parts(part), "row long, score double"), f"scores-{i}")
+            part.destroy()
+        sums = spark.read.schema("row long, score double").parquet(*[f"{stage.root}/scores-{i}" for i in range(len(model.cuts))]).groupBy("row").agg(F.sum("score").alias("score"))
+        rows = numbered.select(F.col("row").alias("doc_id"), "text", "learn")
+    stage.drop("nodes")
+    packed = stage.save(rows.mapInArrow(_packed(trie, buckets), PACKED), "packed")
     asked = packed.where("bucket >= 0").select("grp", "bucket", "words", "seen").repartition(buckets, "bucket")
     counts = stage.save(asked.mapInArrow(_word_counts, "grp long, bucket int, counts binary, tokens long, distinct long"), "counts")
     words = counts.agg(F.sum("tokens"), F.sum("distinct")).first()
@@ -341,5 +402,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     structure = packed.where("bucket = -1").select("grp", "bucket", F.lit(None).cast("binary").alias("counts"), "per_word", "docs", "times", "ids", "learn", "score")
     answers = counts.select("grp", "bucket", "counts", *[F.lit(None).cast("binary").alias(c) for c in ("per_word", "docs", "times", "ids", "learn", "score")])
     out = structure.unionByName(answers).groupBy("grp").applyInArrow(_finish(total, distinct, ends), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    if numbered is not None:
+        out = out.drop("score").withColumnRenamed("doc_id", "row").join(numbered.select("row", "doc_id"), "row").join(sums, "row")
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != least, F.col("doc_id")))
     return out.select(F.col("doc_id").alias(id_col), (F.crc32(F.col("doc_id").cast("string")) % folds == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

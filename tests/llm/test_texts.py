@@ -138,6 +138,16 @@ def test_ppm_table_equals_plain_ppm(spark):
     assert all(math.isfinite(r.score) for r in ppm.lm_scores(docs(spark, rows), order=order, most_cells=200).collect())
 
 
+def test_ppm_keeps_every_context_in_slices(spark):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcdAB é\n") for _ in range(rng.randint(0, 60)))) for i in range(80)] + [(7, "zz"), (None, "abc"), (None, None), (200, "~ÿ")]
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score)
+    whole, sliced = (sorted(ppm.lm_scores(docs(spark, rows), most_cells=n).collect(), key=key) for n in (ppm.MOST_CELLS, 1500))
+    assert len(whole) == len(sliced) == len(rows)
+    for a, b in zip(whole, sliced):
+        assert a[:6] == b[:6] and a.score == pytest.approx(b.score, abs=1e-9)
+
+
 # ---- tokens ----
 
 def test_token_counts(spark):
