@@ -308,8 +308,18 @@ class _Join:
         dealt = dealt.repartition(parts, "key", "first", "second").sortWithinPartitions("key", "first", "second")
         return joined.unionByName(dealt.mapInArrow(_products(self.percent), "a long, b long, hits int, strong int, need int, sizes int, after int, rest int"))
 
-    def components(self) -> tuple[DataFrame, DataFrame]:
-        """(sizes: one row per document with its fingerprints; nodes: representative and component where it isn't itself)."""
+    def repeated(self, sizes: DataFrame, reps: DataFrame) -> DataFrame | None:
+        """(doc_id, rep) for each class of an id that has rows of different texts; None if there is no such id."""
+        kinds = F.struct("n", "f1", "f2")
+        ids = sizes.where("doc_id is not null").groupBy("doc_id").agg(F.min(kinds).alias("low"), F.max(kinds).alias("high")).where("low <> high").select("doc_id")
+        ids = self.stage.save(ids, "repeated-ids")
+        if not ids.limit(1).count():
+            return None
+        classes = sizes.join(ids, "doc_id").join(reps.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"]).select("doc_id", "rep").distinct()
+        return self.stage.save(classes, "repeated")
+
+    def components(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """(sizes: one row per document with its fingerprints; members: component of each class; same: that of ids with different texts)."""
         stage, percent = self.stage, self.percent
         levels = self.spark.sparkContext.broadcast(frequent_cells(self.texts.select("text"), self.k))
         docs = stage.save(self.texts.mapInArrow(_prefixes(self.k, percent, levels), "doc_id long, n long, f1 long, f2 long, ell int, prefix binary"), "docs")
@@ -319,6 +329,10 @@ class _Join:
         by_token = Window.partitionBy("token")
         shared = stage.save(self.meeting(rows.withColumn("comp", F.col("rep"))).drop("comp"), "shared")
         links, tried, labels = None, None, None
+        same = self.repeated(sizes, reps)
+        if same is not None:  # an id's texts are one document: its classes are linked by it
+            links = same.withColumn("least", F.min("rep").over(Window.partitionBy("doc_id"))).select(F.col("least").alias("a"), F.col("rep").alias("b"))
+            labels = stage.save(connected_components(links, stage, "cc-same"), "labels-same")
         for i in range(STAR_ROUNDS + 1):
             last = i == STAR_ROUNDS
             now = shared.withColumn("comp", F.col("rep"))
@@ -351,7 +365,9 @@ class _Join:
         if labels is None:
             labels = self.spark.createDataFrame([], "node long, component long")
         members = reps.select("n", "f1", "f2", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
-        return sizes, members
+        if same is not None:
+            same = same.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("same"))
+        return sizes, members, same
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -364,8 +380,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     document with the links of all its texts. Other columns are ignored. No rows give no rows.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sizes, members = _Join(texts, k, percent).components()
+    sizes, members, same = _Join(texts, k, percent).components()
     out = sizes.join(members, ["n", "f1", "f2"], "left")
+    if same is not None:  # a wordless row of such an id is in no class
+        out = out.join(same, "doc_id", "left").withColumn("component", F.coalesce("same", "component"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 

@@ -74,6 +74,16 @@ def test_join_edges(spark):
     assert got == [(3, 3), (3, 3), (7, 3), (None, None)]
 
 
+def test_join_of_ids_with_several_texts(spark):
+    a, b, c = ("{0}1 {0}2 {0}3 {0}4 {0}5 {0}6 {0}7".format(x) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (7, b), (5, ""), (8, c), (9, c), (9, None), (2, ""), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r.doc_id, r.component_id) for r in ngram_join.ngram_jaccard_join(docs).collect()]
+    want = {3: 3, 5: 3, 7: 3, 8: 8, 9: 8, 2: 2, None: None}
+    assert sorted(got, key=str) == sorted(((i, want[i]) for i, _ in rows), key=str)
+    assert sorted(((r.doc_id, r.text) for r in ngram_join.drop_near_duplicates(docs).collect()), key=str) == sorted([(3, a), (8, c), (2, ""), (None, b)], key=str)
+
+
 def test_choice_of_matches():
     assert ngram_join.choose_matches(np.zeros(40), 100, 21, 12) == 1
     costly = np.concatenate([np.full(21, 1000.0), np.zeros(19)])
