@@ -1,7 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts are compared as A-Z-lowered UTF-8 with white space runs as one space. Each benchmark item is cut into
-overlapping segments; a region of a document leaks a segment if their edit distance is within the segment's edit
+overlapping segments of two lengths: the shorter, densely set, find verbatim excerpts however they are aligned
+(from 74 bytes on), the longer allow more edits; an item up to a length is itself a segment. A region of a document leaks a segment if their edit distance is within the segment's edit
 budget k. By the q-gram lemma such a region shares at least m - q + 1 - k q of the segment's q-grams, on diagonals
 (position in the document less position in the segment) that differ by at most k. So shared q-grams are counted in
 diagonal bands of width 2 (k + 1) that overlap by half, which cover every such set of diagonals; bands
@@ -22,6 +23,8 @@ from lodestone.llm._spark import Stage, ship
 
 #: Length of the q-grams, of segments and the step between them, all in bytes; edits allowed per byte.
 Q, SEGMENT, STEP, EDITS = 10, 120, 60, 0.075
+#: The same of the shorter segments: of any SHORT + SHORT_STEP - 1 bytes of an item, some are a whole one.
+SHORT, SHORT_STEP = 60, 15
 #: Benchmark bytes broadcast at a time.
 SLICE = 16 << 20
 _FILTER_BITS = 24
@@ -63,14 +66,16 @@ def gram_hashes(data: np.ndarray, q: int = Q) -> np.ndarray:
 class Patterns:
     """Segments of one slice of the benchmark, with their q-grams by hash."""
 
-    def __init__(self, items: list[tuple[int, bytes]], q: int = Q, segment: int = SEGMENT, step: int = STEP, edits: float = EDITS):
+    def __init__(self, items: list[tuple[int, bytes]], q: int = Q, segment: int = SEGMENT, step: int = STEP, edits: float = EDITS, short: int = SHORT, short_step: int = SHORT_STEP):
         self.q = q
-        self.item, self.start, self.text = [], [], []
+        self.item, self.number, self.text = [], [], []
         for item, text in items:
-            cuts = [(0, len(text))] if len(text) <= segment else [(a, a + segment) for a in range(0, len(text) - segment, step)] + [(len(text) - segment, len(text))]
-            for a, b in cuts:
+            cuts = set()
+            for size, by in ((segment, step), (short, short_step)):
+                cuts |= {(0, len(text))} if len(text) <= size else {(a, a + size) for a in range(0, len(text) - size, by)} | {(len(text) - size, len(text))}
+            for number, (a, b) in enumerate(sorted(cuts)):
                 self.item.append(item)
-                self.start.append(a)
+                self.number.append(number)
                 self.text.append(text[a:b])
         size = np.array([len(t) for t in self.text], dtype=np.int64)
         budget = np.floor(size * edits).astype(np.int64)
@@ -174,7 +179,7 @@ class Patterns:
 
 
 def _scan(patterns):
-    """Rows (doc, item, segment place, edits, start, end) of the verified regions; start and end in characters of the text as it stands."""
+    """Rows (doc, item, number of the segment in it, edits, start, end) of the verified regions; start and end in characters of the text as it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = patterns.value
@@ -187,7 +192,7 @@ def _scan(patterns):
                 # characters before each byte of the batch, to count from the document's start
                 char = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 begin, end = char[place[starts]] - char[off[doc]], char[place[ends - 1] + 1] - char[off[doc]]
-                items, at = np.array(p.item)[segment], np.array(p.start)[segment]
+                items, at = np.array(p.item)[segment], np.array(p.number)[segment]
                 yield pa.record_batch([rb.column(0).take(pa.array(i + doc)), pa.array(items), pa.array(at), *(pa.array(x.astype(np.int64)) for x in (edits, begin, end))], ["doc_id", "item_id", "at", "edits", "begin", "end"])
 
     return run

@@ -59,6 +59,18 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs(spark, rows).limit(0), bench).collect() == []
 
 
+def test_short_excerpts_are_found_at_every_offset():
+    rng = random.Random(4)
+    item = bytes(rng.choice(b"abcdefgh") for _ in range(390))
+    p = decontaminate.Patterns([(1, item)])
+    for size in (decontaminate.SHORT + decontaminate.SHORT_STEP - 1, 110, 150):
+        texts = [b"zyx wvu " + item[a : a + size] + b" rst" for a in range(len(item) - size + 1)]
+        doc = p.regions(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))[0]
+        assert set(doc.tolist()) == set(range(len(texts)))
+    # the longer segments stay beside them, with their edits
+    assert {(len(t), b) for t, b in zip(p.text, p.budget.tolist())} == {(120, 9), (60, 4)}
+
+
 def test_alignment_is_exact():
     rng = random.Random(3)
     items = [(k, bytes(rng.choice(b"abcd ") for _ in range(n))) for k, n in enumerate((40, 90, 120, 200))]
