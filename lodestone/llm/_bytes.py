@@ -23,6 +23,10 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: A Mersenne prime and a base below it for the second hash, with the base's inverse.
+PRIME, BASE_P = (1 << 31) - 1, 1_540_483_477
+INVERSE_P = pow(BASE_P, -1, PRIME)
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -37,17 +41,26 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 VALUES = mix(np.arange(1, 257, dtype=U64) * U64(BASE))
+VALUES_P = mix(np.arange(257, 513, dtype=U64) * U64(BASE)) % U64(PRIME)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
+def powers(n: int) -> dict[str, np.ndarray]:
+    """BASE**i and BASE**-i modulo 2**64 ("n", "inv"), BASE_P**i and BASE_P**-i modulo PRIME ("n_p", "inv_p"), for i < n."""
     if "n" not in _powers or len(_powers["n"]) < n:
         size = max(n, CHUNK + (CHUNK >> 2))
         for key, base in (("n", BASE), ("inv", INVERSE)):
             a = np.full(size, base, dtype=U64)
             a[0] = 1
             _powers[key] = np.multiply.accumulate(a)
-    return _powers["n"], _powers["inv"]
+        for key, base in (("n_p", BASE_P), ("inv_p", INVERSE_P)):
+            a = np.ones(size, dtype=U64)
+            done = 1
+            while done < size:
+                more = min(done, size - done)
+                a[done : done + more] = a[:more] * U64(pow(base, done, PRIME)) % U64(PRIME)
+                done += more
+            _powers[key] = a
+    return _powers
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,19 +91,36 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         i = j
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Sums of VALUES[byte] * BASE**i, one longer than data: any span's hash is one subtraction away."""
-    power, _ = powers(len(data) + 1)
+def rolling_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of VALUES[byte] * BASE**i modulo 2**64, one longer than data: enough to tell short spans apart.
+
+    For long ones it is not: for any odd base there are texts of 1,024 letters (Thue-Morse words) that collide.
+    """
     sums = np.empty(len(data) + 1, dtype=U64)
     sums[0] = 0
-    np.cumsum(VALUES[data] * power[: len(data)], out=sums[1:])
+    np.cumsum(VALUES[data] * powers(len(data) + 1)["n"][: len(data)], out=sums[1:])
     return sums
 
 
-def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans, equal for equal bytes wherever they stand."""
-    _, inverse = powers(len(sums))
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64))
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """rolling_sums and the same modulo PRIME, of other values: any span's hash is two subtractions away."""
+    second = VALUES_P[data] * powers(len(data) + 1)["n_p"][: len(data)]
+    second = (second & U64(PRIME)) + (second >> U64(31))  # under 2**32, so that 2**31 of them fit
+    sums = np.empty(len(data) + 1, dtype=U64)
+    sums[0] = 0
+    np.cumsum(second, out=sums[1:])
+    return rolling_sums(data), sums
+
+
+def span_hashes(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans, equal for equal bytes wherever they stand.
+
+    They mix a polynomial modulo 2**64, one over the field of PRIME elements and the length: spans of n bytes that a
+    weakness of the first makes equal still differ but for a share of about n / 2**31.
+    """
+    p, (first, second) = powers(len(sums[0])), sums
+    other = (second[end] - second[start]) % U64(PRIME) * p["inv_p"][start] % U64(PRIME)
+    return mix((first[end] - first[start]) * p["inv"][start] + mix((other << U64(32)) ^ (end - start).astype(U64)))
 
 
 def spans(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

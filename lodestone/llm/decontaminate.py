@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm._bytes import LOWER, SPACE, U64, chunks, mix, powers, prefix_sums
+from lodestone.llm._bytes import LOWER, SPACE, U64, chunks, mix, powers, rolling_sums
 from lodestone.llm._spark import Stage, ship
 
 #: Length of the q-grams, of segments and the step between them, all in bytes; edits allowed per byte.
@@ -58,9 +58,8 @@ def gram_hashes(data: np.ndarray, q: int = Q) -> np.ndarray:
     """Hash of the q bytes from each position on."""
     if len(data) < q:
         return np.zeros(0, dtype=U64)
-    sums = prefix_sums(data)
-    _, inverse = powers(len(sums))
-    return mix((sums[q:] - sums[:-q]) * inverse[: len(sums) - q])
+    sums = rolling_sums(data)
+    return mix((sums[q:] - sums[:-q]) * powers(len(sums))["inv"][: len(sums) - q])
 
 
 class Patterns:

@@ -11,6 +11,10 @@ prefixes, plus what can still follow them, could reach the threshold; it is then
 the whole sets. Any order and any choice of l gives complete results; the estimates only
 steer cost.
 
+No key is read by one task alone: what is asked of all postings of a shingle is aggregated before the shuffle where
+the sketch shows it to be frequent, and joined back on salted keys; the pairs of one hub are salted likewise;
+frequent shingles are compared in blocks of documents.
+
 Documents with equal sets are first folded into one representative. Postings of a
 frequent shingle are not paired with each other at once: in a few star rounds every posting
 is paired with one hub, verified links are contracted into components, and only postings of
@@ -34,8 +38,12 @@ from lodestone.llm.components import connected_components
 CELLS, BLOCK = 1 << 20, 1 << 14
 #: Largest multi-match level tried, and star rounds before all postings are paired.
 MOST_MATCHES, STAR_ROUNDS = 12, 2
-#: Postings beyond which a shingle is compared in blocks, and documents in a block.
-FREQUENT, DOCUMENTS = 24, 1024
+#: Postings beyond which a shingle is compared in blocks; documents in a block, and postings in one.
+FREQUENT, DOCUMENTS, POSTINGS = 24, 256, 65_536
+#: Rows of one shingle, or pairs of one document, that a task gets before they are dealt over salts; salts at most.
+ROWS, SALTS = 1024, 4096
+#: Hot keys that are broadcast with their number of salts or blocks (16 bytes each); beyond, the key is joined.
+MOST_KEYS = 500_000
 
 
 def _at_least(n: int, percent: int) -> int:
@@ -122,10 +130,15 @@ def _prefixes(k: int, percent: int, levels):
     return run
 
 
-def _postings(percent: int):
-    """Rows (token, rep, n, ell, level, pos) from packed prefixes. level: least l whose prefix holds the token; pos: its place in the order."""
+def _postings(percent: int, levels, often: bool):
+    """Rows (token, salts, rep, n, ell, level, pos) from packed prefixes, of shingles that the sketch shows as frequent or of the others.
+
+    salts: tasks over which the rows of this shingle are dealt. level: least l whose prefix holds it; pos: its place in the order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guess = np.exp2(np.maximum(levels.value.astype(np.float64) - 1, 0))
+        salts = np.clip(np.ceil(guess / ROWS), 1, SALTS).astype(np.int32)
         for rb in batches:
             n, ell = rb.column(1).to_numpy(), rb.column(2).to_numpy()
             tokens = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in rb.column(3)]
@@ -137,11 +150,13 @@ def _postings(percent: int):
             base = n - (percent * n + 99) // 100 + 1
             level = np.maximum(1, place - base[row] + 2)
             flat, rep = np.concatenate(tokens), rb.column(0).to_numpy()
-            for i in range(0, len(row), 200_000):
-                at = slice(i, i + 200_000)
+            salt = salts[(flat.view(np.uint64) >> U64(44)).astype(np.int64)]
+            mine = np.flatnonzero((salt > 1) == often)
+            for i in range(0, len(mine), 200_000):
+                at = mine[i : i + 200_000]
                 r = row[at]
-                columns = [flat[at], rep[r], n[r].astype(np.int32), ell[r].astype(np.int32), level[at].astype(np.int32), place[at].astype(np.int32)]
-                yield pa.record_batch([pa.array(x) for x in columns], ["token", "rep", "n", "ell", "level", "pos"])
+                columns = [flat[at], salt[at], rep[r], n[r].astype(np.int32), ell[r].astype(np.int32), level[at].astype(np.int32), place[at].astype(np.int32)]
+                yield pa.record_batch([pa.array(x) for x in columns], ["token", "salts", "rep", "n", "ell", "level", "pos"])
 
     return run
 
@@ -193,31 +208,38 @@ def _or_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _products(percent: int):
-    """Per unit (key, first, second) the pairs that may reach the threshold, with their shared shingles of this key."""
+    """Per unit (key, first, second) the pairs that may reach the threshold, with their shared shingles of this key.
+
+    A row is a document with its postings under the key; memory is that of the rows and of documents x documents.
+    """
 
     def unit(rows: pa.Table) -> pa.RecordBatch | None:
-        get = lambda name: rows.column(name).to_numpy()
-        reps, at, doc = np.unique(get("rep"), return_index=True, return_inverse=True)
-        tokens, token = np.unique(get("token"), return_inverse=True)
-        n, ell, comp, cap, block = (get(c)[at].astype(np.int64) for c in ("n", "ell", "comp", "cap", "block"))
-        has = np.zeros((len(reps), len(tokens)), dtype=bool)
-        has[doc, token] = True
-        level, left = np.zeros(has.shape, dtype=np.int32), np.zeros(has.shape, dtype=np.int32)
-        level[doc, token] = get("level")
-        left[doc, token] = get("n") - 1 - get("pos")
+        get = lambda name: rows.column(name).to_numpy().astype(np.int64)
+        reps, n, ell, comp, cap, block = (get(c) for c in ("rep", "n", "ell", "comp", "cap", "block"))
+        posts = rows.column("posts").combine_chunks()
+        size = np.diff(posts.offsets.to_numpy())
+        token, level, pos = (f.to_numpy(zero_copy_only=False) for f in posts.flatten().flatten())
+        doc = np.repeat(np.arange(len(reps)), size)
         rest = (percent * n + 99) // 100 - ell
-        spare = cap - rest - has.sum(axis=1)  # prefix shingles that others have, under other keys
-        first, second = get("first")[0], get("second")[0]
+        spare = cap - rest - size  # prefix shingles that others have, under other keys
+        first, second = rows.column("first")[0].as_py(), rows.column("second")[0].as_py()
         a, b = np.flatnonzero(block == first), np.flatnonzero(block == second)
         pick = lambda f, x: f(x[a][:, None], x[b][None, :])
-        need, hits, strong, after = pick(np.minimum, ell), np.zeros((len(a), len(b)), dtype=np.int32), np.zeros((len(a), len(b)), dtype=np.int32), np.full((len(a), len(b)), 2**30, dtype=np.int32)
-        for t in range(len(tokens)):
-            i, j = np.flatnonzero(has[a, t]), np.flatnonzero(has[b, t])
-            if len(i) and len(j):
-                at_pair = np.ix_(i, j)
+        need, hits, strong, after = pick(np.minimum, ell), np.zeros((len(a), len(b)), dtype=np.int32), np.zeros((len(a), len(b)), dtype=np.int32), np.full((len(a), len(b)), 2**30, dtype=np.int64)
+        by = np.argsort(token, kind="stable")
+        cut = np.flatnonzero(np.diff(token[by])) + 1
+        place = np.empty(len(reps), dtype=np.int64)
+        place[b], in_b = np.arange(len(b)), block == second
+        row = np.empty(len(reps), dtype=np.int64)
+        row[a], in_a = np.arange(len(a)), block == first
+        left = n[doc] - 1 - pos
+        for same in np.split(by, cut):
+            x, y = same[in_a[doc[same]]], same[in_b[doc[same]]]
+            if len(x) and len(y):
+                at_pair = np.ix_(row[doc[x]], place[doc[y]])
                 hits[at_pair] += 1
-                strong[at_pair] += np.maximum.outer(level[a[i], t], level[b[j], t]) <= need[at_pair]
-                after[at_pair] = np.minimum(after[at_pair], np.minimum.outer(left[a[i], t], left[b[j], t]))
+                strong[at_pair] += np.maximum.outer(level[x], level[y]) <= need[at_pair]
+                after[at_pair] = np.minimum(after[at_pair], np.minimum.outer(left[x], left[y]))
         sizes, ends = pick(np.add, n), pick(np.maximum, rest)
         most = np.minimum(hits + pick(np.minimum, spare) + np.minimum(after, ends), np.minimum(pick(np.maximum, cap), pick(np.minimum, n)))
         good = (hits > 0) & pick(np.not_equal, comp) & (100 * most >= percent * (sizes - most))
@@ -244,6 +266,17 @@ def _jaccard(percent: int):
     return run
 
 
+def with_count(rows: DataFrame, counts: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with the count of their key, 1 where counts (key, count) has none. Few counts are broadcast, so that a hot key stays spread."""
+    if counts.limit(MOST_KEYS + 1).count() <= MOST_KEYS:
+        counts = F.broadcast(counts)
+    return rows.join(counts, key, "left").withColumn(name, F.coalesce(name, F.lit(1)))
+
+
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows.where("salts = 1"), rows.where("salts > 1")
+
+
 class _Join:
     def __init__(self, texts: DataFrame, k: int, percent: int):
         self.spark, self.texts, self.k, self.percent = texts.sparkSession, texts, k, percent
@@ -260,21 +293,34 @@ class _Join:
         sets = self.texts.mapInArrow(_wanted_sets(self.k, sc.broadcast(bits.tobytes())), "rep long, shingles binary")
         ids = ids.distinct()
         sets = stage.save(sets.join(ids, "rep", "left_semi"), f"{name}-sets")
+        # a hub's pairs are dealt over salts, with a copy of its set for each
+        hot = stage.save(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > ROWS).select("a", F.ceil(F.col("n") / ROWS).cast("int").alias("salts")), f"{name}-hot")
         right = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-        whole = right.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
+        right = with_count(right, hot, "a", "salts").withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int")).drop("salts")
+        left = with_count(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), hot, "a", "salts")
+        left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        whole = right.join(left, ["a", "salt"]).select("a", "b", "x", "y")
         out = whole.mapInArrow(_jaccard(self.percent), "a long, b long, linked boolean")
         out = stage.save(out.groupBy("a", "b").agg(F.max("linked").alias("linked")), f"{name}-verified")
-        stage.drop(f"{name}-sets")
+        stage.drop(f"{name}-sets", f"{name}-hot")
         return out
 
-    def meeting(self, rows: DataFrame) -> DataFrame:
+    def by_token(self, few: DataFrame, many: DataFrame, facts: dict) -> DataFrame:
+        """Both with aggregates over all rows of their shingle; those of many, which have salts, are aggregated first and joined back."""
+        window = Window.partitionBy("token")
+        spread = many.groupBy("token", "salts").agg(*[f.alias(k) for k, f in facts.items()])
+        spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        many = many.withColumn("salt", F.pmod(F.xxhash64("rep"), "salts").cast("int")).join(spread, ["token", "salt"]).drop("salt")
+        return few.withColumns({k: f.over(window) for k, f in facts.items()}).unionByName(many)
+
+    def meeting(self, few: DataFrame, many: DataFrame) -> DataFrame:
         """Postings whose shingle is in a prefix of another component too, with cap.
 
         cap: the postings left of the document's prefix and all that follows it. Of two documents the one whose prefix
         ends first shares no more than its cap with the other, so a pair shares no more than the greater of the two.
         """
-        by_token, by_rep = Window.partitionBy("token"), Window.partitionBy("rep", "n", "ell")
-        rows = rows.withColumns({"low": F.min("comp").over(by_token), "high": F.max("comp").over(by_token)}).where("low <> high").drop("low", "high")
+        by_rep = Window.partitionBy("rep", "n", "ell")
+        rows = self.by_token(few, many, {"low": F.min("comp"), "high": F.max("comp")}).where("low <> high").drop("low", "high")
         return rows.withColumn("cap", (F.expr(f"({self.percent} * n + 99) div 100 - ell") + F.count("*").over(by_rep)).cast("int"))
 
     def facts(self) -> list:
@@ -291,19 +337,20 @@ class _Join:
         """facts() of every pair of different components that shares a shingle.
 
         Shingles on up to FREQUENT postings are paired by a join. The others are gathered by their least
-        document, which those of one group of copies have in common, and compared in blocks of documents as products
-        of incidence matrices, so that only pairs that can still reach the threshold leave the task.
+        document, which those of one group of copies have in common, and compared in blocks of documents,
+        so that only pairs that can still reach the threshold leave the task.
         """
-        by_token = Window.partitionBy("token")
-        left = left.withColumns({"df": F.count("*").over(by_token), "key": F.min("rep").over(by_token)})
-        left = self.stage.save(left, "counted")
-        rare = left.where(F.col("df") <= FREQUENT).drop("df", "key")
+        left = self.stage.save(self.by_token(*_split(left), {"df": F.count("*"), "key": F.min("rep")}), "counted")
+        rare = left.where(F.col("df") <= FREQUENT).drop("df", "key", "salts")
         other = rare.select("token", *[F.col(c).alias(f"{c}2") for c in columns])
         joined = rare.join(other, "token").where(F.col("comp") < F.col("comp2")).where(near).select(*self.facts())
-        often = left.where(F.col("df") > FREQUENT)
-        size = often.select("key", "rep").distinct().groupBy("key").agg(F.ceil(F.count("*") / DOCUMENTS).cast("int").alias("many"))
-        often = often.join(size, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "many").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-        dealt = often.select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "token", "rep", "n", "ell", "level", "pos", "comp", "cap")
+        facts = ("rep", "n", "ell", "comp", "cap")
+        often = left.where(F.col("df") > FREQUENT).groupBy("key", *facts).agg(F.collect_list(F.struct("token", "level", "pos")).alias("posts"))
+        often = self.stage.save(often, "often")  # a row per document and key, which has no more postings than its prefix
+        many = F.greatest(F.ceil(F.count("*") / DOCUMENTS), F.ceil(F.sum(F.size("posts")) / POSTINGS)).cast("int")
+        size = self.stage.save(often.groupBy("key").agg(many.alias("many")).where("many > 1"), "blocks")
+        often = with_count(often, size, "key", "many").withColumn("block", F.pmod(F.xxhash64("rep"), "many").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+        dealt = often.select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", *facts, "posts")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = dealt.repartition(parts, "key", "first", "second").sortWithinPartitions("key", "first", "second")
         return joined.unionByName(dealt.mapInArrow(_products(self.percent), "a long, b long, hits int, strong int, need int, sizes int, after int, rest int"))
@@ -325,9 +372,9 @@ class _Join:
         docs = stage.save(self.texts.mapInArrow(_prefixes(self.k, percent, levels), "doc_id long, n long, f1 long, f2 long, ell int, prefix binary"), "docs")
         sizes = docs.select("doc_id", "n", "f1", "f2")
         reps = docs.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("ell").alias("ell"), F.first("prefix").alias("prefix"))
-        rows = reps.select("rep", "n", "ell", "prefix").mapInArrow(_postings(percent), "token long, rep long, n int, ell int, level int, pos int")
-        by_token = Window.partitionBy("token")
-        shared = stage.save(self.meeting(rows.withColumn("comp", F.col("rep"))).drop("comp"), "shared")
+        packed, schema = reps.select("rep", "n", "ell", "prefix"), "token long, salts int, rep long, n int, ell int, level int, pos int"
+        rows = [packed.mapInArrow(_postings(percent, levels, often), schema).withColumn("comp", F.col("rep")) for often in (False, True)]
+        shared = stage.save(self.meeting(*rows).drop("comp"), "shared")
         links, tried, labels = None, None, None
         same = self.repeated(sizes, reps)
         if same is not None:  # an id's texts are one document: its classes are linked by it
@@ -342,13 +389,13 @@ class _Join:
             cap = "least(n, n2, greatest(cap, cap2))"
             near = F.expr(f"100 * {cap} >= {percent} * (n + n2 - {cap}) and comp <> comp2")
             if last:
-                paired = self.all_pairs(stage.save(self.meeting(now), "left"), near, columns)
+                paired = self.all_pairs(stage.save(self.meeting(*_split(now)), "left"), near, columns)
             else:
                 # one hub per shingle, the document with the fewest shingles of its own (the likely original of copies);
                 # in later rounds that of another component
                 order = F.struct(F.xxhash64("comp", F.lit(i)) if i else F.lit(0).cast("long"), -F.col("cap"), F.col("rep"))
-                hub = F.min_by(F.struct(*columns), order).over(by_token)
-                paired = now.withColumn("hub", hub).select("*", *[F.col(f"hub.{c}").alias(f"{c}2") for c in columns]).drop("hub").where(near)
+                hub = F.min_by(F.struct(*columns), order)
+                paired = self.by_token(*_split(now), {"hub": hub}).select("*", *[F.col(f"hub.{c}").alias(f"{c}2") for c in columns]).drop("hub").where(near)
                 paired = paired.select(*self.facts())
             pairs = paired.groupBy("a", "b").agg(F.sum("strong").alias("strong"), F.min("need").alias("need"), F.max("sizes").alias("sizes"), (F.sum("hits") + F.least(F.min("after"), F.max("rest"))).alias("most"))
             pairs = pairs.where(f"strong >= need and 100 * most >= {percent} * (sizes - most)").select("a", "b")

@@ -6,7 +6,7 @@ pattern takes a space only at the start of a piece, so a piece always begins the
 nothing before it changes how the rest is encoded. So
 
 * the text between two stable boundaries has one token count wherever it stands, and each worker
-  encodes every distinct stretch once per batch;
+  encodes every distinct stretch once per batch (equal by its bytes, not just by a hash);
 * a huge document is encoded in overlapping chunks with offsets, and two neighbouring chunks are
   spliced at a stable boundary inside the overlap at which both have a token border. Where
   there is none, the overlap is doubled, up to the whole rest of the document.
@@ -25,7 +25,7 @@ from lodestone.llm._bytes import SPACE, chunks, prefix_sums, span_hashes
 from lodestone.llm._spark import ship
 
 #: Documents beyond HUGE bytes are cut into chunks of CHUNK characters that overlap by OVERLAP.
-HUGE, CHUNK, OVERLAP = 65_536, 16_384, 512
+HUGE, CHUNK, OVERLAP = 8192, 4096, 128
 
 #: First bytes of the non-ASCII white space characters in UTF-8.
 WIDE_SPACE = np.zeros(256, dtype=bool)
@@ -108,6 +108,14 @@ def count_batch(tokenizer, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     ends = np.append(starts[1:], len(data))
     keys = span_hashes(prefix_sums(data), starts, ends)
     _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    # a stretch shares the count of the first of its hash only if it has its very bytes
+    model = first[inverse]
+    unlike = np.flatnonzero(ends - starts != ends[model] - starts[model])
+    shift = np.repeat(starts[model] - starts, ends - starts)
+    wrong = np.flatnonzero(data != data[np.minimum(np.arange(len(data)) + shift, len(data) - 1)])
+    unlike = np.union1d(unlike, np.searchsorted(starts, wrong, side="right") - 1)
+    inverse[unlike] = len(first) + np.arange(len(unlike))
+    first = np.concatenate([first, unlike])
     raw = data.tobytes()
     parts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first].tolist(), ends[first].tolist())]
     sizes = np.fromiter(map(len, tokenizer.encode_batch_fast(parts, add_special_tokens=False)), np.int64, len(parts))
@@ -133,7 +141,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         tokenizer.no_truncation()
         tokenizer.no_padding()
         for rb in batches:
-            for i, j, data, off in chunks(rb.column(1), 8 << 20):
+            for i, j, data, off in chunks(rb.column(1), 4 << 20):
                 size = np.diff(off)
                 huge = np.flatnonzero(size > HUGE)
                 if len(huge):  # the others are counted together

@@ -49,10 +49,11 @@ def corpus():
     return texts + [texts[0]] * 5 + ["A b", "a B", "a", "", " \n", None, "É é", "x " * 400, "x " * 401]
 
 
-@pytest.mark.parametrize("frequent, block", [(24, 1024), (1, 16)])
-def test_join_equals_brute_force(spark, monkeypatch, frequent, block):
-    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
-    monkeypatch.setattr(ngram_join, "DOCUMENTS", block)
+@pytest.mark.parametrize("frequent, block, postings, rows_, keys", [(24, 256, 65_536, 1024, 1000), (1, 16, 65_536, 4, 1000), (1, 256, 8, 2, 0)])
+def test_join_equals_brute_force(spark, monkeypatch, frequent, block, postings, rows_, keys):
+    """With the production sizes, and with such that blocks, salts and the forms without a broadcast are used."""
+    for name, value in (("FREQUENT", frequent), ("DOCUMENTS", block), ("POSTINGS", postings), ("ROWS", rows_), ("MOST_KEYS", keys)):
+        monkeypatch.setattr(ngram_join, name, value)
     rows = list(enumerate(corpus()))
     docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id bigint, text string, n string, component bigint, rep bigint")
     sets = {i: shingles(t) for i, t in rows}
@@ -84,6 +85,16 @@ def test_join_of_ids_with_several_texts(spark):
     assert sorted(((r.doc_id, r.text) for r in ngram_join.drop_near_duplicates(docs).collect()), key=str) == sorted([(3, a), (8, c), (2, ""), (None, b)], key=str)
 
 
+def test_long_words_of_two_letters_are_told_apart(spark):
+    """Words whose polynomial hashes modulo 2**64 agree; also a repeated word of 65 KB."""
+    word = lambda n, a, b: "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+    sizes = (1024, 2048, 4096, 8192)
+    rows = [(10 * k + i, word(n, *p)) for k, n in enumerate(sizes) for i, p in enumerate((("t", "h"), ("h", "t")))]
+    rows += [(100, "x" * 65_536), (101, "x" * 65_536), (102, "x" * 65_535)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: (1, 100 if i == 101 else i) for i, _ in rows}
+
+
 def test_choice_of_matches():
     assert ngram_join.choose_matches(np.zeros(40), 100, 21, 12) == 1
     costly = np.concatenate([np.full(21, 1000.0), np.zeros(19)])
