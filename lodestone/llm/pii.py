@@ -1,22 +1,41 @@
-"""Personal data: fixed patterns, and terms that reveal what the patterns protect. DataFrame and SQL functions only.
-
-Four kinds are found by pattern. Beyond them, co-occurrence over the lines of the whole corpus estimates how much a
-term discloses of a protected value e (an email address, a number): PMI(t; e) = log2(n_te N / (n_t n_e)), against the
-value's own information IC(e) = log2(N / n_e). A term with PMI >= DISCLOSES * IC, seen with e on at least
-SUPPORT different lines, is a span of kind `term` wherever it stands in a text that holds e. Sanitising puts a
-kind's name for a pattern's span (generalised) and removes terms.
+"""Personal data: fixed patterns, and terms that reveal what is protected. DataFrame and SQL functions only.
+
+Four kinds are found by pattern. Beyond them, co-occurrence over the whole corpus estimates what a term (a run of letters
+and digits, lowered) discloses, and terms over a threshold are spans of kind `term`. Two sorts of entity are protected:
+
+* A value e that a pattern found. Over contexts (sentences of lines), PMI(t; e) = log2(n_te N / (n_t n_e)) against
+  the value's own information IC(e) = log2(N / n_e). A term discloses e with PMI >= DISCLOSES * IC if they meet in
+  different contexts. If they meet in one, which is weak evidence, the term must stand nowhere without e, and its PMI
+  be >= SINGLE * IC even after SHRINK neutral observations, so in a small corpus no such term is removed. It is a
+  span wherever it stands in a text that holds e.
+* The holder of a text, whom a key or a password reveals although it occurs but once, so that its own count says nothing.
+  IC(t) = -log2 P(t) is estimated from how characters co-occur as neighbours in all words of the corpus, a word
+  counting log2(1 + its texts), so that neither copies nor once-seen words rule; and it is no more than what choosing
+  each character evenly takes. A term of HOLDER bits or more, so that not two texts in 2**(HOLDER / 2) share it by
+  chance, whose bits a character also exceed the corpus's mean by UNLIKE, is a span in every text.
+
+Sanitising puts a kind's name for a pattern's span and <ID> for a term of the second sort (generalised), and removes
+those of the first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestone.llm._spark import Stage
 
-#: Share of a value's information that a term may disclose, different lines a pair must be on, characters of a term.
-DISCLOSES, SUPPORT, LETTERS = 0.5, 2, 3
-#: Candidate terms that are broadcast at most (about 100 bytes each in an executor).
+#: Share of a value's information that a term may disclose, the same on the evidence of one context, observations that shrink it there, characters of such a term.
+DISCLOSES, SINGLE, SHRINK, LETTERS = 0.5, 0.9, 2, 3
+#: Bits that reveal a holder, and bits a character over the mean of the corpus that they must have.
+HOLDER, UNLIKE = 64, 1.4
+#: Terms, or rows with their terms, that are broadcast at most (about 100 bytes each in an executor); beyond, they are joined by a shuffle.
 MOST_TERMS = 500_000
+#: What ends a context, and a word.
+CONTEXT, WORD = r"\n|(?<=[.!?])[ \t]", r"[\p{L}\p{N}]+"
+#: Characters beyond these count as one in the model of words, so that it has at most 600 ** 2 pairs.
+OTHER = r"[^\x{0}-\x{24F}]"
 
 # Java forms of the patterns. Possessive loops run without recursion and never give back what they took, which changes
 # no match here: what follows each loop cannot begin with what it takes. A local part or a first number can
@@ -57,67 +76,114 @@ def base_spans(text: str) -> Column:
     return F.expr(f"concat({', '.join(parts)})")
 
 
-def terms_of(line: str) -> Column:
-    """Distinct lowered words of LETTERS letters or more outside the patterns' matches."""
-    masked = line
-    for kind, pattern in PATTERNS.items():
-        masked = f"case when {HINTS[kind].format(t=line)} then regexp_replace({masked}, {_literal(pattern)}, ' ') else {masked} end"
-    return F.expr(f"array_distinct(filter(split(lower({masked}), r'[^\\p{{L}}]+'), w -> length(w) >= {LETTERS}))")
-
-
-class _Sanitiser:
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
-        self.stage = Stage(docs.sparkSession, "pii")
-        texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        texts = texts.withColumn("base", base_spans("text")).withColumn("held", F.expr("size(base) > 0"))
-        # a row is known by what it holds: rows that agree in id and text get the same spans
-        texts = texts.withColumn("key", F.when(F.col("held"), F.xxhash64("doc_id", "text"))).withColumn("text", F.when(F.col("held"), F.col("text")))
-        self.rows = self.stage.save(texts, "rows")
-        self.lines = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line"))
-        self.disclosing = self._disclosing()
-
-    def _disclosing(self) -> DataFrame | None:
-        """(value, term) pairs over the threshold; None if there are none to count."""
-        stage = self.stage
-        lines = self.rows.where("held").select(F.explode(F.split("text", "\n")).alias("line"))
-        lines = lines.withColumn("values", F.array_distinct(F.transform(base_spans("line"), lambda x: x["value"])))
-        lines = stage.save(lines.where("size(values) > 0").withColumn("id", F.xxhash64("line")), "lines")
-        on = lines.select("line", "id", F.explode("values").alias("value"))
-        values = on.groupBy("value").agg(F.count("*").alias("n_e"), (F.min("id") != F.max("id")).alias("several")).where("several").select("value", "n_e")
-        pairs = on.join(values, "value").select("value", "n_e", "id", F.explode(terms_of("line")).alias("term"))
-        pairs = pairs.groupBy("value", "n_e", "term").agg(F.count("*").alias("n_te"), F.count_distinct("id").alias("lines")).where(F.col("lines") >= SUPPORT).select("value", "n_e", "term", "n_te")
+#: What is no word of a text: matches of the patterns that stand as whole words, whether they hold or not.
+MASKS = {
+    "email": PATTERNS["email"],
+    "ip": r"(?<![\p{L}\p{N}])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++(?![\p{L}\p{N}])",
+    "card": r"(?<![\p{L}\p{N}])[0-9]++(?:[\x20-][0-9]++)*+(?![\p{L}\p{N}])",
+    "phone": r"\+[0-9]++(?:[\x20().-]++[0-9]++)*+(?![\p{L}\p{N}])",
+}
+
+
+def words_of(text: str) -> str:
+    """Distinct lowered words outside the masks."""
+    masked = text
+    for kind, pattern in MASKS.items():
+        masked = f"case when {HINTS[kind].format(t=text)} then regexp_replace({masked}, {_literal(pattern)}, ' ') else {masked} end"
+    return f"array_distinct(transform(regexp_extract_all({masked}, {_literal(WORD)}, 0), w -> lower(w)))"
+
+
+_NONE = "cast(array() as array<struct<start: int, end: int, id: boolean>>)"
+_HINTED = "({})".format(" or ".join(HINTS.values()))
+_LONG = f"size(array_distinct(split(w, ''))) > 1 and length(w) >= {math.ceil(HOLDER / math.log2(36))}"
+
+
+def term_spans(text: str, base: str, terms: str) -> str:
+    """array<struct<start, end, id>> of the words that are among the terms (struct<term, id>) and not within a base span."""
+    end = "a.at + x.gap + length(x.m)"
+    return (
+        f"aggregate(zip_with(split({text}, {_literal(WORD)}, -1), regexp_extract_all({text}, {_literal(WORD)}, 0), (gap, m) -> named_struct('gap', length(gap), 'm', m)), "
+        f"named_struct('at', 0, 'found', {_NONE}), (a, x) -> case when x.m is null then a else named_struct('at', {end}, 'found', "
+        f"case when exists({terms}, t -> t.term = lower(x.m)) and not exists({base}, b -> b.start <= a.at + x.gap and {end} <= b.end) "
+        f"then array_append(a.found, named_struct('start', a.at + x.gap, 'end', {end}, 'id', exists({terms}, t -> t.term = lower(x.m) and t.id))) else a.found end) end, a -> a.found)"
+    )
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it is within the bound."""
+    return F.broadcast(table) if table.limit(MOST_TERMS + 1).count() <= MOST_TERMS else table
+
+
+class _Disclosure:
+    """What the corpus discloses. texts: (key, text), text not null; a row is known by what it holds."""
+
+    def __init__(self, spark: SparkSession, texts: DataFrame):
+        self.stage, self.texts = Stage(spark, "pii"), texts
+
+    def of_values(self) -> DataFrame:
+        """(key, term) of the terms that disclose a value which the text holds."""
+        stage, line = self.stage, F.explode(F.split("text", CONTEXT)).alias("line")
+        lines = self.texts.where(_HINTED.format(t="text")).select("key", line).where(_HINTED.format(t="line"))
+        lines = lines.withColumn("values", F.array_distinct(F.transform(base_spans("line"), lambda x: x["value"]))).where("size(values) > 0")
+        lines = stage.save(lines.withColumn("id", F.xxhash64("line")), "lines")
+        on = lines.select("key", "line", "id", F.explode("values").alias("value"))
+        words = F.explode(F.expr(f"filter({words_of('line')}, w -> length(w) >= {LETTERS})")).alias("term")
+        pairs = on.select("value", "id", words).groupBy("value", "term").agg(F.count("*").alias("n_te"), (F.min("id") != F.max("id")).alias("several"))
         pairs = stage.save(pairs, "pairs")
-        stage.drop("lines")
-        if not pairs.limit(1).count():
-            return None
+        contexts = self.texts.select(line)
+        total = float(self.texts.agg(F.sum(F.size(F.split("text", CONTEXT)))).first()[0] or 0)
         terms = stage.save(pairs.select("term").distinct(), "terms")
-        total = self.lines.count()
-        if terms.count() <= MOST_TERMS:
-            terms = F.broadcast(terms)  # else every word of the corpus is shuffled to its term
-        counts = self.lines.select(F.explode(terms_of("line")).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n_t"))
-        scored = pairs.join(counts, "term").withColumn("ic", F.log2(F.lit(float(total)) / F.col("n_e"))).withColumn("pmi", F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))))
-        return stage.save(scored.where((F.col("ic") > 0) & (F.col("pmi") >= DISCLOSES * F.col("ic"))).select("value", "term", "pmi", "ic"), "disclosing")
-
-    def term_spans(self) -> DataFrame | None:
-        """(key, terms): spans of kind term per row, in order."""
-        if self.disclosing is None:
-            return None
-        hits = self.rows.where("held").select("key", F.explode("base").alias("b")).select("key", F.col("b.value").alias("value")).join(self.disclosing, "value").select("key", "term").distinct()
-        texts = self.rows.where("held").select("key", "text", "base").dropDuplicates(["key"]).join(hits.select("key").distinct(), "key", "left_semi")
-        words = texts.select("key", "base", F.posexplode(F.expr(r"zip_with(split(text, r'\p{L}+', -1), regexp_extract_all(text, r'\p{L}+', 0), (gap, word) -> named_struct('gap', gap, 'word', word))")).alias("pos", "w"))
-        end = F.sum(F.length("w.gap") + F.length("w.word")).over(Window.partitionBy("key").orderBy("pos"))
-        words = words.where("w.word is not null").select("key", "base", F.lower("w.word").alias("term"), end.cast("int").alias("end"), F.length("w.word").alias("size"))
-        spans = words.join(hits, ["key", "term"]).withColumn("start", F.col("end") - F.col("size")).where("not exists(base, b -> b.start < end and start < b.end)")
-        return spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("terms"))
-
-    def spans(self) -> DataFrame:
-        """(doc_id, key, base, terms) for each row."""
-        found = self.term_spans()
-        rows = self.rows.drop("text", "held")
-        none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
-        if found is None:
-            return rows.withColumn("terms", none)
-        return rows.join(self.stage.save(found, "term-spans"), "key", "left").withColumn("terms", F.coalesce("terms", none))
+        counts = contexts.select(F.explode(F.expr(words_of("line"))).alias("term")).join(_few(terms), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+        values = on.groupBy("value").agg(F.count("*").alias("n_e"))
+        scored = pairs.join(counts, "term").join(values, "value").withColumn("ic", F.log2(F.lit(total) / F.col("n_e"))).withColumn("pmi", F.log2(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e"))))
+        shrunk = F.log2((F.col("n_te") * F.lit(total) / F.col("n_e") + SHRINK) / (F.col("n_t") + SHRINK))
+        alone = (F.col("n_te") == F.col("n_t")) & (shrunk >= SINGLE * F.col("ic"))
+        disclosing = stage.save(scored.where("ic > 0").where(F.when(F.col("several"), F.col("pmi") >= DISCLOSES * F.col("ic")).otherwise(alone)).select("value", "term", "pmi", "ic"), "disclosing")
+        return on.select("key", "value").join(_few(disclosing.select("value", "term")), "value").select("key", "term").distinct()
+
+    def model(self, words: DataFrame) -> DataFrame:
+        """(pair, n, cost) of neighbouring characters of the words (word, n), ends included; cost: bits of the second after the first."""
+        pairs = words.select(_pairs("word"), F.round(F.log2(F.col("n") + 1) * 1024).cast("long").alias("n"))
+        pairs = self.stage.save(pairs.groupBy("pair").agg(F.sum("n").alias("n")), "model")
+        firsts = pairs.groupBy(F.substring("pair", 1, 1).alias("first")).agg(F.sum("n").alias("of"))
+        kinds = firsts.count() + 1
+        cost = -F.log2((F.col("n") + 1024) / (F.col("of") + 1024 * kinds))
+        return pairs.withColumn("first", F.substring("pair", 1, 1)).join(F.broadcast(firsts), "first").select("pair", "n", cost.alias("cost"))  # 600 rows
+
+    def of_holders(self) -> DataFrame:
+        """(word, bits) of the terms that disclose the holder of a text."""
+        stage = self.stage
+        words = self.texts.select(F.explode(F.expr(words_of("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        words = stage.save(words, "words")
+        costs = stage.save(self.model(words), "costs")
+        mean = costs.agg(F.sum(F.col("n") * F.col("cost")) / F.sum("n")).first()[0] or 0.0
+        long = words.where(_LONG.replace("w", "word")).select("word", _pairs("word"))
+        bits = long.join(F.broadcast(costs), "pair").groupBy("word").agg(F.sum("cost").alias("bits"), F.count("*").alias("size"))
+        even = F.expr("length(word) * log2((case when word rlike '[0-9]' then 10 else 0 end) + (case when word rlike '[^0-9]' then 26 else 0 end))")
+        found = bits.where((F.least("bits", even) >= HOLDER) & (F.col("bits") >= UNLIKE * mean * F.col("size"))).select("word", "bits")
+        return stage.save(found, "holders")
+
+    def terms(self) -> DataFrame:
+        """(key, terms): the terms (struct<term, id>) of each text that has any; id: whether it discloses the holder."""
+        words = F.explode(F.expr(f"filter({words_of('text')}, w -> {_LONG})")).alias("word")
+        held = self.texts.select("key", words).join(_few(self.of_holders()), "word").select("key", F.col("word").alias("term"), F.lit(True).alias("id"))
+        every = self.of_values().withColumn("id", F.lit(False)).unionByName(held)
+        return self.stage.save(every.groupBy("key").agg(F.collect_set(F.struct("term", "id")).alias("terms")), "hits")
+
+
+def _pairs(word: str) -> Column:
+    """The neighbouring characters of ^word$, one pair a row."""
+    chars = f"split(concat('^', regexp_replace({word}, {_literal(OTHER)}, '\u4e00'), '$'), '')"
+    return F.explode(F.expr(f"zip_with(slice({chars}, 1, length({word}) + 1), slice({chars}, 2, length({word}) + 1), (a, b) -> concat(a, b))")).alias("pair")
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Each row of docs as struct `row` with its text, its base spans and the spans of its terms."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("text", F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))).withColumn("key", F.xxhash64(f"row.`{id_col}`", "text"))
+    hits = _few(_Disclosure(docs.sparkSession, rows.select("key", "text")).terms())
+    rows = rows.join(hits, "key", "left").withColumn("base", base_spans("text"))
+    return rows.withColumn("terms", F.expr(f"case when terms is not null then {term_spans('text', 'base', 'terms')} else {_NONE} end"))
 
 
 def _joined(spans: str) -> str:
@@ -125,44 +191,36 @@ def _joined(spans: str) -> str:
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term) for each row of docs.
+    """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term, n_spans) for each row of docs.
 
     spans: kind:start:end, comma-joined, the patterns' by kind as listed, then start, then the terms'. A null or empty
     text has none (base_sha256 is that of the empty string). Null ids and repeated rows are kept, each with its
-    spans. Other columns aren't read. No rows give no rows.
+    spans; rows that agree in id and text have the same ones. Other columns aren't read. No rows give no rows.
     """
-    rows = _Sanitiser(docs, id_col, text_col).spans()
+    rows = _found(docs.select(id_col, text_col), id_col, text_col)
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in PATTERNS]
     every = F.expr(_joined("concat(transform(base, s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end)), transform(terms, s -> named_struct('kind', 'term', 'start', s.start, 'end', s.end)))")).alias("spans")
-    return rows.select(F.col("doc_id").alias(id_col), *counts, F.sha2(F.expr(_joined("base")), 256).alias("base_sha256"), every, F.size("terms").cast("long").alias("n_term"))
+    return rows.select(F.col(f"row.`{id_col}`").alias(id_col), *counts, F.sha2(F.expr(_joined("base")), 256).alias("base_sha256"), every, F.size("terms").cast("long").alias("n_term"), (F.size("base") + F.size("terms")).cast("long").alias("n_spans"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with personal data out of its text: a pattern's span becomes <EMAIL>, <IP>, <CARD> or <PHONE>, a disclosing term goes.
+    """docs with personal data out of its text: a pattern's span becomes <EMAIL>, <IP>, <CARD> or <PHONE>, a term that discloses a holder <ID>; one that discloses a value goes.
 
-    Overlapping spans become the name of the first. A null text stays null; rows without spans stay as they are.
+    Overlapping spans become the name of the first. A null text stays null; rows without spans stay as they are. Other
+    columns, whatever their names, are carried along. Null ids and repeated rows are kept; no rows give no rows.
     """
-    found = _Sanitiser(docs, id_col, text_col)
-    terms = found.term_spans()
-    text = f"`{text_col}`"
-    held = docs.withColumn("_base", base_spans(f"coalesce({text}, '')"))
-    # only rows with something to take out meet the terms; the others aren't shuffled
-    clear, held = held.where("size(_base) = 0").drop("_base"), held.where("size(_base) > 0").withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
-    if terms is None:
-        held = held.withColumn("_terms", none)
-    else:
-        terms = found.stage.save(terms, "term-spans").select(F.col("key").alias("_key"), F.col("terms").alias("_terms"))
-        held = held.join(terms, "_key", "left").withColumn("_terms", F.coalesce("_terms", none))
-    out = held.withColumn(text_col, _cleaned(text))
+    out = _found(docs, id_col, text_col)
+    touched = F.expr("size(base) + size(terms) > 0")
+    once = out.withColumn("touched", touched).withColumn("clean", F.when(F.col("touched"), _cleaned("text")))
     # a match that had run into another, as a card's digits after an address's, stands free only now
-    out = out.withColumn("_base", base_spans(text)).withColumn("_terms", none).withColumn(text_col, _cleaned(text))
-    return clear.unionByName(out.select(*docs.columns))
+    again = once.withColumn("base", F.when(F.col("touched"), base_spans("clean"))).withColumn("terms", F.expr(_NONE))
+    text = F.when(F.col("touched"), _cleaned("clean")).otherwise(F.col(f"row.`{text_col}`"))
+    return again.withColumn("clean", text).select(*[F.col("clean").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _cleaned(text: str) -> Column:
-    """The text with its _base spans as names and its _terms left out."""
-    spans = "array_sort(concat(transform(_base, s -> named_struct('start', s.start, 'end', s.end, 'name', concat('<', upper(s.kind), '>'))), transform(_terms, s -> named_struct('start', s.start, 'end', s.end, 'name', ''))))"
+    """The text with its base spans as names, its terms as <ID> or left out."""
+    spans = "array_sort(concat(transform(base, s -> named_struct('start', s.start, 'end', s.end, 'name', concat('<', upper(s.kind), '>'))), transform(terms, s -> named_struct('start', s.start, 'end', s.end, 'name', case when s.id then '<ID>' else '' end))))"
     return F.expr(
         f"aggregate({spans}, named_struct('at', 0, 'out', ''), (a, s) -> case when s.start < a.at then named_struct('at', greatest(a.at, s.end), 'out', a.out) "
         f"else named_struct('at', s.end, 'out', concat(a.out, substr({text}, a.at + 1, s.start - a.at), s.name)) end, a -> concat(a.out, substr({text}, a.at + 1)))"
