@@ -2,8 +2,8 @@
 
 score = sigmoid(b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j) over the terms present in a text (whole words and their
 first characters, as 64-bit hashes). The pair term learns what a linear weight cannot, such as a
-mild insult that turns toxic beside the mention of a group. Terms are chosen on the labelled sample by chi-square,
-counted over the cluster; the weights are fitted by AdaGrad on mini-batches in one task,
+mild insult that turns toxic beside the mention of a group. Terms are those of the labelled
+sample that differ between its labels (chi-square with Yates's correction, at one in a thousand), however many, counted over the cluster; the weights are fitted by AdaGrad on mini-batches in one task,
 whose input is bounded by the sample; scoring is one pass over all texts.
 """
 
@@ -19,8 +19,8 @@ from lodestone.llm._bytes import U64, chunks
 from lodestone.llm._spark import Stage
 from lodestone.llm._terms import distinct_pairs, held_out, labelled_sample, words_and_prefixes
 
-#: Labelled rows that are fitted at most, terms of the model, and the least documents a term must be in.
-SAMPLE, TERMS, LEAST = 20_000, 4096, 4
+#: Labelled rows that are fitted at most, and the least chi-square of a term (one degree of freedom, p = 0.001).
+SAMPLE, CHI_SQUARE = 20_000, 10.83
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 12, 64, 0.1, 1e-4
 _FILTER = 1 << 22
 
@@ -111,16 +111,16 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def train(docs: DataFrame, labels: DataFrame, stage: Stage, label: str = "toxic", bound: int = SAMPLE, terms: int = TERMS) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, stage: Stage, label: str = "toxic", bound: int = SAMPLE, least: float = CHI_SQUARE) -> ToxicityModel:
     """The model fitted on the labelled rows outside the held-out fold (at most `bound`). Without any, every score is 0.5."""
     sc = stage.spark.sparkContext
     sample = stage.save(labelled_sample(docs, labels, label, bound), "sample")
     size = sample.agg(F.count("*"), F.sum("y")).first()
     n, pos = size[0], size[1] or 0
-    counts = sample.select("text", "y").mapInArrow(_counts, "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= LEAST)
+    counts = sample.select("text", "y").mapInArrow(_counts, "term long, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
     expect = F.col("n") * F.lit(pos / max(n, 1))
-    chi = (F.col("pos") - expect) ** 2 / (expect * F.lit(max(1 - pos / max(n, 1), 1e-9)) * (1 - F.col("n") / F.lit(max(n, 1) + 1.0)) + 1e-9)
-    best = counts.orderBy(F.desc(chi), "term").limit(terms).select("term").toArrow()
+    chi = F.greatest(F.abs(F.col("pos") - expect) - 0.5, F.lit(0.0)) ** 2 / (expect * F.lit(max(1 - pos / max(n, 1), 1e-9)) * (1 - F.col("n") / F.lit(max(n, 1) + 1.0)) + 1e-9)
+    best = counts.where(chi >= least).select("term").toArrow()  # no more than the sample has
     hashes = np.sort(best.column(0).to_numpy().astype(np.int64).view(np.uint64))
     known = sc.broadcast(Terms(hashes))
 
