@@ -15,22 +15,42 @@ from lodestone.session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Where neither is set, a local master gets a temporary folder; on a cluster that would lose data, so it is an error.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="lodestone-shared")
     return own
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete all that this application's operators have written on the way. Results not yet read can't be read after it."""
+    _delete(spark, _tables(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Stage:
     """Tables an operator writes on the way, so that no lineage depends on an executor staying alive."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+        self.root = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
         ship(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
@@ -41,13 +61,11 @@ class Stage:
 
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.root}/{name}")
         # shuffle files of finished steps go when the driver collects the plans that made them
         gc.collect()
-        jvm.System.gc()
+        self.spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +78,9 @@ MOST_IDS = 2_000_000
 
 def without_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows of df whose id isn't in the one column of ids (distinct). Rows with a null id stay."""
-    ids = ids.toDF("_drop")
     if ids.limit(MOST_IDS + 1).count() <= MOST_IDS:
         ids = F.broadcast(ids)
-    return df.join(ids, F.col(column) == F.col("_drop"), "left_anti")
+    return df.join(ids, df[column] == ids[ids.columns[0]], "left_anti")
 
 
 def units(keys: int, work):

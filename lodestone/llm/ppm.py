@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.llm._bytes import LOWER, SPACE, chunks, prefix_sums, span_hashes, spans
-from lodestone.llm._spark import Stage
+from lodestone.llm._spark import Stage, units
 
 #: Longest context in bytes, and the seen (context, symbol) cells broadcast at a time (by its arrays up to about 80 bytes each in a worker).
 ORDER, MOST_CELLS = 4, 1 << 21
@@ -247,8 +247,8 @@ def train(texts: DataFrame, stage: Stage, order: int = ORDER, most_cells: int =
 
 # ---- both scores of every document ----
 
-#: Text bytes of one group of documents.
-GROUP = 8 << 20
+#: Text bytes of one group of documents, and those whose words make up a bucket on the average: a task counts one bucket at a time.
+GROUP, BUCKET = 8 << 20, 128 << 20
 PACKED = "grp long, bucket int, words binary, seen binary, per_word binary, docs binary, times binary, ids binary, learn binary, score binary, n_learn long"
 
 
@@ -322,24 +322,16 @@ def _cut(data: np.ndarray, off: np.ndarray, limit: int = 2 << 20) -> Iterator[tu
         i = j
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers each group's distinct words with their counts over all training documents; a partition holds whole buckets."""
-    keys, words, seen = [], [], []
-    for rb in batches:
-        for g, b, w, s in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), rb.column(2), rb.column(3)):
-            keys.append((g, b))
-            words.append(np.frombuffer(w.as_buffer(), dtype=np.uint64))
-            seen.append(np.frombuffer(s.as_buffer(), dtype=np.uint32))
-    if not keys:
-        return
-    size = np.array([len(w) for w in words])
+def _word_counts(rows: pa.Table) -> pa.RecordBatch:
+    """Answers each group's distinct words of one bucket with their counts over all training documents."""
+    words = [np.frombuffer(w.as_buffer(), dtype=np.uint64) for w in rows.column("words")]
+    seen = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in rows.column("seen")]
     distinct, at = np.unique(np.concatenate(words), return_inverse=True)
     count = np.bincount(at, weights=np.concatenate(seen), minlength=len(distinct)).astype(np.int64)
-    back = np.split(count[at], np.cumsum(size)[:-1])
-    tokens, known = [int(count.sum()), *[0] * (len(keys) - 1)], [int((count > 0).sum()), *[0] * (len(keys) - 1)]
-    for i in range(0, len(keys), 64):
-        part = slice(i, i + 64)
-        yield pa.record_batch([pa.array([k[0] for k in keys[part]], pa.int64()), pa.array([k[1] for k in keys[part]], pa.int32()), pa.array([c.tobytes() for c in back[part]], pa.binary()), pa.array(tokens[part], pa.int64()), pa.array(known[part], pa.int64())], ["grp", "bucket", "counts", "tokens", "distinct"])
+    back = np.split(count[at], np.cumsum([len(w) for w in words])[:-1])
+    first = np.arange(len(words)) == 0
+    counts = pa.array([c.tobytes() for c in back], pa.large_binary()).cast(pa.binary())
+    return pa.record_batch([rows.column("grp").combine_chunks(), rows.column("bucket").combine_chunks(), counts, pa.array(first * int(count.sum())), pa.array(first * int((count > 0).sum()))], ["grp", "bucket", "counts", "tokens", "distinct"])
 
 
 def _finish(total: int, distinct: int, ends: int):
@@ -378,7 +370,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     fold = F.crc32(F.col(id_col).cast("string")) % folds
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(fold != 0, F.lit(False)).alias("learn"))
     model = train(rows.where("learn").select("text"), stage, order, most_cells)
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(8, int(size) // BUCKET + 1)
+    parts = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # the id travels as bytes; a null one as the least long, which is turned back at the end
     least, trie, numbered = -(2**63), None, None
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(least)))
@@ -394,8 +388,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         rows = numbered.select(F.col("row").alias("doc_id"), "text", "learn")
     stage.drop("nodes")
     packed = stage.save(rows.mapInArrow(_packed(trie, buckets), PACKED), "packed")
-    asked = packed.where("bucket >= 0").select("grp", "bucket", "words", "seen").repartition(buckets, "bucket")
-    counts = stage.save(asked.mapInArrow(_word_counts, "grp long, bucket int, counts binary, tokens long, distinct long"), "counts")
+    asked = packed.where("bucket >= 0").select("bucket", "grp", "words", "seen").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    counts = stage.save(asked.mapInArrow(units(1, _word_counts), "grp long, bucket int, counts binary, tokens long, distinct long"), "counts")
     words = counts.agg(F.sum("tokens"), F.sum("distinct")).first()
     ends = packed.agg(F.sum("n_learn")).first()[0] or 0
     total, distinct = (words[0] or 0) + ends, (words[1] or 0) + (ends > 0)

@@ -1,40 +1,37 @@
 """URL allow and block lists as one trie over reversed host labels and path segments.
 
-The trie is built on the driver from the rules, checked against a size bound and broadcast;
-each url walks it once. Hosts go down label by label from the right, so a rule fits its host and
-every subdomain; below a host node the path goes down segment by segment. The deepest fit
-wins: the longest host first, then the longest path. With equal rules of both kinds, block wins.
+The trie is built from the rules and broadcast while their number is within a bound; hosts go down label by label from
+the right, so a rule fits its host and every subdomain; below a host node the path goes down segment by segment. The
+deepest fit wins: the longest host first, then the longest path. With equal rules of both kinds, block wins. Urls are
+split by SQL functions, and each distinct host of a batch walks the trie once.
+
+A longer list isn't broadcast: the same descent is a join of every suffix of a host and every folder of
+its path with the rules, and the longest fit of each row is kept.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestone.llm._spark import ship
+from lodestone.llm._spark import Stage, ship
 
 #: Largest number of rules that is broadcast (about 0.5 KB each in a worker).
 MOST_RULES = 1_000_000
-_LOWER = {i: i + 32 for i in range(65, 91)}
-PATH, RULE, TAILS = 0, 1, 2  # integer keys cannot clash with labels or segments, which are strings
-
-
-def split_url(url: str | None) -> tuple[str, str]:
-    """(host, path): host after the first :// up to / ? # or the end, A-Z lowered; path then up to ? # or the end."""
-    head, mark, rest = (url or "").partition("://")
-    if not mark:
-        return "", ""
-    for i, c in enumerate(rest):
-        if c in "/?#":
-            break
-    else:
-        i = len(rest)
-    path = rest[i:]
-    for c in "?#":
-        path = path.partition(c)[0]
-    return rest[:i].translate(_LOWER), path
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWER = str.maketrans(UPPER, LOWER)
+PATH, TAILS = 0, 1  # integer keys cannot clash with labels or segments, which are strings
+
+
+def host_and_path(url: str) -> tuple[Column, Column]:
+    """host: after the first :// up to / ? # or the end, A-Z lowered; path: then up to ? # or the end; empty without ://."""
+    some, rest = f"locate('://', `{url}`) > 0", f"substr(`{url}`, locate('://', `{url}`) + 3)"
+    host = f"case when {some} then translate(regexp_extract({rest}, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') else '' end"
+    path = f"case when {some} then regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) else '' end"
+    return F.expr(host).alias("host"), F.expr(path).alias("path")
 
 
 class UrlTrie:
@@ -42,13 +39,9 @@ class UrlTrie:
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
         self.root: dict = {}
-        n = 0
         for host, path, kind in rules:
             if kind not in ("allow", "block"):
                 raise ValueError(f"a rule is allow or block, not {kind!r}")
-            n += 1
-            if n > MOST_RULES:
-                raise ValueError(f"more than {MOST_RULES} rules; join large lists by host instead of broadcasting them")
             node = self.root
             host = host.translate(_LOWER)
             for label in reversed(host.split(".")) if host else ():
@@ -62,19 +55,22 @@ class UrlTrie:
             if tails.get(tail, (None, "allow"))[1] == "allow":
                 tails[tail] = (host + path, kind)
 
-    def find(self, host: str, path: str) -> tuple[str, str] | None:
-        """(rule, kind) of the longest fit, or None."""
-        nodes = [self.root]
+    def nodes(self, host: str) -> list[dict]:
+        """Path nodes of the rules' hosts that fit, the longest host first."""
+        found, node = [], self.root
+        if PATH in node:
+            found.append(node[PATH])
         for label in reversed(host.split(".")) if host else ():
-            node = nodes[-1].get(label)
+            node = node.get(label)
             if node is None:
                 break
-            nodes.append(node)
-        for node in reversed(nodes):
-            best = self._path(node.get(PATH), path)
-            if best:
-                return best
-        return None
+            if PATH in node:
+                found.append(node[PATH])
+        return found[::-1]
+
+    def find(self, host: str, path: str) -> tuple[str, str] | None:
+        """(rule, kind) of the longest fit, or None."""
+        return next((best for node in self.nodes(host) if (best := self._path(node, path))), None)
 
     @staticmethod
     def _path(node: dict | None, path: str) -> tuple[str, str] | None:
@@ -92,29 +88,66 @@ class UrlTrie:
         return best
 
 
-def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
-    """(id, host, path, rule, verdict) for each row: the longest fitting rule, else null and `default`.
-
-    A null url, or one without ://, has an empty host and path and gets the default verdict. Repeated
-    rows and null ids are returned as they are; other columns aren't read; no rows give no rows.
-    """
-    spark = pages.sparkSession
+def _by_trie(urls: DataFrame, rules: list[tuple[str, str, str]], default: str) -> DataFrame:
+    spark = urls.sparkSession
     ship(spark)
     trie = spark.sparkContext.broadcast(UrlTrie(rules))
-    id_type = pages.select(id_col).schema[0].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = trie.value.find
+        t = trie.value
         for rb in batches:
-            hosts, paths, names, verdicts = [], [], [], []
-            for url in rb.column(1).to_pylist():
-                host, path = split_url(url)
-                hit = find(host, path)
-                hosts.append(host)
-                paths.append(path)
-                names.append(hit[0] if hit else None)
-                verdicts.append(hit[1] if hit else default)
-            yield pa.record_batch([rb.column(0), *(pa.array(x, pa.string()) for x in (hosts, paths, names, verdicts))], [id_col, "host", "path", "rule", "verdict"])
-
-    rows = pages.select(F.col(id_col), F.col(url_col))
-    return rows.mapInArrow(judge, f"`{id_col}` {id_type}, host string, path string, rule string, verdict string")
+            coded = rb.column(1).dictionary_encode()
+            nodes = [t.nodes(host) for host in coded.dictionary.to_pylist()]
+            paths = rb.column(2)
+            hits = []
+            for k, at in enumerate(coded.indices.to_pylist()):
+                fit = None
+                for node in nodes[at]:
+                    fit = t._path(node, paths[k].as_py())
+                    if fit:
+                        break
+                hits.append(fit)
+            names, verdicts = [h and h[0] for h in hits], [h[1] if h else default for h in hits]
+            yield pa.record_batch([rb.column(0), rb.column(1), paths, pa.array(names, pa.string()), pa.array(verdicts, pa.string())], ["id", "host", "path", "rule", "verdict"])
+
+    return urls.mapInArrow(judge, f"id {urls.schema['id'].dataType.simpleString()}, host string, path string, rule string, verdict string")
+
+
+def _by_join(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
+    """The same by a join: a rule has one folder (its path up to the last slash), a url one for each slash of its path, and the whole start."""
+    folder = F.regexp_extract("rule_path", "^(?:.*/)?", 0)
+    rules = rules.select(F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path"), F.col("kind").alias("kind"))
+    rules = rules.groupBy("rule_host", "rule_path").agg(F.max("kind").alias("kind")).withColumn("folder", folder.alias("folder"))  # of both, block
+    urls = Stage(urls.sparkSession, "urls").save(urls.withColumn("row", F.monotonically_increasing_id()), "rows")
+    labels = "split(host, '[.]')"
+    hosts = f"array_distinct(array_append(transform(sequence(1, size({labels})), i -> concat_ws('.', slice({labels}, i, size({labels})))), ''))"
+    parts = "split(path, '/')"
+    folders = f"transform(sequence(0, size({parts}) - 1), i -> array_join(transform(slice({parts}, 1, i), p -> concat(p, '/')), ''))"
+    asked = urls.select("row", "path", F.explode(F.expr(hosts)).alias("rule_host"), F.expr(folders).alias("folders")).select("row", "path", "rule_host", F.explode("folders").alias("folder"))
+    fits = asked.join(rules, ["rule_host", "folder"]).where("startswith(path, rule_path)")
+    best = fits.groupBy("row").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "kind"), F.struct(F.length("rule_host"), F.length("rule_path"))).alias("hit"))
+    out = urls.join(best, "row", "left")
+    return out.select("id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.kind", F.lit(default)).alias("verdict"))
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+    """(id, host, path, rule, verdict) for each row: the longest fitting rule, else null and `default`.
+
+    rules: (host, path prefix, 'allow' or 'block'), as tuples or as a DataFrame with columns host, path, kind. A null
+    url, or one without ://, has an empty host and path and gets the default verdict unless a rule of an
+    empty host and path fits. Repeated rows and null ids are returned as they are; other columns aren't read; no rows give no rows.
+    """
+    urls = pages.select(F.col(id_col).alias("id"), *host_and_path(url_col))
+    urls = urls.withColumns({c: F.coalesce(c, F.lit("")) for c in ("host", "path")})
+    if not isinstance(rules, DataFrame):
+        rest = iter(rules)
+        first = list(itertools.islice(rest, MOST_RULES + 1))
+        if len(first) <= MOST_RULES:
+            return _by_trie(urls, first, default).withColumnRenamed("id", id_col)
+        rules = pages.sparkSession.createDataFrame([*first, *rest], "host string, path string, kind string")
+    rules = rules.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("host", "path", "kind")])
+    if bad := rules.where("kind not in ('allow', 'block')").limit(1).collect():
+        raise ValueError(f"a rule is allow or block, not {bad[0].kind!r}")
+    first = [tuple(r) for r in rules.limit(MOST_RULES + 1).collect()]
+    out = _by_trie(urls, first, default) if len(first) <= MOST_RULES else _by_join(urls, rules, default)
+    return out.withColumnRenamed("id", id_col)

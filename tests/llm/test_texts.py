@@ -40,6 +40,26 @@ def test_urls(spark, url, want):
     assert url_filter.filter_urls(df.limit(0), RULES).collect() == []
 
 
+def test_long_lists_are_joined(spark, monkeypatch):
+    rng = random.Random(3)
+    host = lambda: ".".join(rng.choice(["a", "b", "Net", "x-y"]) for _ in range(rng.randint(0, 4)))
+    path = lambda: "".join(rng.choice(["/", "a", "b/", "é", "/"]) for _ in range(rng.randint(0, 5)))
+    rules = [(host(), rng.choice(["", "/"]) + path(), rng.choice(["allow", "block"])) for _ in range(60)]
+    urls = [None, "", "nothing", *["http://" + host() + rng.choice(["/" + path(), "", "?" + path(), "#a"]) for _ in range(300)]]
+    pages = spark.createDataFrame([(i if i % 9 else None, u, 1, "r") for i, u in enumerate(urls + urls[:20])], "page_id bigint, url string, row int, rule string")
+    want = sorted(map(str, url_filter.filter_urls(pages, rules).collect()))
+    lower = lambda x: x.translate({i: i + 32 for i in range(65, 91)})
+    for r in url_filter.filter_urls(pages, rules).collect():
+        fits = [(len(h), len(p), k == "block", lower(h) + p, k) for h, p, k in rules if (r.host == lower(h) or not h or r.host.endswith("." + lower(h))) and r.path.startswith(p)]
+        assert (r.rule, r.verdict) == (max(fits)[3:] if fits else (None, "allow"))
+    monkeypatch.setattr(url_filter, "MOST_RULES", 10)
+    frame = spark.createDataFrame(rules, "host string, path string, kind string")
+    for form in (rules, frame):
+        assert sorted(map(str, url_filter.filter_urls(pages, form).collect())) == want
+    with pytest.raises(ValueError):
+        url_filter.filter_urls(pages, [*rules, ("a", "", "maybe")])
+
+
 # ---- decontamination ----
 
 def test_leaks(spark):
