@@ -91,6 +91,50 @@ def test_short_excerpts_are_found_at_every_offset():
     assert {(len(t), b) for t, b in zip(p.text, p.budget.tolist())} == {(120, 9), (60, 4)}
 
 
+def test_short_items_repeats_and_long_texts(spark):
+    rng = random.Random(7)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    item = words(40)
+    long = words(30_000) + " " + item + " " + words(30_000)
+    rows = [(1, " TINY\n"), (2, "tiny thing"), (3, long), (4, item), (4, item), (5, "tiny")]
+    bench = spark.createDataFrame([(10, item), (10, item), (11, item), (12, "tiny"), (13, "Tiny"), (14, " "), (15, "")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs(spark, rows), bench).collect()}
+    assert set(got) == {(d, i) for d in (3, 4) for i in (10, 11)} | {(d, i) for d in (1, 5) for i in (12, 13)}
+    assert long[got[3, 10].begin : got[3, 10].end] == item and got[4, 10].n_segments == got[4, 11].n_segments
+    assert sorted(r.doc_id for r in decontaminate.drop_leaking(docs(spark, rows), bench).collect()) == [2]
+
+
+@pytest.mark.parametrize("unit", ["-", "-=", "ab c", "0123456789abcdef"])
+def test_periodic_texts_are_searched_whole_in_bounded_memory(unit, monkeypatch):
+    """A megabyte of one pattern against 40 items with such a stretch; the ends of what is found equal a search without short cuts."""
+    import resource
+
+    rng = random.Random(8)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    items = [(k, (words(10) + " " + (unit * 60)[:60] + " " + words(10)).encode()) for k in range(40)]
+    p = decontaminate.Patterns(items)
+
+    def search(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        doc, segment, edits, ends, _, _ = p.regions(data, np.array([0, len(data)]))
+        row, every = p.named(segment)
+        out = {}
+        for s, e, z in zip(every.tolist(), edits[row].tolist(), ends[row].tolist()):
+            a, b, c = out.get(s, (99, 1 << 40, 0))
+            out[s] = (min(a, e), min(b, z), max(c, z))
+        return out
+
+    text = words(20) + " " + unit * (3000 // len(unit)) + " " + words(20) + items[3][1].decode() + unit * 200
+    monkeypatch.setattr(decontaminate, "MANY", 1 << 60)
+    plain_ = search(text)
+    monkeypatch.setattr(decontaminate, "MANY", 0)
+    assert search(text) == plain_ and plain_
+    monkeypatch.setattr(decontaminate, "MANY", 1 << 20)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert search(unit * ((1 << 20) // len(unit)))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500 * 1024
+
+
 def test_alignment_is_exact():
     rng = random.Random(3)
     items = [(k, bytes(rng.choice(b"abcd ") for _ in range(n))) for k, n in enumerate((40, 90, 120, 200))]
@@ -107,7 +151,8 @@ def test_alignment_is_exact():
     edits, _ = p.align(np.frombuffer(b"".join(texts), np.uint8), off, doc, seg, least, width)
     found = {}
     for d, s, e in zip(doc, seg, edits):
-        found[d, s] = min(e, found.get((d, s), 99))
+        for t in p.same[s]:
+            found[d, t] = min(e, found.get((d, t), 99))
 
     def least_edits(a, b):
         row = [0] * (len(b) + 1)
