@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.llm import decontaminate, mixing, ngram_join, pii, toxicity
 from lodestone.llm._spark import Stage, table
-from lodestone.llm.queries import TARGETS
+from lodestone.llm.queries import TARGETS, known_domains
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document gets its rate in the target mixture of languages."""
-    return mixing.with_rates(docs, docs.selectExpr("doc_id as id", "lang as domain"), TARGETS)
+    return mixing.with_rates(docs, known_domains(docs, table(spark, sf_dir, "labels")), TARGETS)
 
 
 STAGES = [

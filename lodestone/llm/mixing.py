@@ -1,11 +1,12 @@
 """Mixing sources to target weights with soft membership.
 
-A multinomial naive Bayes classifier over hashed words, counted on labelled rows, gives every document a posterior over
-domains; its log odds are divided by the square root of the document's words, so that long documents keep soft
-memberships. With n_i tokens and posterior p_i, document rates r_i >= 0 are fitted so that the expected tokens of
+A classifier over hashed words, counted on the rows of a labelled table, gives every document a posterior over domains: the
+share of its words that each domain accounts for, fitted as a mixture of the domains' word distributions by a few
+rounds of expectation-maximisation from the prior. So a document of two domains is a member of both, however long. With n_i tokens and posterior p_i, document rates r_i >= 0 are fitted so that the expected tokens of
 domain d, sum_i r_i n_i p_id, match target d, by projected-gradient least squares from r = 1: r_i becomes
 max(0, r_i - p_i . g), g being the residual times the inverse of the active documents' second moments (the
-metric that makes a step exact until the projection bites), halved while it doesn't help. Every step is one
+metric that makes a step exact until the projection bites), or, where such a step doesn't lower the miss, the residual
+over the largest eigenvalue of all documents' second moments, which always does. Every step is one
 aggregation over the documents; the driver keeps only the g of each step, from which
 any task recomputes its rates.
 """
@@ -23,7 +24,8 @@ from lodestone.llm._spark import Stage
 
 #: Labelled rows counted at most, hash buckets of words, steps at most, and the relative miss that ends them.
 SAMPLE, BITS, STEPS, CLOSE = 20_000, 14, 40, 1e-6
-ALPHA = 0.1
+#: Count added to every word of a domain, rounds of the mixture, and the words of prior that steady it.
+ALPHA, ROUNDS, STEADY = 0.1, 8, 0.25
 #: Domains at most: the model and a step's sums hold DOMAINS ** 2 numbers.
 DOMAINS = 256
 
@@ -36,22 +38,24 @@ def _histogram(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class DomainModel:
-    """Naive Bayes with tempered log odds. counts: domain x bucket."""
+    """Word distributions of the domains. counts: domain x bucket; rows: labelled rows of each domain."""
 
     def __init__(self, names: list[str], counts: np.ndarray, rows: np.ndarray):
         self.names = names
-        total = counts.sum(axis=1, keepdims=True)
-        self.weights = np.log((counts + ALPHA) / (total + ALPHA * counts.shape[1])).astype(np.float64)
-        self.prior = np.log((rows + 1) / (rows.sum() + len(rows)))
+        chance = (counts + ALPHA) / (counts.sum(axis=1, keepdims=True) + ALPHA * counts.shape[1])
+        self.like = chance / chance.max(axis=0)
+        self.prior = (rows + 1) / (rows.sum() + len(rows))
 
     def posterior(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(words of each document, posteriors documents x domains)."""
+        """(words of each document, posteriors documents x domains); without words the prior."""
         bucket, doc, size = _histogram(data, off)
-        n = len(off) - 1
-        soft = 1 / np.sqrt(np.maximum(size, 1))
-        z = np.stack([p + soft * np.bincount(doc, weights=w[bucket], minlength=n) for p, w in zip(self.prior, self.weights)], axis=1)
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return size, z / z.sum(axis=1, keepdims=True)
+        share = np.tile(self.prior, (len(off) - 1, 1))
+        for _ in range(ROUNDS):
+            parts = [share[doc, d] * like[bucket] for d, like in enumerate(self.like)]
+            total = np.sum(parts, axis=0)
+            new = np.stack([np.bincount(doc, weights=part / total, minlength=len(share)) for part in parts], axis=1)
+            share = (new + STEADY * self.prior) / (size[:, None] + STEADY)
+        return size, share
 
 
 def train(docs: DataFrame, labelled: DataFrame, stage: Stage, id_col: str, text_col: str, bound: int = SAMPLE) -> DomainModel | None:
@@ -122,23 +126,25 @@ def fit_rates(members: DataFrame, targets: np.ndarray, steps: int = STEPS) -> tu
         return out[:width], out[width:].reshape(width, width)
 
     history = np.zeros((0, width))
-    scale = max(1.0, float(np.abs(targets).sum()))
+    scale = max(1.0, float(np.linalg.norm(targets)))
     total, second = sums(history)
-    miss, size = np.abs(total - targets).sum() / scale, 1.0
+    steepest = 1 / max(float(np.linalg.eigvalsh(second)[-1]), 1e-300)  # of all documents: all rates begin at 1
+    miss = float(np.linalg.norm(total - targets)) / scale
+    exact = True
     for _ in range(steps):
         if miss < CLOSE:
             break
-        g = np.linalg.pinv(second, rcond=1e-9, hermitian=True) @ (total - targets) * size
-        tried = np.vstack([history, g])
+        step = np.linalg.pinv(second, rcond=1e-9, hermitian=True) @ (total - targets) if exact else steepest * (total - targets)
+        tried = np.vstack([history, step])
         new_total, new_second = sums(tried)
-        new_miss = np.abs(new_total - targets).sum() / scale
-        if new_miss < miss:
-            history, total, second, miss, size = tried, new_total, new_second, new_miss, 1.0
-        elif size < 1e-3:
-            break
+        new_miss = float(np.linalg.norm(new_total - targets)) / scale
+        if new_miss < miss * (1 - 1e-9):
+            history, total, second, miss, exact = tried, new_total, new_second, new_miss, exact or len(tried) % 4 == 0
+        elif exact:
+            exact = False
         else:
-            size /= 2
-    return history, float(miss)
+            break
+    return history, miss
 
 
 def members(docs: DataFrame, model: DomainModel, stage: Stage, id_col: str, text_col: str) -> DataFrame:
@@ -172,8 +178,9 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     """(id, n_tokens, domain, posterior, rate) for each row of docs.
 
     labelled: columns (id, domain). weights: target share of each domain, normalised; a domain left out gets 0.
-    The rates' expected tokens sum to `scale` times the tokens of docs, shared out by the weights, as closely as rates >= 0
-    allow. n_tokens: words; domain: the likeliest (the first of equals); posterior: of `domain`; rate: expected copies.
+    The rates' expected tokens sum to `scale` times the tokens of docs, shared out by the weights. Where no rates >= 0
+    give that (a domain of weight 0 that every document has a share of), STEPS descent steps from equal rates are taken:
+    the best fit itself would be many copies of the few purest documents. n_tokens: words; domain: the likeliest (the first of equals); posterior: of `domain`; rate: expected copies.
     A null or empty text has no words, the prior as its posterior and a rate like any other, which moves no tokens.
     Null ids and repeated rows are kept, each with its rate. Other columns aren't read. Without labelled rows no domain
     is known: domain and posterior are null and every rate is `scale`. No rows give no rows.

@@ -113,7 +113,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.mixing import mix_to_targets
 
     docs = table(spark, sf_dir, "documents")
-    return mix_to_targets(docs, docs.selectExpr("doc_id as id", "lang as domain"), TARGETS)
+    return mix_to_targets(docs, known_domains(docs, table(spark, sf_dir, "labels")), TARGETS)
+
+
+def known_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, domain) of the documents in the labelled table; the domains of all others are predicted."""
+    return docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").selectExpr("doc_id as id", "lang as domain")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -248,6 +248,24 @@ def test_token_counts(spark):
     assert rows[5].n_tokens == len(tok.encode("x" * 70000, add_special_tokens=False).ids) and rows[None].n_tokens == 1
 
 
+def test_tokens_and_words_of_texts_whose_simple_hashes_collide(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    word = lambda n, a, b: "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+    rows = [(10 * k + i, word(n, *p)) for k, n in enumerate((1024, 2048, 4096, 8192)) for i, p in enumerate((("t", "h"), ("h", "t")))]
+    rows += [(100, " ".join(t for _, t in rows)), (101, "y" * 65_536), (102, ("ab " * 3000 + "\u3000x  ") * 4)]
+    got = {r.doc_id: r for r in token_count.token_counts(docs(spark, rows), public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    assert all(got[i].n_tokens == len(tok.encode(t, add_special_tokens=False).ids) for i, t in rows)
+    learn = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    count = collections.Counter(w for t in learn for w in [*re.findall(r"[^\x20\x09-\x0D]+", t), None])
+    for r in ppm.lm_scores(docs(spark, rows)).collect():
+        words = [*re.findall(r"[^\x20\x09-\x0D]+", dict(rows)[r.doc_id]), None]
+        assert (r.n_tokens, r.n_known) == (len(words), sum(count[w] > 0 for w in words)) and math.isfinite(r.score)
+        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.1) / (sum(count.values()) + 0.1 * (len(count) + 1))) for w in words), rel=1e-9)
+
+
 # ---- classifiers ----
 
 def labelled(spark, bad):
