@@ -13,16 +13,21 @@ MEDICAL_WORDS = ["医学", "诊断", "治疗", "病", "症状", "检查", "超
 # How an image hit's caption and path are written into its content.
 CAPTION_MARK, PATH_MARK = "图片描述: ", "图片路径: "
 
+# Fixed value: what a figure caption in a text looks like.
+CAPTION_PATTERN = r"(图\d+-\d+\s+[\p{L}\p{N}_\s（）(),]+)"
+
 
 def raw_tokens(text: Column) -> Column:
     """Lowered runs of letters, digits and underscores; a run of Han characters gives its bigrams (itself if single)."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"\p{IsHan}+|[\p{L}\p{N}_&&[^\p{IsHan}]]+"), 0)
+    plain = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)
 
     def split(t: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
         return F.when(t.rlike(r"^\p{IsHan}{2}"), pairs).otherwise(F.array(t))
 
-    return F.when(F.lower(text).rlike(r"\p{IsHan}"), F.flatten(F.transform(runs, split))).otherwise(runs)
+    # no Han character is below U+2E80, and that is cheap to see
+    return F.when(text.rlike("[\u2e80-\U0010ffff]"), F.flatten(F.transform(runs, split))).otherwise(plain)
 
 
 def tokens(text: Column) -> Column:
@@ -71,7 +76,7 @@ def parse_order(reply: Column, n: Column) -> Column:
 
 def captions(content: Column) -> Column:
     """Figure captions in a text, trimmed, in order."""
-    found = F.regexp_extract_all(content, F.lit(r"(图\d+-\d+\s+[\p{L}\p{N}_\s（）(),]+)"), 1)
+    found = F.regexp_extract_all(content, F.lit(CAPTION_PATTERN), 1)
     return F.transform(found, lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -63,8 +64,8 @@ def language_model(name: str) -> LanguageModel:
     return _made(LANGUAGE_MODELS, name)
 
 
-def with_embeddings(df: DataFrame, make: Callable[[], Embedder], text_col: str = "text", out: str = "embedding", retries: int = 3) -> DataFrame:
-    """df with a vector per text, one model per Python worker, batch by batch; a batch is retried before it fails."""
+def with_embeddings(df: DataFrame, make: Callable[[], Embedder], text_col: str = "text", out: str = "embedding", retries: int = 3, wait: float = 1.0) -> DataFrame:
+    """df with a vector per text, one model per Python worker, batch by batch; a batch is tried again after a pause before it fails."""
     ship(df.sparkSession)
     schema = T.StructType([*[f for f in df.schema.fields if f.name != out], T.StructField(out, T.ArrayType(T.FloatType()))])
 
@@ -78,6 +79,7 @@ def with_embeddings(df: DataFrame, make: Callable[[], Embedder], text_col: str =
                 except Exception:
                     if attempt + 1 == retries:
                         raise
+                    time.sleep(wait)
             yield pdf.assign(**{out: vectors})[schema.names]
 
     return df.mapInPandas(run, schema)

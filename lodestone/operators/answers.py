@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lodestone.functions.ranking import top_k
 from lodestone.functions.text import MEDICAL_WORDS, path_of, rerank_prompt_kind, snippet  # noqa: F401
 
 # Characters the context may take.
@@ -52,6 +53,8 @@ def pack_context(results: DataFrame, budget: int, reduce: bool = False, key: str
     w = Window.partitionBy(key).orderBy(order)
     strip = F.regexp_replace(F.col(content), r"^\s+|\s+$", "")
     rows = results.select(key, order, content, strip.alias("part")).where(F.length("part") > 0)
+    # a part and its separator take three characters at least, so no more parts than this can fit or overflow
+    rows = top_k(rows, budget // 3 + 2, [key], F.col(order), name="_place").drop("_place")
     rows = rows.withColumn("before", F.coalesce(F.sum(F.length("part") + 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = rows.withColumn("over", F.min(F.when(F.col("before") + F.length("part") > budget, F.col(order))).over(Window.partitionBy(key)))
     room = F.lit(budget) - F.col("before") - RESERVE

@@ -11,10 +11,14 @@ def sections(docs: DataFrame, id_col: str = "doc_path", text_col: str = "text")
     A section starts at a line of one to six # and a space, outside ``` fences; text before the first heading is a
     section of level 0. header_path has the headings above and its own. Links follow the order within a text.
     """
-    # a heading mark inside a fence is hidden from the split, then put back
-    hide = F.expr(f"array_join(transform(split(`{text_col}`, r'(?m)^(?=```)'), (p, i) -> if(i % 2 = 1, regexp_replace(p, r'(?m)^#', '\\u0001'), p)), '')")
-    parts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.posexplode(F.split(hide, r"(?m)(?=^#{1,6} )")).alias("at", "part"))
-    parts = parts.withColumn("part", F.replace("part", F.lit("\u0001"), F.lit("#"))).where(F.trim(F.regexp_replace("part", r"\s", "")) != "")
+    # pieces outside fences are cut at their headings; every piece that starts with none goes on the section before it
+    pieces = (
+        f"flatten(transform(split(`{text_col}`, r'(?m)^(?=```)'), (p, i) -> if(i % 2 = 1, array(named_struct('text', p, 'head', false)), "
+        "transform(split(p, r'(?m)(?=^#{1,6} )'), s -> named_struct('text', s, 'head', s rlike '^#{1,6} ')))))"
+    )
+    joined = F.expr(f"aggregate({pieces}, cast(array() as array<string>), (a, x) -> if(x.head or size(a) = 0, array_append(a, x.text), concat(slice(a, 1, size(a) - 1), array(concat(element_at(a, -1), x.text)))))")
+    parts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.posexplode(joined).alias("at", "part"))
+    parts = parts.where(F.trim(F.regexp_replace("part", r"\s", "")) != "")
     level = F.length(F.regexp_extract("part", r"^(#{1,6}) ", 1))
     title = F.trim(F.regexp_extract("part", r"^#{1,6} ([^\n]*)", 1))
     w = Window.partitionBy(id_col).orderBy("at")

@@ -37,34 +37,56 @@ def collection_info(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 class Collections:
-    """Named vector collections in the session catalog: get or create, upsert, inspect, delete."""
+    """Named vector collections in the session catalog: get or create, upsert, replace, inspect, delete.
+
+    A collection is a view over the table of its current version. A new version is written whole beside it, then the
+    view is pointed at it in one catalog change, so a crash leaves the old or the new state under the name.
+    """
 
     SCHEMA = "id string, embedding array<float>, document string, metadata map<string,string>"
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
+    def _property(self, name: str, key: str) -> str:
+        return self.spark.sql(f"SHOW TBLPROPERTIES `{name}`('{key}')").first().value
+
+    def _point(self, name: str, version: int, metric: str) -> None:
+        self.spark.sql(f"CREATE OR REPLACE VIEW `{name}` TBLPROPERTIES('metric'='{metric}', 'version'='{version}') AS SELECT * FROM `{name}_v{version}`")
+
     def get(self, name: str, metric: str = "cosine", create: bool = True) -> DataFrame:
         if not self.spark.catalog.tableExists(name):
             if not create:
                 raise ValueError(f"no collection {name}")
-            self.spark.sql(f"CREATE TABLE `{name}` ({self.SCHEMA}) USING parquet TBLPROPERTIES('metric'='{metric}')")
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS `{name}_v0` ({self.SCHEMA}) USING parquet")
+            self._point(name, 0, metric)
         return self.spark.table(name)
 
+    def metric(self, name: str) -> str:
+        return self._property(name, "metric")
+
     def put(self, name: str, rows: DataFrame, ordinal: str) -> None:
-        """Upserts by id. The new state is written beside the old one, then takes its place."""
-        old = self.get(name)
-        self.spark.sql(f"DROP TABLE IF EXISTS `{name}_next`")
-        metric = self.spark.sql(f"SHOW TBLPROPERTIES `{name}`('metric')").first().value
-        upsert(old, rows, "id", ordinal).write.format("parquet").saveAsTable(f"{name}_next")
-        self.spark.sql(f"DROP TABLE `{name}`")
-        self.spark.sql(f"ALTER TABLE `{name}_next` RENAME TO `{name}`")
-        self.spark.sql(f"ALTER TABLE `{name}` SET TBLPROPERTIES('metric'='{metric}')")
+        """Upserts by id; the row of the highest ordinal wins within rows."""
+        self._next(name, upsert(self.get(name), rows, "id", ordinal))
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        """rows in place of all that the collection held."""
+        self._next(name, rows.select(*self.get(name).columns))
+
+    def _next(self, name: str, rows: DataFrame) -> None:
+        old, metric = int(self._property(name, "version")), self.metric(name)
+        self.spark.sql(f"DROP TABLE IF EXISTS `{name}_v{old + 1}`")  # what a crashed run may have left
+        rows.write.format("parquet").saveAsTable(f"{name}_v{old + 1}")
+        self._point(name, old + 1, metric)
+        self.spark.sql(f"DROP TABLE IF EXISTS `{name}_v{old}`")
 
     def info(self, name: str) -> DataFrame:
         return collection_info({name: self.get(name, create=False)})
 
     def delete(self, name: str) -> bool:
-        there = self.spark.catalog.tableExists(name)
-        self.spark.sql(f"DROP TABLE IF EXISTS `{name}`")
-        return there
+        if not self.spark.catalog.tableExists(name):
+            return False
+        version = self._property(name, "version")
+        self.spark.sql(f"DROP VIEW `{name}`")
+        self.spark.sql(f"DROP TABLE IF EXISTS `{name}_v{version}`")
+        return True

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 from lodestone.functions.ranking import by_score, top_k
 from lodestone.session import ship
 
-#: Query vectors broadcast at a time; more are taken in blocks.
-BLOCK = 4096
+#: Query vectors compared at a time, and bytes of them that are broadcast for one scan of the corpus.
+BLOCK, MOST_BYTES = 1024, 256 << 20
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -21,19 +22,19 @@ def _unit(column: pa.Array) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def _scores(ids: np.ndarray, x: np.ndarray, k: int | None, id_type: pa.DataType):
-    """Per batch the rows (query_id, id, score), only a query's k best if k is given."""
+def _scores(asked, k: int | None):
+    """Per batch the rows (query_id, id, score), only a query's k best if k is given. asked: broadcast ids and unit vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = asked.value
         for rb in batches:
             if not rb.num_rows:
                 continue
-            sims = x @ _unit(rb.column(1)).T
-            mine = rb.column(0).to_numpy(zero_copy_only=False)
-            for q in range(len(ids)):
-                score = sims[q]
-                order = np.arange(len(score)) if k is None else np.lexsort((mine, -np.round(score, 6)))[:k]
-                yield pa.record_batch([pa.array(np.full(len(order), ids[q])), pa.array(mine[order]), pa.array(score[order])], ["query_id", "id", "score"])
+            unit, mine = _unit(rb.column(1)).T, rb.column(0).to_numpy(zero_copy_only=False)
+            for a in range(0, len(ids), BLOCK):
+                for q, score in zip(ids[a : a + BLOCK], x[a : a + BLOCK] @ unit):
+                    order = np.arange(len(score)) if k is None else np.lexsort((mine, -np.round(score, 6)))[:k]
+                    yield pa.record_batch([pa.array(np.full(len(order), q)), pa.array(mine[order]), pa.array(score[order])], ["query_id", "id", "score"])
 
     return run
 
@@ -41,31 +42,29 @@ def _scores(ids: np.ndarray, x: np.ndarray, k: int | None, id_type: pa.DataType)
 def vector_scores(corpus: DataFrame, queries: DataFrame, k: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score) of a stated query set (query_id long, vector) against all rows of one vector length.
 
-    Rows with a null or empty vector are left out. With k, each batch keeps a query's k best, so no more than
-    batches x queries x k rows are shuffled.
+    Rows with a null or empty vector are left out. The queries are broadcast, MOST_BYTES of them for each scan of the
+    corpus. With k, each batch keeps a query's k best, so no more than batches x queries x k rows are shuffled.
     """
-    ship(corpus.sparkSession)
+    spark = corpus.sparkSession
+    ship(spark)
     rows = corpus.where(F.size(vector_col) > 0).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-    out, held = None, []
-
-    def add(block: list) -> None:
-        nonlocal out
-        ids = np.array([r.query_id for r in block], dtype=np.int64)
-        x = _unit(pa.array([r.vector for r in block], pa.list_(pa.float64())))
-        part = rows.mapInArrow(_scores(ids, x, k, pa.int64()), "query_id long, id long, score double")
-        out = part if out is None else out.unionByName(part)
-
-    for row in queries.where(F.size("vector") > 0).select(F.col("query_id").cast("long").alias("query_id"), F.col("vector")).toLocalIterator():
-        held.append(row)
-        if len(held) == BLOCK:
-            add(held)
-            held = []
-    if held or out is None:
-        if held:
-            add(held)
-        else:
-            out = corpus.sparkSession.createDataFrame([], "query_id long, id long, score double")
-    return out
+    schema = "query_id long, id long, score double"
+    parts, ids, vectors, size = [], [], [], 0
+
+    def scan() -> None:
+        x = _unit(pa.array(vectors, pa.list_(pa.float64())))
+        parts.append(rows.mapInArrow(_scores(spark.sparkContext.broadcast((np.array(ids, dtype=np.int64), x)), k), schema))
+
+    for row in queries.where(F.size("vector") > 0).select(F.col("query_id").cast("long").alias("query_id"), "vector").toLocalIterator():
+        ids.append(row.query_id)
+        vectors.append(row.vector)
+        size += 8 * len(row.vector)
+        if size >= MOST_BYTES:
+            scan()
+            ids, vectors, size = [], [], 0
+    if ids:
+        scan()
+    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def dense_search(corpus: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

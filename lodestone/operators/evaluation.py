@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.functions.text import clean, overlap, raw_tokens, truncate_sentences
+from lodestone.saved import small
 
 # Limits of an evaluation sample.
 CONTEXTS, CONTEXT_SIZE, ANSWER_SIZE, QUESTION_SIZE = 2, 600, 800, 200
@@ -32,12 +33,40 @@ def metric_summary(scores: DataFrame) -> DataFrame:
     return known.groupBy("metric").agg(F.round(F.avg("score"), 3).alias("average"), F.round(F.max("score"), 3).alias("max"), F.round(F.min("score"), 3).alias("min"), F.count("*").alias("count"))
 
 
+def first_ranks(scores: DataFrame) -> DataFrame:
+    """(query_id, rank) of the best relevant row among scores (query_id, id, score, relevant), null where none is: counted, not sorted."""
+    place = F.struct(-F.round("score", 6), "id")
+    best = scores.groupBy("query_id").agg(F.min(F.when(F.col("relevant"), place)).alias("best"))
+    ahead = scores.join(small(best), "query_id").groupBy("query_id").agg(F.first("best").alias("best"), F.count_if(place < F.col("best")).alias("ahead"))
+    return ahead.select("query_id", F.when(F.col("best").isNotNull(), F.col("ahead") + 1).alias("rank"))
+
+
 def recall_at(ranks: DataFrame, rank: str = "rank", at: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """One row: share of ranks within each cut-off (a null rank is a miss); 0 without rows."""
     hit = lambda k: F.coalesce(F.round(F.avg(F.coalesce(F.col(rank) <= k, F.lit(False)).cast("int")), 6), F.lit(0.0)).alias(f"recall_{k}")
     return ranks.agg(*[hit(k) for k in at])
 
 
+def file_records(originals: DataFrame, responses: DataFrame, now: str | None = None) -> DataFrame:
+    """One record per question of a file, in its order: originals (qid, question, answer), responses (query_id = qid, answer, retrieval, total_results, timestamp, seconds, error).
+
+    A question with an error, or without a response, keeps its own fields and the error; the rest are null.
+    """
+    rows = originals.join(responses.withColumnRenamed("query_id", "qid").withColumnRenamed("answer", "generated"), "qid", "left")
+    error = F.when(F.col("error").isNotNull() | F.col("total_results").isNull(), F.coalesce("error", F.lit("no response")))
+    good = lambda c, name: F.when(error.isNull(), F.col(c)).alias(name)
+    stamp = F.date_format(F.lit(now).cast("timestamp") if now else F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    return rows.select(
+        F.col("qid").alias("id"), F.coalesce("question", F.lit("")).alias("original_question"), F.coalesce("answer", F.lit("")).alias("original_answer"), good("generated", "generated_answer"),
+        good("retrieval", "retrieval_results"), good("total_results", "total_retrieved"), F.coalesce(good("timestamp", "t"), stamp).alias("timestamp"), good("seconds", "processing_time"), error.alias("error"),
+    )
+
+
+def query_results(scores: DataFrame) -> DataFrame:
+    """(id, metrics): the metrics of each record as a map, from (id, metric, score)."""
+    return scores.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "score")))).alias("metrics"))
+
+
 def batch_summary(results: DataFrame, now: str | None = None) -> DataFrame:
     """One row over (ok boolean, seconds double): counts, success rate and times of the successes as text at two decimals."""
     ok = F.col("ok")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.functions.ranking import by_score, top_k
 from lodestone.functions.text import length_score, overlap, parse_order, position_bonus, raw_tokens
+from lodestone.models import LanguageModel, with_replies
+from lodestone.operators.answers import rerank_prompts
 
 OVERLAP, LENGTH, POSITION = 0.3, 0.1, 0.1
 
@@ -39,6 +41,11 @@ def order_rerank(results: DataFrame, replies: DataFrame) -> DataFrame:
     return out.withColumn("new_rank", F.coalesce("place", "rank")).withColumn("new_score", F.coalesce("order_score", "score")).drop("place", "order_score")
 
 
+def llm_rerank(results: DataFrame, make: Callable[[], LanguageModel], kind: str = "auto") -> DataFrame:
+    """order_rerank by a language model that is asked once per query, with the prompt of its kind."""
+    return order_rerank(results, with_replies(rerank_prompts(results, kind), make).select("query_id", "reply"))
+
+
 def rerank(results: DataFrame, kind: str = "rule", **options) -> DataFrame:
-    """Dispatch by name: rule, model or order."""
-    return {"rule": rule_rerank, "model": model_rerank, "order": order_rerank}[kind](results, **options)
+    """Dispatch by name: rule, model, order (replies given) or llm (replies asked for)."""
+    return {"rule": rule_rerank, "model": model_rerank, "order": order_rerank, "llm": llm_rerank}[kind](results, **options)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.functions.ranking import by_score, min_max_or_same, top_k
 from lodestone.functions.text import hash_similarity, tokens
+from lodestone.saved import saved
 
 FEATURES, KEYWORDS = 1000, 10
 K1, B = 1.5, 0.75
@@ -80,6 +81,7 @@ SIGNALS = ("tfidf", "keyword", "hash", "bm25")
 
 def text_similarity(candidates: DataFrame) -> DataFrame:
     """candidates with the four signals and raw_similarity: their mean, a signal that doesn't vary over a query's candidates counting 0."""
+    candidates = saved(candidates, "candidates")  # a few rows a query, read by all four signals
     out = candidates.withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("hash", hash_similarity(F.col("query"), F.col("content")))
     for part in (tfidf_cosine(candidates), keyword_overlap(candidates), candidate_bm25(candidates)):
         out = out.join(part, ["query_id", "doc_id"])

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions import ranking, text as T, vectors as V
-from lodestone.operators import answers, chunking, collections, dense, evaluation, fusion, lexical, rerank, similarity
+from lodestone.operators import answers, chunking, collections, dense, evaluation, fusion, images, lexical, rerank, similarity
 from lodestone.plans import search
+from lodestone.saved import against_all, saved
 from lodestone.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,7 +52,8 @@ def bm25(t: Tables, k: int = 10) -> DataFrame:
 
 
 def candidates(t: Tables) -> DataFrame:
-    return search.with_content(bm25(t), questions(t), t.documents)
+    """A few rows a question, which several operators read: computed once."""
+    return saved(search.with_content(bm25(t), questions(t), t.documents), "candidates")
 
 
 # ---- SQL shared by several queries ----
@@ -97,7 +99,7 @@ def tokenize_stats(spark, sf_dir):
 
 @query(f"WITH d AS (SELECT doc_id, unnest(list_distinct({toks('text')})) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents), t AS (SELECT term, count(*) AS df FROM d GROUP BY term) SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5)), 6) AS idf FROM t, n")
 def bm25_terms(spark, sf_dir):
-    return lexical.build_index(Tables(spark, sf_dir).documents).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.term_statistics(Tables(spark, sf_dir).documents).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {bm25_sql(10)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM top")
@@ -137,9 +139,9 @@ def argmax_match(spark, sf_dir):
 def recall_at_k(spark, sf_dir):
     t = Tables(spark, sf_dir)
     labels = t.embeddings.select(F.col("vec_id").alias("id"), "label")
-    near = ranking.top_k(dense.vector_scores(t.embeddings, asked_vectors(t)).where("id <> query_id"), None, ["query_id"], *ranking.by_score("score", "id"))
-    known = near.join(labels, "id").join(labels.toDF("query_id", "asked"), "query_id")
-    return evaluation.recall_at(known.groupBy("query_id").agg(F.min(F.when(F.col("label") == F.col("asked"), F.col("rank"))).alias("rank")))
+    scores = dense.vector_scores(t.embeddings, asked_vectors(t)).where("id <> query_id")
+    known = scores.join(labels, "id").join(labels.toDF("query_id", "asked"), "query_id")
+    return evaluation.recall_at(evaluation.first_ranks(known.withColumn("relevant", F.col("label") == F.col("asked"))))
 
 
 @query("WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), m AS (SELECT label, pos, avg(v) AS v FROM e GROUP BY ALL) SELECT label, pos, round(v / sqrt(sum(v * v) OVER (PARTITION BY label)), 6) + 0.0 AS value FROM m")
@@ -228,10 +230,14 @@ def llm_order_parse(spark, sf_dir):
     return r.select("reply_id", F.col("place").cast("bigint").alias("place"), "item", F.round((F.col("n") - F.col("place")) / F.col("n"), 6).alias("score"))
 
 
-@query(CANDIDATES + " SELECT query_id, doc_id, CASE WHEN rank = 3 THEN 1 WHEN rank < 3 THEN rank + 1 ELSE rank END AS new_rank, round((10 - CASE WHEN rank = 3 THEN 0 WHEN rank < 3 THEN rank ELSE rank - 1 END) / 10.0, 6) AS new_score FROM c")
+_PLACE = "(2 + (query_id // 20) % 5)"
+
+
+@query(CANDIDATES + f" SELECT query_id, doc_id, CASE WHEN rank = {_PLACE} THEN 1 WHEN rank < {_PLACE} THEN rank + 1 ELSE rank END AS new_rank, round((n - CASE WHEN rank = {_PLACE} THEN 0 WHEN rank < {_PLACE} THEN rank ELSE rank - 1 END) / n, 6) AS new_score FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM c)")
 def order_rerank(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    said = questions(t).select("query_id", F.lit("3").alias("reply"))
+    # the reply names one place of each question's list, another one from question to question
+    said = questions(t).select("query_id", F.concat(F.lit("best: "), (2 + F.floor(F.col("query_id") / 20) % 5).cast("string")).alias("reply"))
     return rerank.order_rerank(candidates(t), said).select("query_id", "doc_id", "new_rank", F.round("new_score", 6).alias("new_score"))
 
 
@@ -254,7 +260,7 @@ _HASH = "1 - (" + " + ".join(f"bit_count(xor(('0x' || substr(md5(query), {i}, 8)
 @query(f"SELECT item_id AS query_id, doc_id, round({_HASH.format(c='d.text')}, 6) AS similarity FROM (SELECT item_id, text AS query FROM benchmark WHERE item_id % 20 = 0) b, documents d")
 def md5_hamming(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    pairs = t.documents.join(F.broadcast(questions(t).select("query_id", "query")))  # the stated queries against all rows
+    pairs = against_all(t.documents, questions(t).select("query_id", "query"))  # the stated queries against all rows
     return pairs.select("query_id", "doc_id", F.round(T.hash_similarity(F.col("query"), F.col("text")), 6).alias("similarity"))
 
 
@@ -419,11 +425,12 @@ def llm_answer(spark, sf_dir):
     return answers.answers(questions(t).select("query_id", "query"), answers.pack_context(candidates(t), answers.context_budget(0))).select("query_id", "answer")
 
 
-@query(f"WITH {bm25_sql(10)} SELECT query_id, 'explanation' AS kind, 5::BIGINT AS n FROM (SELECT DISTINCT query_id FROM top)")
+@query(CANDIDATES + f" SELECT query_id, CASE WHEN {_MEDICAL} THEN 'medical' WHEN count(*) <= 5 THEN 'explanation' WHEN length(query) > 20 THEN 'advanced' ELSE 'basic' END AS kind, count(*) AS n, CASE WHEN NOT ({_MEDICAL}) AND count(*) > 5 AND length(query) > 20 THEN md5(string_agg('[' || rank || '] ' || substr(content, 1, 300) || '...', chr(10) ORDER BY rank)) END AS advanced_list FROM c GROUP BY query_id, query")
 def rerank_prompts(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    prompts = answers.rerank_prompts(candidates(t).where("rank <= 5"))
-    return prompts.select("query_id", "kind", F.regexp_count("prompt", F.lit(r"(?m)^\[\d+\] ")).cast("bigint").alias("n"))
+    prompts = answers.rerank_prompts(candidates(Tables(spark, sf_dir)))
+    lines = F.regexp_count("prompt", F.lit(r"(?m)^\[\d+\] ")).cast("bigint")
+    listed = F.md5(F.substring("prompt", F.locate("\n[1] ", F.col("prompt")) + 1, F.length("prompt")))
+    return prompts.select("query_id", "kind", lines.alias("n"), F.when(F.col("kind") == "advanced", listed).alias("advanced_list"))
 
 
 # ---- chunks, records, collections ----
@@ -519,14 +526,110 @@ def session_summary(spark, sf_dir):
     return evaluation.batch_summary(events)
 
 
-@query()
+def _share(a: str, b: str) -> str:
+    a, b = RAW.replace("@", a), RAW.replace("@", b)
+    return f"CASE WHEN len({a}) > 0 THEN len(list_intersect(list_distinct({a}), {b})) / len(list_distinct({a})) ELSE 0.0 END"
+
+
+_SAMPLES = f"WITH {_PAIRS}, z AS (SELECT id, substr(question, 1, 200) AS question, {_cleaned('substr(answer, 1, 800)')} AS answer, {_cleaned('''CASE WHEN length(context) <= 600 THEN context ELSE substr(context, 1, 597) || '...' END''')} AS context, question AS q0, answer AS a0 FROM pr), s AS (SELECT * FROM z WHERE trim(coalesce(q0, '')) <> '' AND trim(coalesce(a0, '')) <> '' AND context <> '')"
+_METRICS = f"{_SAMPLES}, m AS (SELECT id, 'faithfulness' AS metric, {_share('answer', 'context')} AS score FROM s UNION ALL SELECT id, 'answer_relevancy', {_share('question', 'answer')} FROM s UNION ALL SELECT id, 'context_relevancy', {_share('question', 'context')} FROM s)"
+
+
+@query(_METRICS + " SELECT metric, round(avg(score), 3) AS average, round(max(score), 3) AS max, round(min(score), 3) AS min, count(*) AS count FROM m GROUP BY metric")
 def eval_metrics(spark, sf_dir):
     return evaluation.metric_summary(evaluation.overlap_metrics(evaluation.samples(conversation_pairs(Tables(spark, sf_dir)))))
 
 
-@query()
+@query(_METRICS + " SELECT id, string_agg(metric || '=' || round(score, 3), ',' ORDER BY metric) AS metrics FROM m GROUP BY id")
+def eval_query_results(spark, sf_dir):
+    r = evaluation.query_results(evaluation.overlap_metrics(evaluation.samples(conversation_pairs(Tables(spark, sf_dir)))))
+    each = F.transform(F.map_entries("metrics"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 3).cast("string")))
+    return r.select("id", F.array_join(F.array_sort(each), ",").alias("metrics"))
+
+
+@query(HYBRID + f""", h2 AS (SELECT query_id, query, doc_id, text AS content, score, rank FROM merged JOIN q USING (query_id) JOIN documents USING (doc_id)), {rule_sql('h2')},
+    hit AS (SELECT query_id, doc_id, content, row_number() OVER (PARTITION BY query_id ORDER BY round(new_score, 6) DESC, doc_id) AS rank FROM ranked WHERE new_rank <= 10),
+    pt AS (SELECT *, trim(content, {_WS}) AS part FROM hit),
+    bf AS (SELECT *, coalesce(sum(length(part) + 2) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pt WHERE length(part) > 0),
+    a AS (SELECT query_id, CASE WHEN length(part) <= 13932 THEN part ELSE substr(content, 1, 13912) || '...' END AS first FROM bf WHERE before = 0)
+    SELECT query_id, (SELECT count(*) FROM hit WHERE hit.query_id = q.query_id) AS total_results, string_split(first, chr(10) || chr(10))[1] AS answer, '2024-01-02T03:04:05' AS timestamp FROM q LEFT JOIN a USING (query_id)""")
 def search_and_answer(spark, sf_dir):
     t = Tables(spark, sf_dir)
     vectors = t.embeddings.withColumnRenamed("vec_id", "doc_id").join(t.documents.select("doc_id"), "doc_id", "left_semi")
     r = search.search_and_answer(t.documents, vectors, questions(t), now="2024-01-02 03:04:05")
     return r.select("query_id", "total_results", "answer", "timestamp")
+
+
+@query(f"WITH {bm25_sql(10)}, r AS (SELECT query_id, count(*) AS n, string_agg(doc_id, ',' ORDER BY rank) AS ids FROM top GROUP BY query_id) SELECT item_id AS id, md5(text) AS original_question, '' AS original_answer, CASE WHEN item_id % 40 = 0 THEN ids END AS retrieval_results, CASE WHEN item_id % 40 = 0 THEN n END AS total_retrieved, '2024-01-02T03:04:05' AS timestamp, CASE WHEN r.query_id IS NULL THEN 'no response' WHEN item_id % 40 <> 0 THEN 'model failed' END AS error FROM benchmark LEFT JOIN r ON r.query_id = item_id")
+def file_mode(spark, sf_dir):
+    """Records of a question file: the stated queries are answered, half of them with an error; the others got no response."""
+    t = Tables(spark, sf_dir)
+    got = answers.responses(questions(t).select("query_id", "query"), bm25(t), now="2024-01-02 03:04:05")
+    got = got.select("query_id", F.lit(None).cast("string").alias("answer"), "retrieval", "total_results", "timestamp", F.lit(1.0).alias("seconds"), F.when(F.col("query_id") % 40 != 0, "model failed").alias("error"))
+    originals = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.lit(None).cast("string").alias("answer"))
+    r = evaluation.file_records(originals, got, now="2024-01-02 03:04:05")
+    ids = F.array_join(F.transform("retrieval_results", lambda x: x["doc_id"].cast("string")), ",")
+    return r.select("id", F.md5("original_question").alias("original_question"), "original_answer", ids.alias("retrieval_results"), "total_retrieved", "timestamp", "error")
+
+
+# ---- image search ----
+
+_IMAGES = """
+    v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    im AS (SELECT vec_id AS image_id, 'img/' || vec_id || '.png' AS image_path, CASE WHEN vec_id % 7 = 0 THEN '' ELSE 'caption ' || vec_id END AS caption, e, list_reverse(e) AS ce FROM v),
+    asked AS (SELECT vec_id AS query_id, e FROM v WHERE vec_id % 20 = 0),
+    byi AS (SELECT query_id, image_id, list_cosine_similarity(asked.e, im.e) AS s FROM asked, im),
+    byc AS (SELECT query_id, image_id, list_cosine_similarity(asked.e, im.ce) AS s FROM asked, im WHERE caption <> ''),
+    ri AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, image_id) AS rank, image_id, round(s, 6) AS score FROM byi),
+    rc AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, image_id) AS rank, image_id, round(s, 6) AS score FROM byc)
+"""
+
+
+def image_collection(t: Tables) -> DataFrame:
+    """The vectors as images, their reversals as vectors of their captions."""
+    name = F.col("vec_id").cast("string")
+    return t.embeddings.select(F.col("vec_id").alias("image_id"), F.concat(F.lit("img/"), name, F.lit(".png")).alias("image_path"), F.when(F.col("vec_id") % 7 == 0, "").otherwise(F.concat(F.lit("caption "), name)).alias("caption"), "embedding", F.reverse("embedding").alias("caption_embedding"))
+
+
+@query(f"WITH {_IMAGES} SELECT query_id, rank, image_id, image_path, caption, score, 'image_similarity' AS retrieval_type FROM ri JOIN im USING (image_id) WHERE rank <= 10")
+def image_search(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return images.by_image(image_collection(t), asked_vectors(t))
+
+
+@query(f"WITH {_IMAGES} SELECT query_id, rank, image_id, image_path, caption, score, 'caption_match' AS retrieval_type FROM rc JOIN im USING (image_id) WHERE rank <= 10")
+def caption_search(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return images.by_caption(image_collection(t), asked_vectors(t))
+
+
+@query(f"WITH {_IMAGES}, u AS (SELECT query_id, image_id, score, 'clip_text_image' AS retrieval_type FROM ri WHERE rank <= 10 UNION ALL SELECT query_id, image_id, score, 'caption_match' FROM rc WHERE rank <= 10), b AS (SELECT query_id, image_id, max(score) AS score, arg_max(retrieval_type, score) AS retrieval_type FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, image_id) AS rank FROM b) SELECT query_id, rank, image_id, image_path, caption, score, retrieval_type FROM r JOIN im USING (image_id) WHERE rank <= 10")
+def text_image_search(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return images.by_text(image_collection(t), asked_vectors(t), asked_vectors(t))
+
+
+@query(f"WITH {_IMAGES} SELECT 'named ' || query_id AS caption, image_path, score FROM rc JOIN im USING (image_id) WHERE rank = 1")
+def caption_top1(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    named = asked_vectors(t).select(F.col("query_id").alias("caption_id"), F.concat(F.lit("named "), F.col("query_id").cast("string")).alias("caption"), "vector")
+    return images.caption_matches(image_collection(t), named)
+
+
+@query(f"""WITH {_IMAGES}, h AS (SELECT query_id, image_id, score, round(0.4 * (1 - e[1]) + 0.3 * e[2] + 0.3 * e[3], 9) AS sim FROM ri JOIN im USING (image_id) WHERE rank <= 10),
+    n AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN score ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w + 1e-8) END AS ns, CASE WHEN max(sim) OVER w = min(sim) OVER w THEN sim ELSE (sim - min(sim) OVER w) / (max(sim) OVER w - min(sim) OVER w + 1e-8) END AS nr FROM h WINDOW w AS (PARTITION BY query_id)),
+    k AS (SELECT query_id, image_id, sim, 0.5 * ns + 0.5 * nr AS blended FROM n WHERE round(sim, 6) >= 0.4)
+    SELECT query_id, image_id, round(sim, 6) AS image_similarity, round(blended, 6) AS blended, row_number() OVER (PARTITION BY query_id ORDER BY round(blended, 6) DESC, image_id) AS new_rank FROM k""")
+def image_filter(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    part = lambda i: F.get("embedding", F.lit(i)).cast("double")  # noqa: E731  stand-ins for an image model's scores
+    known = t.embeddings.select(F.col("vec_id").alias("doc_id"), similarity.perceptual_fusion(part(0), part(1), part(2)).alias("image_similarity"))
+    hits = images.by_image(image_collection(t), asked_vectors(t)).withColumnRenamed("image_id", "doc_id").join(known, "doc_id")
+    kept = similarity.filter_results(hits, "image", threshold=0.4)
+    return kept.select("query_id", F.col("doc_id").alias("image_id"), F.round("image_similarity", 6).alias("image_similarity"), F.round("blended", 6).alias("blended"), "new_rank")
+
+
+@query(_FUSED + "SELECT query_id, doc_id, round(0.3 * raw_similarity, 6) AS multimodal_score, 'multimodal' AS filtered_by, row_number() OVER (PARTITION BY query_id ORDER BY round(blended, 6) DESC, doc_id) AS new_rank FROM kept")
+def multimodal_filter(spark, sf_dir):
+    rows = similarity.filter_results(similarity.text_similarity(candidates(Tables(spark, sf_dir))), "multimodal")
+    return rows.select("query_id", "doc_id", F.round("multimodal_score", 6).alias("multimodal_score"), "filtered_by", "new_rank")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodestone.operators.evaluation import metric_summary, query_results
+
 IMAGE_RECORD = "image_path string, caption string, source string"
 
 
@@ -63,6 +65,12 @@ def save_batch(results: DataFrame, summary: DataFrame, folder: str) -> None:
     results.write.mode("overwrite").json(f"{folder}/results")
 
 
+def save_report(scores: DataFrame, folder: str) -> None:
+    """An evaluation as JSON: query_results (id, metrics) and summary (metric, average, max, min, count) beside each other."""
+    query_results(scores).write.mode("overwrite").json(f"{folder}/query_results")
+    metric_summary(scores).write.mode("overwrite").json(f"{folder}/summary")
+
+
 def append_results(results: DataFrame, folder: str, session: str) -> None:
     """Adds a session's results to the result table, partitioned by session."""
     results.withColumn("session_id", F.lit(session)).write.mode("append").partitionBy("session_id").parquet(folder)
