@@ -16,7 +16,7 @@ U64 = np.uint64
 #: Odd base of the polynomial hash and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK = 2 << 20
+CHUNK = 512 << 10
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -3,34 +3,16 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodestone.saved import shared_dir
 from lodestone.session import ship
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else the context's checkpoint folder.
-
-    Where neither is set, a local master gets a temporary folder; on a cluster that would lose data, so it is an error.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = getattr(shared_dir, "own", None)
-    if own is None:
-        own = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="lodestone-shared")
-    return own
-
-
 def _tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
 

@@ -314,7 +314,7 @@ def _parts(trie):
     return run
 
 
-def _cut(data: np.ndarray, off: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _cut(data: np.ndarray, off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     i, n = 0, len(off) - 1
     while i < n:
         j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1))
