@@ -10,7 +10,7 @@ and digits, lowered) discloses, and terms over a threshold are spans of kind `te
   span wherever it stands in a text that holds e.
 * The holder of a text, whom a key or a password reveals although it occurs but once, so that its own count says nothing.
   IC(t) = -log2 P(t) is estimated from how characters co-occur as neighbours in all words of the corpus, a word
-  counting log2(1 + its texts), so that neither copies nor once-seen words rule; and it is no more than what choosing
+  counting log2(1 + its contexts), so that neither copies nor once-seen words rule; and it is no more than what choosing
   each character evenly takes. A term of HOLDER bits or more, so that not two texts in 2**(HOLDER / 2) share it by
   chance, whose bits a character also exceed the corpus's mean by UNLIKE, is a span in every text.
 
@@ -118,7 +118,15 @@ class _Disclosure:
     """What the corpus discloses. texts: (key, text), text not null; a row is known by what it holds."""
 
     def __init__(self, spark: SparkSession, texts: DataFrame):
-        self.stage, self.texts = Stage(spark, "pii"), texts
+        self.stage, self.texts, self.counted = Stage(spark, "pii"), texts, None
+
+    def words(self) -> DataFrame:
+        """(word, n): the contexts that each word of the corpus is in."""
+        if self.counted is None:
+            contexts = self.texts.select(F.explode(F.split("text", CONTEXT)).alias("line"))
+            words = contexts.select(F.explode(F.expr(words_of("line"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+            self.counted = self.stage.save(words, "words")
+        return self.counted
 
     def of_values(self) -> DataFrame:
         """(key, term) of the terms that disclose a value which the text holds."""
@@ -130,10 +138,10 @@ class _Disclosure:
         words = F.explode(F.expr(f"filter({words_of('line')}, w -> length(w) >= {LETTERS})")).alias("term")
         pairs = on.select("value", "id", words).groupBy("value", "term").agg(F.count("*").alias("n_te"), (F.min("id") != F.max("id")).alias("several"))
         pairs = stage.save(pairs, "pairs")
-        contexts = self.texts.select(line)
         total = float(self.texts.agg(F.sum(F.size(F.split("text", CONTEXT)))).first()[0] or 0)
+        # all words are counted already; the few that stand beside a value are looked up
         terms = stage.save(pairs.select("term").distinct(), "terms")
-        counts = contexts.select(F.explode(F.expr(words_of("line"))).alias("term")).join(_few(terms), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+        counts = self.words().join(_few(terms), F.col("word") == F.col("term")).select("term", F.col("n").alias("n_t"))
         values = on.groupBy("value").agg(F.count("*").alias("n_e"))
         scored = pairs.join(counts, "term").join(values, "value").withColumn("ic", F.log2(F.lit(total) / F.col("n_e"))).withColumn("pmi", F.log2(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e"))))
         shrunk = F.log2((F.col("n_te") * F.lit(total) / F.col("n_e") + SHRINK) / (F.col("n_t") + SHRINK))
@@ -152,9 +160,7 @@ class _Disclosure:
 
     def of_holders(self) -> DataFrame:
         """(word, bits) of the terms that disclose the holder of a text."""
-        stage = self.stage
-        words = self.texts.select(F.explode(F.expr(words_of("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-        words = stage.save(words, "words")
+        stage, words = self.stage, self.words()
         costs = stage.save(self.model(words), "costs")
         mean = costs.agg(F.sum(F.col("n") * F.col("cost")) / F.sum("n")).first()[0] or 0.0
         long = words.where(_LONG.replace("w", "word")).select("word", _pairs("word"))

@@ -416,7 +416,7 @@ def plain_terms(texts):
         shrunk = math.log2((k * n / n_e[e] + pii.SHRINK) / (n_t[t] + pii.SHRINK))
         if ic > 0 and (math.log2(k * n / (n_t[t] * n_e[e])) >= pii.DISCLOSES * ic if len(where[e, t]) > 1 else k == n_t[t] and shrunk >= pii.SINGLE * ic):
             pairs.add((e, t))
-    count = collections.Counter(w for t in texts for w in words(t or ""))
+    count = n_t
     two, one = collections.Counter(), collections.Counter()
     ends = lambda w: list(zip("^" + w, w + "$"))
     for w, k in count.items():
