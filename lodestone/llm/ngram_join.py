@@ -371,7 +371,7 @@ class _Join:
         levels = self.spark.sparkContext.broadcast(frequent_cells(self.texts.select("text"), self.k))
         docs = stage.save(self.texts.mapInArrow(_prefixes(self.k, percent, levels), "doc_id long, n long, f1 long, f2 long, ell int, prefix binary"), "docs")
         sizes = docs.select("doc_id", "n", "f1", "f2")
-        reps = docs.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("ell").alias("ell"), F.first("prefix").alias("prefix"))
+        reps = docs.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("ell").alias("ell"), F.first("prefix").alias("prefix"))
         packed, schema = reps.select("rep", "n", "ell", "prefix"), "token long, salts int, rep long, n int, ell int, level int, pos int"
         rows = [packed.mapInArrow(_postings(percent, levels, often), schema).withColumn("comp", F.col("rep")) for often in (False, True)]
         shared = stage.save(self.meeting(*rows).drop("comp"), "shared")
@@ -411,7 +411,7 @@ class _Join:
                 labels = stage.save(connected_components(links, stage, f"cc-{i}"), f"labels-{i}")
         if labels is None:
             labels = self.spark.createDataFrame([], "node long, component long")
-        members = reps.select("n", "f1", "f2", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
+        members = reps.select("n", "f1", "f2", "rep", "copies").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "f1", "f2", "copies", F.coalesce("component", "rep").alias("component"))
         if same is not None:
             same = same.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("same"))
         return sizes, members, same
@@ -428,7 +428,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sizes, members, same = _Join(texts, k, percent).components()
-    out = sizes.join(members, ["n", "f1", "f2"], "left")
+    members = Stage(docs.sparkSession, "ngram-join").save(members, "members")
+    # a class of many copies is one key: such classes, one in ROWS documents at most, are broadcast while they are few
+    key = ["n", "f1", "f2"]
+    many = members.where(F.col("copies") > ROWS).drop("copies")
+    if 0 < many.limit(MOST_KEYS + 1).count() <= MOST_KEYS:
+        many, rest = F.broadcast(many), members.where(F.col("copies") <= ROWS).drop("copies")
+        out = sizes.join(many, key).unionByName(sizes.join(many, key, "left_anti").join(rest, key, "left"))
+    else:
+        out = sizes.join(members.drop("copies"), key, "left")
     if same is not None:  # a wordless row of such an id is in no class
         out = out.join(same, "doc_id", "left").withColumn("component", F.coalesce("same", "component"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -49,7 +49,7 @@ def corpus():
     return texts + [texts[0]] * 5 + ["A b", "a B", "a", "", " \n", None, "É é", "x " * 400, "x " * 401]
 
 
-@pytest.mark.parametrize("frequent, block, postings, rows_, keys", [(24, 256, 65_536, 1024, 1000), (1, 16, 65_536, 4, 1000), (1, 256, 8, 2, 0)])
+@pytest.mark.parametrize("frequent, block, postings, rows_, keys", [(24, 256, 65_536, 1024, 1000), (1, 16, 40, 4, 1000), (1, 16, 40, 4, 0)])
 def test_join_equals_brute_force(spark, monkeypatch, frequent, block, postings, rows_, keys):
     """With the production sizes, and with such that blocks, salts and the forms without a broadcast are used."""
     for name, value in (("FREQUENT", frequent), ("DOCUMENTS", block), ("POSTINGS", postings), ("ROWS", rows_), ("MOST_KEYS", keys)):
