@@ -248,7 +248,7 @@ def train(texts: DataFrame, stage: Stage, order: int = ORDER, most_cells: int =
 # ---- both scores of every document ----
 
 #: Text bytes of one group of documents, and those whose words make up a bucket on the average: a task counts one bucket at a time.
-GROUP, BUCKET = 8 << 20, 128 << 20
+GROUP, BUCKET = 4 << 20, 32 << 20
 PACKED = "grp long, bucket int, words binary, seen binary, per_word binary, docs binary, times binary, ids binary, learn binary, score binary, n_learn long"
 
 
