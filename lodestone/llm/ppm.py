@@ -83,10 +83,10 @@ def _grams(order: int):
             for _, _, data, off in chunks(rb.column(0)):
                 held.append(np.unique(_codes(data, off, order)[0], return_counts=True))
                 size += len(held[-1][0])
-                if size > 4_000_000:
+                if size > 1_000_000:
                     held = [merged()]
                     size = len(held[0][0])
-                    if size > 3_000_000:
+                    if size > 750_000:
                         yield pa.record_batch([pa.array(held[0][0]), pa.array(held[0][1])], ["gram", "n"])
                         held, size = [], 0
         if held:
