@@ -25,7 +25,7 @@ from lodestone.llm._bytes import SPACE, chunks, prefix_sums, span_hashes
 from lodestone.llm._spark import ship
 
 #: Documents beyond HUGE bytes are cut into chunks of CHUNK characters that overlap by OVERLAP.
-HUGE, CHUNK, OVERLAP = 8192, 4096, 128
+HUGE, CHUNK, OVERLAP = 16_384, 8192, 256
 
 #: First bytes of the non-ASCII white space characters in UTF-8.
 WIDE_SPACE = np.zeros(256, dtype=bool)
@@ -111,8 +111,9 @@ def count_batch(tokenizer, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     # a stretch shares the count of the first of its hash only if it has its very bytes
     model = first[inverse]
     unlike = np.flatnonzero(ends - starts != ends[model] - starts[model])
-    shift = np.repeat(starts[model] - starts, ends - starts)
-    wrong = np.flatnonzero(data != data[np.minimum(np.arange(len(data)) + shift, len(data) - 1)])
+    place = np.repeat((starts[model] - starts).astype(np.int32), ends - starts)
+    place += np.arange(len(data), dtype=np.int32)
+    wrong = np.flatnonzero(data != data[np.minimum(place, len(data) - 1, out=place)])
     unlike = np.union1d(unlike, np.searchsorted(starts, wrong, side="right") - 1)
     inverse[unlike] = len(first) + np.arange(len(unlike))
     first = np.concatenate([first, unlike])
@@ -141,7 +142,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         tokenizer.no_truncation()
         tokenizer.no_padding()
         for rb in batches:
-            for i, j, data, off in chunks(rb.column(1), 4 << 20):
+            for i, j, data, off in chunks(rb.column(1), 8 << 20):
                 size = np.diff(off)
                 huge = np.flatnonzero(size > HUGE)
                 if len(huge):  # the others are counted together
