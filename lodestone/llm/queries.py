@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over the whole of their tables, and their SQL."""
+"""Queries op1 to op13 over the whole of their tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -127,6 +127,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.spelling import spelling_variants, word_counts
+
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), slip=97))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
