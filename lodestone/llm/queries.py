@@ -127,6 +127,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op12_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.multi_index import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.spelling import spelling_variants, word_counts
 
