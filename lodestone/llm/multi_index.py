@@ -49,6 +49,7 @@ class Codes:
     radii: np.ndarray
     sample: np.ndarray
     rank: int
+    k: int
 
     def stored(self, x: np.ndarray) -> np.ndarray:
         """Vectors as they stand in the index: within the unit ball and brought to its surface."""
@@ -64,23 +65,25 @@ class Codes:
         up = (z - self.centre) @ self.rotation > 0
         return np.packbits(up, axis=1, bitorder="little").view("<u2")
 
-    def radius(self, z: np.ndarray) -> np.ndarray:
-        """Radius of each query, from the score that is its `rank`-th best in the sample."""
-        if not len(self.sample):
-            return np.full(len(z), self.rotation.shape[1])
-        out = np.empty(len(z), dtype=np.int64)
+    def limits(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each query its radius, from the score that is its `rank`-th best in the sample, and a score that 2k + 2 of the sample reach.
+
+        What scores below that is no candidate for the k best, so it need not leave a unit of work.
+        """
+        radius, least = np.empty(len(z), dtype=np.int64), np.full(len(z), -np.inf)
+        at, many = min(self.rank, len(self.sample) - 1), 2 * self.k + 2
         for i in range(0, len(z), 256):
-            scores = z[i : i + 256] @ self.sample.T
-            at = min(self.rank, scores.shape[1] - 1)
-            low = -np.partition(-scores, at, axis=1)[:, at]
-            out[i : i + 256] = self.radii[np.searchsorted(self.scores, low, side="right") - 1]
-        return out
+            scores = -np.sort(-(z[i : i + 256] @ self.sample.T), axis=1)[:, : max(at + 1, many)]
+            radius[i : i + 256] = self.radii[np.searchsorted(self.scores, scores[:, at], side="right") - 1]
+            if scores.shape[1] >= many:
+                least[i : i + 256] = scores[:, many - 1]
+        return radius, least
 
 
 def fit(sample: np.ndarray, scale: float, n: int, k: int, bits: int = BITS, share: float = SHARE, seed: int = 5) -> Codes:
     """Codes from the sample (rows) of n distinct vectors of length at most `scale`."""
     rng = np.random.default_rng(seed)
-    codes = Codes(scale, np.zeros(0), np.zeros((0, 0)), np.full(1, -np.inf), np.full(1, bits), np.zeros((0, 0)), 0)
+    codes = Codes(scale, np.zeros(0), np.zeros((0, 0)), np.full(1, -np.inf), np.full(1, bits), np.zeros((0, 0)), 0, k)
     z = codes.stored(sample)
     codes.centre = z.mean(axis=0)
     y = z - codes.centre
@@ -143,12 +146,14 @@ def _coder(codes: Codes, width: int):
             x = _matrix(rb.column("embedding"), width)
             lanes = codes.lanes(codes.stored(x)).astype(np.int32)
             own = np.zeros_like(lanes)
-            radius = np.zeros(len(x), dtype=np.int32)
+            radius, least = np.zeros(len(x), dtype=np.int32), np.full(len(x), -np.inf)
             asks = np.flatnonzero(rb.column("asks").to_numpy(zero_copy_only=False))
             if len(asks):
                 z = codes.asked(x[asks])
-                own[asks], radius[asks] = codes.lanes(z), codes.radius(z)
-            yield pa.record_batch([rb.column("class"), pa.array(list(lanes), pa.list_(pa.int32())), pa.array(list(own), pa.list_(pa.int32())), pa.array(radius)], ["class", "lanes", "own", "radius"])
+                own[asks] = codes.lanes(z)
+                radius[asks], low = codes.limits(z)
+                least[asks] = low * codes.scale * np.linalg.norm(x[asks], axis=1)  # as an inner product of the vectors themselves
+            yield pa.record_batch([rb.column("class"), pa.array(list(lanes), pa.list_(pa.int32())), pa.array(list(own), pa.list_(pa.int32())), pa.array(radius), pa.array(least)], ["class", "lanes", "own", "radius", "least"])
 
     return run
 
@@ -172,7 +177,7 @@ class _Unit:
         if not self.n:
             return
         own = rb.column("lanes").flatten().to_numpy().reshape(rb.num_rows, -1).astype(np.uint16)
-        radius, classes = rb.column("radius").to_numpy(), rb.column("class").to_numpy()
+        radius, classes, least = (rb.column(c).to_numpy() for c in ("radius", "class", "least"))
         x = _matrix(rb.column("embedding"), width)
         limits = thresholds(radius, own.shape[1])
         step = max(1, PAIRS // self.n)
@@ -188,6 +193,8 @@ class _Unit:
             here = np.argmax(off <= lim[q], axis=1) == self.lane  # the first substring that meets this code
             q, c = q[here], c[here]
             score = np.einsum("ij,ij->i", x[i : i + step][q], self.x[c])
+            good = score >= least[i : i + step][q] - 1e-9 * np.abs(least[i : i + step][q])
+            q, c, score = q[good], c[good], score[good]
             by = np.lexsort((self.low[c], -score, q))
             q, c, score = q[by], c[by], score[by]
             start = np.searchsorted(q, q)
@@ -220,7 +227,7 @@ def _searcher(k: int, width: int):
 
 
 def _search(coded: DataFrame, asking: DataFrame, stage: Stage, name: str, n: int, k: int, width: int, bits: int) -> DataFrame:
-    """(class, found, score) of the k + 1 best classes of each asking class (class, own, radius, embedding) within its radius."""
+    """(class, found, score) of the k + 1 best classes of each asking class (class, own, radius, least, embedding) within its radius."""
     m = bits // WIDTH
     parts = max(1, n * max(1, width) // UNIT)
     prefix = min(WIDTH, max(0, math.ceil(math.log2(parts))))
@@ -229,13 +236,13 @@ def _search(coded: DataFrame, asking: DataFrame, stage: Stage, name: str, n: int
     stored = stored.withColumn("place", F.shiftrightunsigned("value", WIDTH - prefix)).drop("value")
     full = stage.save(stored.groupBy("lane", "place").agg(F.ceil(F.count("*") / most).cast("int").alias("slices")).where("slices > 1"), f"full-{name}")
     stored = stored.join(full, ["lane", "place"], "left").withColumn("slice", F.pmod(F.xxhash64("class"), F.coalesce("slices", F.lit(1))).cast("int"))
-    stored = stored.select("lane", "place", "slice", F.lit(0).alias("kind"), "class", "lanes", "low", "embedding", F.lit(0).alias("radius"))
+    stored = stored.select("lane", "place", "slice", F.lit(0).alias("kind"), "class", "lanes", "low", "embedding", F.lit(0).alias("radius"), F.lit(0.0).alias("least"))
     limit = F.floor(F.col("radius") / m) - F.when(F.col("lane") > F.col("radius") % m, 1).otherwise(0)
-    asks = asking.select("class", F.col("own").alias("lanes"), "embedding", "radius", F.posexplode("own").alias("lane", "value"))
+    asks = asking.select("class", F.col("own").alias("lanes"), "embedding", "radius", "least", F.posexplode("own").alias("lane", "value"))
     near = F.filter(F.sequence(F.lit(0), F.lit((1 << prefix) - 1)), lambda x: F.bit_count(x) <= limit)
     asks = asks.withColumn("change", F.explode(near)).withColumn("place", F.shiftrightunsigned("value", WIDTH - prefix).bitwiseXOR(F.col("change")))
     asks = asks.join(full, ["lane", "place"], "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
-    asks = asks.select("lane", "place", "slice", F.lit(1).alias("kind"), "class", "lanes", F.lit(0).cast("long").alias("low"), "embedding", "radius")
+    asks = asks.select("lane", "place", "slice", F.lit(1).alias("kind"), "class", "lanes", F.lit(0).cast("long").alias("low"), "embedding", "radius", "least")
     shuffled = max(int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")), m * parts)
     dealt = stored.unionByName(asks).repartition(shuffled, "lane", "place", "slice").sortWithinPartitions("lane", "place", "slice", "kind", "class")
     best = dealt.mapInArrow(_searcher(k, width), "class long, found long, low long, score double")
@@ -279,9 +286,12 @@ def nearest_neighbours(vectors: DataFrame, asked: str, k: int = 20, radius: int
         raise ValueError("vectors are too long for inner products in double precision")
     some = classes.orderBy("hash", "class").limit(max(2, min(SAMPLE, NUMBERS // width))).select("embedding").toArrow()
     codes = fit(_matrix(some.column(0).combine_chunks(), width), scale or 1.0, n, k, bits, share)
-    coded = classes.select("class", "embedding", "asks").mapInArrow(_coder(codes, width), "class long, lanes array<int>, own array<int>, radius int")
+    coded = classes.select("class", "embedding", "asks").mapInArrow(_coder(codes, width), "class long, lanes array<int>, own array<int>, radius int, least double")
     coded = stage.save(coded.join(classes.select("class", "embedding", "asks", F.col("ids")[0].alias("low")), "class"), "coded")
-    left = coded.where("asks").select("class", "own", "embedding", (F.lit(radius) if radius is not None else F.col("radius")).cast("int").alias("radius"))
+    asks = coded.where("asks")
+    if radius is not None:  # then all within it count
+        asks = asks.withColumns({"radius": F.lit(radius), "least": F.lit(float("-inf"))})
+    left = asks.select("class", "own", "embedding", F.col("radius").cast("int").alias("radius"), "least")
     total, answered, i = rows.count(), None, 0
     while True:
         best = _search(coded, left, stage, str(i), n, k, width, bits)
@@ -292,7 +302,7 @@ def nearest_neighbours(vectors: DataFrame, asked: str, k: int = 20, radius: int
         whole = answers.where(F.size("answers") >= min(k + 1, total))
         answered = whole if answered is None else answered.unionByName(whole)
         # those that found too few ask again, wider; at the width of the code they meet all
-        few = left.where(F.col("radius") < bits).join(whole, "class", "left_anti").select("class", "own", "embedding", F.least(F.lit(bits), F.col("radius") + F.greatest(F.lit(bits // 8), F.col("radius") / 2).cast("int")).alias("radius"))
+        few = left.where(F.col("radius") < bits).join(whole, "class", "left_anti").select("class", "own", "embedding", F.least(F.lit(bits), F.col("radius") + F.greatest(F.lit(bits // 8), F.col("radius") / 2).cast("int")).alias("radius"), "least")
         few = stage.save(few, f"few-{i}")
         if radius is not None or not few.limit(1).count():
             answered = answered.unionByName(answers.join(whole.select("class"), "class", "left_anti"))

@@ -61,7 +61,7 @@ def test_whole_radius_is_exact(spark, monkeypatch, unit):
 
 def test_own_radius_widens_until_all_are_found(spark, monkeypatch):
     """Radii from a sample that promises too near neighbours: queries ask again, and none gets fewer than k."""
-    monkeypatch.setattr(multi_index.Codes, "radius", lambda self, z: np.ones(len(z), dtype=np.int64))
+    monkeypatch.setattr(multi_index.Codes, "limits", lambda self, z: (np.ones(len(z), dtype=np.int64), np.full(len(z), -np.inf)))
     rows = some_rows(2, 120)
     got, want = answers(nearest_neighbours(frame(spark, rows), "vec_id % 20 = 0")), plain(rows)
     assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items()}
