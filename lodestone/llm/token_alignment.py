@@ -32,8 +32,8 @@ from lodestone.llm._spark import Stage
 
 #: Characters of the texts of a block, and of a part of a long text.
 BLOCK, PART = 4 << 20, 1 << 20
-#: Stretches and steps a worker remembers; longer stretches aren't remembered.
-MEMO, STEPS, LONG = 150_000, 1_000_000, 64
+#: Stretches (twice as many at most) and steps that a worker remembers; longer stretches aren't remembered.
+MEMO, STEPS, LONG = 200_000, 300_000, 64
 
 #: Characters that some definition of white space holds (others are in Python's own).
 _WIDE = "᠎​⁠﻿"
@@ -70,6 +70,7 @@ class ByteLevel:
         self.bytes = [b""] * self.own.get_vocab_size()
         for token, i in self.own.get_vocab(with_added_tokens=False).items():
             self.bytes[i] = bytes(back[c] for c in token)
+        self.lossless = len({b for b in self.bytes if len(b) == 1}) == 256
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(texts)
@@ -112,13 +113,16 @@ class Transducer:
 
     def __init__(self, left: list[bytes], right: list[bytes]):
         self.vocabulary = (left, right)
+        self.names = [str(i) for i in range(max(len(left), len(right)))]
+        self.width = len(self.names)
         self._clear()
 
     def _clear(self) -> None:
-        #: suffixes by number, and back; 0 is the empty one, at which groups close
+        #: suffixes by number, and back; 0 is the empty one, at which groups close; whether the left side leads
         self.states: list[tuple[int, bytes]] = [(0, b"")]
         self.numbers: dict[tuple[int, bytes], int] = {(0, b""): 0, (1, b""): 0}
-        self.steps: dict[tuple[int, int], int] = {}
+        self.left_leads = [False]
+        self.steps: dict[int, int] = {}
 
     def _step(self, state: int, token: int) -> int:
         """The state after the side behind has moved (from 0: the left side), or -1 where the bytes differ."""
@@ -133,38 +137,64 @@ class Transducer:
             if to is None:
                 to = self.numbers[key] = len(self.states)
                 self.states.append(key)
-        self.steps[state, token] = to
+                self.left_leads.append(key[0] == 0)
+        self.steps[state * self.width + token] = to
         return to
 
-    def walk(self, left: list[int], right: list[int]) -> tuple[list[tuple[int, int]], array] | None:
-        """Where the groups end on both sides, and the links as pairs of ids; None if the sequences spell different bytes."""
+    def walk(self, left: list[int], right: list[int]) -> tuple[int, str, list[int]] | None:
+        """Number of groups, the groups as text, and the links as pairs of ids; None if the sequences spell different bytes."""
         if len(self.steps) > STEPS:
             self._clear()
-        steps, states = self.steps, self.states
-        i = j = state = 0
-        ends, links = [], array("q")
+        known, leads, width, names = self.steps.get, self.left_leads, self.width, self.names
+        i = j = state = groups = 0
         n, m = len(left), len(right)
+        mine = theirs = ""  # the open group on both sides
+        text, links = [], []
         while i < n or j < m:
-            if state and not states[state][0]:  # the left side leads
+            if leads[state]:
                 if j == m:
                     return None
                 token = right[j]
                 j += 1
+                theirs = f"{theirs},{names[token]}" if theirs else names[token]
                 links.append(left[i - 1] << 32 | token)
             else:
                 if i == n:
                     return None
                 token = left[i]
                 i += 1
+                mine = f"{mine},{names[token]}" if mine else names[token]
                 if state:
                     links.append(token << 32 | right[j - 1])
-            to = steps.get((state, token))
+            to = known(state * width + token)
             state = self._step(state, token) if to is None else to
-            if not state:
-                ends.append((i, j))
-            elif state < 0:
-                return None
-        return (ends, links) if not state else None
+            if state <= 0:
+                if state:
+                    return None
+                groups += 1
+                text.append(f"{mine}|{theirs}")
+                mine = theirs = ""
+        return None if state else (groups, ";".join(text), links)
+
+
+_ABSENT = object()
+
+
+class _Recent(dict):
+    """What was asked for lately: at MEMO entries the older half is put behind, and forgotten at the next turn unless asked for."""
+
+    old: dict = {}
+
+    def __missing__(self, key):
+        found = self.old.get(key, _ABSENT)
+        if found is not _ABSENT:
+            self[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > MEMO:
+            self.old = dict(self)
+            self.clear()
 
 
 class Aligner:
@@ -173,62 +203,62 @@ class Aligner:
     def __init__(self, left_path: str, right_path: str):
         self.left, self.right = ByteLevel(left_path), Pieces(right_path)
         self.transducer = Transducer(self.left.bytes, self.right.bytes)
-        self.units: dict[str, tuple | None] = {}
-        self.memo: dict[str, tuple | None] = {}
+        #: stretches and their beginnings (after a space), and what goes on within a stretch
+        self.memo, self.inner = _Recent(), _Recent()
 
     def _unit(self, text: str, a: list[int], b: list[int]) -> tuple | None:
         walked = self.transducer.walk(a, b)
-        if walked is None:
+        # a vocabulary with all bytes spells any text; otherwise the tokens must spell this one, not only each other
+        if walked is None or not self.left.lossless and b"".join([self.left.bytes[t] for t in a]) != text.encode():
             return None
-        ends, links = walked
-        # the tokens must spell this text, not only each other
-        spelled = b"".join([self.left.bytes[t] for t in a])
-        if spelled != text.encode():
-            return None
-        a, b = list(map(str, a)), list(map(str, b))
-        i = j = 0
-        groups = []
-        for x, y in ends:
-            groups.append(f"{','.join(a[i:x])}|{','.join(b[j:y])}")
-            i, j = x, y
-        return len(a), len(b), len(groups), ";".join(groups), links.tobytes()
+        groups, named, links = walked
+        return len(a), len(b), groups, named, array("q", links).tobytes()
 
     def stretches(self, texts: list[str]) -> list[tuple | None]:
         """Of each stretch (without the space in front) its alignment."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        if len(self.units) > MEMO:
-            self.units.clear()
-        memo, units = self.memo, self.units
-        cut: dict[str, list[str]] = {}
-        fresh: dict[str, None] = {}
-        for text in texts:
-            if text not in memo:
-                parts = [" " + text]
-                # of two line feeds the splitter treats the second by what follows
-                if self.right.by_letters and "\n\n" not in text and PLAIN.fullmatch(text):
-                    parts = PIECES.findall(text)
-                    parts[0] = " " + parts[0]
-                cut[text] = parts
-                for p in parts:
-                    if p not in units:
-                        fresh[p] = None
-        once: dict[str, tuple | None] = {}
-        new = list(fresh)
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for p, a, b in zip(some, self.left.encode(some), self.right.encode(some)):
-                (units if len(p) <= LONG else once)[p] = self._unit(p, a, b)
-        for text, parts in cut.items():
-            done = [once[p] if p in once else units[p] for p in parts]
-            if len(done) == 1:
-                one = done[0]
-            elif None in done:
-                one = None
-            else:
-                one = (sum([d[0] for d in done]), sum([d[1] for d in done]), sum([d[2] for d in done]), ";".join([d[3] for d in done]), b"".join([d[4] for d in done]))
-            (memo if len(text) <= LONG else once)[text] = one
-        return [once[t] if t in once else memo[t] for t in texts]
+        memo, inner, plain, letters = self.memo, self.inner, PLAIN.fullmatch, self.right.by_letters
+        memo.turn()
+        inner.turn()
+        out = [memo[t] for t in texts]
+        cut: list[tuple[int, list[str]]] = []
+        heads: dict[str, tuple | None] = {}
+        others: dict[str, tuple | None] = {}
+        for k, one in enumerate(out):
+            if one is not _ABSENT:
+                continue
+            text = texts[k]
+            parts = [text]
+            # of two line feeds the splitter treats the second by what follows
+            if letters and not text.isalpha() and "\n\n" not in text and plain(text):
+                parts = PIECES.findall(text)
+            cut.append((k, parts))
+            if memo[parts[0]] is _ABSENT:
+                heads[parts[0]] = None
+            for p in parts[1:]:
+                if inner[p] is _ABSENT:
+                    others[p] = None
+        for fresh, known, space in ((heads, memo, " "), (others, inner, "")):
+            new = list(fresh)
+            for i in range(0, len(new), 4096):
+                some = new[i : i + 4096]
+                spelled = [space + p for p in some]
+                for p, t, a, b in zip(some, spelled, self.left.encode(spelled), self.right.encode(spelled)):
+                    fresh[p] = one = self._unit(t, a, b)
+                    if len(p) <= LONG:
+                        known[p] = one
+        for k, parts in cut:
+            done = [heads[parts[0]] if parts[0] in heads else memo[parts[0]]]
+            if len(parts) > 1:
+                done += [others[p] if p in others else inner[p] for p in parts[1:]]
+                if None in done:
+                    done = [None]
+                else:
+                    a, b, g, named, links = zip(*done)
+                    done = [(sum(a), sum(b), sum(g), ";".join(named), b"".join(links))]
+                if len(texts[k]) <= LONG:
+                    memo[texts[k]] = done[0]
+            out[k] = done[0]
+        return out
 
     def parts(self, text: str) -> Iterator[str]:
         """A long text in parts that end before a stable boundary; the space there belongs to neither."""

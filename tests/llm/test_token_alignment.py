@@ -103,13 +103,13 @@ def test_no_rows(spark):
 
 def test_transducer():
     t = Transducer([b"ab", b"c", b"abcd", b"e"], [b"a", b"bcd", b"abcde", b"b", b"x"])
+    pair = lambda a, b: a << 32 | b
     assert t.walk([2, 3], [0, 1]) is None  # the right side ends early
     assert t.walk([0, 1], [0, 3]) is None
-    ends, links = t.walk([2, 3], [2])
-    assert ends == [(2, 1)] and [(k >> 32, k & 0xFFFFFFFF) for k in links] == [(2, 2), (3, 2)]
-    ends, links = t.walk([2], [0, 1])
-    assert ends == [(1, 2)] and [(k >> 32, k & 0xFFFFFFFF) for k in links] == [(2, 0), (2, 1)]
-    assert t.walk([0], [4]) is None and t.walk([], []) == ([], links[:0])
+    assert t.walk([2, 3], [2]) == (1, "2,3|2", [pair(2, 2), pair(3, 2)])
+    assert t.walk([2], [0, 1]) == (1, "2|0,1", [pair(2, 0), pair(2, 1)])
+    assert t.walk([0, 0], [0, 3, 0, 3]) == (2, "0|0,3;0|0,3", [pair(0, 0), pair(0, 3)] * 2)
+    assert t.walk([0], [4]) is None and t.walk([], []) == (0, "", [])
     before = dict(t.steps)
     t.walk([2], [0, 1])
     assert t.steps == before
