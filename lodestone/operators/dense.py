@@ -39,6 +39,20 @@ def _scores(asked, k: int | None):
     return run
 
 
+def in_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of a stated query set (query_id long, vector), MOST_BYTES of them at a time; null and empty vectors are left out."""
+    ids, vectors, size = [], [], 0
+    for row in queries.where(F.size("vector") > 0).select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).toLocalIterator():
+        ids.append(row.query_id)
+        vectors.append(np.array(row.vector))
+        size += vectors[-1].nbytes
+        if size >= MOST_BYTES:
+            yield np.array(ids, dtype=np.int64), _unit(pa.array(vectors, pa.list_(pa.float64())))
+            ids, vectors, size = [], [], 0
+    if ids:
+        yield np.array(ids, dtype=np.int64), _unit(pa.array(vectors, pa.list_(pa.float64())))
+
+
 def vector_scores(corpus: DataFrame, queries: DataFrame, k: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, id, score) of a stated query set (query_id long, vector) against all rows of one vector length.
 
@@ -49,21 +63,7 @@ def vector_scores(corpus: DataFrame, queries: DataFrame, k: int | None = None, i
     ship(spark)
     rows = corpus.where(F.size(vector_col) > 0).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
     schema = "query_id long, id long, score double"
-    parts, ids, vectors, size = [], [], [], 0
-
-    def scan() -> None:
-        x = _unit(pa.array(vectors, pa.list_(pa.float64())))
-        parts.append(rows.mapInArrow(_scores(spark.sparkContext.broadcast((np.array(ids, dtype=np.int64), x)), k), schema))
-
-    for row in queries.where(F.size("vector") > 0).select(F.col("query_id").cast("long").alias("query_id"), "vector").toLocalIterator():
-        ids.append(row.query_id)
-        vectors.append(row.vector)
-        size += 8 * len(row.vector)
-        if size >= MOST_BYTES:
-            scan()
-            ids, vectors, size = [], [], 0
-    if ids:
-        scan()
+    parts = [rows.mapInArrow(_scores(spark.sparkContext.broadcast(block), k), schema) for block in in_blocks(queries)]
     return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodestone import files
 from lodestone.models import Embedder, with_embeddings
 from lodestone.operators.chunking import sections
 from lodestone.operators.collections import Collections, image_nodes
+from lodestone.operators.lexical_store import LexicalStore
+from lodestone.operators.vector_store import VectorStore
+from lodestone.saved import tables_dir
 from lodestone.sources import readers
 
 
@@ -53,3 +59,33 @@ def build_images(spark: SparkSession, records: str, base: str, name: str, make:
 def build_all(spark: SparkSession, folder: str, records: str, base: str, text_model: Callable[[], Embedder], image_model: Callable[[], Embedder], documents: str = "documents", images: str = "images", rebuild: bool = True) -> DataFrame:
     """Both collections, and the counts of both."""
     return build_documents(spark, folder, documents, text_model, rebuild).unionByName(build_images(spark, records, base, images, image_model, rebuild))
+
+
+def kept(spark: SparkSession, kind: str, table: str, build: Callable[[str], None]) -> str:
+    """Folder of an index of a table, built at its first use in this application and again once the table's files have changed.
+
+    A build that was cut short leaves no mark and is made anew, in a folder of its own.
+    """
+    state = hashlib.sha256(f"{table}\n{files.fingerprint(spark, table)}".encode()).hexdigest()[:16]
+    mark = f"{tables_dir(spark)}/{kind}-{state}.done"
+    try:
+        return files.read(spark, mark) if files.names(spark, mark) else _built(spark, mark, kind, build)
+    except FileExistsError:  # another thread was faster
+        return files.read(spark, mark)
+
+
+def _built(spark: SparkSession, mark: str, kind: str, build: Callable[[str], None]) -> str:
+    path = f"{tables_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    build(path)
+    files.write_new(spark, mark, path)
+    return path
+
+
+def lexical_index(spark: SparkSession, table: str, **columns) -> LexicalStore:
+    """The stored inverted index of a Parquet table of documents."""
+    return LexicalStore(spark, kept(spark, "lexical", table, lambda path: LexicalStore.create(spark, path).upsert(spark.read.parquet(table), **columns)))
+
+
+def vector_index(spark: SparkSession, table: str, **columns) -> VectorStore:
+    """The stored cell index of a Parquet table of vectors."""
+    return VectorStore(spark, kept(spark, "vectors", table, lambda path: VectorStore.build(spark, path, spark.read.parquet(table), **columns)))

@@ -1,4 +1,7 @@
-"""Queries over the test tables, one per operator, and the same in SQL."""
+"""Queries over the test tables, one per operator, and the same in SQL.
+
+Plans that search run the search when the query is called: its hits are written, and the DataFrame ranks them.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions import ranking, text as T, vectors as V
 from lodestone.operators import answers, chunking, collections, dense, evaluation, fusion, images, lexical, rerank, similarity
-from lodestone.plans import search
-from lodestone.saved import against_all, saved
+from lodestone.plans import index, search
+from lodestone.operators.lexical_store import LexicalStore
+from lodestone.operators.vector_store import VectorStore
+from lodestone.saved import against_all, saved, tables_dir
 from lodestone.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,8 +52,13 @@ def asked_vectors(t: Tables) -> DataFrame:
     return t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+def stored(t: Tables) -> LexicalStore:
+    """The stored index of the documents: split once, for all queries of this application."""
+    return index.lexical_index(t.spark, f"{t.sf_dir}/documents.parquet")
+
+
 def bm25(t: Tables, k: int = 10) -> DataFrame:
-    return lexical.bm25_search(t.documents, questions(t), k)
+    return stored(t).search(questions(t), k)
 
 
 def candidates(t: Tables) -> DataFrame:
@@ -107,6 +117,50 @@ def bm25_topk(spark, sf_dir):
     return bm25(Tables(spark, sf_dir))
 
 
+@query(SQL["bm25_topk"])
+def bm25_scan_topk(spark, sf_dir):
+    """Without a stored index: texts are read and split for these questions."""
+    t = Tables(spark, sf_dir)
+    return lexical.bm25_search(t.documents, questions(t), 10)
+
+
+@query(SQL["bm25_topk"])
+def bm25_pruned_topk(spark, sf_dir):
+    """Shards are bounded first, and those that can't reach the k-th score left out."""
+    t = Tables(spark, sf_dir)
+    return stored(t).search(questions(t), 10, pruned=True)
+
+
+#: What upserts and deletes leave of the documents, as a table of the same name for the SQL of an index.
+CHANGED = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' amended' ELSE text END AS text FROM documents WHERE (doc_id % 3 <> 0 OR doc_id % 5 = 0) AND doc_id % 7 <> 0"
+
+
+def changed_index(t: Tables) -> LexicalStore:
+    """An index of two thirds of the documents, then a fifth of all of them amended, then a seventh deleted."""
+    d = t.documents.select("doc_id", "text")
+
+    def build(path: str) -> None:
+        store = LexicalStore.create(t.spark, path)
+        store.upsert(d.where("doc_id % 3 <> 0"))
+        store.upsert(d.where("doc_id % 5 = 0").withColumn("text", F.concat("text", F.lit(" amended"))))
+        store.delete(d.where("doc_id % 7 = 0"))
+
+    return LexicalStore(t.spark, index.kept(t.spark, "changed", f"{t.sf_dir}/documents.parquet", build))
+
+
+@query(f"WITH documents AS ({CHANGED}), d AS (SELECT doc_id, unnest(list_distinct({toks('text')})) AS term FROM documents), n AS (SELECT count(*) AS n, avg(len({toks('text')})) AS avgdl FROM documents), t AS (SELECT term, count(*) AS df FROM d GROUP BY term) SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5)), 6) AS idf, n AS documents, round(avgdl, 6) AS avgdl FROM t, n")
+def bm25_incremental_terms(spark, sf_dir):
+    store = changed_index(Tables(spark, sf_dir))
+    n, avgdl = store.stats()
+    return store.terms().select("term", "df", F.round("idf", 6).alias("idf"), F.lit(n).cast("bigint").alias("documents"), F.round(F.lit(avgdl), 6).alias("avgdl"))
+
+
+@query(f"WITH documents AS ({CHANGED}), {bm25_sql(10)} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM top")
+def bm25_incremental_topk(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return changed_index(t).search(questions(t), 10)
+
+
 @query(f"WITH {bm25_sql(10)} SELECT query_id, doc_id, round(score, 6) AS score FROM full_scores")
 def bm25_full_scores(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -123,6 +177,26 @@ def dense_topk(spark, sf_dir):
     return dense.dense_search(t.embeddings, asked_vectors(t), 10)
 
 
+def stored_vectors(t: Tables) -> VectorStore:
+    return index.vector_index(t.spark, f"{t.sf_dir}/embeddings.parquet")
+
+
+@query(SQL["dense_topk"])
+def ann_topk(spark, sf_dir):
+    """By the stored cells, going on until no cell can hold a better neighbour."""
+    t = Tables(spark, sf_dir)
+    return stored_vectors(t).search(asked_vectors(t), 10, exact=True)
+
+
+@query()
+def ann_probed(spark, sf_dir):
+    """By the stored cells nearest to each query alone, three quarters of them: approximate, so without SQL; looked: vectors whose codes a query read."""
+    t = Tables(spark, sf_dir)
+    store = stored_vectors(t)
+    found, looked = store.looked_through(asked_vectors(t), 10, store.share(0.75), False)
+    return ranking.top_k(found, 10, ["query_id"], *ranking.by_score("score", "id")).join(looked, "query_id").select("query_id", "rank", "id", F.round("score", 6).alias("score"), "looked")
+
+
 @query(f"WITH {VECTORS} SELECT query_id, id, round(score, 6) AS similarity FROM sims")
 def similarity_matrix(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -175,7 +249,7 @@ HYBRID = f"""
 
 def hybrid(t: Tables, **options) -> DataFrame:
     vectors = t.embeddings.withColumnRenamed("vec_id", "doc_id").join(t.documents.select("doc_id"), "doc_id", "left_semi")
-    return search.hybrid_search(t.documents, vectors, questions(t), **options)
+    return search.hybrid_search(t.documents, vectors, questions(t), index=stored(t), **options)
 
 
 @query(HYBRID + "SELECT query_id, rank, doc_id, round(score, 6) AS score FROM merged WHERE rank <= 10")
@@ -556,7 +630,7 @@ def eval_query_results(spark, sf_dir):
 def search_and_answer(spark, sf_dir):
     t = Tables(spark, sf_dir)
     vectors = t.embeddings.withColumnRenamed("vec_id", "doc_id").join(t.documents.select("doc_id"), "doc_id", "left_semi")
-    r = search.search_and_answer(t.documents, vectors, questions(t), now="2024-01-02 03:04:05")
+    r = search.search_and_answer(t.documents, vectors, questions(t), now="2024-01-02 03:04:05", index=stored(t))
     return r.select("query_id", "total_results", "answer", "timestamp")
 
 

@@ -10,17 +10,19 @@ from lodestone.operators.answers import answers, context_budget, pack_context, r
 from lodestone.operators.dense import dense_search
 from lodestone.operators.fusion import combine, merge_modalities
 from lodestone.operators.lexical import bm25_search
+from lodestone.operators.lexical_store import LexicalStore
 from lodestone.operators.rerank import rerank
 from lodestone.operators.similarity import filter_results, text_similarity
 
 
-def hybrid_search(docs: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = 10, dense_weight: float = 0.7, sparse_weight: float = 0.3, reranker: str | None = None, **options) -> DataFrame:
+def hybrid_search(docs: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = 10, dense_weight: float = 0.7, sparse_weight: float = 0.3, reranker: str | None = None, index: LexicalStore | None = None, **options) -> DataFrame:
     """(query_id, rank, doc_id, score): docs (doc_id, text), vectors (doc_id, embedding), questions (query_id, query, vector).
 
     Each side gives 2k hits, both are scaled and merged; a reranker by name sees the whole merged list before the cut to k.
+    index: a stored index of docs; without one their texts are read and split here.
     """
     dense = dense_search(vectors, questions.select("query_id", "vector"), 2 * k, "doc_id").withColumnRenamed("id", "doc_id")
-    sparse = bm25_search(docs, questions, 2 * k)
+    sparse = index.search(questions, 2 * k) if index else bm25_search(docs, questions, 2 * k)
     merged = combine(dense, sparse, dense_weight, sparse_weight)
     if reranker:
         rows = with_content(merged, questions, docs)
@@ -41,9 +43,9 @@ def caption_images(text_hits: DataFrame, matches: DataFrame) -> DataFrame:
     return first.select("query_id", "image_path", "caption", "score")
 
 
-def search_and_answer(docs: DataFrame, vectors: DataFrame, questions: DataFrame, image_hits: DataFrame | None = None, k: int = 10, reranker: str | None = "rule", filter_kind: str | None = "text", now: str | None = None, llm=None) -> DataFrame:
+def search_and_answer(docs: DataFrame, vectors: DataFrame, questions: DataFrame, image_hits: DataFrame | None = None, k: int = 10, reranker: str | None = "rule", filter_kind: str | None = "text", now: str | None = None, llm=None, index: LexicalStore | None = None) -> DataFrame:
     """One response per question: hybrid text hits, filtered image hits (query_id, doc_id, content, score, retrieval_type, rank), packed context, answer."""
-    text = with_content(hybrid_search(docs, vectors, questions, k, reranker=reranker), questions, docs)
+    text = with_content(hybrid_search(docs, vectors, questions, k, reranker=reranker, index=index), questions, docs)
     text = text.select("query_id", "doc_id", "content", "score", F.lit("hybrid").alias("retrieval_type"))
     hits = text
     if image_hits is not None:

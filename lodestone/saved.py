@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodestone import files
+
 #: Rows of a stated set (questions, their terms) that are broadcast at most.
 MOST = 200_000
 
@@ -28,10 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables."""
+    return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete all tables that this application has written on the way. Results not yet read can't be read after it."""
+    files.delete(spark, tables_dir(spark))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back."""
+    """df written as Parquet to the shared folder and read back; remove_tables() deletes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
