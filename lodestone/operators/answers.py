@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.functions.ranking import top_k
 from lodestone.functions.text import MEDICAL_WORDS, path_of, rerank_prompt_kind, snippet  # noqa: F401
+from lodestone.models import LanguageModel, with_replies
 
 # Characters the context may take.
 WINDOW, PER_IMAGE, FOR_ANSWER, FOR_PROMPT, PER_TOKEN, REDUCED = 10240, 2500, 1500, 1000, 1.8, 1500
@@ -97,6 +98,14 @@ def answers(questions: DataFrame, contexts: DataFrame, llm: Callable[[Column], C
     return rows.select("query_id", "query", "prompt", F.when(empty, NOTHING).otherwise(reply).alias("answer"))
 
 
+def model_answers(questions: DataFrame, contexts: DataFrame, make: Callable[[], LanguageModel], kind: str = "strict", attempts: int = 1) -> DataFrame:
+    """(query_id, answer, error, seconds): a language model's answers; a question whose reply fails keeps the error and no answer, the others theirs."""
+    asked = answers(questions, contexts, lambda prompt: F.lit(None).cast("string"), kind)
+    asked = asked.withColumnRenamed("answer", "given")
+    replied = with_replies(asked, make, error="error", seconds="seconds", attempts=attempts)
+    return replied.select("query_id", F.coalesce("given", "reply").alias("answer"), "error", "seconds")
+
+
 def responses(questions: DataFrame, results: DataFrame, replies: DataFrame | None = None, now: str | None = None) -> DataFrame:
     """One row per question: answer, timestamp, total_results, retrieval (array by rank)."""
     fields = [c for c in ("rank", "doc_id", "content", "score", "retrieval_type") if c in results.columns]

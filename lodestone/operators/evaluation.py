@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions.text import clean, overlap, raw_tokens, truncate_sentences
 from lodestone.saved import small
@@ -67,13 +67,18 @@ def query_results(scores: DataFrame) -> DataFrame:
     return scores.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "score")))).alias("metrics"))
 
 
-def batch_summary(results: DataFrame, now: str | None = None) -> DataFrame:
-    """One row over (ok boolean, seconds double): counts, success rate and times of the successes as text at two decimals."""
+def summary_columns() -> list[Column]:
+    """Aggregates over (ok boolean, seconds double): counts, success rate and times of the successes as text at two decimals."""
     ok = F.col("ok")
     total, good = F.count("*"), F.count_if(ok)
     spent = F.coalesce(F.sum(F.when(ok, F.col("seconds"))), F.lit(0.0))
-    return results.agg(
+    return [
         total.alias("total_questions"), good.alias("successful_queries"), (total - good).alias("failed_queries"),
         F.when(total > 0, F.format_string("%.2f%%", good * 100.0 / F.greatest(total, F.lit(1)))).otherwise("0%").alias("success_rate"),
         F.format_string("%.2f", spent).alias("total_processing_time"), F.format_string("%.2f", spent / F.greatest(good, F.lit(1))).alias("average_processing_time"),
-    )
+    ]
+
+
+def batch_summary(results: DataFrame) -> DataFrame:
+    """One row over (ok boolean, seconds double)."""
+    return results.agg(*summary_columns())

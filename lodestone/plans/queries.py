@@ -5,6 +5,7 @@ Plans that search run the search when the query is called: its hits are written,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,6 +17,7 @@ from lodestone.operators.lexical_store import LexicalStore
 from lodestone.operators.vector_store import VectorStore
 from lodestone.saved import against_all, saved, tables_dir
 from lodestone.sources import readers
+from lodestone.streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -634,16 +636,64 @@ def search_and_answer(spark, sf_dir):
     return r.select("query_id", "total_results", "answer", "timestamp")
 
 
-@query(f"WITH {bm25_sql(10)}, r AS (SELECT query_id, count(*) AS n, string_agg(doc_id, ',' ORDER BY rank) AS ids FROM top GROUP BY query_id) SELECT item_id AS id, md5(text) AS original_question, '' AS original_answer, CASE WHEN item_id % 40 = 0 THEN ids END AS retrieval_results, CASE WHEN item_id % 40 = 0 THEN n END AS total_retrieved, '2024-01-02T03:04:05' AS timestamp, CASE WHEN r.query_id IS NULL THEN 'no response' WHEN item_id % 40 <> 0 THEN 'model failed' END AS error FROM benchmark LEFT JOIN r ON r.query_id = item_id")
-def file_mode(spark, sf_dir):
-    """Records of a question file: the stated queries are answered, half of them with an error; the others got no response."""
-    t = Tables(spark, sf_dir)
-    got = answers.responses(questions(t).select("query_id", "query"), bm25(t), now="2024-01-02 03:04:05")
-    got = got.select("query_id", F.lit(None).cast("string").alias("answer"), "retrieval", "total_results", "timestamp", F.lit(1.0).alias("seconds"), F.when(F.col("query_id") % 40 != 0, "model failed").alias("error"))
+class CountingModel:
+    """Replies with the length of the prompt's question, and fails where that is odd. A stand-in."""
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        out = []
+        for prompt in prompts:
+            n = len(prompt.rsplit("\n\nQuestion: ", 1)[1].removesuffix("\nAnswer:"))
+            if n % 2:
+                raise ValueError("an odd question")
+            out.append(str(n))
+        return out
+
+
+_RECORDS = f"""{CANDIDATES}, r AS (SELECT query_id, count(*) AS n, string_agg(doc_id, ',' ORDER BY rank) AS ids FROM c GROUP BY query_id),
+    f AS (SELECT item_id AS id, text, ids, n, CASE WHEN r.query_id IS NULL THEN 'no response' WHEN length(text) % 2 = 1 THEN 'an odd question' END AS error FROM benchmark LEFT JOIN r ON r.query_id = item_id)"""
+
+
+def file_records(t: Tables) -> DataFrame:
+    """A file of all benchmark items, of which the stated questions are asked, with a model that fails for some of them."""
+    hits = candidates(t)
     originals = t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.lit(None).cast("string").alias("answer"))
-    r = evaluation.file_records(originals, got, now="2024-01-02 03:04:05")
+    return search.answer_file(originals, questions(t), hits, CountingModel, now="2024-01-02 03:04:05")
+
+
+@query(f"{_RECORDS} SELECT id, md5(text) AS original_question, '' AS original_answer, CASE WHEN error IS NULL THEN length(text)::VARCHAR END AS generated_answer, CASE WHEN error IS NULL THEN ids END AS retrieval_results, CASE WHEN error IS NULL THEN n END AS total_retrieved, '2024-01-02T03:04:05' AS timestamp, error FROM f")
+def file_mode(spark, sf_dir):
+    r = file_records(Tables(spark, sf_dir))
     ids = F.array_join(F.transform("retrieval_results", lambda x: x["doc_id"].cast("string")), ",")
-    return r.select("id", F.md5("original_question").alias("original_question"), "original_answer", ids.alias("retrieval_results"), "total_retrieved", "timestamp", "error")
+    return r.select("id", F.md5("original_question").alias("original_question"), "original_answer", "generated_answer", ids.alias("retrieval_results"), "total_retrieved", "timestamp", "error")
+
+
+@query(f"{_RECORDS} SELECT count(*) AS total_questions, count(*) FILTER (WHERE error IS NULL) AS successful_queries, count(*) FILTER (WHERE error IS NOT NULL) AS failed_queries, printf('%.2f%%', count(*) FILTER (WHERE error IS NULL) * 100.0 / count(*)) AS success_rate FROM f")
+def file_report(spark, sf_dir):
+    return search.batch_report(file_records(Tables(spark, sf_dir))).select("total_questions", "successful_queries", "failed_queries", "success_rate")
+
+
+@query("SELECT user_id AS session_id, count(*) AS total_questions, count(*) FILTER (WHERE event_type <> 'error') AS successful_queries, count(*) FILTER (WHERE event_type = 'error') AS failed_queries, printf('%.2f%%', count(*) FILTER (WHERE event_type <> 'error') * 100.0 / count(*)) AS success_rate, printf('%.2f', coalesce(sum(value) FILTER (WHERE event_type <> 'error'), 0)) AS total_processing_time, printf('%.2f', coalesce(avg(value) FILTER (WHERE event_type <> 'error'), 0)) AS average_processing_time FROM events GROUP BY user_id")
+def session_stream_summary(spark, sf_dir):
+    """The events as a stream of results, each user a session: the last running summary of each."""
+    stream = readers.parquet_stream(spark, f"{sf_dir}/events.parquet", Tables(spark, sf_dir).events.schema)
+    results = stream.select(F.col("user_id").alias("session_id"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("seconds"))
+    at = f"{tables_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    sessions.summary_stream(results, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return sessions.latest_summaries(spark, f"{at}/out")
+
+
+@query("SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 3 = 0 THEN 'new ' || lang ELSE lang END AS document FROM documents WHERE doc_id % 7 <> 0")
+def collection_changes(spark, sf_dir):
+    """A collection of all documents, then new rows for a third of them, then a seventh removed."""
+    d = Tables(spark, sf_dir).documents
+    row = lambda document: d.select(F.col("doc_id").cast("string").alias("id"), F.lit(None).cast("array<float>").alias("embedding"), document.alias("document"), F.lit(None).cast("map<string,string>").alias("metadata"), "doc_id")
+    store, name = collections.Collections(spark, 16), f"changes_{uuid.uuid4().hex[:12]}"
+    store.put(name, row(F.col("lang")), "doc_id")
+    store.put(name, row(F.concat(F.lit("new "), F.col("lang"))).where("doc_id % 3 = 0"), "doc_id")
+    store.remove(name, d.where("doc_id % 7 = 0").select("doc_id"))
+    out = saved(store.get(name).select("id", "document"), "changes")
+    store.delete(name)
+    return out
 
 
 # ---- image search ----

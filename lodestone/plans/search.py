@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from lodestone.functions.ranking import by_score, top_k
 from lodestone.functions.text import captions
-from lodestone.operators.answers import answers, context_budget, pack_context, responses
+from lodestone.models import LanguageModel
+from lodestone.operators import evaluation
+from lodestone.operators.answers import answers, context_budget, model_answers, pack_context, responses
 from lodestone.operators.dense import dense_search
 from lodestone.operators.fusion import combine, merge_modalities
 from lodestone.operators.lexical import bm25_search
 from lodestone.operators.lexical_store import LexicalStore
 from lodestone.operators.rerank import rerank
 from lodestone.operators.similarity import filter_results, text_similarity
+from lodestone.saved import saved
 
 
 def hybrid_search(docs: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = 10, dense_weight: float = 0.7, sparse_weight: float = 0.3, reranker: str | None = None, index: LexicalStore | None = None, **options) -> DataFrame:
@@ -58,3 +63,18 @@ def search_and_answer(docs: DataFrame, vectors: DataFrame, questions: DataFrame,
         hits = top_k(text, None, ["query_id"], *by_score("score", "doc_id"))
     replies = answers(questions.select("query_id", "query"), pack_context(hits, context_budget(0)), llm)
     return responses(questions.select("query_id", "query"), hits, replies, now)
+
+
+def answer_file(originals: DataFrame, questions: DataFrame, hits: DataFrame, make: Callable[[], LanguageModel], now: str | None = None, attempts: int = 1) -> DataFrame:
+    """File mode: a record for each question of a file (qid, question, answer), answered from hits (query_id, doc_id, content, rank, ...) by a language model.
+
+    A question whose reply fails keeps its error and has no answer; all other records are whole. The model is asked when this is called, once for each question.
+    """
+    replies = saved(model_answers(questions.select("query_id", "query"), pack_context(hits, context_budget(0)), make, attempts=attempts), "replies")
+    got = responses(questions.select("query_id", "query"), hits, replies, now).join(replies.select("query_id", "error", "seconds"), "query_id")
+    return evaluation.file_records(originals, got.select("query_id", "answer", "retrieval", "total_results", "timestamp", "seconds", "error"), now)
+
+
+def batch_report(records: DataFrame) -> DataFrame:
+    """The summary of a file's records: failed ones are those with an error."""
+    return evaluation.batch_summary(records.select(F.col("error").isNull().alias("ok"), F.col("processing_time").alias("seconds")))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from lodestone import files as store
 from lodestone.operators.evaluation import metric_summary, query_results
 
 IMAGE_RECORD = "image_path string, caption string, source string"
@@ -59,6 +60,15 @@ def evaluation_records(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("id", F.coalesce("r.original_question", "r.query").alias("question"), F.coalesce("r.generated_answer", "r.answer").alias("answer"), F.transform(hits, lambda h: h["content"]).alias("contexts"))
 
 
+def parquet_stream(spark: SparkSession, path: str, schema: T.StructType, per_trigger: int = 4) -> DataFrame:
+    """A Parquet table, a folder or a single file, as a stream of its files."""
+    folder, _, name = path.rpartition("/")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    if store.names(spark, path) == [name]:  # a stream reads folders
+        return stream.option("pathGlobFilter", name).parquet(folder)
+    return stream.parquet(path)
+
+
 def save_batch(results: DataFrame, summary: DataFrame, folder: str) -> None:
     """A batch as JSON: summary and results beside each other."""
     summary.write.mode("overwrite").json(f"{folder}/summary")

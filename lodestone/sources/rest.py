@@ -8,10 +8,7 @@ import urllib.request
 from collections.abc import Iterable, Iterator
 
 from lodestone.conf import Config
-
-
-class ServiceError(RuntimeError):
-    """A service that didn't answer, or not with what was asked for."""
+from lodestone.models import ServiceError
 
 
 def _post(url: str, body: dict, secret: str | None, timeout: float):
@@ -59,27 +56,41 @@ class RestEmbedder:
         for i in range(0, len(texts), self.batch):
             part = [t or "" for t in texts[i : i + self.batch]]
             data = with_retries(lambda: _json(f"{self.url}/embeddings", {"input": part, "model": self.model}, self.secret, self.timeout, "data"), self.attempts, self.wait)
-            vectors = [x["embedding"] for x in sorted(data, key=lambda x: x["index"])]
+            try:
+                vectors = [x["embedding"] for x in sorted(data, key=lambda x: x["index"])]
+            except (KeyError, TypeError) as e:
+                raise ServiceError(f"{self.url}: vectors without their places") from e
             if len(vectors) != len(part):
                 raise ServiceError(f"{self.url}: {len(vectors)} vectors for {len(part)} texts")
             out.extend(vectors)
         return out
 
 
-def deltas(lines: Iterable[bytes]) -> Iterator[str]:
-    """Pieces of a streamed reply from its server-sent lines, up to [DONE]; lines that hold no JSON are left out."""
+def events(lines: Iterable[bytes]) -> Iterator[str]:
+    """Data of server-sent events: fields up to a blank line, several data fields joined by line feeds; comments and other fields are left out."""
+    data: list[str] = []
     for line in lines:
-        text = line.decode("utf-8", "replace").strip()
-        if text.startswith("data: "):
-            text = text[6:]
-            if text.strip() == "[DONE]":
-                return
-            try:
-                choices = json.loads(text).get("choices")
-            except (ValueError, AttributeError):
-                continue
-            if choices and "content" in (choices[0].get("delta") or {}):
-                yield choices[0]["delta"]["content"]
+        name, colon, value = line.decode("utf-8", "replace").rstrip("\r\n").partition(":")
+        if name == "data":
+            data.append(value.removeprefix(" "))
+        elif not name and not colon and data:
+            yield "\n".join(data)
+            data = []
+    if data:
+        yield "\n".join(data)
+
+
+def deltas(lines: Iterable[bytes]) -> Iterator[str]:
+    """Pieces of a streamed reply, up to [DONE]; events that hold no JSON or no piece are left out."""
+    for data in events(lines):
+        if data.strip() == "[DONE]":
+            return
+        try:
+            piece = json.loads(data)["choices"][0]["delta"]["content"]
+        except (ValueError, LookupError, TypeError):
+            continue
+        if piece is not None:
+            yield piece
 
 
 class RestChat:

@@ -3,6 +3,7 @@
 import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,8 +73,63 @@ def test_rest_services(spark, url, monkeypatch):
 
 
 def test_streamed_pieces():
-    lines = [b'data: {"choices": [{"delta": {"content": "a"}}]}', b"", b"data: no json", b"event: x", b'data: {"choices": [{"delta": {}}]}', b'data: {"choices": [{"delta": {"content": "b"}}]}', b"data: [DONE]", b'data: {"choices": [{"delta": {"content": "c"}}]}']
+    lines = [b'data: {"choices": [{"delta": {"content": "a"}}]}\n', b"\n", b"data: no json", b"", b": a comment", b"event: x", b'data: {"choices": [{"delta": {}}]}', b"\r\n", b'data: {"choices":', b'data:  [{"delta": {"content": "b"}}]}', b"", b"data: [DONE]", b"", b'data: {"choices": [{"delta": {"content": "c"}}]}', b""]
     assert list(rest.deltas(lines)) == ["a", "b"]
+    assert list(rest.events([b"data: x", b"data:y", b"id: 1", b"", b"", b"data: last"])) == ["x\ny", "last"]
+
+
+def test_failures_are_rows(spark):
+    """One failing prompt in a batch: its error and nothing else changes; without a place for errors the job fails."""
+
+    class Picky:
+        tries: dict = {}
+
+        def complete(self, prompts):
+            if any(p.startswith("bad") for p in prompts):
+                raise ValueError("no")
+            for p in prompts:
+                if p.startswith("slow") and Picky.tries.setdefault(p, 0) < 2:
+                    Picky.tries[p] += 1
+                    raise ValueError("later")
+            return [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None), (4, "slow"), (5, "b")], "query_id int, prompt string").coalesce(1)
+    got = {r.query_id: (r.reply, r.error) for r in models.with_replies(df, Picky, error="error", seconds="s", attempts=3).collect()}
+    assert got == {1: ("A", None), 2: (None, "no"), 3: (None, None), 4: ("SLOW", None), 5: ("B", None)}
+    with pytest.raises(Exception, match="no"):
+        models.with_replies(df, Picky).collect()
+    assert models.with_replies(df.limit(0), Picky).collect() == []
+
+
+def test_upserts_leave_other_buckets_alone(spark):
+    store, name = Collections(spark, 8), "t_buckets"
+    row = lambda i, text: (str(i), [float(i)], text, {"k": "v"}, 0)
+    frame = lambda rows: spark.createDataFrame(rows, "id string, embedding array<float>, document string, metadata map<string,string>, at int")
+    store.put(name, frame([row(i, "old") for i in range(60)]), "at")
+
+    def found():
+        at = store.location(name).removeprefix("file:")
+        return {(p.parent.parent.name, p.name): p.stat().st_mtime_ns for p in Path(at).rglob("part-*.parquet")}
+
+    before = found()
+    store.put(name, frame([(*row(7, "first")[:4], 1), (*row(7, "second")[:4], 2), (None, [0.0], "x", {}, 1)]), "at")
+    after = found()
+    gone = set(before) - set(after)
+    assert len({b for b, _ in gone}) == 1 and all(after[f] == t for f, t in before.items() if f not in gone)
+    rows = {r.id: r.document for r in store.get(name).collect()}
+    assert len(rows) == 60 and rows["7"] == "second" and rows["8"] == "old"
+    # what a crashed writer left behind isn't read
+    spark.sql(f"INSERT INTO {name}_data VALUES ('9', array(), 'ghost', map(), 3, 12345)")
+    spark.catalog.refreshTable(name)
+    store.remove(name, spark.createDataFrame([("7",), ("x",), (None,)], "id string"))
+    rows = {r.id: r.document for r in store.get(name).collect()}
+    assert len(rows) == 59 and "7" not in rows and "ghost" not in rows.values()
+    assert {r.collection_name: r.document_count for r in store.status().collect()}[name] == 59
+    store.replace(name, frame([row(1, "only")]))
+    assert [r.document for r in store.get(name).collect()] == ["only"]
+    store.put("t_empty", frame([]), "at")
+    assert store.info("t_empty").first().document_count == 0
+    assert store.delete(name) and store.delete("t_empty")
 
 
 def test_language_model_reranks_end_to_end(spark):

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lodestone import models
 from lodestone.operators.chunking import sections
+from lodestone.operators.evaluation import batch_summary
 from lodestone.plans.search import search_and_answer
 from lodestone.sources import readers
-from lodestone.streaming.sessions import answer_stream
+from lodestone.streaming.sessions import answer_stream, latest_summaries, summary_stream
 
 
 def test_markdown_sections(spark, tmp_path):
@@ -57,6 +58,34 @@ def test_answers_as_stream(spark, tmp_path):
     assert [(r.query_id, r.answer, r.session_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(5, "alpha beta", "s1")]
 
 
+def test_replayed_epochs_stand_once(spark, tmp_path):
+    """A micro-batch whose commit was lost is run again: the answers and the summaries are the same as before."""
+    made = tmp_path / "in"
+    rows = [(i % 3, i % 4 != 0, i / 2) for i in range(40)]
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], "session_id long, ok boolean, seconds double").coalesce(1).write.mode("append").parquet(str(made))
+    stream = spark.readStream.schema("session_id long, ok boolean, seconds double").option("maxFilesPerTrigger", 1).parquet(str(made))
+
+    def run():
+        answer_stream(stream.selectExpr("session_id as query_id", "seconds as query"), lambda b: b, str(tmp_path / "a"), "s", str(tmp_path / "ca")).awaitTermination(120)
+        summary_stream(stream, str(tmp_path / "b"), str(tmp_path / "cb")).awaitTermination(120)
+        answers = sorted(r[:2] for r in spark.read.parquet(str(tmp_path / "a")).select("query_id", "query").collect())
+        return answers, sorted(map(tuple, latest_summaries(spark, str(tmp_path / "b")).collect()))
+
+    first = run()
+    assert first[0] == sorted((s, t) for s, _, t in rows)
+    df = spark.createDataFrame(rows, "session_id long, ok boolean, seconds double")
+    assert first[1] == sorted((s, *batch_summary(df.where(F.col("session_id") == s)).first()) for s in range(3))
+    for c in ("ca", "cb"):
+        last = max((tmp_path / c / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+        last.unlink()
+        (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    assert run() == first
+    # another stream over the same table has epochs of its own
+    answer_stream(stream.selectExpr("session_id as query_id", "seconds as query"), lambda b: b, str(tmp_path / "a"), "s", str(tmp_path / "other")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 80
+
+
 def test_append_and_save(spark, tmp_path):
     df = spark.createDataFrame([(1,)], "x int")
     readers.save_batch(df, df, str(tmp_path / "b"))
