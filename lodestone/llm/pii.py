@@ -4,10 +4,11 @@ Four kinds are found by pattern. Beyond them, co-occurrence over the whole corpu
 and digits, lowered) discloses, and terms over a threshold are spans of kind `term`. Two sorts of entity are protected:
 
 * A value e that a pattern found. Over contexts (sentences of lines), PMI(t; e) = log2(n_te N / (n_t n_e)) against
-  the value's own information IC(e) = log2(N / n_e). A term discloses e with PMI >= DISCLOSES * IC if they meet in
-  different contexts. If they meet in one, which is weak evidence, the term must stand nowhere without e, and its PMI
-  be >= SINGLE * IC even after SHRINK neutral observations, so in a small corpus no such term is removed. It is a
-  span wherever it stands in a text that holds e.
+  the value's own information IC(e) = log2(N / n_e). A term discloses e with PMI >= DISCLOSES * IC, if the evidence is
+  sure: contexts count as one where they agree in a sketch of their words (near copies do), and of the k unlike
+  ones in which both stand, scaled to all that hold the term, the lower end of the 95 % interval of P(e | t) must be SURE at
+  least. A word met once or twice beside a value is no evidence. Both tests are the same for a table and for
+  copies of it. The term is a span wherever it stands in a text that holds e.
 * The holder of a text, whom a key or a password reveals although it occurs but once, so that its own count says nothing.
   IC(t) = -log2 P(t) is estimated from how characters co-occur as neighbours in all words of the corpus, a word
   counting log2(1 + its contexts), so that neither copies nor once-seen words rule; and it is no more than what choosing
@@ -26,8 +27,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestone.llm._spark import Stage
 
-#: Share of a value's information that a term may disclose, the same on the evidence of one context, observations that shrink it there, characters of such a term.
-DISCLOSES, SINGLE, SHRINK, LETTERS = 0.5, 0.9, 2, 3
+#: Share of a value's information that a term may disclose, least lower bound of P(value | term), characters of such a term.
+DISCLOSES, SURE, LETTERS = 0.5, 0.5, 3
+#: Quantile of the bound (95 %), words of a context's sketch.
+Z, SKETCH = 1.96, 3
 #: Bits that reveal a holder, and bits a character over the mean of the corpus that they must have.
 HOLDER, UNLIKE = 64, 1.4
 #: Terms, or rows with their terms, that are broadcast at most (about 100 bytes each in an executor); beyond, they are joined by a shuffle.
@@ -62,16 +65,31 @@ def _literal(pattern: str) -> str:
     return "r'" + pattern + "'"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _before(sizes: str) -> str:
+    """array<int>: what stands before each element of an array of sizes, summed over blocks of 64 so that long arrays aren't copied for each element."""
+    blocks = "transform(sequence(0, int((size(l) - 1) div 64)), i -> aggregate(slice(l, i * 64 + 1, 64), 0, (s, x) -> s + x))"
+    starts = f"aggregate({blocks}, named_struct('at', 0, 'all', cast(array() as array<int>)), (a, x) -> named_struct('at', a.at + x, 'all', array_append(a.all, a.at)), a -> a.all)"
+    each = f"flatten(transform({starts}, (s, i) -> transform(slice(l, i * 64 + 1, 64), (x, j) -> s + aggregate(slice(l, i * 64 + 1, j), 0, (t, y) -> t + y))))"
+    return _let(sizes, "l", f"case when size(l) = 0 then cast(array() as array<int>) else {each} end")
+
+
+def _matches(text: str, pattern: str) -> str:
+    """array<struct<start, m>> of a pattern's matches, in time that grows with the text."""
+    parts = f"zip_with(split({text}, {_literal(pattern)}, -1), regexp_extract_all({text}, {_literal(pattern)}, 0), (gap, m) -> named_struct('gap', length(gap), 'm', m))"
+    sizes = _before("transform(parts, x -> x.gap + coalesce(length(x.m), 0))")
+    return f"filter({_let(parts, 'parts', f"zip_with(parts, {sizes}, (x, at) -> named_struct('start', at + x.gap, 'm', x.m))")}, x -> x.m is not null)"
+
+
 def base_spans(text: str) -> Column:
     """array<struct<kind, start, end, value>> of the text column, by kind as listed, then start; code points from 0, end exclusive."""
     parts = []
     for kind, pattern in PATTERNS.items():
-        walk = (
-            f"aggregate(zip_with(split({text}, {_literal(pattern)}, -1), regexp_extract_all({text}, {_literal(pattern)}, 0), (gap, m) -> named_struct('gap', gap, 'm', m)), "
-            "named_struct('at', 0, 'found', cast(array() as array<struct<kind: string, start: int, end: int, value: string>>)), "
-            f"(a, x) -> case when x.m is null then a else named_struct('at', a.at + length(x.gap) + length(x.m), 'found', case when exists(array(x.m), m -> {CHECKS[kind]}) "
-            f"then array_append(a.found, named_struct('kind', '{kind}', 'start', a.at + length(x.gap), 'end', a.at + length(x.gap) + length(x.m), 'value', x.m)) else a.found end) end, a -> a.found)"
-        )
+        held = f"filter({_matches(text, pattern)}, x -> exists(array(x.m), m -> {CHECKS[kind]}))"
+        walk = f"transform({held}, x -> named_struct('kind', '{kind}', 'start', x.start, 'end', x.start + length(x.m), 'value', x.m))"
         parts.append(f"case when {HINTS[kind].format(t=text)} then {walk} else cast(array() as array<struct<kind: string, start: int, end: int, value: string>>) end")
     return F.expr(f"concat({', '.join(parts)})")
 
@@ -99,14 +117,12 @@ _LONG = f"size(array_distinct(split(w, ''))) > 1 and length(w) >= {math.ceil(HOL
 
 
 def term_spans(text: str, base: str, terms: str) -> str:
-    """array<struct<start, end, id>> of the words that are among the terms (struct<term, id>) and not within a base span."""
-    end = "a.at + x.gap + length(x.m)"
-    return (
-        f"aggregate(zip_with(split({text}, {_literal(WORD)}, -1), regexp_extract_all({text}, {_literal(WORD)}, 0), (gap, m) -> named_struct('gap', length(gap), 'm', m)), "
-        f"named_struct('at', 0, 'found', {_NONE}), (a, x) -> case when x.m is null then a else named_struct('at', {end}, 'found', "
-        f"case when exists({terms}, t -> t.term = lower(x.m)) and not exists({base}, b -> b.start <= a.at + x.gap and {end} <= b.end) "
-        f"then array_append(a.found, named_struct('start', a.at + x.gap, 'end', {end}, 'id', exists({terms}, t -> t.term = lower(x.m) and t.id))) else a.found end) end, a -> a.found)"
-    )
+    """array<struct<start, end, id>> of the words that are among the terms (struct<term, id>) and not within a base span; a word is looked up among those of its hash."""
+    by_hash = f"transform(sequence(0, 63), b -> filter({terms}, t -> pmod(hash(t.term), 64) = b))"
+    mine = "filter(element_at(dealt, 1 + pmod(hash(lower(x.m)), 64)), t -> t.term = lower(x.m))"
+    known = f"filter(transform({_matches(text, WORD)}, x -> named_struct('start', x.start, 'end', x.start + length(x.m), 'hits', {mine})), x -> size(x.hits) > 0)"
+    free = f"filter({known}, x -> not exists({base}, b -> b.start <= x.start and x.end <= b.end))"
+    return _let(by_hash, "dealt", f"transform({free}, x -> named_struct('start', x.start, 'end', x.end, 'id', exists(x.hits, t -> t.id)))")
 
 
 def _few(table: DataFrame) -> DataFrame:
@@ -133,20 +149,22 @@ class _Disclosure:
         stage, line = self.stage, F.explode(F.split("text", CONTEXT)).alias("line")
         lines = self.texts.where(_HINTED.format(t="text")).select("key", line).where(_HINTED.format(t="line"))
         lines = lines.withColumn("values", F.array_distinct(F.transform(base_spans("line"), lambda x: x["value"]))).where("size(values) > 0")
-        lines = stage.save(lines.withColumn("id", F.xxhash64("line")), "lines")
-        on = lines.select("key", "line", "id", F.explode("values").alias("value"))
+        sketch = F.expr(f"slice(array_sort(transform(filter({words_of('line')}, w -> w rlike '^\\\\p{{L}}+$'), w -> xxhash64(w))), 1, {SKETCH})")
+        lines = stage.save(lines.withColumn("sketch", F.xxhash64(sketch)), "lines")
+        on = lines.select("key", "line", "sketch", F.explode("values").alias("value"))
         words = F.explode(F.expr(f"filter({words_of('line')}, w -> length(w) >= {LETTERS})")).alias("term")
-        pairs = on.select("value", "id", words).groupBy("value", "term").agg(F.count("*").alias("n_te"), (F.min("id") != F.max("id")).alias("several"))
-        pairs = stage.save(pairs, "pairs")
+        pairs = on.select("value", "sketch", words).groupBy("value", "term", "sketch").agg(F.count("*").alias("n"))
+        pairs = stage.save(pairs.groupBy("value", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("k")), "pairs")
         total = float(self.texts.agg(F.sum(F.size(F.split("text", CONTEXT)))).first()[0] or 0)
         # all words are counted already; the few that stand beside a value are looked up
         terms = stage.save(pairs.select("term").distinct(), "terms")
         counts = self.words().join(_few(terms), F.col("word") == F.col("term")).select("term", F.col("n").alias("n_t"))
         values = on.groupBy("value").agg(F.count("*").alias("n_e"))
         scored = pairs.join(counts, "term").join(values, "value").withColumn("ic", F.log2(F.lit(total) / F.col("n_e"))).withColumn("pmi", F.log2(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e"))))
-        shrunk = F.log2((F.col("n_te") * F.lit(total) / F.col("n_e") + SHRINK) / (F.col("n_t") + SHRINK))
-        alone = (F.col("n_te") == F.col("n_t")) & (shrunk >= SINGLE * F.col("ic"))
-        disclosing = stage.save(scored.where("ic > 0").where(F.when(F.col("several"), F.col("pmi") >= DISCLOSES * F.col("ic")).otherwise(alone)).select("value", "term", "pmi", "ic"), "disclosing")
+        # Wilson's lower bound of P(value | term) from k unlike contexts of as many as the term would then have
+        share, m = F.col("n_te") / F.col("n_t"), F.col("k") * F.col("n_t") / F.col("n_te")
+        sure = (share + Z * Z / (2 * m) - Z * F.sqrt(share * (1 - share) / m + Z * Z / (4 * m * m))) / (1 + Z * Z / m)
+        disclosing = stage.save(scored.where("ic > 0").where((F.col("pmi") >= DISCLOSES * F.col("ic")) & (sure >= SURE)).select("value", "term", "pmi", "ic"), "disclosing")
         return on.select("key", "value").join(_few(disclosing.select("value", "term")), "value").select("key", "term").distinct()
 
     def model(self, words: DataFrame) -> DataFrame:

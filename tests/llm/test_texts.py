@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from lodestone.llm import decontaminate, mixing, pii, ppm, quality, token_count, toxicity, url_filter
 from lodestone.llm._bytes import chunks
@@ -378,10 +379,17 @@ def test_pii_patterns(spark):
 def test_disclosing_terms(spark):
     filler = [f"plain words number line {'abcdefghij'[i % 10] * 4} here" for i in range(300)]
     texts = ["plain words mail jo@x.org from zorblatt here", "other words mail jo@x.org says zorblatt", "plain words", "zorblatt alone"] + filler
+    # eight unlike contexts are evidence; of as many near copies, which differ in a number, there is one
+    texts += [f"{w} {w[::-1]} jo@x.org {w}ly zorblatt" for w in ("say", "tell", "ask", "write", "call", "send")] + [f"account {i} of an@y.net is frobnic number {i}" for i in range(12)] + ["once la@z.org byword"]
     d = docs(spark, list(enumerate(texts)) + [(None, "mail jo@x.org zorblatt")])
     rows = {r.doc_id: r for r in pii.find_personal_data(d).collect()}
     marked = lambda i: [texts[i][int(s.split(":")[1]) : int(s.split(":")[2])] for s in rows[i].spans.split(",") if s.startswith("term")]
     assert "zorblatt" in marked(0) and "zorblatt" in marked(1) and "words" not in marked(0) and rows[3].spans == "" and rows[None].n_email == 1
+    assert not any(marked(i) for i in range(len(texts) - 13, len(texts)))
+    # a table and ten copies of it give the same spans
+    ten = docs(spark, [(1000 * c + i, t) for c in range(10) for i, t in enumerate(texts)] + [(20_000 + c, "mail jo@x.org zorblatt") for c in range(10)])
+    again = {r.doc_id: r.spans for r in pii.find_personal_data(ten).collect()}
+    assert all(again[1000 * c + i] == rows[i].spans for c in (0, 9) for i in range(len(texts)))
     both = docs(spark, [(1, "from 1.2.3.4 4736962573099581 now"), (2, None)])
     assert {r.doc_id: r.text for r in pii.sanitise(both).collect()} == {1: "from <IP> <CARD> now", 2: None}
     clean = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
@@ -399,6 +407,10 @@ def plain_terms(texts):
             t = re.sub(m, " ", t)
         return {w.lower() for w in word.findall(t)}
 
+    def sketch(c):
+        signed = lambda w: (h := xxhash.xxh64(w.encode(), seed=42).intdigest()) - (h >> 63 << 64)
+        return tuple(sorted(signed(w) for w in words(c) if re.fullmatch(r"[^\W\d_]+", w))[: pii.SKETCH])
+
     contexts = [c for t in texts for c in re.split(r"\n|(?<=[.!?])[ \t]", t or "")]
     n_t, n_e, n_te, where = collections.Counter(), collections.Counter(), collections.Counter(), collections.defaultdict(set)
     for c in contexts:
@@ -409,12 +421,13 @@ def plain_terms(texts):
             for t in terms:
                 if len(t) >= pii.LETTERS:
                     n_te[e, t] += 1
-                    where[e, t].add(c)
+                    where[e, t].add(sketch(c))
     n, pairs = len(contexts), set()
     for (e, t), k in n_te.items():
         ic = math.log2(n / n_e[e])
-        shrunk = math.log2((k * n / n_e[e] + pii.SHRINK) / (n_t[t] + pii.SHRINK))
-        if ic > 0 and (math.log2(k * n / (n_t[t] * n_e[e])) >= pii.DISCLOSES * ic if len(where[e, t]) > 1 else k == n_t[t] and shrunk >= pii.SINGLE * ic):
+        share, m = k / n_t[t], len(where[e, t]) * n_t[t] / k
+        sure = (share + pii.Z**2 / (2 * m) - pii.Z * math.sqrt(share * (1 - share) / m + pii.Z**2 / (4 * m * m))) / (1 + pii.Z**2 / m)
+        if ic > 0 and math.log2(k * n / (n_t[t] * n_e[e])) >= pii.DISCLOSES * ic and sure >= pii.SURE:
             pairs.add((e, t))
     count = n_t
     two, one = collections.Counter(), collections.Counter()
@@ -434,10 +447,10 @@ def plain_terms(texts):
     return pairs, holders
 
 
-@pytest.mark.parametrize("single", [0.9, 0.5])
-def test_terms_equal_brute_force(spark, monkeypatch, single):
-    """Also with a threshold that terms met once pass in so small a corpus."""
-    monkeypatch.setattr(pii, "SINGLE", single)
+@pytest.mark.parametrize("sure", [0.5, 0.1])
+def test_terms_equal_brute_force(spark, monkeypatch, sure):
+    """Also with a bound that terms met once pass."""
+    monkeypatch.setattr(pii, "SURE", sure)
     rng = random.Random(12)
     syllables = ["an", "er", "le", "sto", "ing", "ou"]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 5)))
@@ -447,7 +460,8 @@ def test_terms_equal_brute_force(spark, monkeypatch, single):
     for i in range(250):
         t = [word() for _ in range(rng.randint(3, 40))]
         for _ in range(rng.randint(0, 2) if i % 3 == 0 else 0):
-            t.insert(rng.randrange(len(t)), rng.choice(values) + " " + rng.choice(["zorblatt", "quimby", word()]))
+            value = rng.choice(values)
+            t.insert(rng.randrange(len(t)), value + " " + ("zorblatt" if value == "jo@x.org" else rng.choice(["quimby", word()])))
         if i % 40 == 7:
             t.insert(rng.randrange(len(t)), 'token = "' + keys[i % 3] + '"')
         if i % 2:
@@ -470,6 +484,19 @@ def test_terms_equal_brute_force(spark, monkeypatch, single):
             assert clean[i] == t
 
 
+def test_many_matches_in_one_text_take_linear_time(spark):
+    import time
+
+    spent = []
+    for n in (2000, 16_000):
+        text = " ".join(f"user{i}@host{i}.org" for i in range(n))
+        d = spark.createDataFrame([(text,)], "t string")
+        began = time.time()
+        assert d.select(pii.base_spans("t").alias("s")).selectExpr("size(s) as n", "s[size(s) - 1].end as e").first() == (n, len(text))
+        spent.append(time.time() - began)
+    assert spent[1] < 5 + 12 * spent[0]
+
+
 def test_sanitise_keeps_columns_of_any_name(spark):
     rows = [(1, "from 1.2.3.4 now", 1, 2, 3, 4, 5, 6), (1, "from 1.2.3.4 now", 1, 2, 3, 4, 5, 6), (None, "x", 1, 2, 3, 4, 5, 6), (2, None, 1, None, 3, 4, 5, 6)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, _base int, _terms int, _key int, row int, base int, key int")
