@@ -16,8 +16,10 @@ def sections(docs: DataFrame, id_col: str = "doc_path", text_col: str = "text")
         f"flatten(transform(split(`{text_col}`, r'(?m)^(?=```)'), (p, i) -> if(i % 2 = 1, array(named_struct('text', p, 'head', false)), "
         "transform(split(p, r'(?m)(?=^#{1,6} )'), s -> named_struct('text', s, 'head', s rlike '^#{1,6} ')))))"
     )
-    joined = F.expr(f"aggregate({pieces}, cast(array() as array<string>), (a, x) -> if(x.head or size(a) = 0, array_append(a, x.text), concat(slice(a, 1, size(a) - 1), array(concat(element_at(a, -1), x.text)))))")
-    parts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.posexplode(joined).alias("at", "part"))
+    each = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.posexplode(F.expr(pieces)).alias("piece", "x")).select(id_col, "piece", "x.text", "x.head")
+    # a piece belongs to the last head before it; numbers instead of growing arrays keep this linear in the headings
+    each = each.withColumn("at", F.count_if("head").over(Window.partitionBy(id_col).orderBy("piece")))
+    parts = each.groupBy(id_col, "at").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "text"))), lambda p: p["text"]), "").alias("part"))
     parts = parts.where(F.trim(F.regexp_replace("part", r"\s", "")) != "")
     level = F.length(F.regexp_extract("part", r"^(#{1,6}) ", 1))
     title = F.trim(F.regexp_extract("part", r"^#{1,6} ([^\n]*)", 1))

@@ -6,85 +6,125 @@ candidates (and the query itself, for TF-IDF and keywords), so every statistic i
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone.functions.ranking import by_score, min_max_or_same, top_k
 from lodestone.functions.text import hash_similarity, tokens
-from lodestone.saved import saved
+from lodestone.saved import saved, small
 
 FEATURES, KEYWORDS = 1000, 10
 K1, B = 1.5, 0.75
 THRESHOLD, ALPHA = 0.1, 0.5
 
 
-def _texts(candidates: DataFrame) -> DataFrame:
-    """(query_id, doc_id, tokens): the candidates and, with a null doc_id, the query itself."""
+@dataclass(frozen=True)
+class Terms:
+    """The terms of a set of candidates, split and counted once for all signals.
+
+    rows: query_id, doc_id (null for the query itself), len (tokens of the text), term, pair (whether it is two tokens), tf, total and df (over the
+    query's candidates and itself), held (candidates that have the term), asked (its count in the query), n (texts), docs, avgdl.
+    """
+
+    candidates: DataFrame
+    rows: DataFrame
+
+
+def terms_of(candidates: DataFrame) -> Terms:
     own = candidates.select("query_id", F.lit(None).cast("bigint").alias("doc_id"), F.col("query").alias("text")).distinct()
     every = candidates.select("query_id", F.col("doc_id").cast("bigint"), F.col("content").alias("text")).unionByName(own)
-    return every.select("query_id", "doc_id", tokens(F.col("text")).alias("tokens"))
-
-
-def _weights(candidates: DataFrame, grams: int, features: int | None) -> DataFrame:
-    """(query_id, doc_id, term, w): tf * ln((n + 1) / (df + 1)) of one- to `grams`-token terms, the `features` most frequent of a query's set."""
-    texts = _texts(candidates)
-    terms = F.col("tokens")
-    if grams > 1:
-        pairs = F.when(F.size(terms) > 1, F.zip_with(F.slice(terms, F.lit(1), F.size(terms) - 1), F.slice(terms, F.lit(2), F.size(terms) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-        terms = F.concat(terms, pairs)
-    each = texts.select("query_id", "doc_id", F.explode(terms).alias("term")).groupBy("query_id", "doc_id", "term").agg(F.count("*").alias("tf"))
-    total = each.groupBy("query_id", "term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    if features:
-        total = top_k(total, features, ["query_id"], F.col("total").desc(), F.col("term"))
-    n = texts.groupBy("query_id").agg(F.count("*").alias("n"))
-    idf = total.join(n, "query_id").select("query_id", "term", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
-    return each.join(idf, ["query_id", "term"]).select("query_id", "doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-
-
-def tfidf_cosine(candidates: DataFrame) -> DataFrame:
-    """(query_id, doc_id, tfidf) of every candidate."""
-    w = _weights(candidates, 2, FEATURES)
-    q = w.where("doc_id is null").select("query_id", "term", F.col("w").alias("qw"))
-    size = w.groupBy("query_id", "doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    dots = w.where("doc_id is not null").join(q, ["query_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    own = size.where("doc_id is null").select("query_id", F.col("size").alias("qsize"))
-    out = candidates.select("query_id", F.col("doc_id").cast("bigint")).join(dots, ["query_id", "doc_id"], "left").join(size.where("doc_id is not null"), ["query_id", "doc_id"], "left").join(own, "query_id", "left")
-    return out.select("query_id", "doc_id", F.coalesce(F.col("dot") / F.nullif(F.col("size") * F.col("qsize"), F.lit(0.0)), F.lit(0.0)).alias("tfidf"))
-
-
-def keyword_overlap(candidates: DataFrame) -> DataFrame:
+    texts = saved(every.select("query_id", "doc_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens")), "texts")
+    size = F.size("tokens")
+    sets = texts.groupBy("query_id").agg(F.count("*").alias("n"), F.count("doc_id").alias("docs"), F.avg(F.when(F.col("doc_id").isNotNull(), size)).alias("avgdl"))
+    pairs = F.when(size > 1, F.zip_with(F.slice("tokens", F.lit(1), size - 1), F.slice("tokens", F.lit(2), size - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    each = texts.select("query_id", "doc_id", size.alias("len"), F.explode(F.concat("tokens", pairs)).alias("term")).groupBy("query_id", "doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    w = Window.partitionBy("query_id", "term")
+    rows = each.withColumns({
+        "pair": F.contains("term", F.lit(" ")), "total": F.sum("tf").over(w), "df": F.count("*").over(w), "held": F.count("doc_id").over(w),
+        "asked": F.max(F.when(F.col("doc_id").isNull(), F.col("tf"))).over(w),
+    })
+    return Terms(candidates.select("query_id", F.col("doc_id").cast("bigint")), saved(rows.join(small(sets), "query_id"), "terms"))
+
+
+def _share(name: str, terms: Terms, sums: DataFrame, value: Column) -> DataFrame:
+    """value of (mine, own: the same of the query's own row) for each candidate, 0 where either is missing."""
+    own = Window.partitionBy("query_id")
+    each = sums.withColumn("own", F.max(F.when(F.col("doc_id").isNull(), F.col("mine"))).over(own)).where("doc_id is not null")
+    out = terms.candidates.join(each.select("query_id", "doc_id", value.alias(name)), ["query_id", "doc_id"], "left")
+    return out.select("query_id", "doc_id", F.coalesce(name, F.lit(0.0)).alias(name))
+
+
+def _terms(candidates: DataFrame | Terms) -> Terms:
+    return candidates if isinstance(candidates, Terms) else terms_of(candidates)
+
+
+def tfidf_cosine(candidates: DataFrame | Terms) -> DataFrame:
+    """(query_id, doc_id, tfidf) of every candidate, over the FEATURES most frequent terms and pairs of a query's set."""
+    terms = _terms(candidates)
+    place = F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("total"), "term"))
+    idf = F.log((F.col("n") + 1) / (F.col("df") + 1))
+    kept = terms.rows.withColumn("place", place).where(F.col("place") <= FEATURES).select("query_id", "doc_id", (F.col("tf") * idf).alias("w"), (F.col("asked") * idf).alias("qw"))
+    sums = kept.groupBy("query_id", "doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("mine"), F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    return _share("tfidf", terms, sums, F.col("dot") / F.nullif(F.col("mine") * F.col("own"), F.lit(0.0)))
+
+
+def keyword_overlap(candidates: DataFrame | Terms) -> DataFrame:
     """(query_id, doc_id, keyword): shared share of the ten heaviest terms of query and candidate."""
-    w = top_k(_weights(candidates, 1, None), KEYWORDS, ["query_id", "doc_id"], F.round("w", 9).desc(), F.col("term"))
-    q = w.where("doc_id is null").select("query_id", "term")
-    size = w.groupBy("query_id", "doc_id").agg(F.count("*").alias("size"))
-    own = size.where("doc_id is null").select("query_id", F.col("size").alias("qsize"))
-    shared = w.where("doc_id is not null").join(q, ["query_id", "term"]).groupBy("query_id", "doc_id").agg(F.count("*").alias("shared"))
-    out = candidates.select("query_id", F.col("doc_id").cast("bigint")).join(shared, ["query_id", "doc_id"], "left").join(size.where("doc_id is not null"), ["query_id", "doc_id"], "left").join(own, "query_id", "left")
-    return out.select("query_id", "doc_id", F.coalesce(F.col("shared") / F.greatest("size", "qsize"), F.lit(0.0)).alias("keyword"))
+    terms = _terms(candidates)
+    weight = F.round(F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1)), 9)
+    best = top_k(terms.rows.where("not pair").select("query_id", "doc_id", "term", weight.alias("w")), KEYWORDS, ["query_id", "doc_id"], F.desc("w"), "term")
+    best = best.withColumn("also", F.max(F.col("doc_id").isNull()).over(Window.partitionBy("query_id", "term")))
+    sums = best.groupBy("query_id", "doc_id").agg(F.count("*").alias("mine"), F.count_if("also").alias("shared"))
+    return _share("keyword", terms, sums, F.col("shared") / F.greatest("mine", "own"))
 
 
-def candidate_bm25(candidates: DataFrame) -> DataFrame:
+def candidate_bm25(candidates: DataFrame | Terms) -> DataFrame:
     """(query_id, doc_id, bm25): BM25 over the query's own candidates, scaled to 0..1 (left as it is where all are equal)."""
-    texts = candidates.select("query_id", F.col("doc_id").cast("bigint"), tokens(F.col("content")).alias("tokens"))
-    asked = candidates.select("query_id", "query").distinct().select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    stats = texts.groupBy("query_id").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    tf = texts.select("query_id", "doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).join(asked, ["query_id", "term"], "left_semi").groupBy("query_id", "doc_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    hits = tf.join(df, ["query_id", "term"]).join(asked, ["query_id", "term"]).join(stats, "query_id")
-    weight = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    sums = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * weight).alias("bm25"))
-    out = candidates.select("query_id", F.col("doc_id").cast("bigint")).join(sums, ["query_id", "doc_id"], "left").withColumn("bm25", F.round(F.coalesce("bm25", F.lit(0.0)), 9))
+    terms = _terms(candidates)
+    weight = F.log((F.col("docs") - F.col("held") + 0.5) / (F.col("held") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+    sums = terms.rows.where("not pair and doc_id is not null and asked is not null").groupBy("query_id", "doc_id").agg(F.sum(F.col("asked") * weight).alias("bm25"))
+    out = terms.candidates.join(sums, ["query_id", "doc_id"], "left").withColumn("bm25", F.round(F.coalesce("bm25", F.lit(0.0)), 9))
     return out.select("query_id", "doc_id", min_max_or_same(F.col("bm25"), ["query_id"]).alias("bm25"))
 
 
+#: Each text feature by name: what a candidate gets from it.
+METHODS = {"tfidf": tfidf_cosine, "keyword": keyword_overlap, "bm25": candidate_bm25}
+
+
+def features(candidates: DataFrame, method: str) -> DataFrame:
+    """(query_id, doc_id, features map<string, double>) of a method by name: a candidate's own weights of its terms.
+
+    tfidf: the FEATURES most frequent terms and pairs; keyword: the ten heaviest terms; bm25: the query's terms that it has; hash: the
+    text's MD5 digest as the one key. Another name is an error. A candidate without terms has an empty map.
+    """
+    if method == "hash":
+        return candidates.select("query_id", F.col("doc_id").cast("bigint"), F.create_map(F.md5("content"), F.lit(1.0)).alias("features"))
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}; known: {', '.join([*METHODS, 'hash'])}")
+    terms = terms_of(candidates)
+    rows = terms.rows.withColumn("w", F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1)))
+    if method == "tfidf":
+        rows = rows.withColumn("place", F.dense_rank().over(Window.partitionBy("query_id").orderBy(F.desc("total"), "term"))).where(F.col("place") <= FEATURES)
+    elif method == "keyword":
+        rows = top_k(rows.where("not pair"), KEYWORDS, ["query_id", "doc_id"], F.round("w", 9).desc(), F.col("term"))
+    else:
+        idf = F.log((F.col("docs") - F.col("held") + 0.5) / (F.col("held") + 0.5))
+        rows = rows.where("not pair and asked is not null").withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl"))))
+    maps = rows.where("doc_id is not null").groupBy("query_id", "doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "w")))).alias("features"))
+    return terms.candidates.join(maps, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("features", F.create_map().cast("map<string,double>")).alias("features"))
+
+
 SIGNALS = ("tfidf", "keyword", "hash", "bm25")
 
 
 def text_similarity(candidates: DataFrame) -> DataFrame:
     """candidates with the four signals and raw_similarity: their mean, a signal that doesn't vary over a query's candidates counting 0."""
-    candidates = saved(candidates, "candidates")  # a few rows a query, read by all four signals
+    candidates = saved(candidates, "candidates")  # a few rows a query
+    terms = terms_of(candidates)
     out = candidates.withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("hash", hash_similarity(F.col("query"), F.col("content")))
-    for part in (tfidf_cosine(candidates), keyword_overlap(candidates), candidate_bm25(candidates)):
-        out = out.join(part, ["query_id", "doc_id"])
+    for signal in METHODS.values():
+        out = out.join(signal(terms), ["query_id", "doc_id"])
     w = Window.partitionBy("query_id")
 
     def used(signal: str) -> Column:

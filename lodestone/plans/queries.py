@@ -286,23 +286,27 @@ def model_rerank(spark, sf_dir):
     return rerank.model_rerank(candidates(Tables(spark, sf_dir))).select("query_id", "doc_id", "new_rank", F.round("new_score", 6).alias("new_score"))
 
 
-REPLIES = [(1, "3, 1", 3), (2, "排序结果: 3,1,2\n排序理由: 文档3最好", 3), (3, "none", 3), (4, "", 2), (5, "9,9", 3), (6, "2,2,1", 3), (7, "4,2", 5)]
-_VALUES = ", ".join(f"({i}, '{r}', {n})" for i, r, n in REPLIES)
-_ORDER = f"""
-    r(reply_id, reply, n) AS (VALUES {_VALUES}),
+_ORDER = """
+    r AS (SELECT item_id AS reply_id, 3 + item_id % 4 AS n, CASE item_id % 7 WHEN 0 THEN (1 + item_id % 5) || ', ' || (1 + length(text) % 4)
+        WHEN 1 THEN '排序结果: ' || (1 + item_id % 3) || ',1,2' || chr(10) || '排序理由: 文档' || (1 + item_id % 4) || '最好' WHEN 2 THEN 'none' WHEN 3 THEN ''
+        WHEN 4 THEN '9,9' WHEN 5 THEN '2,2,' || (1 + item_id % 6) ELSE text END AS reply FROM benchmark),
     s AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(reply, '[^0-9,]', '', 'g'), ','), lambda x: try_cast(x AS BIGINT) - 1), lambda x: x IS NOT NULL AND x >= 0 AND x < n) AS l FROM r),
     g AS (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i) AS ranked FROM s),
     o AS (SELECT reply_id, n, list_concat(ranked, list_filter(range(n), lambda x: NOT list_contains(ranked, x))) AS ord FROM g WHERE len(ranked) > 0)
 """
 
 
-def replies(spark) -> DataFrame:
-    return spark.createDataFrame(REPLIES, "reply_id int, reply string, n bigint")
+def replies(t: Tables) -> DataFrame:
+    """A reply of some form for each benchmark item: numbers, numbers in words, none, out of range, repeated, and the item's own text."""
+    i, size = F.col("item_id"), F.length("text")
+    s = lambda c: c.cast("string")
+    forms = [F.concat(s(1 + i % 5), F.lit(", "), s(1 + size % 4)), F.concat(F.lit("排序结果: "), s(1 + i % 3), F.lit(",1,2\n排序理由: 文档"), s(1 + i % 4), F.lit("最好")), F.lit("none"), F.lit(""), F.lit("9,9"), F.concat(F.lit("2,2,"), s(1 + i % 6)), F.col("text")]
+    return t.benchmark.select(i.alias("reply_id"), F.element_at(F.array(*forms), (i % 7 + 1).cast("int")).alias("reply"), (3 + i % 4).alias("n"))
 
 
 @query(f"WITH {_ORDER} SELECT reply_id, unnest(range(len(ord))) AS place, unnest(ord) AS item, round((n - unnest(range(len(ord)))) / n, 6) AS score FROM o")
 def llm_order_parse(spark, sf_dir):
-    r = replies(spark).select("reply_id", "n", F.posexplode(T.parse_order(F.col("reply"), F.col("n"))).alias("place", "item"))
+    r = replies(Tables(spark, sf_dir)).select("reply_id", "n", F.posexplode(T.parse_order(F.col("reply"), F.col("n"))).alias("place", "item"))
     return r.select("reply_id", F.col("place").cast("bigint").alias("place"), "item", F.round((F.col("n") - F.col("place")) / F.col("n"), 6).alias("score"))
 
 
@@ -448,13 +452,16 @@ def categorize_results(spark, sf_dir):
     return modalities(Tables(spark, sf_dir)).groupBy("query_id", answers.bucket_of(F.col("retrieval_type")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-CAPTIONED = [(1, 1, "见图3-12 胎儿心脏（四腔心）。另有图4-1 肝脏 右叶, 正常；"), (1, 2, "重复 图3-12 胎儿心脏（四腔心）。"), (2, 1, "没有图"), (2, 2, "图10-2 wall A (left), 5。图10-2 wall A (left), 5。")]
-_CAP = "c(query_id, rank, content) AS (VALUES " + ", ".join(f"({q}, {r}, '{c}')" for q, r, c in CAPTIONED) + "), x AS (SELECT query_id, rank, unnest(list_transform(regexp_extract_all(content, '(图\\d+-\\d+\\s+[\\p{L}\\p{N}_\\s（）(),]+)', 1), lambda s: trim(s))) AS caption FROM c)"
+_CAP = "c(query_id, rank, content) AS (SELECT doc_id % 50, doc_id, text || '。见图' || (doc_id % 12) || '-' || (doc_id % 9) || ' ' || lang || ' 心脏（四腔心）。另有图' || (doc_id % 5) || '-1 肝脏 右叶, 正常；' FROM documents), x AS (SELECT query_id, rank, unnest(list_transform(regexp_extract_all(content, '(图\\d+-\\d+\\s+[\\p{L}\\p{N}_\\s（）(),]+)', 1), lambda s: trim(s))) AS caption FROM c)"
 
 
 @query(f"WITH {_CAP} SELECT query_id, caption, min(rank) AS first_rank, sha256(caption) AS image_path FROM x GROUP BY query_id, caption")
 def caption_extract(spark, sf_dir):
-    hits = spark.createDataFrame(CAPTIONED, "query_id int, rank int, content string")
+    """Captions in the documents' texts, two to each, and the image of each: the first of a question's hits that names it stays."""
+    d, s = Tables(spark, sf_dir).documents, lambda c: c.cast("string")
+    i = F.col("doc_id")
+    named = F.concat("text", F.lit("。见图"), s(i % 12), F.lit("-"), s(i % 9), F.lit(" "), "lang", F.lit(" 心脏（四腔心）。另有图"), s(i % 5), F.lit("-1 肝脏 右叶, 正常；"))
+    hits = d.select((i % 50).alias("query_id"), i.alias("rank"), named.alias("content"))
     known = hits.select(F.explode(T.captions(F.col("content"))).alias("caption")).distinct().select("caption", F.sha2("caption", 256).alias("image_path"), F.lit(1.0).alias("score"))
     images = search.caption_images(hits, known)
     first = hits.select("query_id", "rank", F.explode(T.captions(F.col("content"))).alias("caption")).groupBy("query_id", "caption").agg(F.min("rank").alias("first_rank"))
@@ -555,12 +562,25 @@ def collection_info(spark, sf_dir):
     return collections.collection_info({name: getattr(t, name) for name in TABLES})
 
 
-QUESTION_FILES = ['[{"question": "what", "answer": "that"}, {"question": " "}, {"question": "who"}]', '["one", "", "two"]', '{"questions": ["a", "b"]}']
-
-
-@query("SELECT * FROM (VALUES (1, 'what', 'that'), (3, 'who', NULL), (1, 'one', NULL), (3, 'two', NULL), (1, 'a', NULL), (2, 'b', NULL)) t(qid, question, answer)")
+@query("SELECT f AS file, row_number AS qid, question, answer FROM (SELECT item_id // 10 AS f, row_number() OVER (PARTITION BY item_id // 10 ORDER BY item_id) AS row_number, CASE WHEN item_id % 7 = 0 THEN ' ' ELSE text END AS question, CASE WHEN (item_id // 10) % 3 = 0 AND item_id % 2 = 0 THEN 'answer ' || item_id END AS answer FROM benchmark) WHERE trim(question) <> ''")
 def question_file_shapes(spark, sf_dir):
-    return readers.parse_questions(spark.createDataFrame([(x,) for x in QUESTION_FILES], "value string"))
+    """The benchmark as question files of ten items, in the three shapes that such a file may have."""
+    i = F.col("item_id")
+    rows = Tables(spark, sf_dir).benchmark.select(F.floor(i / 10).alias("file"), i, F.when(i % 7 == 0, " ").otherwise(F.col("text")).alias("question"), F.when(i % 2 == 0, F.concat(F.lit("answer "), i.cast("string"))).alias("answer"))
+    items = F.sort_array(F.collect_list(F.struct("item_id", "question", "answer")))
+    files = rows.groupBy("file").agg(items.alias("l"))
+    plain = F.transform("l", lambda x: x["question"])
+    shape = F.when(F.col("file") % 3 == 0, F.to_json(F.transform("l", lambda x: F.struct(x["question"].alias("question"), x["answer"].alias("answer"))))).when(F.col("file") % 3 == 1, F.to_json(plain)).otherwise(F.to_json(F.struct(plain.alias("questions"))))
+    return readers.parse_questions(files.select("file", shape.alias("value")), keep=["file"])
+
+
+@query(CANDIDATES + f", {_GRAMS}, f AS (SELECT query_id, doc_id, count(*) AS terms, md5(string_agg(term, '|' ORDER BY term)) AS digest, round(sum(w), 6) AS weight FROM gw WHERE doc_id <> -1 GROUP BY ALL) SELECT query_id, doc_id, coalesce(terms, 0) AS terms, digest, round(coalesce(weight, 0.0), 6) AS weight FROM c LEFT JOIN f USING (query_id, doc_id)")
+def candidate_features(spark, sf_dir):
+    """The weights of a candidate's terms as a map, by the method of the TF-IDF signal."""
+    f = similarity.features(candidates(Tables(spark, sf_dir)), "tfidf")
+    keys = F.sort_array(F.map_keys("features"))
+    weight = F.round(F.aggregate(F.map_values("features"), F.lit(0.0), lambda a, v: a + v), 6)
+    return f.select("query_id", "doc_id", F.size("features").cast("bigint").alias("terms"), F.when(F.size("features") > 0, F.md5(F.array_join(keys, "|"))).alias("digest"), weight.alias("weight"))
 
 
 # ---- evaluation ----

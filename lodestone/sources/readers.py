@@ -35,15 +35,16 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jpg,jpeg,png}").load(folder).select("path", "content")
 
 
-def parse_questions(files: DataFrame, column: str = "value") -> DataFrame:
-    """(qid, question, answer) from whole JSON files: [{question, answer?}], ["..."] or {"questions": ["..."]}; blank ones go, others are dropped."""
+def parse_questions(files: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """(qid, question, answer) from whole JSON files: [{question, answer?}], ["..."] or {"questions": ["..."]}; blank ones go, others are dropped. keep: columns to carry along."""
+    keep = keep or []
     v = F.col(column)
     as_list = F.from_json(v, "array<string>")
     items = F.coalesce(F.from_json(F.get_json_object(v, "$.questions"), "array<string>"), as_list)
-    each = files.select(F.posexplode(items).alias("pos", "item"))
+    each = files.select(*keep, F.posexplode(items).alias("pos", "item"))
     is_object = F.col("item").rlike(r"^\s*\{")
     question = F.when(is_object, F.get_json_object("item", "$.question")).otherwise(F.col("item"))
-    rows = each.select((F.col("pos") + 1).alias("qid"), question.alias("question"), F.when(is_object, F.get_json_object("item", "$.answer")).alias("answer"))
+    rows = each.select(*keep, (F.col("pos") + 1).alias("qid"), question.alias("question"), F.when(is_object, F.get_json_object("item", "$.answer")).alias("answer"))
     return rows.where(F.trim(F.coalesce("question", F.lit(""))) != "")
 
 

@@ -230,3 +230,17 @@ def test_evaluation_report(spark, tmp_path):
     readers.save_report(rows, str(tmp_path / "r"))
     assert sorted((r.id, r.metrics.asDict()) for r in spark.read.json(str(tmp_path / "r" / "query_results")).collect())[0] == ("a", {"m": 0.5, "n": 1.0})
     assert {r.metric: (r.average, r["count"]) for r in spark.read.json(str(tmp_path / "r" / "summary")).collect()} == {"m": (0.5, 1), "n": (1.0, 1)}
+
+
+def test_many_headings_take_linear_time(spark):
+    import time
+
+    spent = []
+    for n in (2000, 16_000):
+        text = "".join(f"{'#' * (1 + i % 6)} head {i}\nbody\n" for i in range(n))
+        d = spark.createDataFrame([(1, text)], "doc_path int, text string")
+        began = time.time()
+        rows = chunking.sections(d)
+        assert rows.count() == n and rows.where(f"pos = {n - 1}").first().prev_id is not None
+        spent.append(time.time() - began)
+    assert spent[1] < 3 + 12 * spent[0]
