@@ -25,6 +25,10 @@ class LanguageModel(Protocol):
     def complete(self, prompts: list[str]) -> list[str]: ...
 
 
+class Judge(Protocol):
+    def score(self, metric: str, question: str, answer: str, contexts: list[str]) -> float | None: ...
+
+
 class HashEmbedder:
     """Unit vectors from token digests: equal texts, equal vectors. A stand-in, not a language model."""
 

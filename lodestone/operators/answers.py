@@ -42,35 +42,40 @@ def context_budget(images: int) -> int:
     return int((WINDOW - PER_IMAGE * images - FOR_ANSWER - FOR_PROMPT) * PER_TOKEN)
 
 
-def pack_context(results: DataFrame, budget: int, reduce: bool = False, key: str = "query_id", order: str = "rank", content: str = "content") -> DataFrame:
+def context_budgets(images: Column) -> Column:
+    """context_budget of a column."""
+    return ((WINDOW - PER_IMAGE * images - FOR_ANSWER - FOR_PROMPT) * PER_TOKEN).cast("int")
+
+
+def pack_context(results: DataFrame, budget: int | Column, reduce: bool = False, key: str = "query_id", order: str = "rank", content: str = "content") -> DataFrame:
     """(key, context, parts, cut): stripped non-blank contents in order, joined by a blank line, up to the budget.
 
     The first content that would overflow is cut (unstripped, with dots) if over LEAST_CUT characters are left, and
-    nothing after it is taken even if it would fit.
+    nothing after it is taken even if it would fit. A budget of a column is that of the key's rows; none above 0 leaves no context.
     """
-    budget = min(budget, REDUCED) if reduce else budget
-    if budget <= 0:
-        return results.select(key).distinct().select(key, F.lit("").alias("context"), F.lit(0).cast("bigint").alias("parts"), F.lit(False).alias("cut"))
+    most = REDUCED if reduce else context_budget(0) if isinstance(budget, Column) else budget
+    budget = F.least(budget if isinstance(budget, Column) else F.lit(budget), F.lit(most))
     w = Window.partitionBy(key).orderBy(order)
     strip = F.regexp_replace(F.col(content), r"^\s+|\s+$", "")
-    rows = results.select(key, order, content, strip.alias("part")).where(F.length("part") > 0)
+    rows = results.select(key, order, content, strip.alias("part"), budget.alias("_budget")).where((F.length("part") > 0) & (F.col("_budget") > 0))
     # a part and its separator take three characters at least, so no more parts than this can fit or overflow
-    rows = top_k(rows, budget // 3 + 2, [key], F.col(order), name="_place").drop("_place")
+    rows = top_k(rows, max(0, most) // 3 + 2, [key], F.col(order), name="_place").drop("_place")
     rows = rows.withColumn("before", F.coalesce(F.sum(F.length("part") + 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("over", F.min(F.when(F.col("before") + F.length("part") > budget, F.col(order))).over(Window.partitionBy(key)))
-    room = F.lit(budget) - F.col("before") - RESERVE
-    text = F.when(F.col("over").isNull() | (F.col(order) < F.col("over")), F.col("part")).when((F.col(order) == F.col("over")) & (room > LEAST_CUT), F.concat(F.expr(f"substring(`{content}`, 1, int({budget} - before - {RESERVE}))"), F.lit("...")))
+    rows = rows.withColumn("over", F.min(F.when(F.col("before") + F.length("part") > F.col("_budget"), F.col(order))).over(Window.partitionBy(key)))
+    room = (F.col("_budget") - F.col("before") - RESERVE).cast("int")
+    text = F.when(F.col("over").isNull() | (F.col(order) < F.col("over")), F.col("part")).when((F.col(order) == F.col("over")) & (room > LEAST_CUT), F.concat(F.substring(F.col(content), F.lit(1), room), F.lit("...")))
     kept = rows.withColumn("text", text)
     packed = kept.where(F.col("text").isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col("text")))).alias("l"), F.count("*").alias("parts"), F.coalesce(F.max(F.col(order) == F.col("over")), F.lit(False)).alias("cut"))
     packed = packed.select(key, F.array_join(F.transform("l", lambda x: x["text"]), SEPARATOR).alias("context"), "parts", "cut")
     return results.select(key).distinct().join(packed, key, "left").select(key, F.coalesce("context", F.lit("")).alias("context"), F.coalesce("parts", F.lit(0)).cast("bigint").alias("parts"), F.coalesce("cut", F.lit(False)).alias("cut"))
 
 
-def answer_images(results: DataFrame, most: int = 3, user_image: bool = False) -> DataFrame:
+def answer_images(results: DataFrame, most: int = 3, user_image: bool | Column = False) -> DataFrame:
     """(query_id, place, path): the first image hits of each query; the user's own image takes one place."""
     hits = results.where(F.col("retrieval_type").isin("image_from_text", "image_to_image")).withColumn("path", path_of(F.col("content"))).where("path <> ''")
     hits = hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    return hits.where(F.col("place") <= most - int(user_image)).select("query_id", "place", "path")
+    taken = user_image.cast("int") if isinstance(user_image, Column) else F.lit(int(user_image))
+    return hits.where(F.col("place") <= most - taken).select("query_id", "place", "path")
 
 
 def answer_prompt(query: Column, context: Column, kind: str = "strict") -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.functions.text import clean, overlap, raw_tokens, truncate_sentences
+from lodestone.models import Judge
 from lodestone.saved import small
+from lodestone.session import ship
 
 # Limits of an evaluation sample.
 CONTEXTS, CONTEXT_SIZE, ANSWER_SIZE, QUESTION_SIZE = 2, 600, 800, 200
@@ -27,6 +32,45 @@ def overlap_metrics(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), pairs[m].alias("score")) for m in METRICS])).alias("x")).select("id", "x.metric", "x.score")
 
 
+#: Characters of a context and of an answer once a judge's output could not be read, tries of a metric, and how such a failure is named.
+JUDGE_CONTEXT, JUDGE_ANSWER, TRIES = 500, 1000, 3
+UNREADABLE = ("failed to parse output", "output parser failed")
+
+
+def judged_metrics(rows: DataFrame, make: Callable[[], Judge], metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """(id, metric, score, attempts, error) of samples (id, question, answer, contexts), by a judging model, one for each Python worker.
+
+    A metric is tried TRIES times; what fails only then scores 0 and keeps its error. Where the judge's output could not be
+    read, contexts and answer are cut for the next try and for the sample's metrics that follow. Other samples are untouched by a failure.
+    """
+    ship(rows.sparkSession)
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def judged(judge: Judge, question: str, answer: str, contexts: list[str]) -> Iterator[tuple]:
+        for metric in metrics:
+            for attempt in range(1, TRIES + 1):
+                try:
+                    score, error = judge.score(metric, question, answer, contexts), None
+                    break
+                except Exception as e:
+                    score, error = 0.0, str(e) or type(e).__name__
+                    if attempt < TRIES and any(u in error.lower() for u in UNREADABLE):
+                        answer, contexts = answer[:JUDGE_ANSWER], [c[:JUDGE_CONTEXT] for c in contexts]
+            yield metric, float(score or 0.0), attempt, error
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = make()
+        for rb in batches:
+            ids, out = [], []
+            for i, (question, answer, contexts) in enumerate(zip(*(rb.column(c).to_pylist() for c in (1, 2, 3)))):
+                found = list(judged(judge, question or "", answer or "", [c or "" for c in contexts or []]))
+                ids += [i] * len(found)
+                out += found
+            yield pa.record_batch([rb.column(0).take(pa.array(ids, pa.int64())), *(pa.array([o[c] for o in out], t) for c, t in enumerate((pa.string(), pa.float64(), pa.int32(), pa.string())))], ["id", "metric", "score", "attempts", "error"])
+
+    return rows.select("id", "question", "answer", "contexts").mapInArrow(run, f"id {kind}, metric string, score double, attempts int, error string")
+
+
 def metric_summary(scores: DataFrame) -> DataFrame:
     """(metric, average, max, min, count) over the known scores, at three decimals."""
     known = scores.where(F.col("score").isNotNull())

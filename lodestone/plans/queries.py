@@ -656,6 +656,72 @@ def search_and_answer(spark, sf_dir):
     return r.select("query_id", "total_results", "answer", "timestamp")
 
 
+class LengthJudge:
+    """Scores by lengths; can't read contexts of over 500 characters, and no question whose length divides by 11. A stand-in."""
+
+    def score(self, metric: str, question: str, answer: str, contexts: list[str]) -> float:
+        if len(question) % 11 == 0:
+            raise ValueError("no judgement")
+        if any(len(c) > 500 for c in contexts):
+            raise ValueError("Failed to parse output of the judge")
+        a, b = {"faithfulness": ("".join(contexts), answer), "answer_relevancy": (question, answer), "context_relevancy": (question, "".join(contexts))}[metric]
+        return len(a) / (len(a) + len(b))
+
+
+@query(f"""{_SAMPLES}, j AS (SELECT *, length(question) % 11 = 0 AS broken, length(context) > 500 AS long, substr(context, 1, 500) AS ctx FROM s),
+    m AS (SELECT id, 'faithfulness' AS metric, length(ctx) / (length(ctx) + length(answer)) AS score, CASE WHEN broken THEN 3 WHEN long THEN 2 ELSE 1 END AS attempts, broken FROM j
+        UNION ALL SELECT id, 'answer_relevancy', length(question) / (length(question) + length(answer)), CASE WHEN broken THEN 3 ELSE 1 END, broken FROM j
+        UNION ALL SELECT id, 'context_relevancy', length(question) / (length(question) + length(ctx)), CASE WHEN broken THEN 3 ELSE 1 END, broken FROM j)
+    SELECT id, metric, round(CASE WHEN broken THEN 0.0 ELSE score END, 6) AS score, attempts, CASE WHEN broken THEN 'no judgement' END AS error FROM m""")
+def eval_judged(spark, sf_dir):
+    r = evaluation.judged_metrics(evaluation.samples(conversation_pairs(Tables(spark, sf_dir))), LengthJudge)
+    return r.select("id", "metric", F.round("score", 6).alias("score"), "attempts", "error")
+
+
+#: Documents of which every tenth names a figure, as a table of the same name.
+FIGURED = "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || '。见图' || (doc_id % 12) || '-' || (doc_id % 9) || ' heart。' ELSE text END AS text FROM documents"
+
+
+@query(HYBRID.replace("WITH ", f"WITH documents AS ({FIGURED}), ", 1) + f""",
+    im AS (SELECT vec_id AS image_id, 'img/' || vec_id || '.png' AS image_path, CASE WHEN vec_id % 7 = 0 THEN '' ELSE 'caption ' || vec_id END AS caption, e, list_reverse(e) AS ce FROM v),
+    tx AS (SELECT query_id, doc_id, text AS content, round(score, 6) AS score, rank FROM merged JOIN documents USING (doc_id) WHERE rank <= 10),
+    nm AS (SELECT query_id, rank, unnest(list_transform(regexp_extract_all(content, '(图\\d+-\\d+\\s+[\\p{{L}}\\p{{N}}_\\s（）(),]+)', 1), lambda s: trim(s))) AS caption FROM tx),
+    cp AS (SELECT caption, regexp_extract(caption, '图(\\d+)', 1)::BIGINT * 10 + regexp_extract(caption, '-(\\d+)', 1)::BIGINT AS vid FROM (SELECT DISTINCT caption FROM nm)),
+    cm AS (SELECT * FROM (SELECT cp.caption, image_id, round(list_cosine_similarity(v.e, ce), 6) AS score, row_number() OVER (PARTITION BY cp.caption ORDER BY round(list_cosine_similarity(v.e, ce), 6) DESC, image_id) AS r FROM cp JOIN v ON vec_id = vid, im WHERE im.caption <> '') WHERE r = 1),
+    ft AS (SELECT * FROM (SELECT query_id, image_id, score, row_number() OVER (PARTITION BY query_id, image_id ORDER BY rank) AS r FROM nm JOIN cm USING (caption)) WHERE r = 1),
+    ii AS (SELECT * FROM (SELECT q.query_id, image_id, round(list_cosine_similarity(v.e, im.e), 6) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(v.e, im.e), 6) DESC, image_id) AS r FROM q JOIN v ON vec_id = q.query_id, im WHERE q.query_id % 40 = 0) WHERE r <= 1),
+    cl AS (SELECT * FROM (SELECT q.query_id, image_id, round(list_cosine_similarity(list_reverse(v.e), im.e), 6) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(list_reverse(v.e), im.e), 6) DESC, image_id) AS r FROM q JOIN v ON vec_id = q.query_id, im WHERE q.query_id % 60 = 0) WHERE r <= 10),
+    ih AS (SELECT query_id, image_id, score, 'image_from_text' AS retrieval_type FROM ft UNION ALL SELECT query_id, image_id, score, 'image_to_image' FROM ii UNION ALL SELECT query_id, image_id, score, 'clip_text_to_image' FROM cl),
+    al AS (SELECT query_id, doc_id, content, score, 'hybrid' AS retrieval_type FROM tx UNION ALL SELECT query_id, image_id, '图片描述: ' || caption || chr(10) || '图片路径: /data/' || image_path, score, retrieval_type FROM ih JOIN im USING (image_id)),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, retrieval_type, doc_id) AS rank FROM al),
+    ni AS (SELECT query_id, least(3, (query_id % 40 = 0)::BIGINT + count(*) FILTER (WHERE retrieval_type IN ('image_from_text', 'image_to_image'))) AS n, count(*) AS total_results FROM rk GROUP BY query_id),
+    pt AS (SELECT rk.*, CASE n WHEN 0 THEN 13932 WHEN 1 THEN 9432 WHEN 2 THEN 4932 ELSE 432 END AS budget, trim(content, {_WS}) AS part FROM rk JOIN ni USING (query_id)),
+    bf AS (SELECT *, coalesce(sum(length(part) + 2) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pt WHERE length(part) > 0),
+    ov AS (SELECT *, min(CASE WHEN before + length(part) > budget THEN rank END) OVER (PARTITION BY query_id) AS o FROM bf),
+    tk AS (SELECT query_id, rank, CASE WHEN o IS NULL OR rank < o THEN part WHEN rank = o AND budget - before - 20 > 100 THEN substr(content, 1, (budget - before - 20)::BIGINT) || '...' END AS t FROM ov),
+    cx AS (SELECT query_id, string_agg(t, chr(10) || chr(10) ORDER BY rank) AS context FROM tk WHERE t IS NOT NULL GROUP BY query_id)
+    SELECT query_id, total_results, n AS images, md5(coalesce(context, '')) AS context, length(coalesce(context, '')) AS chars FROM ni LEFT JOIN cx USING (query_id)""")
+def multimodal_answer(spark, sf_dir):
+    """The whole question: text hits, its own image's neighbours, images of the figures that its hits name, images near its text, and a context that leaves room for the images."""
+    t, i = Tables(spark, sf_dir), F.col("doc_id")
+    figure = F.concat("text", F.lit("。见图"), (i % 12).cast("string"), F.lit("-"), (i % 9).cast("string"), F.lit(" heart。"))
+    docs = t.documents.select("doc_id", F.when(i % 10 == 0, figure).otherwise(F.col("text")).alias("text"))
+    vectors = t.embeddings.withColumnRenamed("vec_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi")
+    q = questions(t).withColumns({"image_vector": F.when(F.col("query_id") % 40 == 0, F.col("vector")), "clip_vector": F.when(F.col("query_id") % 60 == 0, F.reverse("vector"))})
+    known = t.embeddings.select("vec_id", F.col("embedding").alias("vector"))
+
+    def embed(captions: DataFrame) -> DataFrame:
+        part = lambda pattern: F.regexp_extract("caption", pattern, 1).cast("bigint")
+        return captions.withColumn("vec_id", part(r"图(\d+)") * 10 + part(r"-(\d+)")).join(known, "vec_id")
+
+    def one(images: DataFrame) -> DataFrame:
+        return ranking.top_k(images.where("retrieval_type = 'image_to_image'"), 1, ["query_id"], *ranking.by_score("score", "doc_id")).drop("rank").unionByName(images.where("retrieval_type <> 'image_to_image'"))
+
+    r = search.search_and_answer(docs, vectors, q, reranker=None, filter_kind=None, now="2024-01-02 03:04:05", collection=image_collection(t), embed_captions=embed, base="/data", choose=one)
+    own = (F.col("query_id") % 40 == 0).cast("bigint")
+    return r.select("query_id", "total_results", (F.size("images") + own).cast("bigint").alias("images"), F.md5("context").alias("context"), F.length("context").cast("bigint").alias("chars"))
+
+
 class CountingModel:
     """Replies with the length of the prompt's question, and fails where that is odd. A stand-in."""
 
