@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions import ranking, text as T, vectors as V
-from lodestone.operators import answers, chunking, collections, dense, evaluation, fusion, images, lexical, rerank, similarity
+from lodestone.operators import answers, chunking, collections, dense, evaluation, fusion, images, lexical, pixels, rerank, similarity
 from lodestone.plans import index, search
 from lodestone.operators.lexical_store import LexicalStore
 from lodestone.operators.vector_store import VectorStore
@@ -839,6 +839,25 @@ def image_filter(spark, sf_dir):
     return kept.select("query_id", F.col("doc_id").alias("image_id"), F.round("image_similarity", 6).alias("image_similarity"), F.round("blended", 6).alias("blended"), "new_rank")
 
 
+def rendered(t: Tables) -> DataFrame:
+    """The vectors as grey pictures of 8 x 8 pixels."""
+    bytes_of = F.unhex(F.array_join(F.transform("embedding", lambda v: F.lpad(F.hex(F.round((v.cast("double") + 1) * 127.5).cast("int")), 2, "0")), ""))
+    return t.embeddings.select(F.col("vec_id").alias("doc_id"), F.struct(F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), bytes_of.alias("data")).alias("picture"))
+
+
+@query()
+def image_pixel_filter(spark, sf_dir):
+    """The nearest images of each query, filtered by how alike their pixels are. The kernels have no SQL form; tests hold them against plain versions."""
+    t = Tables(spark, sf_dir)
+    made = rendered(t)
+    hits = images.by_image(image_collection(t), asked_vectors(t)).withColumnRenamed("image_id", "doc_id").join(made, "doc_id")
+    pairs = hits.join(made.select(F.col("doc_id").alias("query_id"), F.col("picture").alias("other")), "query_id").select("query_id", "doc_id", "score", "picture", "other")
+    known = pixels.pixel_similarity(pairs, side=64)
+    known = known.withColumn("image_similarity", similarity.perceptual_fusion(F.lit(None).cast("double"), F.col("structure"), F.col("wavelet")))
+    kept = similarity.filter_results(known, "image", threshold=0.1)
+    return kept.select("query_id", F.col("doc_id").alias("image_id"), F.round("structure", 6).alias("structure"), F.round("wavelet", 6).alias("wavelet"), F.round("blended", 6).alias("blended"), "new_rank")
+
+
 @query(_FUSED + "SELECT query_id, doc_id, round(0.3 * raw_similarity, 6) AS multimodal_score, 'multimodal' AS filtered_by, row_number() OVER (PARTITION BY query_id ORDER BY round(blended, 6) DESC, doc_id) AS new_rank FROM kept")
 def multimodal_filter(spark, sf_dir):
     rows = similarity.filter_results(similarity.text_similarity(candidates(Tables(spark, sf_dir))), "multimodal")

@@ -35,6 +35,13 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jpg,jpeg,png}").load(folder).select("path", "content")
 
 
+def pictures(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, picture struct<height, width, nChannels, data>) of the files below folder, decoded by Spark; a null picture for a file that is none."""
+    rows = spark.read.format("image").option("recursiveFileLookup", True).load(folder)
+    fields = F.struct(*[F.col(f"image.{f}").alias(f) for f in ("height", "width", "nChannels", "data")])
+    return rows.select(F.col("image.origin").alias("path"), F.when(F.col("image.height") > 0, fields).alias("picture"))
+
+
 def parse_questions(files: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
     """(qid, question, answer) from whole JSON files: [{question, answer?}], ["..."] or {"questions": ["..."]}; blank ones go, others are dropped. keep: columns to carry along."""
     keep = keep or []
