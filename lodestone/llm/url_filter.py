@@ -5,8 +5,9 @@ the right, so a rule fits its host and every subdomain; below a host node the pa
 deepest fit wins: the longest host first, then the longest path. With equal rules of both kinds, block wins. Urls are
 split by SQL functions, and each distinct host of a batch walks the trie once.
 
-A longer list isn't broadcast: the same descent is a join of every suffix of a host and every folder of
-its path with the rules, and the longest fit of each row is kept.
+A longer list isn't broadcast: the same descent is a join of every suffix of a host that has rules and every folder of
+its path with the rules, and the longest fit of each row is kept. A suffix and folder that very many urls have, as
+`com` alone, is dealt over parts, and its rules go to each.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestone.llm._spark import Stage, ship
 
-#: Largest number of rules that is broadcast (about 0.5 KB each in a worker).
-MOST_RULES = 1_000_000
+#: Largest number of rules that is broadcast, and of their characters (a rule takes about 0.5 KB in a worker, and three times its length).
+MOST_RULES, MOST_CHARACTERS = 500_000, 50_000_000
+#: Urls with one suffix and folder that meet its rules in one part.
+HOT = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWER = str.maketrans(UPPER, LOWER)
 PATH, TAILS = 0, 1  # integer keys cannot clash with labels or segments, which are strings
@@ -118,13 +121,23 @@ def _by_join(urls: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     folder = F.regexp_extract("rule_path", "^(?:.*/)?", 0)
     rules = rules.select(F.translate("host", UPPER, LOWER).alias("rule_host"), F.col("path").alias("rule_path"), F.col("kind").alias("kind"))
     rules = rules.groupBy("rule_host", "rule_path").agg(F.max("kind").alias("kind")).withColumn("folder", folder.alias("folder"))  # of both, block
-    urls = Stage(urls.sparkSession, "urls").save(urls.withColumn("row", F.monotonically_increasing_id()), "rows")
+    stage = Stage(urls.sparkSession, "urls")
+    urls = stage.save(urls.withColumn("row", F.monotonically_increasing_id()), "rows")
     labels = "split(host, '[.]')"
     hosts = f"array_distinct(array_append(transform(sequence(1, size({labels})), i -> concat_ws('.', slice({labels}, i, size({labels})))), ''))"
     parts = "split(path, '/')"
     folders = f"transform(sequence(0, size({parts}) - 1), i -> array_join(transform(slice({parts}, 1, i), p -> concat(p, '/')), ''))"
-    asked = urls.select("row", "path", F.explode(F.expr(hosts)).alias("rule_host"), F.expr(folders).alias("folders")).select("row", "path", "rule_host", F.explode("folders").alias("folder"))
-    fits = asked.join(rules, ["rule_host", "folder"]).where("startswith(path, rule_path)")
+    # suffixes without rules go before their folders are made; those with rules are at most as many as the rules
+    known = rules.select("rule_host").distinct()
+    asked = urls.select("row", "path", F.explode(F.expr(hosts)).alias("rule_host"), F.expr(folders).alias("folders")).join(known, "rule_host", "left_semi")
+    asked = asked.select("row", "path", "rule_host", F.explode("folders").alias("folder"))
+    key = ["rule_host", "folder"]
+    asked = stage.save(asked.join(rules.select(*key).distinct(), key, "left_semi"), "asked")
+    hot = stage.save(asked.groupBy(*key).agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1"), "hot")
+    dealt = lambda df: df.join(hot, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    asked = dealt(asked).withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int")).drop("parts")
+    rules = dealt(rules).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    fits = asked.join(rules, [*key, "part"]).where("startswith(path, rule_path)")
     best = fits.groupBy("row").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "kind"), F.struct(F.length("rule_host"), F.length("rule_path"))).alias("hit"))
     out = urls.join(best, "row", "left")
     return out.select("id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.kind", F.lit(default)).alias("verdict"))
@@ -142,12 +155,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame | Iterable[tuple[str, str, st
     if not isinstance(rules, DataFrame):
         rest = iter(rules)
         first = list(itertools.islice(rest, MOST_RULES + 1))
-        if len(first) <= MOST_RULES:
+        if len(first) <= MOST_RULES and sum(len(h) + len(p) for h, p, _ in first) <= MOST_CHARACTERS:
             return _by_trie(urls, first, default).withColumnRenamed("id", id_col)
         rules = pages.sparkSession.createDataFrame([*first, *rest], "host string, path string, kind string")
     rules = rules.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("host", "path", "kind")])
     if bad := rules.where("kind not in ('allow', 'block')").limit(1).collect():
         raise ValueError(f"a rule is allow or block, not {bad[0].kind!r}")
-    first = [tuple(r) for r in rules.limit(MOST_RULES + 1).collect()]
-    out = _by_trie(urls, first, default) if len(first) <= MOST_RULES else _by_join(urls, rules, default)
+    n, characters = rules.agg(F.count("*"), F.coalesce(F.sum(F.length("host") + F.length("path")), F.lit(0))).first()
+    few = n <= MOST_RULES and characters <= MOST_CHARACTERS
+    out = _by_trie(urls, [tuple(r) for r in rules.collect()], default) if few else _by_join(urls, rules, default)
     return out.withColumnRenamed("id", id_col)

@@ -53,7 +53,10 @@ def test_long_lists_are_joined(spark, monkeypatch):
     for r in url_filter.filter_urls(pages, rules).collect():
         fits = [(len(h), len(p), k == "block", lower(h) + p, k) for h, p, k in rules if (r.host == lower(h) or not h or r.host.endswith("." + lower(h))) and r.path.startswith(p)]
         assert (r.rule, r.verdict) == (max(fits)[3:] if fits else (None, "allow"))
+    monkeypatch.setattr(url_filter, "MOST_CHARACTERS", 10)
+    assert sorted(map(str, url_filter.filter_urls(pages, rules).collect())) == want
     monkeypatch.setattr(url_filter, "MOST_RULES", 10)
+    monkeypatch.setattr(url_filter, "HOT", 7)  # suffixes that many urls have are dealt over parts
     frame = spark.createDataFrame(rules, "host string, path string, kind string")
     for form in (rules, frame):
         assert sorted(map(str, url_filter.filter_urls(pages, form).collect())) == want
