@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.functions import ranking, text as T, vectors as V
-from lodestone.operators import answers, chunking, collections, dense, evaluation, fusion, images, lexical, pixels, rerank, similarity
+from lodestone.operators import answers, chunking, collections, dense, evaluation, fusion, images, lexical, pixels, rerank, segmentation, similarity
 from lodestone.plans import index, search
 from lodestone.operators.lexical_store import LexicalStore
 from lodestone.operators.vector_store import VectorStore
@@ -171,6 +171,15 @@ def bm25_full_scores(spark, sf_dir):
     return lexical.bm25_scores(index, q).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
+@query()
+def segmented_terms(spark, sf_dir):
+    """The conversations without their spaces, cut by a model of all documents' words: how often each word comes out. The best path has no SQL form; tests hold it against a plain one."""
+    t = Tables(spark, sf_dir)
+    runs = t.conversations.select(F.regexp_replace("text", r"\s+", "").alias("text"))
+    cut = segmentation.segmented(runs, segmentation.word_model(t.documents), search=False)
+    return cut.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
 # ---- dense ----
 
 @query(f"WITH {VECTORS} SELECT query_id, rank, id, round(score, 6) AS score FROM near WHERE rank <= 10")

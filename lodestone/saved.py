@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone import files
 
-#: Rows of a stated set (questions, their terms) that are broadcast at most.
-MOST = 200_000
+#: Rows of a stated set (questions, their terms) that are broadcast at most, and characters of them.
+MOST, MOST_CHARACTERS = 200_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,14 +48,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _fits(df: DataFrame, most: int) -> bool:
+    """Whether df has no more than `most` rows, and they no more than MOST_CHARACTERS as text."""
+    rows, size = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return rows <= most and size <= MOST_CHARACTERS
+
+
 def small(df: DataFrame, most: int = MOST) -> DataFrame:
-    """df, to be broadcast if it has no more than `most` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """df, to be broadcast if it is within the bounds."""
+    return F.broadcast(df) if _fits(df, most) else df
 
 
 def against_all(rows: DataFrame, asked: DataFrame, blocks: int = 64, most: int = MOST) -> DataFrame:
-    """Every row with every one of a stated set: broadcast within the bound, beyond it in blocks of the set that meet all rows by a join."""
-    if asked.limit(most + 1).count() <= most:
+    """Every row with every one of a stated set: broadcast within the bounds, beyond them in blocks of the set that meet all rows by a join."""
+    if _fits(asked, most):
         return rows.crossJoin(F.broadcast(asked))
     key = "_block"
     dealt = asked.withColumn(key, F.pmod(F.xxhash64(*asked.columns), F.lit(blocks)).cast("int"))
