@@ -26,7 +26,9 @@ FOUND, AIM, BLOCK = 0.998, 64, 1024
 
 
 def plan_tables(n: int, least: float, found: float = FOUND) -> tuple[int, int]:
-    """(bits, tables) for n vectors and a cosine threshold."""
+    """(bits, tables) for n vectors and a cosine threshold; for a chance of 1, no bits: one bucket, in which all are compared."""
+    if found >= 1:
+        return 0, 1
     bits = min(30, max(6, round(math.log2(max(n, 1) / AIM)))) if n > AIM else 6
     same = (1 - math.acos(min(1.0, least)) / math.pi) ** bits
     return bits, 1 if same >= 1 else max(1, math.ceil(math.log(1 - found) / math.log(1 - same)))
@@ -90,14 +92,14 @@ def _compare(least: float):
     return units(4, work)
 
 
-def near_duplicate_embeddings(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", seed: int = 11) -> DataFrame:
+def near_duplicate_embeddings(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", seed: int = 11, found: float = FOUND) -> DataFrame:
     """(id, n_links, component_id, kept) for each row.
 
     Only rows with equal labels are compared, by cosine in double precision; a null label, a null, empty or zero
     vector and one with null or non-finite components link with nothing, nor do vectors of different
     lengths. n_links: other rows linked directly, copies included; component_id: least id reachable by links; kept:
     whether that is the row itself. Pairs below `least` are never linked; one at it is found with probability
-    FOUND at least. A row with a null id links with nothing and has a null component and kept. Rows that
+    `found` at least; with 1 all vectors of a label are compared, in blocks, and no link is lost. A row with a null id links with nothing and has a null component and kept. Rows that
     repeat an id are each returned and count as linked with each other if their vectors are. Other columns aren't
     read. No rows give no rows.
     """
@@ -108,7 +110,7 @@ def near_duplicate_embeddings(vectors: DataFrame, least: float = 0.98, id_col: s
     rows = stage.save(rows.withColumn("fine", F.coalesce(F.expr(fine), F.lit(False))), "rows")
     classes = rows.where("fine").groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = stage.save(classes.withColumn("size", F.size("embedding")).withColumn("key", F.xxhash64("label", "embedding")), "classes")
-    bits, tables = plan_tables(classes.count(), least)
+    bits, tables = plan_tables(classes.count(), least, found)
     signed = classes.select("key", "copies", "embedding", "size", F.xxhash64("label").alias("group"), "label").drop("label").mapInArrow(_signatures(bits, tables, seed), "key long, copies long, embedding array<double>, size int, group long, signs array<long>")
     signed = stage.save(signed, "signed")
     # a unit's key holds no vector until it is known to have two
@@ -119,11 +121,11 @@ def near_duplicate_embeddings(vectors: DataFrame, least: float = 0.98, id_col: s
     dealt = dealt.select(F.col("t").cast("long").alias("t"), "bucket", F.least("block", "other").cast("long").alias("first"), F.greatest("block", "other").cast("long").alias("second"), F.col("block").cast("long").alias("block"), "key")
     full = dealt.join(signed.select("key", "copies", "embedding", "signs"), "key").select("t", "bucket", "first", "second", "block", "key", "copies", "embedding", "signs")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = full.repartition(parts, "t", "bucket", "first", "second").sortWithinPartitions("t", "bucket", "first", "second").mapInArrow(_compare(least), "key long, n long, root long")
-    found = stage.save(found, "found")
+    links = full.repartition(parts, "t", "bucket", "first", "second").sortWithinPartitions("t", "bucket", "first", "second").mapInArrow(_compare(least), "key long, n long, root long")
+    links = stage.save(links, "found")
     stage.drop("signed")
-    counts = found.groupBy("key").agg(F.sum("n").alias("n"))
-    parts = connected_components(found.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")), stage)
+    counts = links.groupBy("key").agg(F.sum("n").alias("n"))
+    parts = connected_components(links.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")), stage)
     known = classes.select("label", "embedding", "key", "rep", "copies").join(counts, "key", "left").join(parts.select(F.col("node").alias("key"), F.col("component").alias("centre")), "key", "left")
     known = stage.save(known.withColumn("centre", F.coalesce("centre", "key")), "known")
     least_id = known.groupBy("centre").agg(F.min("rep").alias("component"))

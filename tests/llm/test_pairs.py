@@ -107,7 +107,7 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 5: 5, 6: 5, **{i: 20 for i in range(20, 61)}}
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(12, 16))
     x = np.repeat(base, 12, axis=0) + rng.normal(size=(144, 16)) * 0.03
@@ -128,3 +128,10 @@ def test_embeddings(spark):
     assert all(got[k].n_links == 0 and got[k].component_id == k and got[k].kept for k in (900, 901, 902, 903, 904, 905))
     assert got[None].n_links == 0 and got[None].component_id is None
     assert embedding_dedup.near_duplicate_embeddings(df.limit(0)).collect() == []
+    # the exact mode loses no link, also of vectors far apart and over several blocks
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
+    far = (unit @ unit.T >= 0.5) & np.array([[a is not None and a == b for b in label] for a in label])
+    np.fill_diagonal(far, False)
+    want = roots(range(len(x)), [(int(i), int(j)) for i, j in np.argwhere(far)])
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicate_embeddings(df, least=0.5, found=1).collect()}
+    assert all((got[i].n_links, got[i].component_id) == (int(far[i].sum()), want[i]) for i in range(len(x)))
