@@ -36,7 +36,12 @@ def write_new(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read(spark: SparkSession, path: str) -> str:
-    return spark.read.text(path, wholetext=True).first()[0]
+    fs, at = _at(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -25,6 +25,8 @@ from lodestone.saved import against_all, saved, small
 
 #: Documents of a shard, buckets of terms and of documents, shards scored first, terms named in a filter and shards broadcast at most.
 SHARD, BUCKETS, FIRST, NAMED, PLACES = 256, 32, 3, 5000, 500_000
+#: Values of a filter that Parquet takes one by one.
+PUSHED = 10
 #: Postings that questions meet from which on shards are bounded first.
 MEETINGS = 20_000_000
 
@@ -172,13 +174,15 @@ class LexicalStore:
         _, state = self._last()
         return state["n"], state["total"] / state["n"] if state["n"] else 0.0
 
-    def terms_counted(self, only: list[str] | None = None, buckets: list[int] | None = None) -> DataFrame:
-        """(term, df) of the terms of live documents."""
+    def terms_counted(self, only: DataFrame | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """(term, df) of the terms of live documents; only: those in the column term of a small table."""
         _, state = self._last()
         parts = [self._read(s, "terms", "term string, n long, bucket int") for s in state["segments"]]
         if not parts:
             return self.spark.createDataFrame([], "term string, df long")
-        every = _named(functools.reduce(DataFrame.unionByName, parts), only, buckets)
+        every = _named(functools.reduce(DataFrame.unionByName, parts), None, buckets)
+        if only is not None:
+            every = every.join(F.broadcast(only.select("term").distinct()), "term", "left_semi")
         return every.groupBy("term").agg(F.sum("n").alias("df")).where("df > 0")
 
     def terms(self, **only) -> DataFrame:
@@ -200,7 +204,8 @@ class LexicalStore:
         hits are written, the plan that is returned ranks them.
         """
         _, state = self._last()
-        n, avgdl = self.stats()
+        n = state["n"]
+        avgdl = state["total"] / n if n else 0.0
         asked = question_terms(questions, id_col, text_col).withColumn("bucket", _bucket(F.col("term")))
         rows = asked.limit(NAMED + 1).collect()
         named = None
@@ -211,7 +216,7 @@ class LexicalStore:
             found = asked.where("false").select("query_id", none.alias("doc_id"), F.lit(0.0).alias("score"))
             return self._ranked(found, questions.select(F.col(id_col).alias("query_id")), k)
         buckets = sorted({r.bucket for r in rows}) if named is not None else None
-        weights = asked.join(self.terms(only=named, buckets=buckets), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w"), "df")
+        weights = asked.join(self.terms(only=asked if named is not None else None, buckets=buckets), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w"), "df")
         if named is not None:
             rows = weights.collect()
             weights, meets = F.broadcast(self.spark.createDataFrame(rows, weights.schema)), sum(r.df for r in rows)
@@ -267,7 +272,7 @@ class LexicalStore:
 
 
 def _named(df: DataFrame, only: list[str] | None, buckets: list[int] | None) -> DataFrame:
-    """Rows in the buckets, of the named terms where there aren't too many: both reach the scan."""
+    """Rows in the buckets, of the named terms where they are few enough to reach the scan; a join takes the rest."""
     if buckets is not None:
         df = df.where(F.col("bucket").isin(buckets))
-    return df.where(F.col("term").isin(only)) if only is not None else df
+    return df.where(F.col("term").isin(only)) if only is not None and len(only) <= PUSHED else df
