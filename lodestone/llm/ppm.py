@@ -6,13 +6,14 @@ context escapes to the next shorter one (method C: d / (T + d) with d distinct s
 where the symbols of the longer context are excluded; below order 0 the symbols not yet excluded are
 equally likely. The symbols seen after a context are a subset of those seen after its suffix,
 so the exclusion set at each step is fixed by the context just left, and each context has four costs: of its
-total and of its escape, where it is met first and where it was left for its suffix. A byte of a text is
-then one look-up of its n-gram, and where that wasn't seen, a walk down the suffixes, vectorised over positions.
-
-Counts are taken over all training documents and shuffled by context, and all of them are used. Only seen
-(context, symbol) cells are held. They are broadcast in slices of whole sets of contexts that agree in their
-last SHARED symbols, which hold all longer suffixes too; contexts shorter than that go with every slice. Where
-there is more than one slice, each takes a pass over the texts and scores the positions whose context it holds.
+total and of its escape, where it is met first and where it was left for its suffix. A symbol's cost is then a
+walk down the suffixes of its context, vectorised over symbols.
+
+Counts are taken over all training documents and shuffled by context, and all of them are used. Texts meet the model by
+a join, at every size alike: a group of documents asks for each of its distinct (context, symbol) once, at the bucket that
+holds the context, and adds up the costs that come back. A bucket is the trie below some last symbols of contexts, so it
+holds all longer suffixes too; the few contexts shorter than those go with every bucket. Frequent buckets
+are dealt over salts with a copy of their cells. Work and shuffles grow with the texts, not with texts times model.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ from pyspark.sql import DataFrame, functions as F
 from lodestone.llm._bytes import LOWER, SPACE, chunks, prefix_sums, span_hashes, spans
 from lodestone.llm._spark import Stage, units
 
-#: Longest context in bytes, and the seen (context, symbol) cells broadcast at a time (by its arrays up to about 80 bytes each in a worker).
-ORDER, MOST_CELLS = 4, 1 << 21
-#: Last symbols of a context that decide its slice.
+#: Longest context in bytes (packed n-grams hold 6 at most), and the seen (context, symbol) cells of a bucket.
+ORDER, MOST_CELLS = 5, 1 << 19
+#: Last symbols of a context that decide its bucket; where those have more cells, a hash of the one before does as well.
 SHARED = 2
 #: Symbols in packed n-grams: a byte + 1, END, or 0 for "before the text".
 END, BITS = 257, 9
-LOG10 = np.log(10.0)
+#: Symbols whose packed n-grams are held at a time, and text bytes whose questions to one bucket are a unit of work on the average.
+WINDOW, SPAN = 512 << 10, 128 << 20
 
 
 def _symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,29 +45,32 @@ def _symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     out = np.empty(len(data) + n, dtype=np.uint16)
     keep = np.ones(len(out), dtype=bool)
     keep[at[1:] - 1] = False
-    out[keep] = LOWER[data].astype(np.uint16) + 1
+    out[keep] = LOWER[data]
+    out[keep] += 1
     out[~keep] = END
     return out, at
 
 
-def _back(symbols: np.ndarray, at: np.ndarray, j: int) -> np.ndarray:
-    """The symbol j places before each, 0 before the text."""
-    out = np.zeros_like(symbols)
-    if len(symbols) > j:
-        out[j:] = symbols[:-j]
-    for i in range(j):
-        place = at[:-1] + i
-        out[place[place < at[1:]]] = 0
-    return out
-
+def _windows(data: np.ndarray, off: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """Each symbol packed with the `order` symbols before it in its document, the symbol lowest, a window at a time.
 
-def _codes(data: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each symbol packed with the `order` symbols before it, the symbol lowest; first index of each document (n + 1)."""
+    Codes of a window, its first document, and where in the window each of its documents begins (0 if before it).
+    """
     symbols, at = _symbols(data, off)
-    code = symbols.astype(np.int64)
-    for j in range(1, order + 1):
-        code |= _back(symbols, at, j).astype(np.int64) << (BITS * j)
-    return code, at
+    for s in range(0, len(symbols), WINDOW):
+        e = min(s + WINDOW, len(symbols))
+        code = symbols[s:e].astype(np.int64)
+        lo = int(np.searchsorted(at, s, side="right")) - 1
+        starts = at[lo : np.searchsorted(at, e)]
+        for j in range(1, order + 1):
+            back, a = np.zeros(e - s, dtype=np.int64), max(s - j, 0)
+            if e - j > a:
+                back[a + j - s :] = symbols[a : e - j]
+            for i in range(j):
+                place = starts + i
+                back[place[(place >= s) & (place < e)] - s] = 0
+            code |= back << (BITS * j)
+        yield code, lo, np.maximum(starts - s, 0)
 
 
 def _grams(order: int):
@@ -81,14 +86,15 @@ def _grams(order: int):
 
         for rb in batches:
             for _, _, data, off in chunks(rb.column(0)):
-                held.append(np.unique(_codes(data, off, order)[0], return_counts=True))
-                size += len(held[-1][0])
-                if size > 1_000_000:
-                    held = [merged()]
-                    size = len(held[0][0])
-                    if size > 750_000:
-                        yield pa.record_batch([pa.array(held[0][0]), pa.array(held[0][1])], ["gram", "n"])
-                        held, size = [], 0
+                for codes, _, _ in _windows(data, off, order):
+                    held.append(np.unique(codes, return_counts=True))
+                    size += len(held[-1][0])
+                    if size > 1_000_000:
+                        held = [merged()]
+                        size = len(held[0][0])
+                        if size > 750_000:
+                            yield pa.record_batch([pa.array(held[0][0]), pa.array(held[0][1])], ["gram", "n"])
+                            held, size = [], 0
         if held:
             code, n = merged()
             for i in range(0, len(code), 100_000):
@@ -106,14 +112,10 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Trie:
-    """One slice of the model: its seen cells by order, and what its contexts cost."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], first: int = 0, last: int = 1 << BITS * SHARED):
-        """levels: for each order from 0 the packed (context, symbol), the symbol lowest, and their counts.
+    """One bucket of the model: its seen cells by order, and what its contexts cost."""
 
-        Positions are scored whose last SHARED context symbols, packed, are from first to below last.
-        """
-        self.first, self.last, self.order = first, last, len(levels) - 1
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
+        """levels: for each order from 0 the packed (context, symbol), the symbol lowest, and their counts."""
         self.grams, self.log_n, self.contexts, self.costs = [], [], [], []
         before = None
         for j, (gram, n) in enumerate(levels):
@@ -137,189 +139,216 @@ class Trie:
             self.costs.append(costs)
             before = n, total, seen
         self.unseen = -np.log10(max(1, 257 - len(self.grams[0])))  # 256 bytes and END
-        # of the longest contexts' cells the whole cost is kept, for one look-up by hash
-        top = self.costs[-1][0][np.unique(self.grams[-1] >> BITS, return_inverse=True)[1]]
-        self.log_p = (self.log_n[-1] + top).astype(np.float32)
-        self.slots = None
-
-    def _hashed(self) -> None:
-        """Open addressing over the longest cells; made where it is used, not sent."""
-        gram = self.grams[-1]
-        self.bits = max(4, int(2 * len(gram)).bit_length())
-        slots, values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
-        left, at = np.arange(len(gram)), self._slot(gram)
-        while len(left):
-            free = slots[at] < 0
-            slots[at[free]] = gram[left[free]]
-            mine = slots[at] == gram[left]
-            values[at[mine]] = self.log_p[left[mine]]
-            left, at = left[~mine], (at[~mine] + 1) & (1 << self.bits) - 1
-        self.slots, self.values = slots, values
-
-    def _slot(self, code: np.ndarray) -> np.ndarray:
-        return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def costs_of(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of each packed symbol after its context."""
-        if self.slots is None:
-            self._hashed()
-        at = self._slot(code)
-        held = self.slots[at]
-        out = self.values[at].astype(np.float64)
-        left = np.flatnonzero(held != code)
-        at, held = at[left], held[left]
-        missed = []
-        while len(left):
-            none = held < 0
-            missed.append(left[none])
-            left, at = left[~none], (at[~none] + 1) & (1 << self.bits) - 1
-            held = self.slots[at]
-            hit = held == code[left]
-            out[left[hit]] = self.values[at[hit]]
-            left, at, held = left[~hit], at[~hit], held[~hit]
-        if missed and len(missed := np.concatenate(missed)):
-            rare, back = np.unique(code[missed], return_inverse=True)
-            out[missed] = self._walk(rare)[back]
-        return out
-
-    def _walk(self, code: np.ndarray) -> np.ndarray:
-        """costs_of by escapes from the longest seen context down."""
-        out, open_ = np.zeros(len(code)), np.ones(len(code), dtype=bool)
-        below, longer, costs = np.zeros(len(code), dtype=bool), np.zeros(len(code), np.int64), None
-        for j in range(self.order, -1, -1):
-            at, seen = _find(self.contexts[j], (code >> BITS) & (1 << BITS * j) - 1)
-            cell, hit = _find(self.grams[j], code & (1 << BITS * (j + 1)) - 1)
+        """log10 probability of each packed symbol after its context, by escapes from the longest seen context down."""
+        out, left = np.zeros(len(code)), np.arange(len(code))
+        below, longer, costs = np.zeros(len(code), dtype=bool), left, None
+        for j in range(len(self.grams) - 1, -1, -1):
+            at, seen = _find(self.contexts[j], (code[left] >> BITS) & (1 << BITS * j) - 1)
+            cell, hit = _find(self.grams[j], code[left] & (1 << BITS * (j + 1)) - 1)
             for here, which, add, of in ((seen & ~below, at, 0, self.costs[j]), (below, longer, 2, costs)):
-                got, out_ = np.flatnonzero(here & open_ & hit), np.flatnonzero(here & open_ & ~hit)
+                got, gone = np.flatnonzero(here & hit), np.flatnonzero(here & ~hit)
                 if len(got):
-                    out[got] += self.log_n[j][cell[got]] + of[add][which[got]]
-                if len(out_):
-                    out[out_] += of[add + 1][which[out_]]
-            open_ &= ~hit
-            below, longer, costs = seen, at, self.costs[j]
-        out[open_] += self.unseen
+                    out[left[got]] += self.log_n[j][cell[got]] + of[add][which[got]]
+                if len(gone):
+                    out[left[gone]] += of[add + 1][which[gone]]
+            left, below, longer, costs = left[~hit], seen[~hit], at[~hit], self.costs[j]
+        out[left] += self.unseen
         return out
 
-    def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """log10 probability of each document with its end, or this slice's part of it."""
-        code, at = _codes(data, off, self.order)
-        if len(at) < 2:
-            return np.zeros(0)
-        if self.last - self.first < 1 << BITS * SHARED:
-            key = (code >> BITS) & (1 << BITS * SHARED) - 1
-            mine = np.flatnonzero((key >= self.first) & (key < self.last))
-            per = np.zeros(len(code))
-            per[mine] = self.costs_of(code[mine])
-        else:
-            per = self.costs_of(code)
-        return np.add.reduceat(per, at[:-1])
 
+class Owners:
+    """Which bucket holds a context: of the first bucket of its last SHARED symbols, and how many those are dealt over by the symbol before."""
 
-class Model:
-    """Counts of all seen cells in the shared folder, and the slices they are read in."""
+    def __init__(self, cells: list[tuple[int, int]], most_cells: int):
+        """cells: the number of cells under each packed SHARED symbols."""
+        self.first, self.subs = np.zeros(1 << BITS * SHARED, np.int32), np.ones(1 << BITS * SHARED, np.int32)
+        bucket, size = 0, 0
+        for key, n in sorted(cells):
+            if size and size + n > most_cells:
+                bucket, size = bucket + 1, 0
+            self.first[key], size = bucket, size + n
+            if n > most_cells:
+                self.subs[key] = min(END, -(-n // most_cells))
+                bucket, size = bucket + int(self.subs[key]), 0
+        self.buckets = bucket + 1
 
-    def __init__(self, nodes: DataFrame, order: int, cuts: list[int]):
-        self.nodes, self.order, self.cuts = nodes, order, cuts
+    def key(self, code: np.ndarray) -> np.ndarray:
+        return (code >> BITS) & (1 << BITS * SHARED) - 1
 
-    def slices(self) -> Iterator[Trie]:
-        for first, last in zip(self.cuts, [*self.cuts[1:], 1 << BITS * SHARED]):
-            found = self.nodes.where((F.col("key") < 0) | (F.col("key") >= first) & (F.col("key") < last)).select("j", "gram", "n").toArrow()
-            j, gram, n = (found.column(i).to_numpy().astype(np.int64) for i in range(3))
-            yield Trie([(gram[j == i], n[j == i]) for i in range(self.order + 1)], first, last)
+    def of(self, code: np.ndarray) -> np.ndarray:
+        key, third = self.key(code), (code >> BITS * (SHARED + 1)) & (1 << BITS) - 1
+        return self.first[key] + (third * 40_503 >> 4) % self.subs[key]
+
+
+class Model:
+    """All seen cells: those of contexts of SHARED or more symbols as a table, the shorter ones at hand, and who holds which."""
+
+    def __init__(self, nodes: DataFrame, short: list[tuple[np.ndarray, np.ndarray]], owners: Owners, order: int):
+        self.nodes, self.short, self.owners, self.order = nodes, short, owners, order
 
 
 def train(texts: DataFrame, stage: Stage, order: int = ORDER, most_cells: int = MOST_CELLS) -> Model:
-    """The model of all texts, in slices of most_cells seen (context, symbol) cells, or of one set of contexts where that has more."""
+    """The model of all texts, in buckets of about most_cells seen (context, symbol) cells; contexts that share three last symbols stay together."""
+    if not 0 <= order <= 6:
+        raise ValueError("order must be from 0 to 6")
     counts = stage.save(texts.mapInArrow(_grams(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     orders = F.array(*[F.struct(F.lit(j).alias("j"), F.col("gram").bitwiseAND((1 << BITS * (j + 1)) - 1).alias("gram")) for j in range(order + 1)])
-    nodes = counts.select(F.explode(orders).alias("o"), "n").groupBy("o.j", "o.gram").agg(F.sum("n").alias("n"))
-    key = F.when(F.col("j") >= SHARED, F.shiftright("gram", BITS).bitwiseAND((1 << BITS * SHARED) - 1)).otherwise(-1)
-    nodes = stage.save(nodes.withColumn("key", key.cast("int")), "nodes")
+    nodes = stage.save(counts.select(F.explode(orders).alias("o"), "n").groupBy("o.j", "o.gram").agg(F.sum("n").alias("n")), "nodes")
     stage.drop("grams")
-    cuts, size = [0], 0
-    for row in sorted(nodes.where("key >= 0").groupBy("key").agg(F.count("*").alias("n")).collect()):  # 66,049 keys at most
-        if size and size + row.n > most_cells:
-            cuts.append(row.key)
-            size = 0
-        size += row.n
-    return Model(nodes, order, cuts)
+    found = nodes.where(F.col("j") < SHARED).toArrow()  # 257 + 258 * 257 cells at most
+    j, gram, n = (found.column(i).to_numpy().astype(np.int64) for i in range(3))
+    nodes = nodes.where(F.col("j") >= SHARED)
+    key = F.shiftright("gram", BITS).bitwiseAND((1 << BITS * SHARED) - 1)
+    cells = [tuple(r) for r in nodes.groupBy(key).count().collect()]  # 66,049 keys at most
+    return Model(nodes, [(gram[j == i], n[j == i]) for i in range(min(order + 1, SHARED))], Owners(cells, most_cells), order)
 
 
-# ---- both scores of every document ----
+def _pack(codes: np.ndarray) -> bytes:
+    """Ascending codes as differences, byte by byte from the lowest, which compresses well."""
+    return np.diff(codes, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes()
 
-#: Text bytes of one group of documents, and those whose words make up a bucket on the average: a task counts one bucket at a time.
-GROUP, BUCKET = 4 << 20, 32 << 20
-PACKED = "grp long, bucket int, words binary, seen binary, per_word binary, docs binary, times binary, ids binary, learn binary, score binary, n_learn long"
 
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(8, -1).T).view(np.int64)[:, 0].cumsum()
 
-def _packed(trie, buckets: int):
-    """Per group of documents one row with its structure and scores, and one row per bucket with its distinct words.
 
-    Without a trie the scores are 0. Words are in order of (bucket, hash) within a group, so that the counts sent back for the
-    buckets, put in a row, line up with the structure.
-    """
+UNIT = "bucket int, salt int, grp long, j int, gram long, n long, keys binary"
+
+
+def _deal(owners, salts: int):
+    """Cells with the units of work that need them: every salt of their bucket, and those of SHARED symbols every bucket of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, group = trie and trie.value, TaskContext.get().partitionId() << 32
+        own = owners.value
         for rb in batches:
-            ids = rb.column(0).to_numpy(zero_copy_only=False)
-            learns = rb.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j, data, off in chunks(rb.column(1), GROUP):
-                group += 1
-                learn, score = learns[i:j], np.zeros(j - i)
-                words, docs = [], []
-                for a, b, part, o in _cut(data, off):
-                    if model is not None:
-                        score[a:b] = model.score(part, o)
-                    low = LOWER[part]
-                    starts, ends, first = spans(low, o, ~SPACE[low])
-                    words.append(span_hashes(prefix_sums(low), starts, ends))
-                    docs.append(a + np.repeat(np.arange(b - a), np.diff(first)))
-                word, doc = np.concatenate(words), np.concatenate(docs)
-                distinct, at = np.unique(word, return_inverse=True)
-                bucket = ((distinct >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                place = np.empty(len(order), dtype=np.int64)
-                place[order] = np.arange(len(order))
-                entry, times = np.unique(place[at] * (j - i) + doc, return_counts=True)
-                w, d = entry // (j - i), entry % (j - i)
-                seen = np.bincount(w, weights=times * learn[d], minlength=len(distinct)).astype(np.uint32)
-                per_word = np.bincount(w, minlength=len(distinct)).astype(np.uint32)
-                distinct, cut = distinct[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(cut)).tolist()
-                n = len(full) + 1
-                none = [None] * len(full)
-                columns = [
-                    pa.array([group] * n, pa.int64()),
-                    pa.array([-1, *full], pa.int32()),
-                    pa.array([None, *(distinct[cut[b] : cut[b + 1]].tobytes() for b in full)], pa.binary()),
-                    pa.array([None, *(seen[cut[b] : cut[b + 1]].tobytes() for b in full)], pa.binary()),
-                ]
-                for x in (per_word, d.astype(np.uint32), np.minimum(times, 2**32 - 1).astype(np.uint32), ids[i:j].astype(np.int64), learn, score):
-                    columns.append(pa.array([x.tobytes(), *none], pa.binary()))
-                columns.append(pa.array([int(learn.sum()), *[0] * len(full)], pa.int64()))
-                yield pa.record_batch(columns, [c.split()[0] for c in PACKED.split(", ")])
+            j, gram, n = (rb.column(i).to_numpy().astype(np.int64) for i in range(3))
+            times = np.where(j == SHARED, own.subs[own.key(gram)], 1)
+            at = np.repeat(np.arange(len(j)), times)
+            sub = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            bucket = np.where(j[at] == SHARED, own.first[own.key(gram[at])] + sub, own.of(gram[at]))
+            for salt in range(salts):
+                m = len(at)
+                columns = [bucket.astype(np.int32), np.full(m, salt, np.int32), np.full(m, -1, np.int64), j[at].astype(np.int32), gram[at], n[at]]
+                yield pa.record_batch([*map(pa.array, columns), pa.nulls(m, pa.binary())], [c.split()[0] for c in UNIT.split(", ")])
 
     return run
 
 
-def _parts(trie):
-    """Each row's number with the slice's part of its score."""
+def _answer(short, order: int):
+    """Costs of each group's codes. Rows come by unit, its cells first; they are held as a trie while the questions go by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, trie = None, [], None
         for rb in batches:
-            for i, j, data, off in chunks(rb.column(1)):
-                yield pa.record_batch([rb.column(0).slice(i, j - i), pa.array(trie.value.score(data, off))], ["row", "score"])
+            if not rb.num_rows:
+                continue
+            k = np.stack([rb.column(0).to_numpy(), rb.column(1).to_numpy(), rb.column(2).to_numpy() < 0], axis=1)
+            cut = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+            for a, b in zip(cut[:-1], cut[1:]):
+                if (unit := tuple(k[a, :2].tolist())) != key:
+                    key, held, trie = unit, [], None
+                if k[a, 2]:
+                    held.append(np.stack([rb.column(c).slice(a, b - a).to_numpy().astype(np.int64) for c in (3, 4, 5)]))
+                    continue
+                if trie is None:
+                    j, gram, n = np.concatenate([np.zeros((3, 0), np.int64), *held], axis=1)
+                    held, trie = [], Trie([*short.value, *((gram[j == i], n[j == i]) for i in range(SHARED, order + 1))])
+                for i in range(a, b, 16):
+                    part = rb.slice(i, min(16, b - i))
+                    costs = [trie.costs_of(_unpack(x.as_py())).astype(np.float32).tobytes() for x in part.column(6)]
+                    yield pa.record_batch([part.column(2), part.column(0), pa.array(costs, pa.binary())], ["grp", "bucket", "counts"])
 
     return run
 
 
-def _cut(data: np.ndarray, off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    i, n = 0, len(off) - 1
-    while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1))
-        yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
-        i = j
+# ---- both scores of every document ----
+
+#: Text bytes of one group of documents, and those whose words make up a bucket on the average: a task counts one bucket at a time.
+GROUP, BUCKET = 4 << 20, 32 << 20
+#: Rows of a group: its texts (kind 0), its distinct words by bucket (1), its distinct n-grams by bucket (2).
+PACKED = "grp long, kind int, bucket int, keys binary, seen binary, data binary, off binary, ids binary, learn binary, n_learn long"
+
+
+def _cut(data: np.ndarray, off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Stretches of about `limit` bytes that end at the end of a document or behind a space; only a longer word makes a longer one."""
+    a = 0
+    while a < len(data):
+        b = min(a + limit, len(data))
+        if b < len(data):
+            space = np.flatnonzero(SPACE[data[a:b]])
+            c = max(int(off[np.searchsorted(off, b, side="right") - 1]), a + int(space[-1]) + 1 if len(space) else a)
+            while c <= a:
+                space = np.flatnonzero(SPACE[data[b : b + limit]])
+                c, b = min(int(off[np.searchsorted(off, b)]), b + int(space[0]) + 1 if len(space) else len(data)), b + limit
+                c = c if c <= b else a
+            b = c
+        yield a, b
+        a = b
+
+
+def _words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and document of every word."""
+    found, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in _cut(data, off):
+        low, o = LOWER[data[a:b]], np.clip(off, a, b) - a
+        starts, ends, first = spans(low, o, ~SPACE[low])
+        found.append(span_hashes(prefix_sums(low), starts, ends))
+        docs.append(np.repeat(np.arange(len(off) - 1), np.diff(first)))
+    return np.concatenate(found), np.concatenate(docs)
+
+
+def _distinct_grams(data: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
+    held, size = [np.zeros(0, np.int64)], 0
+    for code, _, _ in _windows(data, off, order):
+        held.append(np.unique(code))
+        size += len(held[-1])
+        if size > 4 * WINDOW:
+            held = [np.unique(np.concatenate(held))]
+            size = 0
+    return np.unique(np.concatenate(held))
+
+
+def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order by bucket, and each bucket's part of it."""
+    order = np.argsort(bucket, kind="stable")
+    values, start = np.unique(bucket[order], return_index=True)
+    return order, list(zip(values.tolist(), start.tolist(), [*start[1:].tolist(), len(order)]))
+
+
+def _word_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
+    return ((words >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _packed(owners, order: int, buckets: int):
+    """Per group of documents a row with its texts, and a row per bucket of its distinct words and of its distinct n-grams.
+
+    Answers of the buckets, put in a row, are in the order of _by_bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = TaskContext.get().partitionId() << 32
+        for rb in batches:
+            ids = rb.column(0).to_numpy(zero_copy_only=False)
+            learns = rb.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for i, j, data, off in chunks(rb.column(1), GROUP):
+                group += 1
+                learn = learns[i:j]
+                rows = [(0, -1, None, None, data.tobytes(), off.tobytes(), ids[i:j].astype(np.int64).tobytes(), learn.tobytes(), int(learn.sum()))]
+                words, doc = _words(data, off)
+                words, at = np.unique(words, return_inverse=True)
+                seen = np.bincount(at, weights=learn[doc], minlength=len(words)).astype(np.uint32)
+                by, parts = _by_bucket(_word_bucket(words, buckets))
+                rows += [(1, x, words[by[a:b]].tobytes(), seen[by[a:b]].tobytes(), None, None, None, None, 0) for x, a, b in parts]
+                grams = _distinct_grams(data, off, order)
+                by, parts = _by_bucket(owners.value.of(grams))
+                rows += [(2, x, _pack(grams[by[a:b]]), None, None, None, None, None, 0) for x, a, b in parts]
+                kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.int64()]
+                columns = [pa.array([group] * len(rows), pa.int64()), *(pa.array(list(c), t) for c, t in zip(zip(*rows), kinds))]
+                yield pa.record_batch(columns, [c.split()[0] for c in PACKED.split(", ")])
+
+    return run
 
 
 def _word_counts(rows: pa.Table) -> pa.RecordBatch:
@@ -334,22 +363,32 @@ def _word_counts(rows: pa.Table) -> pa.RecordBatch:
     return pa.record_batch([rows.column("grp").combine_chunks(), rows.column("bucket").combine_chunks(), counts, pa.array(first * int(count.sum())), pa.array(first * int((count > 0).sum()))], ["grp", "bucket", "counts", "tokens", "distinct"])
 
 
-def _finish(total: int, distinct: int, ends: int):
-    """Base scores of one group from its structure and the counts that came back."""
+def _finish(total: int, distinct: int, ends: int, owners, order: int, buckets: int):
+    """Both scores of one group from its texts and the counts and costs that came back."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(group.column("bucket").to_pylist(), range(group.num_rows)))
+        rows = sorted(zip(group.column("kind").to_pylist(), group.column("bucket").to_pylist(), range(group.num_rows)))
         get = lambda name, i, kind: np.frombuffer(group.column(name)[i].as_py() or b"", dtype=kind)
-        top = rows[0][1]
-        ids, learn, score = get("ids", top, np.int64), get("learn", top, bool), get("score", top, np.float64)
-        n = len(score)
-        count = np.concatenate([np.zeros(0, np.int64), *(get("counts", i, np.int64) for _, i in rows[1:])])
-        per_word, doc, times = get("per_word", top, np.uint32), get("docs", top, np.uint32), get("times", top, np.uint32).astype(np.float64)
-        c = np.repeat(count, per_word)
-        tokens = np.bincount(doc, weights=times, minlength=n) + 1
-        known = np.bincount(doc, weights=times * (c > 0), minlength=n) + (ends > 0)
-        base = np.bincount(doc, weights=times * np.log10(c + 0.1), minlength=n) + np.log10(ends + 0.1)
+        top = rows[0][2]
+        data, off, ids = get("data", top, np.uint8), get("off", top, np.int64), get("ids", top, np.int64)
+        n = len(ids)
+
+        def answers(of: int, bucket: np.ndarray, kind: type) -> np.ndarray:
+            out = np.zeros(len(bucket))
+            out[np.argsort(bucket, kind="stable")] = np.concatenate([np.zeros(0), *(get("counts", i, kind) for k, _, i in rows if k == of)])
+            return out
+
+        word, doc = _words(data, off)
+        word, at = np.unique(word, return_inverse=True)
+        c = answers(1, _word_bucket(word, buckets), np.int64)[at]
+        tokens = np.bincount(doc, minlength=n) + 1
+        known = np.bincount(doc, weights=c > 0, minlength=n) + (ends > 0)
+        base = np.bincount(doc, weights=np.log10(c + 0.1), minlength=n) + np.log10(ends + 0.1)
         base -= tokens * np.log10(total + 0.1 * (distinct + 1))
+        grams, score = _distinct_grams(data, off, order), np.zeros(n)
+        costs = answers(2, owners.value.of(grams), np.float32)
+        for code, first, starts in _windows(data, off, order):
+            score[first : first + len(starts)] += np.add.reduceat(costs[np.searchsorted(grams, code)], starts)
         names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         return pa.table([pa.array(ids), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(score)], names)
 
@@ -372,31 +411,30 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     model = train(rows.where("learn").select("text"), stage, order, most_cells)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, int(size) // BUCKET + 1)
-    parts = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners, short = spark.sparkContext.broadcast(model.owners), spark.sparkContext.broadcast(model.short)
     # the id travels as bytes; a null one as the least long, which is turned back at the end
-    least, trie, numbered = -(2**63), None, None
+    least = -(2**63)
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(least)))
-    if len(model.cuts) == 1:
-        trie = spark.sparkContext.broadcast(next(model.slices()))
-    else:  # rows are numbered once, and each slice's parts of the scores are added by number
-        numbered = stage.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-        for i, part in enumerate(model.slices()):
-            part = spark.sparkContext.broadcast(part)
-            stage.save(numbered.select("row", "text").mapInArrow(_parts(part), "row long, score double"), f"scores-{i}")
-            part.destroy()
-        sums = spark.read.schema("row long, score double").parquet(*[f"{stage.root}/scores-{i}" for i in range(len(model.cuts))]).groupBy("row").agg(F.sum("score").alias("score"))
-        rows = numbered.select(F.col("row").alias("doc_id"), "text", "learn")
-    stage.drop("nodes")
-    packed = stage.save(rows.mapInArrow(_packed(trie, buckets), PACKED), "packed")
-    asked = packed.where("bucket >= 0").select("bucket", "grp", "words", "seen").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    packed = stage.save(rows.mapInArrow(_packed(owners, order, buckets), PACKED), "packed")
+
+    asked = packed.where("kind = 1").select("bucket", "grp", F.col("keys").alias("words"), "seen").repartition(max(parts, buckets), "bucket").sortWithinPartitions("bucket")
     counts = stage.save(asked.mapInArrow(units(1, _word_counts), "grp long, bucket int, counts binary, tokens long, distinct long"), "counts")
+    salts = int(size) // (model.owners.buckets * SPAN) + 1
+    cells = model.nodes.select("j", "gram", "n").mapInArrow(_deal(owners, salts), UNIT)
+    nulls = [F.lit(None).cast(t).alias(c) for c, t in (("j", "int"), ("gram", "long"), ("n", "long"))]
+    asked = packed.where("kind = 2").select("bucket", F.pmod(F.xxhash64("grp"), F.lit(salts)).cast("int").alias("salt"), "grp", *nulls, "keys")
+    asked = cells.unionByName(asked).repartition(max(parts, model.owners.buckets * salts), "bucket", "salt").sortWithinPartitions("bucket", "salt", "grp")
+    costs = stage.save(asked.mapInArrow(_answer(short, order), "grp long, bucket int, counts binary"), "costs")
+    stage.drop("nodes")
+
     words = counts.agg(F.sum("tokens"), F.sum("distinct")).first()
     ends = packed.agg(F.sum("n_learn")).first()[0] or 0
     total, distinct = (words[0] or 0) + ends, (words[1] or 0) + (ends > 0)
-    structure = packed.where("bucket = -1").select("grp", "bucket", F.lit(None).cast("binary").alias("counts"), "per_word", "docs", "times", "ids", "learn", "score")
-    answers = counts.select("grp", "bucket", "counts", *[F.lit(None).cast("binary").alias(c) for c in ("per_word", "docs", "times", "ids", "learn", "score")])
-    out = structure.unionByName(answers).groupBy("grp").applyInArrow(_finish(total, distinct, ends), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    if numbered is not None:
-        out = out.drop("score").withColumnRenamed("doc_id", "row").join(numbered.select("row", "doc_id"), "row").join(sums, "row")
+    texts = packed.where("kind = 0").select("grp", "kind", "bucket", F.lit(None).cast("binary").alias("counts"), "data", "off", "ids")
+    for kind, answers in ((1, counts), (2, costs)):
+        texts = texts.unionByName(answers.select("grp", F.lit(kind).alias("kind"), "bucket", "counts"), allowMissingColumns=True)
+    finish = _finish(total, distinct, ends, owners, order, buckets)
+    out = texts.groupBy("grp").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     out = out.withColumn("doc_id", F.when(F.col("doc_id") != least, F.col("doc_id")))
     return out.select(F.col("doc_id").alias(id_col), (F.crc32(F.col("doc_id").cast("string")) % folds == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

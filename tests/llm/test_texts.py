@@ -215,18 +215,38 @@ def test_ppm_table_equals_plain_ppm(spark):
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (len(count) + 1))) for w in words), abs=1e-9)
         assert r.score == pytest.approx(score(t or ""), abs=1e-4)
     assert ppm.lm_scores(docs(spark, rows).limit(0)).collect() == []
-    # pruned to a small table, scores stay finite
-    assert all(math.isfinite(r.score) for r in ppm.lm_scores(docs(spark, rows), order=order, most_cells=200).collect())
 
 
-def test_ppm_keeps_every_context_in_slices(spark):
+def test_ppm_is_alike_in_any_buckets(spark):
     rng = random.Random(9)
     rows = [(i, "".join(rng.choice("abcdAB é\n") for _ in range(rng.randint(0, 60)))) for i in range(80)] + [(7, "zz"), (None, "abc"), (None, None), (200, "~ÿ")]
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score)
-    whole, sliced = (sorted(ppm.lm_scores(docs(spark, rows), most_cells=n).collect(), key=key) for n in (ppm.MOST_CELLS, 1500))
-    assert len(whole) == len(sliced) == len(rows)
-    for a, b in zip(whole, sliced):
-        assert a[:6] == b[:6] and a.score == pytest.approx(b.score, abs=1e-9)
+    whole, *others = (sorted(ppm.lm_scores(docs(spark, rows), most_cells=n).collect(), key=key) for n in (ppm.MOST_CELLS, 1500, 20))
+    assert all(len(whole) == len(x) == len(rows) for x in others)
+    for other in others:  # of 20 cells: last symbols are split by the one before
+        for a, b in zip(whole, other):
+            assert a[:6] == b[:6] and a.score == pytest.approx(b.score, abs=1e-9)
+
+
+def test_ppm_takes_long_texts_in_parts(monkeypatch):
+    rng = random.Random(3)
+    texts = ["", "abc" * 5, " ".join(rng.choice(["x", "yy", "w" * 90]) for _ in range(300)), "", "q" * 700, "z z", "a", ""]
+    (_, _, data, off), = chunks(pa.array(texts), 1 << 20)
+    whole = [np.concatenate(x) for x in zip(*((c, [lo], s) for c, lo, s in ppm._windows(data, off, 5)))]
+    words, doc = ppm._words(data, off)
+    for limit in (1, 7, 64, 1000):
+        cuts = list(ppm._cut(data, off, limit))
+        assert [a for a, _ in cuts] == [0, *[b for _, b in cuts][:-1]] and cuts[-1][1] == len(data)
+        assert all(b in off or data[b - 1] == 32 for _, b in cuts)
+        monkeypatch.setattr(ppm, "WINDOW", limit)
+        monkeypatch.setattr(ppm._cut, "__defaults__", (limit,))
+        parts = list(ppm._windows(data, off, 5))
+        assert np.array_equal(np.concatenate([c for c, _, _ in parts]), whole[0])
+        sums = np.zeros(len(texts), np.int64)
+        for c, lo, s in parts:
+            sums[lo : lo + len(s)] += np.add.reduceat(c, s)
+        assert np.array_equal(sums, np.add.reduceat(whole[0], whole[2]))
+        assert all(np.array_equal(x, y) for x, y in zip(ppm._words(data, off), (words, doc)))
 
 
 # ---- tokens ----
