@@ -207,13 +207,18 @@ def train(texts: DataFrame, stage: Stage, order: int = ORDER, most_cells: int =
     return Model(nodes, [(gram[j == i], n[j == i]) for i in range(min(order + 1, SHARED))], Owners(cells, most_cells), order)
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    """Ascending codes as differences, byte by byte from the lowest, which compresses well."""
-    return np.diff(codes, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes()
+def _squeeze(x: np.ndarray, planes: bool = True) -> bytes:
+    """An array's length and its bytes, compressed; as planes, byte by byte from the lowest, where high bytes are mostly zero."""
+    raw = np.ascontiguousarray(x).view(np.uint8)
+    raw = raw.reshape(-1, x.itemsize).T.tobytes() if planes else raw.tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(8, -1).T).view(np.int64)[:, 0].cumsum()
+def _expand(packed: pa.Scalar, kind: type, planes: bool = True) -> np.ndarray:
+    buffer, size = packed.as_buffer(), np.dtype(kind).itemsize
+    n = int.from_bytes(buffer[:8], "little")
+    raw = np.frombuffer(pa.decompress(buffer[8:], n * size, codec="zstd"), dtype=np.uint8)
+    return (np.ascontiguousarray(raw.reshape(size, -1).T) if planes else raw).reshape(-1).view(kind)
 
 
 UNIT = "bucket int, salt int, grp long, j int, gram long, n long, keys binary"
@@ -259,7 +264,7 @@ def _answer(short, order: int):
                     held, trie = [], Trie([*short.value, *((gram[j == i], n[j == i]) for i in range(SHARED, order + 1))])
                 for i in range(a, b, 16):
                     part = rb.slice(i, min(16, b - i))
-                    costs = [trie.costs_of(_unpack(x.as_py())).astype(np.float32).tobytes() for x in part.column(6)]
+                    costs = [_squeeze(trie.costs_of(_expand(x, np.int64).cumsum()).astype(np.float32), False) for x in part.column(6)]
                     yield pa.record_batch([part.column(2), part.column(0), pa.array(costs, pa.binary())], ["grp", "bucket", "counts"])
 
     return run
@@ -269,8 +274,7 @@ def _answer(short, order: int):
 
 #: Text bytes of one group of documents, and those whose words make up a bucket on the average: a task counts one bucket at a time.
 GROUP, BUCKET = 4 << 20, 32 << 20
-#: Rows of a group: its texts (kind 0), its distinct words by bucket (1), its distinct n-grams by bucket (2).
-PACKED = "grp long, kind int, bucket int, keys binary, seen binary, data binary, off binary, ids binary, learn binary, n_learn long"
+TEXTS = "grp long, data binary, off binary, ids binary, learn binary, n_learn long"
 
 
 def _cut(data: np.ndarray, off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -347,32 +351,44 @@ def _word_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
     return ((words >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _packed(owners, order: int, buckets: int):
-    """Per group of documents a row with its texts, and a row per bucket of its distinct words and of its distinct n-grams.
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (id, text, learn) in groups of about GROUP bytes, one row each."""
+    group = TaskContext.get().partitionId() << 32
+    for rb in batches:
+        ids, learns = (rb.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+        for i, j, data, off in chunks(rb.column(1), GROUP):
+            group += 1
+            learn = learns[i:j].astype(bool)
+            columns = [_squeeze(data), _squeeze(off), ids[i:j].astype(np.int64).tobytes(), learn.tobytes()]
+            yield pa.record_batch([pa.array([group]), *(pa.array([x], pa.binary()) for x in columns), pa.array([int(learn.sum())])], [c.split()[0] for c in TEXTS.split(", ")])
 
-    Answers of the buckets, put in a row, are in the order of _by_bucket.
-    """
+
+def _ask_words(buckets: int):
+    """Each group's distinct words with their number in its training documents, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = TaskContext.get().partitionId() << 32
         for rb in batches:
-            ids = rb.column(0).to_numpy(zero_copy_only=False)
-            learns = rb.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j, data, off in chunks(rb.column(1), GROUP):
-                group += 1
-                learn = learns[i:j]
-                rows = [(0, -1, None, None, data.tobytes(), off.tobytes(), ids[i:j].astype(np.int64).tobytes(), learn.tobytes(), int(learn.sum()))]
-                words, doc = _words(data, off)
+            for group, data, off, learn in zip(*(rb.column(i) for i in range(4))):
+                words, doc = _words(_expand(data, np.uint8), _expand(off, np.int64))
                 words, at = np.unique(words, return_inverse=True)
-                seen = np.bincount(at, weights=learn[doc], minlength=len(words)).astype(np.uint32)
+                seen = np.bincount(at, weights=np.frombuffer(learn.as_buffer(), dtype=bool)[doc], minlength=len(words)).astype(np.uint32)
                 by, parts = _by_bucket(_word_bucket(words, buckets))
-                rows += [(1, x, words[by[a:b]].tobytes(), seen[by[a:b]].tobytes(), None, None, None, None, 0) for x, a, b in parts]
-                grams = _distinct_grams(data, off, order)
+                columns = [[x for x, _, _ in parts], [words[by[a:b]].tobytes() for _, a, b in parts], [seen[by[a:b]].tobytes() for _, a, b in parts]]
+                yield pa.record_batch([pa.array([group.as_py()] * len(parts), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary())))], ["grp", "bucket", "words", "seen"])
+
+    return run
+
+
+def _ask_grams(owners, order: int):
+    """Each group's distinct n-grams, as differences, by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for group, data, off in zip(*(rb.column(i) for i in range(3))):
+                grams = _distinct_grams(_expand(data, np.uint8), _expand(off, np.int64), order)
                 by, parts = _by_bucket(owners.value.of(grams))
-                rows += [(2, x, _pack(grams[by[a:b]]), None, None, None, None, None, 0) for x, a, b in parts]
-                kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.int64()]
-                columns = [pa.array([group] * len(rows), pa.int64()), *(pa.array(list(c), t) for c, t in zip(zip(*rows), kinds))]
-                yield pa.record_batch(columns, [c.split()[0] for c in PACKED.split(", ")])
+                keys = [_squeeze(np.diff(grams[by[a:b]], prepend=0)) for _, a, b in parts]
+                yield pa.record_batch([pa.array([group.as_py()] * len(parts), pa.int64()), pa.array([x for x, _, _ in parts], pa.int32()), pa.array(keys, pa.binary())], ["grp", "bucket", "keys"])
 
     return run
 
@@ -385,7 +401,7 @@ def _word_counts(rows: pa.Table) -> pa.RecordBatch:
     count = np.bincount(at, weights=np.concatenate(seen), minlength=len(distinct)).astype(np.int64)
     back = np.split(count[at], np.cumsum([len(w) for w in words])[:-1])
     first = np.arange(len(words)) == 0
-    counts = pa.array([c.tobytes() for c in back], pa.large_binary()).cast(pa.binary())
+    counts = pa.array([_squeeze(c) for c in back], pa.binary())
     return pa.record_batch([rows.column("grp").combine_chunks(), rows.column("bucket").combine_chunks(), counts, pa.array(first * int(count.sum())), pa.array(first * int((count > 0).sum()))], ["grp", "bucket", "counts", "tokens", "distinct"])
 
 
@@ -394,25 +410,25 @@ def _finish(total: int, distinct: int, ends: int, owners, order: int, buckets: i
 
     def run(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group.column("kind").to_pylist(), group.column("bucket").to_pylist(), range(group.num_rows)))
-        get = lambda name, i, kind: np.frombuffer(group.column(name)[i].as_py() or b"", dtype=kind)
-        top = rows[0][2]
-        data, off, ids = get("data", top, np.uint8), get("off", top, np.int64), get("ids", top, np.int64)
+        data, off, ids = (group.column(c)[rows[0][2]] for c in ("data", "off", "ids"))
+        data, off, ids = _expand(data, np.uint8), _expand(off, np.int64), np.frombuffer(ids.as_buffer(), dtype=np.int64)
         n = len(ids)
 
-        def answers(of: int, bucket: np.ndarray, kind: type) -> np.ndarray:
+        def answers(of: int, bucket: np.ndarray, kind: type, planes: bool) -> np.ndarray:
+            """What the buckets of a kind sent back, in the order of the questions before _by_bucket."""
             out = np.zeros(len(bucket))
-            out[np.argsort(bucket, kind="stable")] = np.concatenate([np.zeros(0), *(get("counts", i, kind) for k, _, i in rows if k == of)])
+            out[np.argsort(bucket, kind="stable")] = np.concatenate([np.zeros(0), *(_expand(group.column("counts")[i], kind, planes) for k, _, i in rows if k == of)])
             return out
 
         word, doc = _words(data, off)
         word, at = np.unique(word, return_inverse=True)
-        c = answers(1, _word_bucket(word, buckets), np.int64)[at]
+        c = answers(1, _word_bucket(word, buckets), np.int64, True)[at]
         tokens = np.bincount(doc, minlength=n) + 1
         known = np.bincount(doc, weights=c > 0, minlength=n) + (ends > 0)
         base = np.bincount(doc, weights=np.log10(c + 0.1), minlength=n) + np.log10(ends + 0.1)
         base -= tokens * np.log10(total + 0.1 * (distinct + 1))
         grams, score = _distinct_grams(data, off, order), np.zeros(n)
-        costs, places = answers(2, owners.value.of(grams), np.float32), Places(grams)
+        costs, places = answers(2, owners.value.of(grams), np.float32, False), Places(grams)
         for code, first, starts in _windows(data, off, order):
             score[first : first + len(starts)] += np.add.reduceat(costs[places.of(code)], starts)
         names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -442,22 +458,23 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     # the id travels as bytes; a null one as the least long, which is turned back at the end
     least = -(2**63)
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(least)))
-    packed = stage.save(rows.mapInArrow(_packed(owners, order, buckets), PACKED), "packed")
-
-    asked = packed.where("kind = 1").select("bucket", "grp", F.col("keys").alias("words"), "seen").repartition(max(parts, min(buckets, MOST_PARTS)), "bucket").sortWithinPartitions("bucket")
+    texts = stage.save(rows.mapInArrow(_grouped, TEXTS), "texts")
+    asked = texts.select("grp", "data", "off", "learn").mapInArrow(_ask_words(buckets), "grp long, bucket int, words binary, seen binary")
+    asked = asked.select("bucket", "grp", "words", "seen").repartition(max(parts, min(buckets, MOST_PARTS)), "bucket").sortWithinPartitions("bucket")
     counts = stage.save(asked.mapInArrow(units(1, _word_counts), "grp long, bucket int, counts binary, tokens long, distinct long"), "counts")
     salts = int(size) // (model.owners.buckets * SPAN) + 1
     cells = model.nodes.select("j", "gram", "n").mapInArrow(_deal(owners, salts), UNIT)
     nulls = [F.lit(None).cast(t).alias(c) for c, t in (("j", "int"), ("gram", "long"), ("n", "long"))]
-    asked = packed.where("kind = 2").select("bucket", F.pmod(F.xxhash64("grp"), F.lit(salts)).cast("int").alias("salt"), "grp", *nulls, "keys")
+    asked = texts.select("grp", "data", "off").mapInArrow(_ask_grams(owners, order), "grp long, bucket int, keys binary")
+    asked = asked.select("bucket", F.pmod(F.xxhash64("grp"), F.lit(salts)).cast("int").alias("salt"), "grp", *nulls, "keys")
     asked = cells.unionByName(asked).repartition(max(parts, min(model.owners.buckets * salts, MOST_PARTS)), "bucket", "salt").sortWithinPartitions("bucket", "salt", "grp")
     costs = stage.save(asked.mapInArrow(_answer(short, order), "grp long, bucket int, counts binary"), "costs")
     stage.drop("nodes")
 
     words = counts.agg(F.sum("tokens"), F.sum("distinct")).first()
-    ends = packed.agg(F.sum("n_learn")).first()[0] or 0
+    ends = texts.agg(F.sum("n_learn")).first()[0] or 0
     total, distinct = (words[0] or 0) + ends, (words[1] or 0) + (ends > 0)
-    texts = packed.where("kind = 0").select("grp", "kind", "bucket", F.lit(None).cast("binary").alias("counts"), "data", "off", "ids")
+    texts = texts.select("grp", F.lit(0).alias("kind"), F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("counts"), "data", "off", "ids")
     for kind, answers in ((1, counts), (2, costs)):
         texts = texts.unionByName(answers.select("grp", F.lit(kind).alias("kind"), "bucket", "counts"), allowMissingColumns=True)
     finish = _finish(total, distinct, ends, owners, order, buckets)
