@@ -35,10 +35,16 @@ class Stage:
         self.root = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
         ship(spark)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet in the shared folder and read it back."""
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Write df as Parquet in the shared folder and read it back.
+
+        rows: rows of a row group at most, for rows of megabytes; a reader holds a row group's worth of them at a time.
+        """
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        if rows:
+            writer = writer.option("parquet.block.row.count.limit", rows)
+        writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

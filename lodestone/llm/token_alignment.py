@@ -32,6 +32,8 @@ from lodestone.llm._spark import Stage
 
 #: Characters of the texts of a block, and of a part of a long text.
 BLOCK, PART = 4 << 20, 1 << 20
+#: Blocks (about 6 MB each) that a row group of their table holds, and so a task that reads it, however many a task has written.
+GROUP = 2
 #: Stretches (twice as many at most) and steps that a worker remembers; longer stretches aren't remembered.
 MEMO, STEPS, LONG = 200_000, 300_000, 64
 
@@ -427,7 +429,7 @@ def align_tokens(docs: DataFrame, left_path: str, right_path: str, id_col: str =
     made = f"block long, rows array<struct<row: long, id: {kind}, n_a: long, n_b: long, n_groups: long, n_links: long, sha: string>>, parts array<long>, sizes binary, stretches binary, lengths binary, links binary, pairs array<long>, counts array<long>"
     from pyspark.sql.pandas.types import to_arrow_type
 
-    blocks = stage.save(rows.mapInArrow(_encoder(left_path, right_path, to_arrow_type(rows.schema["id"].dataType)), made), "blocks")
+    blocks = stage.save(rows.mapInArrow(_encoder(left_path, right_path, to_arrow_type(rows.schema["id"].dataType)), made), "blocks", GROUP)
     pairs = blocks.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.counts").alias("count"))
     pairs = stage.save(pairs.withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))), "pairs")
     # a row for each id of the right vocabulary at most

@@ -129,3 +129,18 @@ def test_query_equals_plain(spark, sf_dir, plain):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     want = sorted((str(r.doc_id), *w) for r, w in zip(rows, plain([r.text for r in rows])))
     assert got(op11_token_alignment(spark, sf_dir)) == want
+
+
+def test_blocks_lie_in_small_row_groups(spark, monkeypatch, tmp_path):
+    """However many blocks a task writes, a reader holds GROUP of them: a text of six parts makes six blocks in one file."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr("lodestone.llm._spark.shared_dir", lambda spark: str(tmp_path))
+    long = ("word and other words " * (6 * token_alignment.PART // 21)).strip()
+    rows = align_tokens(spark.createDataFrame([(1, long)], "doc_id long, text string").coalesce(1), LEFT, RIGHT).collect()
+    assert len(rows) == 1 and rows[0].n_links > 0
+    groups = [pq.ParquetFile(f).metadata for f in glob.glob(f"{tmp_path}/lodestone/*/alignment-*/blocks/*.parquet")]
+    assert max(m.num_rows for m in groups) > token_alignment.GROUP
+    assert all(m.row_group(i).num_rows <= token_alignment.GROUP for m in groups for i in range(m.num_row_groups))
