@@ -44,3 +44,13 @@ def test_no_llm_import_outside():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"lodestone\.llm|from \.+llm", p.read_text()), p
+
+
+def test_recall_needs_no_score_of_all(spark, sf_dir, monkeypatch):
+    """The cut-offs are told from each query's nearest; scores of all rows never leave the scan."""
+    from lodestone.operators import dense
+
+    asked, scores = [], dense.vector_scores
+    monkeypatch.setattr(dense, "vector_scores", lambda corpus, queries, k=None, *rest: asked.append(k) or scores(corpus, queries, k, *rest))
+    assert 0 <= QUERIES["recall_at_k"](spark, sf_dir).first().recall_10 <= 1
+    assert asked == [11]
