@@ -57,6 +57,35 @@ def test_changes_equal_a_rebuild(spark, monkeypatch, tmp_path):
             same_as_rebuilt(spark, store, docs, asked)
 
 
+@pytest.mark.parametrize("texts", [False, True])
+def test_groups_equal_the_whole(spark, monkeypatch, tmp_path, texts):
+    """Scored in groups of three documents, with copies, repeated words, replaced and deleted documents and negative weights: the same hits, and no more of them than k a group."""
+    monkeypatch.setattr(lexical_store, "SHARD", 3)
+    monkeypatch.setattr(lexical_store, "GROUP", 3)
+    monkeypatch.setattr(lexical, "GROUP", 3)
+    rng = random.Random(5)
+    docs = {i: rng.choice([None, "", "alpha beta beta", *[" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 9))) for _ in range(9)]]) for i in range(60)}
+    asked = spark.createDataFrame([(1, "alpha"), (2, "beta gamma 超声诊断"), (3, "none"), (4, ""), (5, "delta eps delta x_1")], "query_id long, query string")
+    kind = (lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))) if texts else (lambda df: df)
+    store = LexicalStore.create(spark, str(tmp_path / "i"))
+    store.upsert(kind(frame(spark, docs.items())))
+    new = {i: "alpha x_1" for i in range(0, 60, 7)}
+    store.upsert(kind(frame(spark, new.items())))
+    store.delete(kind(frame(spark, [(3, ""), (14, "")])).select("doc_id"))
+    left = kind(frame(spark, [(i, t) for i, t in (docs | new).items() if i not in (3, 14)]))
+    want = sorted(lexical.bm25_search(left, asked, 4).collect())
+    assert want == sorted(store.search(asked, 4).collect())
+    for module in (lexical, lexical_store):
+        monkeypatch.setattr(module, "MEETINGS", 0)
+    monkeypatch.setattr(lexical, "MOST_TERMS", 2)  # the questions in several passes
+    assert want == sorted(lexical.bm25_search(left, asked, 4).collect())
+    for pruned in (False, True):
+        assert want == sorted(store.search(asked, 4, pruned=pruned).collect())
+    parts = spark.createDataFrame([(g, "alpha", [(d, 1, 1)]) for g in range(2) for d in range(g * 9, g * 9 + 9)], "group int, term string, docs array<struct<doc_id: long, tf: int, len: int>>")
+    best = lexical.best_in_groups(parts, spark.createDataFrame([(1, "alpha", 2.0)], "query_id long, term string, w double"), 4, 1.0)
+    assert sorted((r.query_id, r.doc_id) for r in best.collect()) == [(1, d) for d in (0, 1, 2, 3, 9, 10, 11, 12)]
+
+
 def test_repeated_ids_and_other_writers(spark, tmp_path):
     store = LexicalStore.create(spark, str(tmp_path / "i"))
     twice = spark.createDataFrame([(1, "alpha", 1), (1, "beta", 2), (2, "gamma", 1)], "doc_id long, text string, at int")
