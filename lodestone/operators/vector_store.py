@@ -100,8 +100,13 @@ def _coded(centres: np.ndarray):
     return run
 
 
+def _asked_by_cell(where: np.ndarray, cells: np.ndarray) -> dict[int, np.ndarray]:
+    """Which queries ask for a cell, from where (queries x cells): a bit a query, as an exact search asks for most cells with most queries."""
+    return {int(cells[c]): np.packbits(where[:, c]) for c in np.flatnonzero(where.any(axis=0))}
+
+
 def _looked(centres: np.ndarray, asked, k: int):
-    """(query_id, cell, id) that may be among a query's k best. asked: broadcast (ids, unit vectors, rows of them by cell)."""
+    """(query_id, cell, id) that may be among a query's k best. asked: broadcast (ids, unit vectors, which of them by cell)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, by_cell = asked.value
@@ -112,9 +117,9 @@ def _looked(centres: np.ndarray, asked, k: int):
             code = np.frombuffer(b"".join(rb.column("code").to_pylist()), dtype=np.int8).reshape(rb.num_rows, -1)
             mine, scale, error = (rb.column(c).to_numpy() for c in ("id", "scale", "error"))
             for cell in np.unique(cells).tolist():
-                rows, who = np.flatnonzero(cells == cell), by_cell.get(cell)
-                if who is None:
+                if cell not in by_cell:
                     continue
+                rows, who = np.flatnonzero(cells == cell), np.flatnonzero(np.unpackbits(by_cell[cell], count=len(ids)))
                 about = centres[cell] + code[rows] * scale[rows][:, None]
                 for a in range(0, len(who), dense.BLOCK):
                     some = who[a : a + dense.BLOCK]
@@ -210,7 +215,7 @@ class VectorStore:
 
     def _look(self, ids: np.ndarray, q: np.ndarray, where: np.ndarray, cells: np.ndarray, centres: np.ndarray, k: int) -> DataFrame:
         """Exact scores of what the codes leave of the given cells."""
-        by_cell = {int(cells[c]): np.flatnonzero(where[:, c]) for c in np.flatnonzero(where.any(axis=0))}
+        by_cell = _asked_by_cell(where, cells)
         asked = self.spark.sparkContext.broadcast((ids, q, by_cell))
         rows = self._cells().where(F.col("cell").isin(list(by_cell))) if len(by_cell) < len(cells) else self._cells()
         left = rows.select("cell", "id", "code", "scale", "error").mapInArrow(_looked(centres, asked, k), "query_id long, cell long, id long")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import files
-from lodestone.operators import dense, lexical, lexical_store
+from lodestone.operators import dense, lexical, lexical_store, vector_store
 from lodestone.operators.lexical_store import LexicalStore
 from lodestone.operators.vector_store import VectorStore
 from lodestone.plans import index
@@ -156,3 +156,12 @@ def test_ann_probed_recall(spark):
     want = {(r.query_id, r.id) for r in QUERIES["dense_topk"](spark, sf_dir).collect()}
     rows = QUERIES["ann_probed"](spark, sf_dir).collect()
     assert len({(r.query_id, r.id) for r in rows} & want) >= 0.95 * len(want)
+
+
+def test_queries_of_a_cell_take_a_bit_each():
+    where = np.random.default_rng(1).random((1000, 30)) < 0.9
+    where[:, 4] = False
+    packed = vector_store._asked_by_cell(where, np.arange(30) * 2)
+    assert sorted(packed) == [c * 2 for c in range(30) if c != 4]
+    assert all((np.unpackbits(v, count=1000) == where[:, c // 2]).all() for c, v in packed.items())
+    assert sum(v.nbytes for v in packed.values()) <= 29 * 125
