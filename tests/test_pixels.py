@@ -105,3 +105,16 @@ def test_pictures_of_files(spark, tmp_path):
     assert got["b.png"] == (pytest.approx(pixels.structural(a, b)), pytest.approx(pixels.wavelet(a, b)))
     assert pixels.rgb(2, 2, 3, b"\1\2\3" * 4)[0, 0].tolist() == [3 / 255, 2 / 255, 1 / 255]
     assert pixels.rgb(2, 2, 3, b"x") is None and pixels.rgb(-1, -1, -1, b"") is None and pixels.rgb(1, 1, 1, None) is None
+
+
+def test_pairs_of_a_batch_go_in_pieces(spark):
+    """A worker takes apart PAIRS of a batch at a time; every pair keeps its row."""
+    rng = np.random.default_rng(3)
+    picture = lambda: (32, 32, 3, bytes(rng.integers(0, 256, 3072, dtype=np.uint8)))
+    n = 2 * pixels.PAIRS + 5
+    some = [picture() for _ in range(5)]
+    kind = "struct<height: int, width: int, nChannels: int, data: binary>"
+    df = spark.createDataFrame([(i, some[i % 5], some[i % 3]) for i in range(n)], f"id long, picture {kind}, other {kind}").coalesce(1)
+    got = {r.id: (r.structure, r.wavelet) for r in pixels.pixel_similarity(df, side=32).collect()}
+    assert sorted(got) == list(range(n)) and all(got[i] == got[i % 15] for i in range(n))
+    assert got[0][0] == pytest.approx(1) and got[3][0] < 0.9
