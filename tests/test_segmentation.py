@@ -7,6 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import segmentation
 from lodestone.operators.segmentation import Lattice, segmented, word_model
 
 
@@ -33,6 +34,39 @@ def test_best_path_equals_all_cuts():
     assert lattice.words("") == [] and Lattice({}).words("ab") == ["a", "b"]
 
 
+def test_many_runs_at_once_equal_each_by_itself(monkeypatch):
+    """All runs side by side give the cuts of each by itself, ties too, and far fewer steps than letters times words' lengths."""
+    rng = random.Random(2)
+    for alphabet, floor in (("ab超声", 1), ("éab\U00020000", 1), ("a", 3)):
+        counts = {"".join(rng.choice(alphabet) for _ in range(rng.randint(floor, 6))): rng.choice([1, 1, 2, 9]) for _ in range(40)}
+        lattice = Lattice(counts)
+        runs = ["".join(rng.choice(alphabet + "z") for _ in range(rng.choice([0, 1, 5, 30, 70]))) for _ in range(300)] + ["ab" * 40]
+        want = [lattice.words(r) for r in runs]
+        assert lattice.all_words(runs) == want
+        monkeypatch.setattr(segmentation, "CELLS", 100)
+        monkeypatch.setattr(segmentation, "TALL", 60)
+        assert lattice.all_words(runs) == want
+        monkeypatch.undo()
+    assert Lattice({}).all_words(["ab", "", "c"]) == [["a", "b"], [], ["c"]]
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(segmentation, "BASE", segmentation.np.uint64(1))  # words of the same letters hash alike
+    assert Lattice({"abc": 5, "acb": 7, "x": 1}).all_words(["bcaabcx", "cabacb"]) == [["b", "c", "a", "abc", "x"], ["c", "a", "b", "acb"]]
+
+
+def test_words_are_counted_over_distinct_runs(spark, monkeypatch):
+    """A run that stands a thousand times is cut once."""
+    given = []
+    cut = segmentation.segmented
+    monkeypatch.setattr(segmentation, "segmented", lambda texts, *a, **k: given.append(texts) or cut(texts, *a, **k))
+    model = spark.createDataFrame([("ab", 5), ("cd", 4)], "word string, n long")
+    texts = spark.createDataFrame([("abcd, AB",)] * 1000 + [("cdx",), (None,), ("",)], "text string").coalesce(1)
+    found = segmentation.word_counts(texts, model)
+    assert {r.term: r.n for r in found.collect()} == {"ab": 2000, "cd": 1001, "x": 1} and dict(found.dtypes)["n"] == "bigint"
+    assert sorted(r.run for r in given[0].collect()) == ["ab", "abcd", "cdx"]
+
+
 def test_search_mode_gives_parts(spark):
     model = spark.createDataFrame([("超声", 5), ("诊断", 4), ("超声诊断", 9), ("仪", 1)], "word string, n long")
     rows = segmented(spark.createDataFrame([(1, "超声诊断仪, X1"), (2, None), (3, "")], "id int, text string"), model).orderBy("id").collect()
