@@ -57,6 +57,24 @@ def test_changes_equal_a_rebuild(spark, monkeypatch, tmp_path):
             same_as_rebuilt(spark, store, docs, asked)
 
 
+def test_a_shard_is_gathered_in_one_piece(spark, monkeypatch, tmp_path):
+    """Postings of repeated words, empty and null texts and ids of text, by shards of three; a row tells how many documents it has."""
+    monkeypatch.setattr(lexical_store, "SHARD", 3)
+    docs = {f"d{i}": t for i, t in enumerate(["alpha beta alpha", None, "", "beta", "alpha", "超声诊断 的 beta beta", "gamma", "x_1 X_1"])}
+    store = LexicalStore.create(spark, str(tmp_path / "i"))
+    gathered = []
+    store._postings, write = (lambda words, at: gathered.append(words) or write(words, at)), store._postings
+    store.upsert(spark.createDataFrame(list(docs.items()), "doc_id string, text string"))
+    assert len(gathered) == 1
+    segment = store._last()[1]["segments"][0]
+    rows = spark.read.parquet(f"{store.path}/{segment}/postings").collect()
+    words = {r.doc_id: r.tokens for r in gathered[0].collect()}
+    got = {(r.term, d.doc_id): (d.tf, d.len) for r in rows for d in r.docs}
+    assert got == {(t, i): (ts.count(t), len(ts)) for i, ts in words.items() for t in ts} and sum(r.n for r in rows) == len(got)
+    assert all(r.tf == max(d.tf for d in r.docs) and r.len == min(d.len for d in r.docs) and r.n == len(r.docs) for r in rows)
+    assert len({(r.term, r.shard) for r in rows}) == len(rows)
+
+
 @pytest.mark.parametrize("texts", [False, True])
 def test_groups_equal_the_whole(spark, monkeypatch, tmp_path, texts):
     """Scored in groups of three documents, with copies, repeated words, replaced and deleted documents and negative weights: the same hits, and no more of them than k a group."""
