@@ -54,3 +54,39 @@ def test_recall_needs_no_score_of_all(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(dense, "vector_scores", lambda corpus, queries, k=None, *rest: asked.append(k) or scores(corpus, queries, k, *rest))
     assert 0 <= QUERIES["recall_at_k"](spark, sf_dir).first().recall_10 <= 1
     assert asked == [11]
+
+
+def test_all_scores_are_dealt_to_tasks(spark, sf_dir, monkeypatch):
+    """One file of one row group, yet no task makes more scores than about its share, and none is lost or made twice."""
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import dense
+
+    monkeypatch.setattr(dense, "BLOCK", 7)
+    before = {tuple(r) for r in QUERIES["similarity_matrix"](spark, sf_dir).collect()}
+    monkeypatch.setattr(dense, "TASK_SCORES", 1000, raising=False)
+    monkeypatch.setattr(dense, "AT_A_TIME", 20, raising=False)
+    rows = QUERIES["similarity_matrix"](spark, sf_dir).select("*", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == len(before) and {tuple(r)[:3] for r in rows} == before
+    made = [sum(r.task == t for r in rows) for t in {r.task for r in rows}]
+    assert len(made) >= len(rows) / 1000 and max(made) <= 2000
+
+
+def test_all_scores_come_by_id():
+    """A row's scores stand together, in pieces of bounded size: each id once for a block of queries."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.operators import dense
+
+    x = np.random.default_rng(1).normal(size=(3000, 4))
+    asked = SimpleNamespace(value=(np.arange(50), dense._unit(pa.array(list(x[:50])))))
+    batch = pa.record_batch([pa.array(np.arange(3000)), pa.array(list(x))], ["id", "vector"])
+    got = list(dense._scores(asked, None)(iter([batch])))
+    assert all(b.num_rows <= 1 << 16 for b in got)
+    t = pa.Table.from_batches(got)
+    assert (t["id"].to_numpy() == np.repeat(np.arange(3000), 50)).all() and (t["query_id"].to_numpy() == np.tile(np.arange(50), 3000)).all()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.allclose(t["score"].to_numpy(), (unit @ unit[:50].T).ravel())
