@@ -90,3 +90,43 @@ def test_all_scores_come_by_id():
     assert (t["id"].to_numpy() == np.repeat(np.arange(3000), 50)).all() and (t["query_id"].to_numpy() == np.tile(np.arange(50), 3000)).all()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert np.allclose(t["score"].to_numpy(), (unit @ unit[:50].T).ravel())
+
+
+def test_many_scores_come_by_value(monkeypatch):
+    """Each pair once, with its own score, in slices of bounded size that are in order; also where vectors are alike, zero or not finite."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.operators import dense
+
+    for name, value in {"BY_VALUE": 1000, "IN_ORDER": 4096, "BLOCK": 7, "AT_A_TIME": 500}.items():
+        monkeypatch.setattr(dense, name, value, raising=False)
+    x = np.random.default_rng(1).normal(size=(900, 4))
+    x[200:500], x[500:503], x[503] = x[200], 0, (np.inf, 1, 1, 1)
+    with np.errstate(all="ignore"):
+        unit = dense._unit(pa.array(list(x)))
+        asked = SimpleNamespace(value=(np.arange(0, 1800, 20), unit[:90]))
+        got = pa.Table.from_batches(dense._scores(asked, None)(iter([pa.record_batch([pa.array(np.arange(900) * 3), pa.array(list(x))], ["id", "vector"])])))
+        want = unit[:90] @ unit.T
+    q, v, score = (got[c].to_numpy() for c in got.column_names)
+    assert len(got) == 90 * 900 == len(set(zip(q, v)))
+    assert np.allclose(score, want[q // 20, v // 3], equal_nan=True)
+    assert (np.diff(score) < 0).sum() < 2 * len(got) / 4096 + 30
+
+
+def test_a_file_of_many_scores_is_small(spark, tmp_path):
+    """A value stands once for many pairs, so a file takes less than the eight bytes of a score for each."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.operators import dense
+
+    x = np.random.default_rng(1).normal(size=(4000, 16))
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(4000), "embedding": pa.array(list(x))})).coalesce(1)
+    asked = rows.where("vec_id % 4 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+    dense.vector_scores(rows, asked).selectExpr("query_id", "id", "round(score, 6) AS similarity").write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == out.distinct().count() == 4_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 6.5 * 4_000_000
