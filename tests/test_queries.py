@@ -130,3 +130,18 @@ def test_a_file_of_many_scores_is_small(spark, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out")
     assert out.count() == out.distinct().count() == 4_000_000
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 6.5 * 4_000_000
+
+
+def test_scores_are_rounded_as_spark_does(spark):
+    """Halves, their neighbours and signs of zero too."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import dense
+
+    half = (np.arange(-3000, 3000) * 337 + 0.5) / 1e6
+    x = np.concatenate([half, np.nextafter(half, 9), np.nextafter(half, -9), np.random.default_rng(1).uniform(-1, 1, 20000), [0.0, -0.0, -1e-9, 1.0, -1.0, np.nan]])
+    want = np.array([r[0] for r in spark.createDataFrame(pa.table({"x": x})).select(F.round("x", 6)).collect()])
+    got = dense.rounded(x, 6)
+    assert got.tobytes() == want.tobytes()
